@@ -278,3 +278,234 @@ SELECT artifact_id, title, price, image FROM artifact
 WHERE artifact_id IN (SELECT artifact_id FROM exhibition_artifact)"""))
 def _artifacts_by_ids(g, spark, sf):
     return Q.artifacts_by_ids(g, g.exhibition_artifact.select("artifact_id"))
+
+
+# ---------------------------------------------------------------- admission
+
+from vitrine.operators import admission as A  # noqa: E402
+
+A1_ORDER = ", ".join(adapter.PURCHASE_REQUEST_ORDER)
+A1_CTES = f"""
+req AS (
+  SELECT {A1_ORDER}, o_custkey AS customer_id, l_partkey AS artifact_id, CAST(l_quantity AS INTEGER) AS quantity
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+),
+stock AS (SELECT artifact_id, CAST((quantity + 1) * 10 AS INTEGER) AS quantity FROM artifact),
+r AS (
+  SELECT req.*, s.quantity AS stock0, s.artifact_id IS NOT NULL AS found, u.user_id IS NOT NULL AS cust_ok
+  FROM req LEFT JOIN stock s ON s.artifact_id = req.artifact_id
+           LEFT JOIN (SELECT DISTINCT user_id FROM users) u ON u.user_id = req.customer_id
+),
+cand AS (
+  SELECT r.*, row_number() OVER (PARTITION BY artifact_id ORDER BY {A1_ORDER}) AS rn
+  FROM r WHERE found AND stock0 IS NOT NULL AND quantity IS NOT NULL AND quantity > 0 AND quantity <= stock0
+),
+fold(artifact_id, rn, stock_before, accepted, remaining) AS (
+  SELECT artifact_id, rn, stock0, quantity <= stock0 AND cust_ok,
+         stock0 - CASE WHEN quantity <= stock0 AND cust_ok THEN quantity ELSE 0 END
+  FROM cand WHERE rn = 1
+  UNION ALL
+  SELECT c.artifact_id, c.rn, f.remaining, c.quantity <= f.remaining AND c.cust_ok,
+         f.remaining - CASE WHEN c.quantity <= f.remaining AND c.cust_ok THEN c.quantity ELSE 0 END
+  FROM fold f JOIN cand c ON c.artifact_id = f.artifact_id AND c.rn = f.rn + 1
+)"""
+A1_COLS = f"{A1_ORDER}, customer_id, artifact_id, quantity"
+
+
+@register("admit_purchases", "A1", with_adapter(f"""
+SELECT {', '.join('c.' + x for x in A1_COLS.split(', '))}, CAST(f.stock_before AS INTEGER) AS stock_before,
+       f.accepted,
+       CASE WHEN f.accepted THEN NULL WHEN c.quantity > f.stock_before THEN 'Insufficient stock'
+            ELSE 'Customer not found' END AS reason
+FROM cand c JOIN fold f ON f.artifact_id = c.artifact_id AND f.rn = c.rn
+UNION ALL
+SELECT {A1_COLS}, CAST(NULL AS INTEGER) AS stock_before, false AS accepted,
+       CASE WHEN NOT found OR stock0 IS NULL THEN 'Artifact not found'
+            WHEN quantity IS NULL THEN 'null_quantity'
+            WHEN quantity <= 0 THEN 'quantity_not_positive'
+            ELSE 'Insufficient stock' END AS reason
+FROM r WHERE NOT (found AND stock0 IS NOT NULL AND quantity IS NOT NULL AND quantity > 0 AND quantity <= stock0)
+""", A1_CTES, recursive=True))
+def _admit_purchases(g, spark, sf):
+    return A.admit_purchases(adapter.purchase_requests(spark, sf), adapter.restocked(g.artifact),
+                             adapter.PURCHASE_REQUEST_ORDER, users=g.users)
+
+
+A2_CTES = """
+req AS (
+  SELECT ts, event_id, user_id % 40 AS customer_id, event_id % 97 AS exhibition_id
+  FROM events WHERE event_type IN ('view', 'click')
+),
+flag AS (
+  SELECT req.*,
+         a.customer_id IS NULL
+           AND row_number() OVER (PARTITION BY req.exhibition_id, req.customer_id ORDER BY req.ts, req.event_id) = 1
+           AS first_time
+  FROM req LEFT JOIN attends a ON a.customer_id = req.customer_id AND a.exhibition_id = req.exhibition_id
+),
+run AS (
+  SELECT flag.*,
+         COALESCE(sum(CASE WHEN first_time THEN 1 ELSE 0 END) OVER (
+           PARTITION BY exhibition_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+           AS ft_before
+  FROM flag
+),
+ex AS (
+  SELECT e.exhibition_id, e.capacity,
+         (SELECT count(*) FROM attends a WHERE a.exhibition_id = e.exhibition_id) AS existing
+  FROM exhibition e
+),
+decided AS (
+  SELECT run.ts, run.event_id, run.customer_id, run.exhibition_id,
+         CASE WHEN ex.exhibition_id IS NULL OR ex.capacity IS NULL THEN 'Exhibition not found'
+              WHEN ex.existing + least(run.ft_before, greatest(ex.capacity - ex.existing, 0)) >= ex.capacity
+                THEN 'Exhibition capacity full'
+              WHEN NOT run.first_time THEN 'duplicate'
+         END AS reason
+  FROM run LEFT JOIN ex ON ex.exhibition_id = run.exhibition_id
+)"""
+
+
+@register("admit_attends", "A2", with_adapter("""
+SELECT ts, event_id, customer_id, exhibition_id, reason IS NULL AS accepted, reason FROM decided""", A2_CTES))
+def _admit_attends(g, spark, sf):
+    return A.admit_attends(adapter.attend_requests(spark, sf), g.attends, g.exhibition,
+                           adapter.ATTEND_REQUEST_ORDER)
+
+
+@register("validate_exhibitions", "A3", with_adapter("""
+SELECT e.exhibition_id, e.title, e.theme, e.start_date, e.end_date, e.museum_id, e.capacity, e.artist_id,
+       reason IS NULL AS accepted, reason
+FROM (
+  SELECT e.*, CASE WHEN u.role IS NULL THEN 'Artist_ID not found'
+                   WHEN u.role <> 'Artist' THEN 'Only artists can organize exhibitions' END AS reason
+  FROM exhibition e LEFT JOIN users u ON u.user_id = e.artist_id
+) e"""))
+def _validate_exhibitions(g, spark, sf):
+    return A.validate_exhibitions(g.exhibition, g.users)
+
+
+# --------------------------------------------------------------------- cart
+
+from vitrine.operators import cart as K  # noqa: E402
+
+CART_CTES = """
+ev AS (
+  SELECT user_id, k % 20 AS artifact_id,
+         CASE event_type WHEN 'view' THEN 'set' WHEN 'click' THEN 'add' ELSE 'checkout' END AS kind,
+         TRY_CAST(trim(CASE WHEN event_type = 'purchase' THEN NULL
+                            WHEN k % 9 = 8 THEN 'abc'
+                            ELSE CAST(k % 4 - 1 AS VARCHAR) END) AS INTEGER) AS q,
+         row_number() OVER (ORDER BY ts, event_id) AS ord
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events
+        WHERE event_type IN ('view', 'click', 'purchase')) e
+),
+chk AS (SELECT user_id, max(ord) AS c FROM ev WHERE kind = 'checkout' GROUP BY user_id),
+lastset AS (
+  SELECT user_id, artifact_id, arg_max(q, ord) AS sq, max(ord) AS so
+  FROM ev WHERE kind = 'set' AND q IS NOT NULL GROUP BY user_id, artifact_id
+),
+pairs AS (SELECT DISTINCT user_id, artifact_id FROM ev WHERE kind IN ('add', 'set') AND q IS NOT NULL),
+cart AS (
+  SELECT user_id, artifact_id, qty FROM (
+    SELECT p.user_id, p.artifact_id,
+           CAST(CASE WHEN ls.so IS NOT NULL AND (chk.c IS NULL OR ls.so > chk.c) THEN greatest(ls.sq, 0) ELSE 0 END
+                + COALESCE((SELECT sum(greatest(1, e.q)) FROM ev e
+                            WHERE e.kind = 'add' AND e.q IS NOT NULL AND e.user_id = p.user_id
+                              AND e.artifact_id = p.artifact_id
+                              AND e.ord > greatest(COALESCE(chk.c, 0), COALESCE(ls.so, 0))), 0) AS INTEGER) AS qty
+    FROM pairs p
+    LEFT JOIN chk ON chk.user_id = p.user_id
+    LEFT JOIN lastset ls ON ls.user_id = p.user_id AND ls.artifact_id = p.artifact_id
+  ) x WHERE qty > 0
+),
+problems AS ({problems})"""
+
+PROBLEMS_SQL = """
+  SELECT c.user_id, c.artifact_id, c.qty,
+         CAST(CASE WHEN a.artifact_id IS NULL THEN NULL ELSE COALESCE(a.quantity, 0) END AS INTEGER) AS stock,
+         CASE WHEN a.artifact_id IS NULL THEN 'missing' ELSE 'insufficient_stock' END AS problem,
+         CASE WHEN a.artifact_id IS NULL THEN printf('Artifact ID %d no longer exists.', c.artifact_id)
+              ELSE printf('“%s” has only %d left (you requested %d).', a.title, COALESCE(a.quantity, 0), c.qty)
+         END AS message
+  FROM cart c LEFT JOIN day_artifact a ON a.artifact_id = c.artifact_id
+  WHERE c.qty > 0 AND (a.artifact_id IS NULL OR c.qty > COALESCE(a.quantity, 0))
+"""
+# Stock left after the day's purchase requests (A1), the stock open carts are checked against.
+DAY_STOCK_CTES = A1_CTES + """,
+day_artifact AS (
+  SELECT a.artifact_id, a.title, a.price, a.image,
+         CAST(s.quantity - COALESCE(t.taken, 0) AS INTEGER) AS quantity
+  FROM artifact a JOIN stock s ON s.artifact_id = a.artifact_id
+  LEFT JOIN (SELECT c.artifact_id, sum(c.quantity) AS taken FROM cand c
+             JOIN fold f ON f.artifact_id = c.artifact_id AND f.rn = c.rn
+             WHERE f.accepted GROUP BY c.artifact_id) t ON t.artifact_id = a.artifact_id
+)"""
+CART_CTES = DAY_STOCK_CTES + "," + CART_CTES.format(problems=PROBLEMS_SQL)
+
+
+def _cart(g, spark, sf):
+    return K.cart_state(adapter.cart_events(spark, sf), adapter.CART_EVENT_ORDER)
+
+
+def _day_artifact(g, spark, sf):
+    """Artifacts with the stock left after the day's purchase requests."""
+    stock = adapter.restocked(g.artifact)
+    admitted = A.admit_purchases(adapter.purchase_requests(spark, sf), stock, adapter.PURCHASE_REQUEST_ORDER,
+                                 users=g.users)
+    return A.stock_after(admitted, stock)
+
+
+@register("cart_state", "K1", with_adapter("SELECT user_id, artifact_id, qty FROM cart", CART_CTES, recursive=True))
+def _cart_state(g, spark, sf):
+    return _cart(g, spark, sf)
+
+
+@register("price_cart", "K2", with_adapter("""
+SELECT c.user_id, c.artifact_id, a.title, a.price, a.image, c.qty,
+       CAST(a.price * c.qty AS DECIMAL(23,2)) AS subtotal,
+       CAST(sum(a.price * c.qty) OVER (PARTITION BY c.user_id) AS DECIMAL(33,2)) AS cart_total
+FROM cart c JOIN artifact a ON a.artifact_id = c.artifact_id""", CART_CTES, recursive=True))
+def _price_cart(g, spark, sf):
+    return K.price_cart(_cart(g, spark, sf), g.artifact)
+
+
+@register("validate_checkout", "K3", with_adapter(
+    "SELECT user_id, artifact_id, qty, stock, problem, message FROM problems", CART_CTES, recursive=True))
+def _validate_checkout(g, spark, sf):
+    return K.validate_checkout(_cart(g, spark, sf), _day_artifact(g, spark, sf))
+
+
+CHECKOUT_AT = "2024-02-01 00:00:00"
+K4_CTES = CART_CTES + """,
+lines AS (
+  SELECT c.user_id AS customer_id, c.artifact_id, c.qty AS quantity, a.quantity AS stock0,
+         u.user_id IS NOT NULL AS cust_ok,
+         row_number() OVER (PARTITION BY c.artifact_id ORDER BY c.user_id) AS rn
+  FROM cart c
+  JOIN day_artifact a ON a.artifact_id = c.artifact_id
+  LEFT JOIN (SELECT DISTINCT user_id FROM users) u ON u.user_id = c.user_id
+  WHERE c.user_id NOT IN (SELECT user_id FROM problems)
+    AND a.quantity IS NOT NULL AND c.qty <= a.quantity
+),
+cfold(artifact_id, rn, accepted, remaining) AS (
+  SELECT artifact_id, rn, quantity <= stock0 AND cust_ok,
+         stock0 - CASE WHEN quantity <= stock0 AND cust_ok THEN quantity ELSE 0 END
+  FROM lines WHERE rn = 1
+  UNION ALL
+  SELECT l.artifact_id, l.rn, l.quantity <= f.remaining AND l.cust_ok,
+         f.remaining - CASE WHEN l.quantity <= f.remaining AND l.cust_ok THEN l.quantity ELSE 0 END
+  FROM cfold f JOIN lines l ON l.artifact_id = f.artifact_id AND l.rn = f.rn + 1
+)"""
+
+
+@register("post_checkout", "K4", with_adapter(f"""
+SELECT l.customer_id, l.artifact_id, TIMESTAMP '{CHECKOUT_AT}' AS purchase_ts, l.quantity,
+       CAST(round(a.price * l.quantity, 2) AS DECIMAL(12,2)) AS total_amount, 'Card' AS payment_method
+FROM lines l JOIN cfold f ON f.artifact_id = l.artifact_id AND f.rn = l.rn
+JOIN day_artifact a ON a.artifact_id = l.artifact_id
+WHERE f.accepted""", K4_CTES, recursive=True))
+def _post_checkout(g, spark, sf):
+    posted, _ = K.post_checkout(_cart(g, spark, sf), _day_artifact(g, spark, sf), users=g.users,
+                                at=F.to_timestamp_ntz(F.lit(CHECKOUT_AT)))
+    return posted
