@@ -509,3 +509,116 @@ def _post_checkout(g, spark, sf):
     posted, _ = K.post_checkout(_cart(g, spark, sf), _day_artifact(g, spark, sf), users=g.users,
                                 at=F.to_timestamp_ntz(F.lit(CHECKOUT_AT)))
     return posted
+
+
+# -------------------------------------------------------------------- audit
+
+from vitrine.operators import audit as C  # noqa: E402
+from vitrine.sources import schema as SC  # noqa: E402
+
+
+def _key_sql(cols, alias=""):
+    p = f"{alias}." if alias else ""
+    return " || '|' || ".join(f"COALESCE(CAST({p}{c} AS VARCHAR), 'NULL')" for c in cols)
+
+
+def _sql_union(parts):
+    return "\nUNION ALL\n".join(parts) if parts else (
+        "SELECT CAST(NULL AS VARCHAR) AS table_name, CAST(NULL AS VARCHAR) AS rule, "
+        "CAST(NULL AS VARCHAR) AS key, CAST(NULL AS VARCHAR) AS detail WHERE FALSE")
+
+
+def _keys_sql():
+    parts = []
+    for t, cols in SC.PRIMARY_KEYS.items():
+        any_null = " OR ".join(f"{c} IS NULL" for c in cols)
+        parts.append(f"SELECT '{t}' AS table_name, 'pk_null' AS rule, {_key_sql(cols)} AS key, '' AS detail "
+                     f"FROM {t} WHERE {any_null}")
+        parts.append(f"SELECT '{t}', 'pk_duplicate', {_key_sql(cols)}, CAST(count(*) AS VARCHAR) FROM {t} "
+                     f"WHERE NOT ({any_null}) GROUP BY {', '.join(cols)} HAVING count(*) > 1")
+    return _sql_union(parts)
+
+
+def _unique_sql():
+    parts = []
+    for t, c in SC.UNIQUE_COLUMNS:
+        text = SC.SCHEMAS[t][c].dataType.typeName() == "string"
+        grp = f"lower(strip_accents({c}))" if text else c
+        parts.append(f"SELECT '{t}' AS table_name, 'unique_{c}' AS rule, min(CAST({c} AS VARCHAR)) AS key, "
+                     f"CAST(count(*) AS VARCHAR) AS detail FROM {t} WHERE {c} IS NOT NULL "
+                     f"GROUP BY {grp} HAVING count(*) > 1")
+    return _sql_union(parts)
+
+
+def _fk_sql():
+    parts = []
+    for child, col, parent, pcol, _ in SC.FOREIGN_KEYS:
+        parts.append(f"SELECT '{child}' AS table_name, 'fk_{col}' AS rule, {_key_sql(SC.PRIMARY_KEYS[child], 'x')} "
+                     f"AS key, '{col}=' || CAST(x.{col} AS VARCHAR) AS detail FROM {child} x "
+                     f"WHERE x.{col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} y WHERE y.{pcol} = x.{col})")
+    return _sql_union(parts)
+
+
+def _row_sql(family):
+    parts = []
+    for t in SC.SCHEMAS:
+        key = _key_sql(SC.PRIMARY_KEYS[t])
+        rules = []
+        if family == "not_null":
+            rules = [("not_null", f"{c} IS NULL", f"'{c}'") for c in SC.NOT_NULL_COLUMNS.get(t, [])]
+        elif family == "checks":
+            rules = [(name, f"NOT ({cond})", "''") for tt, name, cond in SC.CHECKS if tt == t]
+        elif family == "domains":
+            domains = {("users", "role"): SC.ROLE_DOMAIN, ("artifact", "type"): adapter.DRIVER_TYPE_DOMAIN,
+                       ("purchase", "payment_method"): SC.PAYMENT_DOMAIN}
+            for (tt, c), values in domains.items():
+                if tt == t:
+                    vals = ", ".join(f"'{v}'" for v in values)
+                    rules.append(("domain", f"{c} IS NOT NULL AND {c} NOT IN ({vals})", f"'{c}=' || {c}"))
+            for (tt, c), limit in SC.VARCHAR_LIMITS.items():
+                if tt == t:
+                    rules.append(("length", f"length({c}) > {limit}", f"'{c}'"))
+        elif family == "images" and t == "artifact":
+            exts = ", ".join(f"'{e}'" for e in SC.IMAGE_EXTENSIONS)
+            rules = [("image_extension",
+                      f"image IS NOT NULL AND NOT (instr(image, '.') > 0 "
+                      f"AND lower(regexp_extract(image, '[^.]*$')) IN ({exts}))", "image")]
+        for rule, cond, detail in rules:
+            parts.append(f"SELECT '{t}' AS table_name, '{rule}' AS rule, {key} AS key, {detail} AS detail "
+                         f"FROM {t} WHERE {cond}")
+    return _sql_union(parts)
+
+
+@register("audit_keys", "C1", with_adapter(_keys_sql()))
+def _audit_keys(g, spark, sf):
+    return C.audit_keys(g)
+
+
+@register("audit_unique", "C2", with_adapter(_unique_sql()))
+def _audit_unique(g, spark, sf):
+    return C.audit_unique(g)
+
+
+@register("audit_foreign_keys", "C3", with_adapter(_fk_sql()))
+def _audit_foreign_keys(g, spark, sf):
+    return C.audit_foreign_keys(g)
+
+
+@register("audit_not_null", "C4", with_adapter(_row_sql("not_null")))
+def _audit_not_null(g, spark, sf):
+    return C.audit_not_null(g)
+
+
+@register("audit_checks", "C5", with_adapter(_row_sql("checks").replace("char_length(", "length(")))
+def _audit_checks(g, spark, sf):
+    return C.audit_checks(g)
+
+
+@register("audit_domains", "C6", with_adapter(_row_sql("domains")))
+def _audit_domains(g, spark, sf):
+    return C.audit_domains(g)
+
+
+@register("audit_images", "C7", with_adapter(_row_sql("images")))
+def _audit_images(g, spark, sf):
+    return C.audit_images(g)
