@@ -622,3 +622,277 @@ def _audit_domains(g, spark, sf):
 @register("audit_images", "C7", with_adapter(_row_sql("images")))
 def _audit_images(g, spark, sf):
     return C.audit_images(g)
+
+
+# ------------------------------------------------------------------ changes
+
+from vitrine.operators import changes as W  # noqa: E402
+from vitrine.operators import display as P  # noqa: E402
+
+NOW = "2024-02-01 00:00:00"
+IMG_OK_SQL = ("{c} IS NOT NULL AND instr({c}, '.') > 0 AND lower(regexp_extract({c}, '[^.]*$')) IN ("
+              + ", ".join(f"'{e}'" for e in SC.IMAGE_EXTENSIONS) + ")")
+TYPE_LIST_SQL = ", ".join(f"'{v}'" for v in adapter.DRIVER_TYPE_DOMAIN)
+
+
+def _upload_forms(g):
+    """Upload form rows derived from the catalogue: padded titles, blank and
+    malformed numbers, blank / malformed / unknown museums, missing types."""
+    k = F.col("artifact_id")
+    return g.artifact.select(
+        k.alias("source_id"), "artist_id",
+        F.concat(F.lit("  "), F.col("title"), F.lit(" ")).alias("title"),
+        "description",
+        F.when(k % 10 == 0, F.lit(None).cast("string")).otherwise(F.col("type")).alias("type"),
+        F.when(k % 6 == 0, F.lit("")).when(k % 6 == 1, F.lit("n/a"))
+        .otherwise(F.col("price").cast("string")).alias("price"),
+        F.when(k % 4 == 0, F.lit("")).when(k % 4 == 1, F.lit("-2"))
+        .otherwise(F.col("quantity").cast("string")).alias("quantity"),
+        F.when(k % 13 == 0, F.lit("")).when(k % 17 == 0, F.lit("x"))
+        .otherwise((k % 27).cast("string")).alias("museum"),
+        "image")
+
+
+@register("append_artifacts", "W1", with_adapter(f"""
+SELECT source_id, artist_id, museum_id, title, description, type, price, quantity, image, reason,
+       CASE WHEN reason IS NULL THEN (SELECT max(artifact_id) FROM artifact)
+            + row_number() OVER (PARTITION BY reason IS NULL ORDER BY source_id) END AS artifact_id
+FROM (
+  SELECT c.*, CASE WHEN price IS NULL THEN 'bad_price'
+                   WHEN quantity IS NULL THEN 'bad_quantity'
+                   WHEN bad_museum THEN 'bad_museum'
+                   WHEN type NOT IN ({TYPE_LIST_SQL}) THEN 'bad_type'
+                   WHEN price < 0 THEN 'price_negative'
+                   WHEN quantity < 0 THEN 'quantity_negative'
+                   WHEN c.museum_id IS NOT NULL AND m.museum_id IS NULL THEN 'museum_not_found' END AS reason
+  FROM (
+    SELECT source_id, artist_id, trim(title) AS title, trim(description) AS description,
+           COALESCE(type, 'Other') AS type,
+           CASE WHEN NULLIF(trim(price), '') IS NULL THEN CAST(0 AS DECIMAL(12,2))
+                ELSE TRY_CAST(trim(price) AS DECIMAL(12,2)) END AS price,
+           CASE WHEN NULLIF(trim(quantity), '') IS NULL THEN 0 ELSE TRY_CAST(trim(quantity) AS INTEGER) END AS quantity,
+           TRY_CAST(trim(museum) AS INTEGER) AS museum_id,
+           NULLIF(trim(museum), '') IS NOT NULL AND TRY_CAST(trim(museum) AS INTEGER) IS NULL AS bad_museum,
+           CASE WHEN {IMG_OK_SQL.format(c='image')} THEN image END AS image
+    FROM raw
+  ) c LEFT JOIN museum m ON m.museum_id = c.museum_id
+) j""", """
+raw AS (
+  SELECT artifact_id AS source_id, artist_id, '  ' || title || ' ' AS title, description,
+         CASE WHEN artifact_id % 10 = 0 THEN NULL ELSE type END AS type,
+         CASE WHEN artifact_id % 6 = 0 THEN '' WHEN artifact_id % 6 = 1 THEN 'n/a' ELSE CAST(price AS VARCHAR) END AS price,
+         CASE WHEN artifact_id % 4 = 0 THEN '' WHEN artifact_id % 4 = 1 THEN '-2' ELSE CAST(quantity AS VARCHAR) END
+           AS quantity,
+         CASE WHEN artifact_id % 13 = 0 THEN '' WHEN artifact_id % 17 = 0 THEN 'x'
+              ELSE CAST(artifact_id % 27 AS VARCHAR) END AS museum,
+         image
+  FROM artifact
+)"""))
+def _append_artifacts(g, spark, sf):
+    _, outcome = W.append_artifacts(g, _upload_forms(g), ["source_id"], now=F.to_timestamp_ntz(F.lit(NOW)))
+    return outcome.select("source_id", "artist_id", "museum_id", "title", "description", "type", "price",
+                          "quantity", "image", "reason", "artifact_id")
+
+
+def _exhibition_forms(spark, sf):
+    """Exhibition form rows from the high-priority orders."""
+    orders = adapter.read_driver(spark, sf, "orders").filter(F.col("o_orderpriority") == "2-HIGH")
+    n_sup = adapter.supplier_count(adapter.read_driver(spark, sf, "supplier"))
+    k = F.col("o_orderkey")
+    start = F.to_date("o_orderdate")
+    return orders.select(
+        k.alias("source_id"),
+        F.concat(F.lit("Exhibition "), k.cast("string")).alias("title"),
+        F.concat(F.lit(" Theme "), F.col("o_orderstatus"), F.lit(" ")).alias("theme"),
+        start.cast("string").alias("start"),
+        F.when(k % 7 == 0, F.lit("")).otherwise(F.date_add(start, (k % 40 - 3).cast("int")).cast("string"))
+        .alias("end"),
+        F.when(k % 9 == 0, F.lit("")).when(k % 9 == 1, F.lit("many"))
+        .otherwise((k % 30 + 10).cast("string")).alias("capacity"),
+        F.when(k % 23 == 0, F.lit("")).otherwise((k % 27).cast("string")).alias("museum"),
+        F.when(k % 31 == 0, F.col("o_custkey")).otherwise(k % (n_sup + 1) + adapter.ARTIST_BASE).alias("artist_id"))
+
+
+EXHIBITION_FORMS_CTE = """
+raw AS (
+  SELECT o_orderkey AS source_id, 'Exhibition ' || CAST(o_orderkey AS VARCHAR) AS title,
+         ' Theme ' || o_orderstatus || ' ' AS theme,
+         CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS start,
+         CASE WHEN o_orderkey % 7 = 0 THEN ''
+              ELSE CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 - 3 AS INTEGER) AS VARCHAR) END AS "end",
+         CASE WHEN o_orderkey % 9 = 0 THEN '' WHEN o_orderkey % 9 = 1 THEN 'many'
+              ELSE CAST(o_orderkey % 30 + 10 AS VARCHAR) END AS capacity,
+         CASE WHEN o_orderkey % 23 = 0 THEN '' ELSE CAST(o_orderkey % 27 AS VARCHAR) END AS museum,
+         CASE WHEN o_orderkey % 31 = 0 THEN o_custkey
+              ELSE o_orderkey % ((SELECT n FROM s_count) + 1) + 10000000 END AS artist_id
+  FROM orders WHERE o_orderpriority = '2-HIGH'
+)"""
+
+
+@register("append_exhibitions", "W2", with_adapter("""
+SELECT source_id, title, theme, start_date, end_date, museum_id, capacity, artist_id, reason,
+       CASE WHEN reason IS NULL THEN (SELECT max(exhibition_id) FROM exhibition)
+            + row_number() OVER (PARTITION BY reason IS NULL ORDER BY source_id) END AS exhibition_id
+FROM (
+  SELECT p.*, CASE WHEN p.capacity IS NULL THEN 'bad_capacity'
+                   WHEN p.museum_id IS NULL THEN 'bad_museum'
+                   WHEN p.bad_date THEN 'bad_date'
+                   WHEN u.role IS NULL THEN 'Artist_ID not found'
+                   WHEN u.role <> 'Artist' THEN 'Only artists can organize exhibitions'
+                   WHEN p.end_date < p.start_date THEN 'end_before_start'
+                   WHEN m.museum_id IS NULL THEN 'museum_not_found' END AS reason
+  FROM (
+    SELECT source_id, trim(title) AS title, trim(theme) AS theme,
+           TRY_CAST(NULLIF(trim(start), '') AS DATE) AS start_date,
+           TRY_CAST(NULLIF(trim("end"), '') AS DATE) AS end_date,
+           (NULLIF(trim(start), '') IS NOT NULL AND TRY_CAST(NULLIF(trim(start), '') AS DATE) IS NULL)
+             OR (NULLIF(trim("end"), '') IS NOT NULL AND TRY_CAST(NULLIF(trim("end"), '') AS DATE) IS NULL) AS bad_date,
+           TRY_CAST(trim(museum) AS INTEGER) AS museum_id,
+           CASE WHEN NULLIF(trim(capacity), '') IS NULL THEN 0 ELSE TRY_CAST(trim(capacity) AS INTEGER) END AS capacity,
+           artist_id
+    FROM raw
+  ) p
+  LEFT JOIN users u ON u.user_id = p.artist_id
+  LEFT JOIN museum m ON m.museum_id = p.museum_id
+) j""", EXHIBITION_FORMS_CTE))
+def _append_exhibitions(g, spark, sf):
+    _, outcome = W.append_exhibitions(g, _exhibition_forms(spark, sf), ["source_id"])
+    return outcome.select("source_id", "title", "theme", "start_date", "end_date", "museum_id", "capacity",
+                          "artist_id", "reason", "exhibition_id")
+
+
+@register("delete_artifacts", "W3", with_adapter("""
+SELECT i.artifact_id,
+       CASE WHEN a.artifact_id IS NULL THEN 'not_found' WHEN s.artifact_id IS NOT NULL THEN 'archived'
+            ELSE 'deleted' END AS action,
+       CASE WHEN a.artifact_id IS NOT NULL AND s.artifact_id IS NOT NULL THEN 0 END AS quantity
+FROM (SELECT DISTINCT artifact_id FROM artifact WHERE quantity = 0) i
+LEFT JOIN artifact a ON a.artifact_id = i.artifact_id
+LEFT JOIN (SELECT DISTINCT artifact_id FROM purchase) s ON s.artifact_id = i.artifact_id"""))
+def _delete_artifacts(g, spark, sf):
+    # Sold-out artifacts are taken off the catalogue.
+    after, report = W.delete_artifacts(g, g.artifact.filter(F.col("quantity") == 0).select("artifact_id"))
+    return report.join(after.artifact.select("artifact_id", "quantity"), "artifact_id", "left")
+
+
+@register("owner_delete_artifacts", "W3b", with_adapter("""
+SELECT r.artifact_id, r.requester_id, r.role,
+       CASE WHEN a.artifact_id IS NULL THEN 'not_found'
+            WHEN NOT COALESCE(r.role = 'Admin' OR (r.role = 'Artist' AND a.artist_id = r.requester_id), false)
+              THEN 'unauthorized'
+            WHEN EXISTS (SELECT 1 FROM purchase p WHERE p.artifact_id = r.artifact_id) THEN 'has_purchases'
+            ELSE 'deleted' END AS outcome
+FROM (SELECT DISTINCT ea.artifact_id, e.artist_id AS requester_id, u.role
+      FROM exhibition_artifact ea JOIN exhibition e ON e.exhibition_id = ea.exhibition_id
+      LEFT JOIN users u ON u.user_id = e.artist_id) r
+LEFT JOIN artifact a ON a.artifact_id = r.artifact_id"""))
+def _owner_delete_artifacts(g, spark, sf):
+    # Each exhibition's organiser asks to remove the pieces it shows.
+    requests = (g.exhibition_artifact.join(
+        g.exhibition.select("exhibition_id", F.col("artist_id").alias("requester_id")), "exhibition_id")
+        .join(g.users.select(F.col("user_id").alias("requester_id"), "role"), "requester_id", "left")
+        .select("artifact_id", "requester_id", "role").distinct())
+    _, outcome = W.owner_delete_artifacts(g, requests)
+    return outcome
+
+
+def _cascade_sql():
+    du = "(SELECT user_id FROM users WHERE role = 'Admin')"
+    dm = "(SELECT museum_id FROM museum WHERE location = 'AFRICA')"
+    de = "(SELECT exhibition_id FROM exhibition WHERE start_date < DATE '1995-02-01')"
+    parts = [
+        f"SELECT 'users' AS table_name, {_key_sql(['user_id'])} AS key, 'deleted' AS action FROM users "
+        f"WHERE user_id IN {du}",
+        f"SELECT 'museum', {_key_sql(['museum_id'])}, 'deleted' FROM museum WHERE museum_id IN {dm}",
+        f"SELECT 'exhibition', {_key_sql(['exhibition_id'])}, 'deleted' FROM exhibition WHERE exhibition_id IN {de}",
+        f"SELECT 'exhibition', {_key_sql(['exhibition_id'])}, 'set_null:artist_id' FROM exhibition "
+        f"WHERE exhibition_id NOT IN {de} AND artist_id IN {du}",
+        f"SELECT 'exhibition', {_key_sql(['exhibition_id'])}, 'set_null:museum_id' FROM exhibition "
+        f"WHERE exhibition_id NOT IN {de} AND museum_id IN {dm}",
+        f"SELECT 'artifact', {_key_sql(['artifact_id'])}, 'set_null:artist_id' FROM artifact WHERE artist_id IN {du}",
+        f"SELECT 'artifact', {_key_sql(['artifact_id'])}, 'set_null:museum_id' FROM artifact WHERE museum_id IN {dm}",
+        f"SELECT 'attends', {_key_sql(SC.PRIMARY_KEYS['attends'])}, 'deleted' FROM attends "
+        f"WHERE customer_id IN {du} OR exhibition_id IN {de}",
+        f"SELECT 'visits', {_key_sql(SC.PRIMARY_KEYS['visits'])}, 'deleted' FROM visits "
+        f"WHERE customer_id IN {du} OR museum_id IN {dm}",
+        f"SELECT 'purchase', {_key_sql(['purchase_id'])}, 'deleted' FROM purchase WHERE customer_id IN {du}",
+        f"SELECT 'exhibition_artifact', {_key_sql(SC.PRIMARY_KEYS['exhibition_artifact'])}, 'deleted' "
+        f"FROM exhibition_artifact WHERE exhibition_id IN {de}",
+    ]
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("cascade_delete", "W4", with_adapter(_cascade_sql()))
+def _cascade_delete(g, spark, sf):
+    # Admin accounts, the museums of one region and the oldest exhibitions are removed.
+    _, log = W.cascade_delete(
+        g,
+        users=g.users.filter(F.col("role") == "Admin").select("user_id"),
+        museums=g.museum.filter(F.col("location") == "AFRICA").select("museum_id"),
+        exhibitions=g.exhibition.filter(F.col("start_date") < F.lit("1995-02-01").cast("date"))
+        .select("exhibition_id"))
+    return log
+
+
+def _rekey_sql():
+    um = "(SELECT user_id AS old_id, user_id + 10000000 AS new_id FROM users WHERE role = 'Artist')"
+    parts = [f"SELECT 'users' AS table_name, {_key_sql(['user_id'], 'x')} AS key, 'user_id' AS column_name, "
+             f"CAST(x.user_id AS BIGINT) AS old_value, CAST(m.new_id AS BIGINT) AS new_value "
+             f"FROM users x JOIN {um} m ON m.old_id = x.user_id"]
+    for child, col, parent, _, _ in SC.FOREIGN_KEYS:
+        if parent == "users":
+            parts.append(f"SELECT '{child}', {_key_sql(SC.PRIMARY_KEYS[child], 'x')}, '{col}', "
+                         f"CAST(x.{col} AS BIGINT), CAST(m.new_id AS BIGINT) FROM {child} x "
+                         f"JOIN {um} m ON m.old_id = x.{col}")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("rekey", "W5", with_adapter(_rekey_sql()))
+def _rekey(g, spark, sf):
+    # Artist accounts move to a new id range; every reference follows.
+    mapping = g.users.filter(F.col("role") == "Artist").select(
+        F.col("user_id").alias("old_id"), (F.col("user_id") + 10_000_000).alias("new_id"))
+    _, log = W.rekey(g, user_map=mapping)
+    return log
+
+
+@register("assign_ids", "W6", with_adapter("""
+SELECT o_orderkey AS source_id,
+       (SELECT max(exhibition_id) FROM exhibition) + row_number() OVER (ORDER BY o_orderdate, o_orderkey)
+         AS exhibition_id
+FROM orders WHERE o_orderpriority = '2-HIGH'"""))
+def _assign_ids(g, spark, sf):
+    new = adapter.read_driver(spark, sf, "orders").filter(F.col("o_orderpriority") == "2-HIGH").select(
+        F.col("o_orderkey").alias("source_id"), "o_orderdate")
+    return W.assign_ids(new, ["o_orderdate", "source_id"], W.max_id(g.exhibition, "exhibition_id"),
+                        "exhibition_id").select("source_id", "exhibition_id")
+
+
+@register("column_defaults", "W7", with_adapter(f"""
+SELECT artifact_id, artist_id, CAST(NULL AS INTEGER) AS museum_id, title, CAST(NULL AS VARCHAR) AS description,
+       'Other' AS type, CAST(0 AS DECIMAL(12,2)) AS price, 0 AS quantity, image,
+       TIMESTAMP '{NOW}' AS created_at
+FROM artifact"""))
+def _column_defaults(g, spark, sf):
+    # Catalogue rows re-ingested with only id, artist, title and image.
+    raw = g.artifact.select("artifact_id", "artist_id", "title", "image")
+    return W.column_defaults(raw, "artifact", now=F.to_timestamp_ntz(F.lit(NOW)))
+
+
+@register("display_columns", "P1", with_adapter(f"""
+SELECT a.artifact_id, a.title, printf('%.2f', CAST(a.price AS DOUBLE)) AS price,
+       CASE WHEN length(COALESCE(a.description, '')) <= 105 THEN COALESCE(a.description, '')
+            ELSE substr(a.description, 1, 99) || '…' END AS description,
+       COALESCE(NULLIF(a.image, ''), 'placeholder.png') AS image,
+       COALESCE(NULLIF({name('u')}, ''), '-') AS artist_name,
+       COALESCE(NULLIF(m.name, ''), '-') AS museum_name
+FROM artifact a LEFT JOIN users u ON a.artist_id = u.user_id LEFT JOIN museum m ON a.museum_id = m.museum_id"""))
+def _display_columns(g, spark, sf):
+    from vitrine.functions.columns import full_name
+
+    base = (g.artifact.join(g.users.select(F.col("user_id").alias("artist_id"), full_name().alias("artist_name")),
+                            "artist_id", "left")
+            .join(g.museum.select("museum_id", F.col("name").alias("museum_name")), "museum_id", "left")
+            .select("artifact_id", "title", "price", "description", "image", "artist_name", "museum_name"))
+    return P.display_columns(base, money=["price"], short=["description"],
+                             fills={"image": P.PLACEHOLDER_IMAGE, "artist_name": "-", "museum_name": "-"})
