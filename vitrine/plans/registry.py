@@ -896,3 +896,24 @@ def _display_columns(g, spark, sf):
             .select("artifact_id", "title", "price", "description", "image", "artist_name", "museum_name"))
     return P.display_columns(base, money=["price"], short=["description"],
                              fills={"image": P.PLACEHOLDER_IMAGE, "artist_name": "-", "museum_name": "-"})
+
+
+# ---------------------------------------------------------------- streaming
+
+from vitrine.streaming import admission_stream as ST  # noqa: E402
+
+
+@register("stream_admit_purchases", "A4", REGISTRY["admit_purchases"].sql)
+def _stream_admit_purchases(g, spark, sf):
+    # The line items arrive as a file stream; the result written by the
+    # streaming query equals the batch admission.
+    out = ST.admit_purchases_stream(adapter.purchase_requests(spark, sf, stream=True),
+                                    adapter.restocked(g.artifact), adapter.PURCHASE_REQUEST_ORDER, users=g.users)
+    return ST.run_to_table(out, "admit_purchases")
+
+
+@register("stream_admit_attends", "A5", REGISTRY["admit_attends"].sql)
+def _stream_admit_attends(g, spark, sf):
+    out = ST.admit_attends_stream(adapter.attend_requests(spark, sf, stream=True), g.attends, g.exhibition,
+                                  adapter.ATTEND_REQUEST_ORDER)
+    return ST.run_to_table(out, "admit_attends")

@@ -211,9 +211,16 @@ PURCHASE_REQUEST_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey
                           "l_extendedprice"]
 
 
-def purchase_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table as a file stream (one file per micro-batch)."""
+    schema = read_driver(spark, sf_dir, name).schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+            .option("maxFilesPerTrigger", 1).parquet(sf_dir.rstrip("/")))
+
+
+def purchase_requests(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Every line item as a purchase request, in ship order."""
-    li = read_driver(spark, sf_dir, "lineitem")
+    li = stream_driver(spark, sf_dir, "lineitem") if stream else read_driver(spark, sf_dir, "lineitem")
     orders = read_driver(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return li.join(orders, li.l_orderkey == orders.o_orderkey, "inner").select(
         *PURCHASE_REQUEST_ORDER,
@@ -231,8 +238,8 @@ def restocked(artifact_df: DataFrame) -> DataFrame:
 ATTEND_REQUEST_ORDER = ["ts", "event_id"]
 
 
-def attend_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_driver(spark, sf_dir, "events")
+def attend_requests(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    ev = stream_driver(spark, sf_dir, "events") if stream else read_driver(spark, sf_dir, "events")
     return ev.filter(F.col("event_type").isin("view", "click")).select(
         "ts", "event_id",
         (F.col("user_id") % 40).alias("customer_id"),
