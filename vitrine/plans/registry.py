@@ -29,13 +29,23 @@ class Query:
 
 
 REGISTRY: dict[str, Query] = {}
+# Lazy table definitions (plans, not data) per session and folder, so repeated
+# queries do not re-plan the adapter.
+_GALLERIES: dict[tuple[int, str], Gallery] = {}
+
+
+def gallery(spark: SparkSession, sf_dir: str) -> Gallery:
+    key = (id(spark), sf_dir)
+    if key not in _GALLERIES:
+        _GALLERIES[key] = adapter.load_gallery(spark, sf_dir)
+    return _GALLERIES[key]
 
 
 def register(key: str, op: str, sql: str | None):
     def wrap(fn: Callable[[Gallery, SparkSession, str], DataFrame]):
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
             configure(spark)
-            return fn(adapter.load_gallery(spark, sf_dir), spark, sf_dir)
+            return fn(gallery(spark, sf_dir), spark, sf_dir)
 
         REGISTRY[key] = Query(key, build, sql, op)
         return fn

@@ -39,8 +39,25 @@ PAYMENT_BY_LINE = ["Card", "UPI", "Cash", "NetBanking"]  # index l_linenumber %
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
+# Declared schemas of the driver tables (columns this library reads); no
+# inference from file footers at run time.
+DRIVER_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(DRIVER_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _ts_ntz(text: str) -> Column:
@@ -190,19 +207,26 @@ def exhibition_artifact(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def load_gallery(spark: SparkSession, sf_dir: str) -> Gallery:
-    t = {name: read_driver(spark, sf_dir, name) for name in DRIVER_TABLES}
-    return Gallery(
-        users=users(t["customer"], t["supplier"]),
-        museum=museum(t["nation"], t["region"]),
-        artifact=artifact(t["part"], t["supplier"]),
-        exhibition=exhibition(t["orders"], t["supplier"]),
-        purchase=purchase(t["lineitem"], t["orders"]),
-        attends=attends(t["events"]),
-        visits=visits(t["customer"]),
-        virtual_record=virtual_record(t["part"]),
-        exhibition_artifact=exhibition_artifact(t["lineitem"], t["orders"]),
-        type_domain=list(DRIVER_TYPE_DOMAIN),
-    )
+    """Canonical tables over the driver tables; each is planned on first use."""
+    sources: dict[str, DataFrame] = {}
+
+    def src(name: str) -> DataFrame:
+        if name not in sources:
+            sources[name] = read_driver(spark, sf_dir, name)
+        return sources[name]
+
+    loaders = {
+        "users": lambda: users(src("customer"), src("supplier")),
+        "museum": lambda: museum(src("nation"), src("region")),
+        "artifact": lambda: artifact(src("part"), src("supplier")),
+        "exhibition": lambda: exhibition(src("orders"), src("supplier")),
+        "purchase": lambda: purchase(src("lineitem"), src("orders")),
+        "attends": lambda: attends(src("events")),
+        "visits": lambda: visits(src("customer")),
+        "virtual_record": lambda: virtual_record(src("part")),
+        "exhibition_artifact": lambda: exhibition_artifact(src("lineitem"), src("orders")),
+    }
+    return Gallery(DRIVER_TYPE_DOMAIN, loaders)
 
 
 # ---------------------------------------------------------------- request streams
@@ -213,8 +237,7 @@ PURCHASE_REQUEST_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey
 
 def stream_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table as a file stream (one file per micro-batch)."""
-    schema = read_driver(spark, sf_dir, name).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    return (spark.readStream.schema(DRIVER_SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet")
             .option("maxFilesPerTrigger", 1).parquet(sf_dir.rstrip("/")))
 
 
