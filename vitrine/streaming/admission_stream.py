@@ -14,6 +14,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +33,13 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def _sorted(rows: Iterator[pd.DataFrame], order_cols: Sequence[str]) -> pd.DataFrame:
-    batch = pd.concat(list(rows), ignore_index=True)
-    return batch.sort_values(list(order_cols), kind="stable", ignore_index=True)
+    """One key's rows of this micro-batch in arrival order."""
+    chunks = list(rows)
+    batch = chunks[0] if len(chunks) == 1 else pd.concat(chunks, ignore_index=True)
+    if len(batch) > 1:
+        order = np.lexsort([batch[c].to_numpy() for c in reversed(list(order_cols))])
+        batch = batch.take(order)
+    return batch
 
 
 # ------------------------------------------------------------------------- A4
@@ -50,7 +56,8 @@ class StockFold(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _sorted(rows, self.order_cols)
-        remaining = self.left.get()[0] if self.left.exists() else None
+        stored = self.left.get()
+        remaining = stored[0] if stored is not None else None
         before, accepted, reason = [], [], []
         for q, s0, found, known in zip(batch[self.qty].tolist(), batch["st_stock0"].tolist(),
                                        batch["st_found"].tolist(), batch["st_customer_ok"].tolist()):
@@ -78,11 +85,11 @@ class StockFold(StatefulProcessor):
                 remaining -= int(q)
         if remaining is not None:
             self.left.update((remaining,))
-        out = batch[self.columns].copy()
+        out = {c: batch[c].to_numpy() for c in self.columns}
         out["stock_before"] = pd.array(before, dtype="Int32")
-        out["accepted"] = accepted
-        out["reason"] = pd.Series(reason, dtype=object)
-        yield out
+        out["accepted"] = np.array(accepted, dtype=bool)
+        out["reason"] = np.array(reason, dtype=object)
+        yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
@@ -128,7 +135,8 @@ class SeatFold(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _sorted(rows, self.order_cols)
-        taken = self.taken.get()[0] if self.taken.exists() else 0
+        stored = self.taken.get()
+        taken = stored[0] if stored is not None else 0
         accepted, reason = [], []
         for c, cap, found, existing, already in zip(
                 batch["customer_id"].tolist(), batch["capacity"].tolist(), batch["st_found"].tolist(),
@@ -144,10 +152,10 @@ class SeatFold(StatefulProcessor):
                 taken += 1
                 self.admitted.updateValue((int(c),), (True,))
         self.taken.update((taken,))
-        out = batch[self.columns].copy()
-        out["accepted"] = accepted
-        out["reason"] = pd.Series(reason, dtype=object)
-        yield out
+        out = {c: batch[c].to_numpy() for c in self.columns}
+        out["accepted"] = np.array(accepted, dtype=bool)
+        out["reason"] = np.array(reason, dtype=object)
+        yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
@@ -177,15 +185,29 @@ def admit_attends_stream(requests: DataFrame, attends: DataFrame, exhibition: Da
 
 # ------------------------------------------------------------------ running
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
+def state_partitions(spark: SparkSession) -> int:
+    """Partitions for a new stateful query.  State operators pay a fixed cost per
+    key and partition, so use at least four per core; the number is fixed in
+    the checkpoint at the first run."""
+    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(current, 4 * spark.sparkContext.defaultParallelism)
+
+
+def run_to_table(stream: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Run a streaming query until its source is drained (``availableNow``),
     writing parquet and its checkpoint below the shared checkpoint folder, and
     return the written table.  The sink is exactly-once: a restarted query
     resumes from its checkpoint."""
     spark = stream.sparkSession
     base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
-    query = (stream.writeStream.format("parquet").outputMode("append")
-             .option("path", f"{base}/data").option("checkpointLocation", f"{base}/checkpoint")
-             .trigger(availableNow=True).start())
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    # The query clones the session settings when it starts.
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions or state_partitions(spark)))
+    try:
+        query = (stream.writeStream.format("parquet").outputMode("append")
+                 .option("path", f"{base}/data").option("checkpointLocation", f"{base}/checkpoint")
+                 .trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
