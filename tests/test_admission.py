@@ -120,3 +120,21 @@ def test_validate_exhibitions(spark, tiny):
     got = sorted(rows(A.validate_exhibitions(req, tiny.users), "exhibition_id", "accepted", "reason"))
     assert got == [(1, True, None), (2, False, A.NOT_AN_ARTIST), (3, False, A.ARTIST_NOT_FOUND),
                    (4, False, A.ARTIST_NOT_FOUND)]
+
+
+def test_hot_keys_fold_in_parallel_exactly(spark):
+    rnd = random.Random(21)
+    stock = {a: rnd.choice([40, 200, 600]) for a in range(6)}
+    stock[99] = 10_000  # stock above the table bound: sequential path
+    reqs = []
+    for seq in range(4000):
+        art = rnd.choice([0, 0, 0, 1, 99, rnd.randrange(6)])  # artifact 0 holds about half
+        reqs.append((seq, art, rnd.choice([1, 2, 3, 5, 8, 13]), rnd.randrange(12)))
+    known = set(range(11))
+    req_df = spark.createDataFrame(reqs, "seq long, artifact_id long, quantity int, customer_id long")
+    stock_df = spark.createDataFrame(list(stock.items()), "artifact_id long, quantity int")
+    users = spark.createDataFrame([(u,) for u in known], "user_id long")
+    got = A.admit_purchases(req_df, stock_df, ["seq"], users=users, hot_rows=300, table_stock=1000)
+    got_rows = {r["seq"]: (r["stock_before"], r["accepted"], r["reason"]) for r in got.collect()}
+    want, _ = loop_purchases(reqs, stock, known)
+    assert got_rows == want

@@ -10,6 +10,11 @@ by artifact, sorted by arrival order, and folded by a streaming
 ``mapInPandas`` that carries one integer of state across Arrow batches: memory
 stays at one batch however many requests an artifact has.
 
+Artifacts with very many requests (a third of all rows may be one artifact)
+are split instead: range-partitioned on (artifact, order) into chunks, each
+chunk tabulates its effect for every possible starting stock, the small
+tables are composed in order, and each chunk replays from its true start.
+
 A2 (attendances against capacity) needs no fold, because every accepted
 request takes exactly one seat: the request that fills the last seat is the
 ``seats``-th first-time (customer, exhibition) pair in arrival order.  That
@@ -78,14 +83,87 @@ def _fold_batches(key: str, qty: str) -> callable:
     return fold
 
 
+def _chunk_tables(key: str, qty: str) -> callable:
+    """For each (partition, key) run of rows: the stock left after the run as a
+    function of the stock at its start, tabulated for every start 0..stock0."""
+
+    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, table, pid = None, None, None
+        out_keys, out_pids, out_tables = [], [], []
+        for pdf in batches:
+            keys, wants = pdf[key].tolist(), pdf[qty].tolist()
+            start, known, pids = pdf["_stock0"].tolist(), pdf["_customer_ok"].tolist(), pdf["_pid"].tolist()
+            for i in range(len(keys)):
+                if keys[i] != current:
+                    if current is not None:
+                        out_keys.append(current), out_pids.append(pid), out_tables.append(table)
+                    current, pid = keys[i], pids[i]
+                    table = np.arange(int(start[i]) + 1, dtype=np.int64)
+                if known[i]:
+                    q = wants[i]
+                    table = np.where(table >= q, table - q, table)
+        if current is not None:
+            out_keys.append(current), out_pids.append(pid), out_tables.append(table)
+        yield pd.DataFrame({key: out_keys, "_pid": out_pids, "_table": out_tables})
+
+    return tables
+
+
+def _fold_hot(candidates: DataFrame, order_cols: Sequence[str], key: str, qty: str,
+              out_schema: T.StructType) -> DataFrame:
+    """Exact parallel fold for keys with many requests and a bounded stock.
+
+    The key's requests are range-partitioned on (key, order), so one key spans
+    several partitions (chunks).  Pass 1 tabulates, per chunk, the stock left for
+    every possible starting stock (vectorised, O(rows x stock)).  The tables of a
+    key (at most one per partition, each stock+1 long: a bounded group) are
+    composed in partition order with a higher-order ``aggregate`` to get each
+    chunk's true starting stock.  Pass 2 replays every chunk from that start.
+    The partitioned data is checkpointed so both passes see the same chunks."""
+    spark = candidates.sparkSession
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (candidates.repartitionByRange(n_parts, key, *order_cols)
+              .sortWithinPartitions(key, *order_cols)
+              .withColumn("_pid", F.spark_partition_id())
+              .checkpoint(eager=True))
+    table_schema = T.StructType([candidates.schema[key], T.StructField("_pid", T.IntegerType()),
+                                 T.StructField("_table", T.ArrayType(T.LongType()))])
+    tables = ranged.mapInPandas(_chunk_tables(key, qty), schema=table_schema)
+    stock0 = candidates.groupBy(key).agg(F.first("_stock0").alias("_s0"))
+    chunks = (tables.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pid", "_table"))).alias("_chunks"))
+              .join(stock0, key))
+    first = F.struct(F.col("_s0").cast("long").alias("cur"),
+                     F.array().cast("array<struct<_pid:int,start:long>>").alias("starts"))
+
+    def step(acc, c):
+        start = F.struct(c["_pid"].alias("_pid"), acc["cur"].alias("start"))
+        return F.struct(F.element_at(c["_table"], (acc["cur"] + 1).cast("int")).alias("cur"),
+                        F.concat(acc["starts"], F.array(start)).alias("starts"))
+
+    composed = (chunks.select(key, F.explode(F.aggregate("_chunks", first, step)["starts"]).alias("_s"))
+                .select(key, F.col("_s._pid").alias("_pid"), F.col("_s.start").cast("int").alias("_start")))
+    # At most one row per (hot key, partition): a bounded broadcast.  The join keeps
+    # the partitions; the local re-sort restores arrival order inside them.
+    replay = (ranged.join(F.broadcast(composed), [key, "_pid"], "inner")
+              .withColumn("_stock0", F.col("_start")).drop("_start", "_pid")
+              .sortWithinPartitions(key, *order_cols))
+    return replay.mapInPandas(_fold_batches(key, qty), schema=out_schema)
+
+
 def admit_purchases(requests: DataFrame, stock: DataFrame, order_cols: Sequence[str],
                     users: DataFrame | None = None, key: str = "artifact_id",
-                    qty: str = "quantity", customer: str = "customer_id") -> DataFrame:
+                    qty: str = "quantity", customer: str = "customer_id",
+                    hot_rows: int = 1_000_000, table_stock: int = 4096) -> DataFrame:
     """A1: admit purchase requests against stock in arrival order, per artifact.
 
     ``stock`` has (artifact_id, quantity).  Adds ``stock_before`` (stock seen by
     a request that reached the fold; NULL for requests decided on their own
-    row), ``accepted`` and ``reason`` (NULL when accepted)."""
+    row), ``accepted`` and ``reason`` (NULL when accepted).
+
+    An artifact with more than ``hot_rows`` requests and an initial
+    stock of at most ``table_stock`` is folded in parallel (``_fold_hot``); all
+    others by one sorted streaming pass per artifact.  Both are exact.
+    ``hot_rows=None`` skips the heavy-hitter count."""
     spark = requests.sparkSession
     cols = requests.columns
     s = stock.select(F.col("artifact_id").alias(key), F.col("quantity").alias("_stock0"),
@@ -110,16 +188,34 @@ def admit_purchases(requests: DataFrame, stock: DataFrame, order_cols: Sequence[
         F.col("_own").alias("reason"))
 
     candidates = r.filter(F.col("_own").isNull()).select(*cols, "_stock0", "_customer_ok")
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = candidates.repartition(n_parts, key).sortWithinPartitions(key, *order_cols)
     out_schema = T.StructType(
         [f for f in candidates.schema.fields if f.name not in ("_stock0", "_customer_ok")]
         + [T.StructField("stock_before", T.IntegerType()), T.StructField("accepted", T.BooleanType()),
            T.StructField("reason", T.StringType())])
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = None
+    if hot_rows is not None:
+        # Heavy hitters: a map-side-combined count of requests per artifact (reads
+        # the key column only), kept where the stock is small enough to tabulate.
+        hot = (requests.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+               .join(s.filter(F.col("_stock0") <= table_stock), key, "inner").select(key))
+        if not _has_rows(hot):
+            hot = None
+    cold = candidates if hot is None else candidates.join(hot, key, "left_anti")
+    ordered = cold.repartition(n_parts, key).sortWithinPartitions(key, *order_cols)
     folded = ordered.mapInPandas(_fold_batches(key, qty), schema=out_schema)
+    if hot is not None:
+        folded = folded.unionByName(_fold_hot(candidates.join(hot, key, "left_semi"), order_cols, key, qty,
+                                              out_schema))
     return decided.unionByName(folded)
 
 
+def _has_rows(df: DataFrame) -> bool:
+    """Whether the (small, aggregated) frame has any row: one tiny job that
+    decides whether the parallel hot-key plan is needed at all."""
+    return len(df.take(1)) > 0
+
+
 def stock_after(admitted: DataFrame, stock: DataFrame, key: str = "artifact_id",
                 qty: str = "quantity") -> DataFrame:
     """New stock snapshot: initial stock minus accepted quantities."""
