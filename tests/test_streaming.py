@@ -43,3 +43,22 @@ def test_stream_attends_equal_batch(spark, tmp_path):
     streamed = ST.run_to_table(ST.admit_attends_stream(stream, att, ex, ["seq"]), "t_attends")
     batch = A.admit_attends(req, att, ex, ["seq"])
     assert sorted(rows(streamed, "seq", "reason")) == sorted(rows(batch, "seq", "reason"))
+
+
+def test_stream_cart_equals_batch(spark, tmp_path):
+    from vitrine.operators import cart as K
+    from vitrine.streaming import cart_stream as KS
+
+    rnd = random.Random(13)
+    events = [(seq, 0 if rnd.random() < 0.3 else rnd.randrange(10), rnd.randrange(6),
+               rnd.choice(["add", "add", "set", "checkout"]), rnd.choice(["1", "2", "0", "-1", "x", " 4 "]))
+              for seq in range(900)]
+    df = spark.createDataFrame(events, "seq long, user_id long, artifact_id long, kind string, qty string")
+    path = str(tmp_path / "cart")
+    for lo in (0, 300, 600):
+        df.filter((F.col("seq") >= lo) & (F.col("seq") < lo + 300)).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    versions = ST.run_to_table(KS.cart_state_stream(stream, ["seq"]), "t_cart")
+    got = sorted(rows(KS.current_carts(versions, ["seq"])))
+    assert got == sorted(rows(K.cart_state(df, ["seq"])))

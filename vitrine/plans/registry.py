@@ -927,3 +927,13 @@ def _stream_admit_attends(g, spark, sf):
     out = ST.admit_attends_stream(adapter.attend_requests(spark, sf, stream=True), g.attends, g.exhibition,
                                   adapter.ATTEND_REQUEST_ORDER)
     return ST.run_to_table(out, "admit_attends")
+
+
+from vitrine.streaming import cart_stream as KS  # noqa: E402
+
+
+@register("stream_cart_state", "K1s", REGISTRY["cart_state"].sql)
+def _stream_cart_state(g, spark, sf):
+    events = adapter.cart_events(spark, sf, stream=True)
+    versions = ST.run_to_table(KS.cart_state_stream(events, adapter.CART_EVENT_ORDER), "cart_state")
+    return KS.current_carts(versions, adapter.CART_EVENT_ORDER, dict(events.dtypes)["artifact_id"])

@@ -273,9 +273,9 @@ def attend_requests(spark: SparkSession, sf_dir: str, stream: bool = False) -> D
 CART_EVENT_ORDER = ["ts", "event_id"]
 
 
-def cart_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cart_events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """view = set quantity, click = add, purchase = checkout; artifact and quantity from props.k."""
-    ev = read_driver(spark, sf_dir, "events")
+    ev = stream_driver(spark, sf_dir, "events") if stream else read_driver(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     qty_text = F.when(k % 9 == 8, F.lit("abc")).otherwise((k % 4 - 1).cast("string"))
     return ev.filter(F.col("event_type").isin("view", "click", "purchase")).select(
