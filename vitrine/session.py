@@ -29,9 +29,24 @@ def configure(spark: SparkSession) -> SparkSession:
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Functions that run in Python workers (mapInPandas folds, stateful
+    processors) are pickled by value, so executors and the driver-side streaming
+    worker need no copy of this package on their path."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    for name in ("vitrine.operators.admission", "vitrine.streaming.admission_stream",
+                 "vitrine.streaming.cart_stream"):
+        __import__(name)
+        cloudpickle.register_pickle_by_value(sys.modules[name])
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and streaming state.
 
