@@ -153,7 +153,8 @@ def _fold_hot(candidates: DataFrame, order_cols: Sequence[str], key: str, qty: s
 def admit_purchases(requests: DataFrame, stock: DataFrame, order_cols: Sequence[str],
                     users: DataFrame | None = None, key: str = "artifact_id",
                     qty: str = "quantity", customer: str = "customer_id",
-                    hot_rows: int = 1_000_000, table_stock: int = 4096) -> DataFrame:
+                    hot_rows: int | None = 1_000_000, table_stock: int = 4096,
+                    hot_source: DataFrame | None = None) -> DataFrame:
     """A1: admit purchase requests against stock in arrival order, per artifact.
 
     ``stock`` has (artifact_id, quantity).  Adds ``stock_before`` (stock seen by
@@ -163,7 +164,9 @@ def admit_purchases(requests: DataFrame, stock: DataFrame, order_cols: Sequence[
     An artifact with more than ``hot_rows`` requests and an initial
     stock of at most ``table_stock`` is folded in parallel (``_fold_hot``); all
     others by one sorted streaming pass per artifact.  Both are exact.
-    ``hot_rows=None`` skips the heavy-hitter count."""
+    ``hot_rows=None`` skips the heavy-hitter count.  ``hot_source`` (a frame with
+    the key column, a superset of the requests) may stand in for the requests
+    when counting, if it is cheaper to compute."""
     spark = requests.sparkSession
     cols = requests.columns
     s = stock.select(F.col("artifact_id").alias(key), F.col("quantity").alias("_stock0"),
@@ -197,7 +200,8 @@ def admit_purchases(requests: DataFrame, stock: DataFrame, order_cols: Sequence[
     if hot_rows is not None:
         # Heavy hitters: a map-side-combined count of requests per artifact (reads
         # the key column only), kept where the stock is small enough to tabulate.
-        hot = (requests.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+        counted = hot_source if hot_source is not None else requests
+        hot = (counted.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
                .join(s.filter(F.col("_stock0") <= table_stock), key, "inner").select(key))
         if not _has_rows(hot):
             hot = None
@@ -243,7 +247,7 @@ def _kth_smallest(pairs: DataFrame, group: str, value: str, k: str, salt_buckets
 
 
 def admit_attends(requests: DataFrame, attends: DataFrame, exhibition: DataFrame,
-                  order_cols: Sequence[str], salt_buckets: int = 32) -> DataFrame:
+                  order_cols: Sequence[str], salt_buckets: int | None = None) -> DataFrame:
     """A2: admit attendance requests (customer_id, exhibition_id, order columns)
     against capacity, given the existing attendances.
 
@@ -251,6 +255,8 @@ def admit_attends(requests: DataFrame, attends: DataFrame, exhibition: DataFrame
     capacity; full (existing attendees plus earlier admitted requests reach
     capacity); repeated (customer, exhibition) pair; else accepted."""
     e, c = "exhibition_id", "customer_id"
+    if salt_buckets is None:
+        salt_buckets = max(32, 2 * int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     req = requests.withColumn("_ord", F.struct(*order_cols))
 
     existing_pairs = attends.select(e, c).distinct().withColumn("_already", F.lit(True))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions.columns import try_int
@@ -56,10 +56,12 @@ def cart_state(events: DataFrame, order_cols: Sequence[str]) -> DataFrame:
 
 def price_cart(cart: DataFrame, artifact: DataFrame) -> DataFrame:
     """K2: priced cart lines; unknown artifacts are dropped; ``cart_total`` per user."""
-    lines = cart.join(artifact.select("artifact_id", "title", "price", "image"), "artifact_id", "inner")
-    subtotal = (F.col("price") * F.col("qty")).cast("decimal(23,2)")
-    return (lines.withColumn("subtotal", subtotal)
-            .withColumn("cart_total", F.sum("subtotal").over(Window.partitionBy("user_id")).cast("decimal(33,2)"))
+    lines = (cart.join(artifact.select("artifact_id", "title", "price", "image"), "artifact_id", "inner")
+             .withColumn("subtotal", (F.col("price") * F.col("qty")).cast("decimal(23,2)")))
+    # Cart totals as an aggregate joined back (map-side combined), not a window:
+    # a user with a huge cart never lands whole in one task.
+    totals = lines.groupBy("user_id").agg(F.sum("subtotal").cast("decimal(33,2)").alias("cart_total"))
+    return (lines.join(totals, "user_id", "inner")
             .select("user_id", "artifact_id", "title", "price", "image", "qty", "subtotal", "cart_total"))
 
 
@@ -103,8 +105,9 @@ def post_checkout(cart: DataFrame, artifact: DataFrame, order_cols: Sequence[str
              .select(F.col("user_id").alias("customer_id"), "artifact_id", F.col("qty").alias("quantity"),
                      "user_id"))
     order = [("customer_id" if c == "user_id" else c) for c in order_cols]
+    # Hot artifacts are counted on all cart lines (cheap), not on the validated ones.
     admitted = admission.admit_purchases(lines.drop("user_id"), artifact.select("artifact_id", "quantity"),
-                                         order, users=users)
+                                         order, users=users, hot_source=cart.select("artifact_id"))
     priced = admitted.filter(F.col("accepted")).join(artifact.select("artifact_id", "price"), "artifact_id")
     posted = priced.select(
         "customer_id", "artifact_id",
