@@ -31,14 +31,16 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 # Lazy table definitions (plans, not data) per session and folder, so repeated
 # queries do not re-plan the adapter.
-_GALLERIES: dict[tuple[int, str], Gallery] = {}
+_GALLERIES: dict[tuple[int, str], tuple[SparkSession, Gallery]] = {}
 
 
 def gallery(spark: SparkSession, sf_dir: str) -> Gallery:
     key = (id(spark), sf_dir)
-    if key not in _GALLERIES:
-        _GALLERIES[key] = adapter.load_gallery(spark, sf_dir)
-    return _GALLERIES[key]
+    cached = _GALLERIES.get(key)
+    if cached is None or cached[0] is not spark:
+        cached = (spark, adapter.load_gallery(spark, sf_dir))
+        _GALLERIES[key] = cached
+    return cached[1]
 
 
 def register(key: str, op: str, sql: str | None):
