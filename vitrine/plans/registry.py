@@ -430,8 +430,7 @@ cart AS (
     LEFT JOIN chk ON chk.user_id = p.user_id
     LEFT JOIN lastset ls ON ls.user_id = p.user_id AND ls.artifact_id = p.artifact_id
   ) x WHERE qty > 0
-),
-problems AS ({problems})"""
+)"""
 
 PROBLEMS_SQL = """
   SELECT c.user_id, c.artifact_id, c.qty,
@@ -453,7 +452,7 @@ day_artifact AS (
              JOIN fold f ON f.artifact_id = c.artifact_id AND f.rn = c.rn
              WHERE f.accepted GROUP BY c.artifact_id) t ON t.artifact_id = a.artifact_id
 )"""
-CART_CTES = DAY_STOCK_CTES + "," + CART_CTES.format(problems=PROBLEMS_SQL)
+CHECKOUT_CTES = DAY_STOCK_CTES + "," + CART_CTES + ",\nproblems AS (" + PROBLEMS_SQL + ")"
 
 
 def _cart(g, spark, sf):
@@ -468,7 +467,7 @@ def _day_artifact(g, spark, sf):
     return A.stock_after(admitted, stock)
 
 
-@register("cart_state", "K1", with_adapter("SELECT user_id, artifact_id, qty FROM cart", CART_CTES, recursive=True))
+@register("cart_state", "K1", with_adapter("SELECT user_id, artifact_id, qty FROM cart", CART_CTES))
 def _cart_state(g, spark, sf):
     return _cart(g, spark, sf)
 
@@ -477,19 +476,19 @@ def _cart_state(g, spark, sf):
 SELECT c.user_id, c.artifact_id, a.title, a.price, a.image, c.qty,
        CAST(a.price * c.qty AS DECIMAL(23,2)) AS subtotal,
        CAST(sum(a.price * c.qty) OVER (PARTITION BY c.user_id) AS DECIMAL(33,2)) AS cart_total
-FROM cart c JOIN artifact a ON a.artifact_id = c.artifact_id""", CART_CTES, recursive=True))
+FROM cart c JOIN artifact a ON a.artifact_id = c.artifact_id""", CART_CTES))
 def _price_cart(g, spark, sf):
     return K.price_cart(_cart(g, spark, sf), g.artifact)
 
 
 @register("validate_checkout", "K3", with_adapter(
-    "SELECT user_id, artifact_id, qty, stock, problem, message FROM problems", CART_CTES, recursive=True))
+    "SELECT user_id, artifact_id, qty, stock, problem, message FROM problems", CHECKOUT_CTES, recursive=True))
 def _validate_checkout(g, spark, sf):
     return K.validate_checkout(_cart(g, spark, sf), _day_artifact(g, spark, sf))
 
 
 CHECKOUT_AT = "2024-02-01 00:00:00"
-K4_CTES = CART_CTES + """,
+K4_CTES = CHECKOUT_CTES + """,
 lines AS (
   SELECT c.user_id AS customer_id, c.artifact_id, c.qty AS quantity, a.quantity AS stock0,
          u.user_id IS NOT NULL AS cust_ok,
