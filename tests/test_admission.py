@@ -138,3 +138,24 @@ def test_hot_keys_fold_in_parallel_exactly(spark):
     got_rows = {r["seq"]: (r["stock_before"], r["accepted"], r["reason"]) for r in got.collect()}
     want, _ = loop_purchases(reqs, stock, known)
     assert got_rows == want
+
+
+def test_hot_keys_with_large_stock(spark):
+    # Large stocks: the prefix stretch is accepted in parallel, the rest starts
+    # from the small stock left at the first refusal.  Artifact 3 has a request
+    # above the table bound, so its rest takes the sequential fold.
+    rnd = random.Random(33)
+    stock = {0: 5000, 1: 100_000, 2: 7, 3: 3000}
+    reqs = []
+    for seq in range(5000):
+        art = rnd.choice([0, 0, 1, 2, 3])
+        q = 2500 if (art == 3 and rnd.random() < 0.01) else rnd.choice([1, 2, 3, 5, 8])
+        reqs.append((seq, art, q, rnd.randrange(12)))
+    known = set(range(11))
+    req_df = spark.createDataFrame(reqs, "seq long, artifact_id long, quantity int, customer_id long")
+    stock_df = spark.createDataFrame(list(stock.items()), "artifact_id long, quantity int")
+    users = spark.createDataFrame([(u,) for u in known], "user_id long")
+    got = A.admit_purchases(req_df, stock_df, ["seq"], users=users, hot_rows=100, table_stock=1000)
+    got_rows = {r["seq"]: (r["stock_before"], r["accepted"], r["reason"]) for r in got.collect()}
+    want, _ = loop_purchases(reqs, stock, known)
+    assert got_rows == want

@@ -109,8 +109,8 @@ def _chunk_tables(key: str, qty: str) -> callable:
     return tables
 
 
-def _fold_hot(candidates: DataFrame, order_cols: Sequence[str], key: str, qty: str,
-              out_schema: T.StructType) -> DataFrame:
+def _fold_tables(candidates: DataFrame, order_cols: Sequence[str], key: str, qty: str,
+                 out_schema: T.StructType) -> DataFrame:
     """Exact parallel fold for keys with many requests and a bounded stock.
 
     The key's requests are range-partitioned on (key, order), so one key spans
@@ -150,6 +150,88 @@ def _fold_hot(candidates: DataFrame, order_cols: Sequence[str], key: str, qty: s
     return replay.mapInPandas(_fold_batches(key, qty), schema=out_schema)
 
 
+def _running_known(key: str, qty: str) -> callable:
+    """Running total of the quantities of known-customer rows, per key, over rows
+    sorted by (key, order) within a partition (carried across Arrow batches)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_key, carry = None, 0
+        for pdf in batches:
+            n = len(pdf)
+            if n == 0:
+                continue
+            keys = pdf[key].to_numpy()
+            kq = np.where(pdf["_customer_ok"].to_numpy(dtype=bool), pdf[qty].to_numpy(dtype=np.int64), 0)
+            total = np.cumsum(kq)
+            first = np.ones(n, dtype=bool)
+            first[1:] = keys[1:] != keys[:-1]
+            segment = np.cumsum(first) - 1
+            base = (total - kq)[first]
+            local = total - base[segment]
+            if keys[0] == last_key:
+                local[segment == 0] += carry
+            last_key, carry = keys[-1], int(local[-1])
+            yield pdf.assign(_local=local)
+
+    return run
+
+
+def _fold_hot(candidates: DataFrame, order_cols: Sequence[str], key: str, qty: str,
+              out_schema: T.StructType, table_stock: int) -> DataFrame:
+    """Exact parallel fold for artifacts with very many requests.
+
+    Until the first refusal every request is accepted, so that stretch is a
+    prefix sum: requests are range-partitioned on (artifact, order) and
+    checkpointed; each partition runs a local running total of the known
+    customers' quantities; per-(artifact, partition) totals give each chunk its
+    offset (a window over at most one row per partition).  Requests whose
+    running total stays within the initial stock are accepted outright.
+
+    The first refusal leaves less stock than the refused quantity, so the rest
+    of the artifact's requests start from a small stock and are folded by
+    composed stock tables (``_fold_tables``).  Only when even that stock is above
+    ``table_stock`` (a single huge request quantity) does the rest fall back to
+    the sequential fold."""
+    spark = candidates.sparkSession
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (candidates.repartitionByRange(n_parts, key, *order_cols)
+              .sortWithinPartitions(key, *order_cols)
+              .withColumn("_pid", F.spark_partition_id())
+              .checkpoint(eager=True))
+    local_schema = T.StructType(ranged.schema.fields + [T.StructField("_local", T.LongType())])
+    running = ranged.mapInPandas(_running_known(key, qty), schema=local_schema)
+    known_q = F.when(F.col("_customer_ok"), F.col(qty)).otherwise(F.lit(0))
+    chunk_totals = ranged.groupBy(key, "_pid").agg(F.sum(known_q).alias("_chunk"))
+    before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = chunk_totals.select(key, "_pid", F.coalesce(F.sum("_chunk").over(before), F.lit(0)).alias("_off"))
+    # At most one row per (hot artifact, partition): a bounded broadcast.
+    totals = (running.join(F.broadcast(offsets), [key, "_pid"], "inner")
+              .withColumn("_total", F.col("_off") + F.col("_local")))
+    in_prefix = F.col("_total") <= F.col("_stock0")
+
+    left = (F.col("_stock0") - (F.col("_total") - known_q)).cast("int")
+    cols = [f.name for f in out_schema.fields if f.name not in ("stock_before", "accepted", "reason")]
+    prefix = totals.filter(in_prefix).select(
+        *cols, left.alias("stock_before"), F.col("_customer_ok").alias("accepted"),
+        F.when(F.col("_customer_ok"), F.lit(None).cast("string"))
+        .when(F.col(qty) > left, F.lit(INSUFFICIENT)).otherwise(F.lit(CUSTOMER_NOT_FOUND)).alias("reason"))
+
+    # Stock left at the first refusal, per artifact (one row per hot artifact).
+    start = (totals.groupBy(key).agg(
+        F.first("_stock0").alias("_s0"),
+        F.max(F.when(in_prefix, F.col("_total"))).alias("_used"))
+        .select(key, (F.col("_s0") - F.coalesce("_used", F.lit(0))).cast("int").alias("_start")))
+    rest = (totals.filter(~in_prefix).join(F.broadcast(start), key, "inner")
+            .withColumn("_stock0", F.col("_start"))
+            .select(*cols, "_stock0", "_customer_ok"))
+    small = rest.filter(F.col("_stock0") <= table_stock)
+    large = rest.filter(F.col("_stock0") > table_stock)
+    folded_small = _fold_tables(small, order_cols, key, qty, out_schema)
+    folded_large = (large.repartition(n_parts, key).sortWithinPartitions(key, *order_cols)
+                    .mapInPandas(_fold_batches(key, qty), schema=out_schema))
+    return prefix.unionByName(folded_small).unionByName(folded_large)
+
+
 def admit_purchases(requests: DataFrame, stock: DataFrame, order_cols: Sequence[str],
                     users: DataFrame | None = None, key: str = "artifact_id",
                     qty: str = "quantity", customer: str = "customer_id",
@@ -161,9 +243,9 @@ def admit_purchases(requests: DataFrame, stock: DataFrame, order_cols: Sequence[
     a request that reached the fold; NULL for requests decided on their own
     row), ``accepted`` and ``reason`` (NULL when accepted).
 
-    An artifact with more than ``hot_rows`` requests and an initial
-    stock of at most ``table_stock`` is folded in parallel (``_fold_hot``); all
-    others by one sorted streaming pass per artifact.  Both are exact.
+    An artifact with more than ``hot_rows`` requests is folded in parallel
+    (``_fold_hot``); all others by one sorted streaming pass per artifact.  Both
+    are exact.
     ``hot_rows=None`` skips the heavy-hitter count.  ``hot_source`` (a frame with
     the key column, a superset of the requests) may stand in for the requests
     when counting, if it is cheaper to compute."""
@@ -201,8 +283,7 @@ def admit_purchases(requests: DataFrame, stock: DataFrame, order_cols: Sequence[
         # Heavy hitters: a map-side-combined count of requests per artifact (reads
         # the key column only), kept where the stock is small enough to tabulate.
         counted = hot_source if hot_source is not None else requests
-        hot = (counted.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-               .join(s.filter(F.col("_stock0") <= table_stock), key, "inner").select(key))
+        hot = counted.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(key)
         if not _has_rows(hot):
             hot = None
     cold = candidates if hot is None else candidates.join(hot, key, "left_anti")
@@ -210,7 +291,7 @@ def admit_purchases(requests: DataFrame, stock: DataFrame, order_cols: Sequence[
     folded = ordered.mapInPandas(_fold_batches(key, qty), schema=out_schema)
     if hot is not None:
         folded = folded.unionByName(_fold_hot(candidates.join(hot, key, "left_semi"), order_cols, key, qty,
-                                              out_schema))
+                                              out_schema, table_stock))
     return decided.unionByName(folded)
 
 
