@@ -114,3 +114,18 @@ def test_empty_tables(spark):
     assert R.top_customers(g).count() == 0
     assert R.museum_sales_ranked(g).count() == 0
     assert R.type_max_price(g).count() == 0
+
+
+def test_distributed_rank_matches_window(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    from vitrine.functions.ranking import rank_desc
+
+    rnd = random.Random(4)
+    df = spark.createDataFrame([(i, rnd.choice([None, 1, 2, 2, 3, 5, 5, 5, 8])) for i in range(500)],
+                               "id long, v int")
+    want = df.withColumn("r", F.rank().over(Window.orderBy(F.col("v").desc_nulls_last())))
+    got = rank_desc(df, "v", "r")
+    assert sorted(rows(got, "id", "r")) == sorted(rows(want, "id", "r"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.columns import enum_rank, full_name
+from vitrine.functions.ranking import rank_desc
 from vitrine.sources.tables import Gallery
 
 
@@ -121,15 +122,15 @@ def multi_seller_artists(g: Gallery, min_distinct: int = 1, approx: bool = False
 def museum_sales_ranked(g: Gallery) -> DataFrame:
     """Every museum with its total sales and RANK (gaps after ties).
 
-    The rank window has no partition key, but it runs after the aggregate, on
-    one row per museum (a dimension), never on purchases."""
+    The rank runs after the aggregate, on one row per museum, and is computed
+    without a single-partition window (``rank_desc``)."""
     per_museum = (g.artifact.select("artifact_id", "museum_id")
                   .join(sales_by_artifact(g).select("artifact_id", "revenue"), "artifact_id", "inner")
                   .groupBy("museum_id").agg(F.sum("revenue").alias("total_sales")))
     totals = (g.museum.select("museum_id", "name")
               .join(per_museum, "museum_id", "left")
               .withColumn("total_sales", F.coalesce("total_sales", F.lit(0)).cast("decimal(22,2)")))
-    return totals.withColumn("sales_rank", F.rank().over(Window.orderBy(F.desc("total_sales"))))
+    return rank_desc(totals, "total_sales", "sales_rank")
 
 
 # ---------------------------------------------------------------------- R8-R10
