@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Refusal messages that must equal the source application's (its
+# trigger messages), plus our own codes for the rules it enforces by constraints.
 NOT_FOUND = "Artifact not found"
 INSUFFICIENT = "Insufficient stock"
 NULL_QUANTITY = "null_quantity"

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from vitrine.functions.columns import try_int
 from vitrine.operators import admission
 
+# Problem codes; the message texts below follow the source application's checkout messages.
 MISSING = "missing"
 SHORT = "insufficient_stock"
 
