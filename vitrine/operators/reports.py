@@ -40,13 +40,12 @@ def _names(users: DataFrame, id_name: str, name_col: str) -> DataFrame:
 def _above_average(spend: DataFrame) -> DataFrame:
     """Customers whose spend is above the mean over customers with purchases.
 
-    The mean is one row (a global aggregate), broadcast by construction.  The test
-    ``total > sum / n`` is written ``total * n > sum``: exact decimal arithmetic,
-    no rounding of the mean."""
-    overall = spend.agg(F.sum("total_spent").alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    return (spend.crossJoin(F.broadcast(overall))
-            .filter(F.col("total_spent") * F.col("_n") > F.col("_sum"))
-            .drop("_sum", "_n"))
+    The mean's parts (sum and count) are one scalar subquery, computed once and
+    handed to every task: no join at all.  The test ``total > sum / n`` is
+    written ``total * n > sum``: exact decimal arithmetic, no rounding of the
+    mean."""
+    overall = spend.agg(F.struct(F.sum("total_spent").alias("s"), F.count(F.lit(1)).alias("n"))).scalar()
+    return spend.filter(F.col("total_spent") * overall.getField("n") > overall.getField("s"))
 
 
 # ----------------------------------------------------------------------- R1-R7

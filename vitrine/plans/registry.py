@@ -96,8 +96,8 @@ avg_spend AS (SELECT sum(total_spent) AS s, count(*) AS n FROM cust_spend)"""
 
 @register("customers_above_avg", "R3", with_adapter(f"""
 SELECT u.user_id AS customer_id, {name('u')} AS name, CAST(cs.total_spent AS DECIMAL(22,2)) AS total_spent
-FROM cust_spend cs JOIN avg_spend av ON TRUE JOIN users u ON u.user_id = cs.customer_id
-WHERE cs.total_spent * av.n > av.s
+FROM cust_spend cs JOIN users u ON u.user_id = cs.customer_id
+WHERE cs.total_spent * (SELECT n FROM avg_spend) > (SELECT s FROM avg_spend)
 ORDER BY total_spent DESC, customer_id
 LIMIT 50""", SPEND_CTES))
 def _customers_above_avg(g, spark, sf):
@@ -107,7 +107,8 @@ def _customers_above_avg(g, spark, sf):
 @register("customers_above_avg_names", "R4", with_adapter(f"""
 SELECT {name('u')} AS customer_name
 FROM users u
-WHERE u.user_id IN (SELECT customer_id FROM cust_spend, avg_spend WHERE total_spent * n > s)""", SPEND_CTES))
+WHERE u.user_id IN (SELECT customer_id FROM cust_spend
+                    WHERE total_spent * (SELECT n FROM avg_spend) > (SELECT s FROM avg_spend))""", SPEND_CTES))
 def _customers_above_avg_names(g, spark, sf):
     return R.customers_above_avg_names(g)
 
