@@ -152,9 +152,9 @@ def type_max_price_ties(g: Gallery) -> DataFrame:
     The maximum is over all artifacts; a maximum held only by an artifact without
     a known artist removes the type.  NULL type never matches."""
     top = g.artifact.groupBy("type").agg(F.max("price").alias("_max"))
-    # One row per type: bounded by the ENUM domain, safe to broadcast.
-    at_max = g.artifact.join(F.broadcast(top), (g.artifact.type == top.type) & (g.artifact.price == top._max),
-                             "left_semi")
+    # One row per type: AQE broadcasts it on its measured size (no explicit hint,
+    # as values outside the ENUM domain could make it grow).
+    at_max = g.artifact.join(top, (g.artifact.type == top.type) & (g.artifact.price == top._max), "left_semi")
     return (at_max.join(_names(g.users, "artist_id", "artist_name"), "artist_id", "inner")
             .select(F.col("type").alias("artifact_type"), "artifact_id",
                     F.col("title").alias("artifact_title"), "artist_name", "price"))
