@@ -54,16 +54,23 @@ def from_rows(spark: SparkSession, rows: dict[str, list[tuple]], type_domain=Non
     return Gallery(type_domain, **frames)
 
 
-def read_tables(spark: SparkSession, path: str) -> Gallery:
+def read_tables(spark: SparkSession, path: str, type_domain: list[str] | None = None) -> Gallery:
     """Read a Gallery written by :func:`write_tables` (one parquet folder per table)."""
     frames = {
-        name: spark.read.schema(S.SCHEMAS[name]).parquet(f"{path}/{name}")
+        name: spark.read.parquet(f"{path}/{name}").select(*S.SCHEMAS[name].fieldNames())
         for name in S.SCHEMAS
     }
-    return Gallery(**frames)
+    return Gallery(type_domain, **frames)
 
 
-def write_tables(g: Gallery, path: str, mode: str = "errorifexists") -> None:
-    """Write every table as parquet below ``path`` (a new snapshot, never in place)."""
+def write_tables(g: Gallery, path: str, mode: str = "errorifexists",
+                 partition_by: dict[str, list[str]] | None = None) -> None:
+    """Write every table as parquet below ``path`` (a new snapshot, never in
+    place).  ``partition_by`` names low-cardinality columns per table (e.g.
+    artifact by type) so later scans prune whole folders."""
+    partition_by = partition_by or {}
     for name in S.SCHEMAS:
-        g.table(name).write.mode(mode).parquet(f"{path}/{name}")
+        writer = g.table(name).write.mode(mode)
+        if partition_by.get(name):
+            writer = writer.partitionBy(*partition_by[name])
+        writer.parquet(f"{path}/{name}")
