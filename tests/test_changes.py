@@ -112,3 +112,13 @@ def test_display_columns(spark):
                                  fills={"image": "placeholder.png", "artist": "-"}))
     assert got[0] == ("2500.50", "x" * 99 + "…", "placeholder.png", "-")
     assert got[1] == ("3.00", "short", "a.png", "Name")
+
+
+def test_append_with_absent_fields(spark, tiny):
+    raw = spark.createDataFrame([(1, 2, "Only a title")], "src long, artist_id long, title string")
+    _, outcome = W.append_artifacts(tiny, raw, ["src"], now=F.lit(TS).cast("timestamp_ntz"))
+    got = rows(outcome, "artifact_id", "title", "type", "price", "quantity", "museum_id", "reason")
+    assert got == [(6, "Only a title", "Other", D("0.00"), 0, None, None)]
+    raw = spark.createDataFrame([(1, "Show", "1", 1)], "src long, title string, museum string, artist_id long")
+    _, outcome = W.append_exhibitions(tiny, raw, ["src"])
+    assert rows(outcome, "exhibition_id", "capacity", "start_date", "reason") == [(4, 0, None, None)]

@@ -86,6 +86,14 @@ def column_defaults(df: DataFrame, table: str, now: Column | None = None) -> Dat
 
 # ------------------------------------------------------------------------- W1
 
+def _with_blank_fields(raw: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Form fields absent from the input are NULL (not sent)."""
+    for name in fields:
+        if name not in raw.columns:
+            raw = raw.withColumn(name, F.lit(None).cast("string"))
+    return raw
+
+
 def _blank(c: str) -> Column:
     return F.nullif(F.trim(F.col(c)), F.lit(""))
 
@@ -98,8 +106,7 @@ def append_artifacts(g: Gallery, raw: DataFrame, order_cols: Sequence[str],
     Title and description are trimmed; blank price/quantity mean 0; blank museum
     means none; a missing type is 'Other'; an image with a bad extension is
     dropped.  Rows that the database would refuse get a ``reason`` and no id."""
-    if "type" not in raw.columns:
-        raw = raw.withColumn("type", F.lit(None).cast("string"))
+    raw = _with_blank_fields(raw, ["description", "type", "price", "quantity", "museum", "image"])
     price_txt, qty_txt, museum_txt = _blank("price"), _blank("quantity"), _blank("museum")
     price = F.when(price_txt.isNull(), F.lit(0).cast("decimal(12,2)")).otherwise(price_txt.try_cast("decimal(12,2)"))
     qty = F.when(qty_txt.isNull(), F.lit(0)).otherwise(try_int("quantity"))
@@ -143,6 +150,7 @@ def append_exhibitions(g: Gallery, raw: DataFrame, order_cols: Sequence[str]) ->
 
     Checks in the source's order: form parsing (capacity blank means 0,
     museum required), organiser (A3), end not before start, museum exists."""
+    raw = _with_blank_fields(raw, ["theme", "start", "end", "capacity", "museum"])
     start, end = _blank("start"), _blank("end")
     cap_txt = _blank("capacity")
     capacity = F.when(cap_txt.isNull(), F.lit(0)).otherwise(try_int("capacity"))
