@@ -11,9 +11,11 @@ by artifact, sorted by arrival order, and folded by a streaming
 stays at one batch however many requests an artifact has.
 
 Artifacts with very many requests (a third of all rows may be one artifact)
-are split instead: range-partitioned on (artifact, order) into chunks, each
-chunk tabulates its effect for every possible starting stock, the small
-tables are composed in order, and each chunk replays from its true start.
+are split instead.  Until the first refusal every request is accepted, so that
+stretch is a distributed prefix sum.  The first refusal leaves less stock than
+the refused quantity; from there, chunks of the artifact's requests tabulate
+their effect for every possible (small) starting stock, the tables are
+composed in order, and each chunk replays from its true start.
 
 A2 (attendances against capacity) needs no fold, because every accepted
 request takes exactly one seat: the request that fills the last seat is the
