@@ -16,10 +16,8 @@ def rank_desc(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
     and are fixed by a checkpoint; each partition's offset is the row count of
     the partitions before it (one row per partition: a bounded broadcast), and
     tied rows take the position of the first of them."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = F.col(value).desc_nulls_last()
-    ranged = (df.repartitionByRange(n, order).sortWithinPartitions(order)
+    ranged = (df.repartitionByRange(order).sortWithinPartitions(order)
               .withColumn("_mid", F.monotonically_increasing_id())
               .checkpoint(eager=True)
               .withColumn("_pid", F.shiftright("_mid", 33))

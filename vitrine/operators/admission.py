@@ -124,9 +124,7 @@ def _fold_tables(candidates: DataFrame, order_cols: Sequence[str], key: str, qty
     composed in partition order with a higher-order ``aggregate`` to get each
     chunk's true starting stock.  Pass 2 replays every chunk from that start.
     The partitioned data is checkpointed so both passes see the same chunks."""
-    spark = candidates.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (candidates.repartitionByRange(n_parts, key, *order_cols)
+    ranged = (candidates.repartitionByRange(key, *order_cols)
               .sortWithinPartitions(key, *order_cols)
               .withColumn("_pid", F.spark_partition_id())
               .checkpoint(eager=True))
@@ -196,9 +194,7 @@ def _fold_hot(candidates: DataFrame, order_cols: Sequence[str], key: str, qty: s
     composed stock tables (``_fold_tables``).  Only when even that stock is above
     ``table_stock`` (a single huge request quantity) does the rest fall back to
     the sequential fold."""
-    spark = candidates.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (candidates.repartitionByRange(n_parts, key, *order_cols)
+    ranged = (candidates.repartitionByRange(key, *order_cols)
               .sortWithinPartitions(key, *order_cols)
               .withColumn("_pid", F.spark_partition_id())
               .checkpoint(eager=True))
@@ -231,7 +227,7 @@ def _fold_hot(candidates: DataFrame, order_cols: Sequence[str], key: str, qty: s
     small = rest.filter(F.col("_stock0") <= table_stock)
     large = rest.filter(F.col("_stock0") > table_stock)
     folded_small = _fold_tables(small, order_cols, key, qty, out_schema)
-    folded_large = (large.repartition(n_parts, key).sortWithinPartitions(key, *order_cols)
+    folded_large = (large.repartition(key).sortWithinPartitions(key, *order_cols)
                     .mapInPandas(_fold_batches(key, qty), schema=out_schema))
     return prefix.unionByName(folded_small).unionByName(folded_large)
 
@@ -253,7 +249,6 @@ def admit_purchases(requests: DataFrame, stock: DataFrame, order_cols: Sequence[
     ``hot_rows=None`` skips the heavy-hitter count.  ``hot_source`` (a frame with
     the key column, a superset of the requests) may stand in for the requests
     when counting, if it is cheaper to compute."""
-    spark = requests.sparkSession
     cols = requests.columns
     s = stock.select(F.col("artifact_id").alias(key), F.col("quantity").alias("_stock0"),
                      F.lit(True).alias("_found"))
@@ -281,7 +276,6 @@ def admit_purchases(requests: DataFrame, stock: DataFrame, order_cols: Sequence[
         [f for f in candidates.schema.fields if f.name not in ("_stock0", "_customer_ok")]
         + [T.StructField("stock_before", T.IntegerType()), T.StructField("accepted", T.BooleanType()),
            T.StructField("reason", T.StringType())])
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = None
     if hot_rows is not None:
         # Heavy hitters: a map-side-combined count of requests per artifact (reads
@@ -291,7 +285,7 @@ def admit_purchases(requests: DataFrame, stock: DataFrame, order_cols: Sequence[
         if not _has_rows(hot):
             hot = None
     cold = candidates if hot is None else candidates.join(hot, key, "left_anti")
-    ordered = cold.repartition(n_parts, key).sortWithinPartitions(key, *order_cols)
+    ordered = cold.repartition(key).sortWithinPartitions(key, *order_cols)
     folded = ordered.mapInPandas(_fold_batches(key, qty), schema=out_schema)
     if hot is not None:
         folded = folded.unionByName(_fold_hot(candidates.join(hot, key, "left_semi"), order_cols, key, qty,

@@ -31,9 +31,7 @@ def assign_ids(df: DataFrame, order_cols: Sequence[str], start: Column | int, id
     (partition, position) from ``monotonically_increasing_id``; the result is
     checkpointed so both are fixed once; a per-partition count (one row per
     partition, so a bounded broadcast) gives each partition its offset."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    ranged = (df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
               .withColumn("_mid", F.monotonically_increasing_id()))
     ranged = ranged.checkpoint(eager=True)
     ranged = ranged.withColumn("_pid", F.shiftright("_mid", 33)).withColumn(
