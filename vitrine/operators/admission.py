@@ -29,7 +29,7 @@ A3 (exhibition organiser) is a lookup.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -53,7 +53,10 @@ NOT_AN_ARTIST = "Only artists can organize exhibitions"
 
 # ------------------------------------------------------------------------- A1
 
-def _fold_batches(key: str, qty: str) -> callable:
+# A function run by mapInPandas: pandas batches in, pandas batches out.
+BatchFn = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+
+def _fold_batches(key: str, qty: str) -> BatchFn:
     """Greedy stock fold over rows sorted by (key, arrival order)."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,7 +90,7 @@ def _fold_batches(key: str, qty: str) -> callable:
     return fold
 
 
-def _chunk_tables(key: str, qty: str) -> callable:
+def _chunk_tables(key: str, qty: str) -> BatchFn:
     """For each (partition, key) run of rows: the stock left after the run as a
     function of the stock at its start, tabulated for every start 0..stock0."""
 
@@ -152,7 +155,7 @@ def _fold_tables(candidates: DataFrame, order_cols: Sequence[str], key: str, qty
     return replay.mapInPandas(_fold_batches(key, qty), schema=out_schema)
 
 
-def _running_known(key: str, qty: str) -> callable:
+def _running_known(key: str, qty: str) -> BatchFn:
     """Running total of the quantities of known-customer rows, per key, over rows
     sorted by (key, order) within a partition (carried across Arrow batches)."""
 
