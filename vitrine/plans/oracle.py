@@ -13,7 +13,8 @@ ADAPTER_CTES = """
 s_count AS (SELECT count(*) AS n FROM supplier),
 users AS (
   SELECT c_custkey AS user_id, 'Customer' AS fname, substr(c_name, 10) AS lname,
-         CASE WHEN c_custkey % 97 = 0 THEN 'Dup' || CAST(c_custkey % 3 AS VARCHAR) || '@Gallery.Test'
+         CASE WHEN c_custkey % 211 = 0 THEN NULL
+              WHEN c_custkey % 97 = 0 THEN 'Dup' || CAST(c_custkey % 3 AS VARCHAR) || '@Gallery.Test'
               ELSE 'customer' || CAST(c_custkey AS VARCHAR) || '@gallery.test' END AS email,
          CASE WHEN c_custkey % 101 = 0 THEN 'Admin' ELSE 'Customer' END AS role,
          TIMESTAMP '2023-01-01 00:00:00' + to_minutes(c_custkey) AS created_at
@@ -67,8 +68,9 @@ purchase AS (
          o_custkey AS customer_id, l_partkey AS artifact_id, l_shipdate AS purchase_ts,
          CAST(l_quantity AS INTEGER) AS quantity,
          CAST(l_extendedprice AS DECIMAL(12,2)) AS total_amount,
-         CASE l_linenumber % 4 WHEN 0 THEN 'Card' WHEN 1 THEN 'UPI' WHEN 2 THEN 'Cash' ELSE 'NetBanking' END
-           AS payment_method
+         CASE WHEN l_linenumber = 7 THEN 'Voucher'
+              ELSE CASE l_linenumber % 4 WHEN 0 THEN 'Card' WHEN 1 THEN 'UPI' WHEN 2 THEN 'Cash' ELSE 'NetBanking' END
+         END AS payment_method
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   WHERE l_partkey % 19 <> 0
 ),

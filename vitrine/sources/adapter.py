@@ -5,8 +5,8 @@ row plus a per-key aggregate), so an independent SQL engine can rebuild the
 same rows; ``vitrine.plans.oracle`` holds that SQL twin.  The rules:
 
 * users: customers keep ``c_custkey``; suppliers become artists with id
-  ``ARTIST_BASE + s_suppkey``.  A few e-mails collide on purpose (case-blind),
-  every 101st customer is an Admin.
+  ``ARTIST_BASE + s_suppkey``.  A few e-mails collide on purpose (case-blind)
+  and every 211th is missing; every 101st customer is an Admin.
 * museum: one per nation, located in its region.
 * artifact: one per part; artist ``ARTIST_BASE + p_partkey % S`` (S = number
   of suppliers), NULL artist every 11th, NULL museum every 13th, price floored
@@ -14,7 +14,8 @@ same rows; ``vitrine.plans.oracle`` holds that SQL twin.  The rules:
 * exhibition: one per urgent order; some have NULL end, museum or capacity,
   some end before they start, some name an unknown or non-artist organiser.
 * purchase: one per line item except parts divisible by 19 (makes unsold
-  artifacts); id ``l_orderkey * 100 + line rank within the order``.
+  artifacts); id ``l_orderkey * 100 + line rank within the order``; the
+  seventh line of an order pays by a method outside the declared domain.
 * attends: first sign-up per (customer, exhibition) pair from the events.
 * visits, virtual_record, exhibition_artifact: from customer, part and the
   line items of urgent orders.
@@ -77,8 +78,9 @@ def users(customer: DataFrame, supplier: DataFrame) -> DataFrame:
         F.col("c_custkey").alias("user_id"),
         F.lit("Customer").alias("fname"),
         F.substr("c_name", F.lit(10)).alias("lname"),
-        F.when(F.col("c_custkey") % 97 == 0,
-               F.concat(F.lit("Dup"), (F.col("c_custkey") % 3).cast("string"), F.lit("@Gallery.Test")))
+        F.when(F.col("c_custkey") % 211 == 0, F.lit(None).cast("string"))
+        .when(F.col("c_custkey") % 97 == 0,
+              F.concat(F.lit("Dup"), (F.col("c_custkey") % 3).cast("string"), F.lit("@Gallery.Test")))
         .otherwise(F.concat(F.lit("customer"), F.col("c_custkey").cast("string"), F.lit("@gallery.test")))
         .alias("email"),
         F.when(F.col("c_custkey") % 101 == 0, F.lit("Admin")).otherwise(F.lit("Customer")).alias("role"),
@@ -167,7 +169,8 @@ def purchase(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         F.col("l_shipdate").alias("purchase_ts"),
         F.col("l_quantity").cast("int").alias("quantity"),
         F.col("l_extendedprice").cast("decimal(12,2)").alias("total_amount"),
-        _pick(F.col("l_linenumber") % 4, PAYMENT_BY_LINE).alias("payment_method"),
+        F.when(F.col("l_linenumber") == 7, F.lit("Voucher"))
+        .otherwise(_pick(F.col("l_linenumber") % 4, PAYMENT_BY_LINE)).alias("payment_method"),
     )
 
 
