@@ -113,6 +113,6 @@ def join_hot(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int
         rows.join(hot.select(key), key, "left_anti").join(cold, key, how), allowMissingColumns=True)
 
 
-def texts(batch, *columns: str) -> Iterator[tuple]:
+def values_of(batch, *columns: str) -> Iterator[tuple]:
     """The rows of an Arrow batch, by column."""
     return zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns))
