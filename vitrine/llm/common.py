@@ -116,3 +116,17 @@ def join_hot(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int
 def values_of(batch, *columns: str) -> Iterator[tuple]:
     """The rows of an Arrow batch, by column."""
     return zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns))
+
+
+def only(df: DataFrame, key: str, keys: DataFrame, n_keys: int) -> DataFrame:
+    """The rows of ``df`` whose key is in ``keys`` (one column of distinct keys).
+    Rows that the bitmap rules out stay where they are; the others are joined."""
+    flagged = likely(df, key, keys, n_keys)
+    return flagged.filter("_maybe").drop("_maybe").join(keys.select(F.col(keys.columns[0]).alias(key)), key, "left_semi")
+
+
+def without(df: DataFrame, key: str, keys: DataFrame, n_keys: int) -> DataFrame:
+    """The rows of ``df`` whose key is not in ``keys`` (one column)."""
+    flagged = likely(df, key, keys, n_keys)
+    left = flagged.filter("_maybe").join(keys.select(F.col(keys.columns[0]).alias(key)), key, "left_anti")
+    return flagged.filter("NOT _maybe").unionByName(left.select(*flagged.columns)).drop("_maybe")
