@@ -31,7 +31,7 @@ from vitrine.llm.components import connected_components
 BANDS, ROWS = 24, 4       # at similarity 0.8 a pair shares no band with probability 3e-6
 BATCH = 16                # signature places compared at a time
 MISS = 1e-6               # posterior probability below which a pair is dropped
-CENTRES = 8               # a round has so many times the centres of the one before
+CENTRES = 64              # a round has so many times the centres of the one before
 SHINGLES_PER_TASK = 400_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                  0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -210,8 +210,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 sigs = scratch.table(C.only(reps.select("_id", "sig"), "_id", ids, ids.count()).distinct())
                 chance = scratch.table(likely_pairs(pairs, sigs, n_pairs, threshold, scratch))
                 fresh = scratch.table(verified(chance, docs, size, percent, scratch))
-                links = fresh if links is None else links.unionByName(fresh)
-                labels = scratch.table(connected_components(links, scratch))
+                if fresh.count():
+                    links = fresh if links is None else links.unionByName(fresh)
+                    labels = scratch.table(connected_components(links, scratch))
             # What is left: members of a bucket, other than its past centres, in different components.
             labelled = (open_rows.withColumn("label", F.col("_id")) if labels is None else
                         open_rows.join(labels.withColumnRenamed("id", "_id"), "_id", "left")
@@ -224,8 +225,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 break
             centres *= CENTRES
             left = scratch.table(C.join_hot(labelled, mixed, "key", "size", labelled.count()).select("key", "_id", "n", "label", "size"))
-            chosen = scratch.table(left.groupBy("key", F.pmod(F.xxhash64("label"), F.lit(centres)).alias("slot")).agg(
-                F.min(F.struct("_id", "n", "label")).alias("c"), F.first("size").alias("size")))
+            chosen = left.groupBy("key", F.pmod(F.xxhash64("label"), F.lit(centres)).alias("slot")).agg(
+                F.min(F.struct("_id", "n", "label")).alias("c"), F.first("size").alias("size"))
             per_key = scratch.table(chosen.groupBy("key").agg(F.collect_list("c").alias("cs"), F.first("size").alias("bucket_size")))
             matched = C.join_hot(left, per_key, "key", "bucket_size", left.count())
             pairs = matched.select("_id", "n", "label", F.explode("cs").alias("c")).filter("label <> c.label").select(
@@ -242,3 +243,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return grouped.select("_id", "n", "component_id").unionByName(alone).select(
             F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
             F.col("_id").eqNullSafe(F.col("component_id")).alias("kept")).checkpoint()
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that :func:`near_duplicates` keeps, with all their
+    columns; of rows that repeat an id, one.  Rows with a null id all stay."""
+    found = near_duplicates(docs, id_col, text_col, size, percent).select(F.col(id_col).alias("_id"), "kept")
+    gone = found.filter("NOT kept").select("_id").distinct().checkpoint()
+    again = found.filter("kept AND _id IS NOT NULL").groupBy("_id").count().filter("count > 1").select("_id").checkpoint()
+    kept = C.without(docs.select(F.col(id_col).alias("_id"), F.struct("*").alias("_row")), "_id", gone, gone.count())
+    n = again.count()
+    if n:
+        kept = C.without(kept, "_id", again, n).unionByName(C.only(kept, "_id", again, n).dropDuplicates(["_id"]))
+    return kept.select("_row.*")

@@ -203,14 +203,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                            F.coalesce("taken_by", F.array().cast("array<int>")).alias("shards")).checkpoint()
 
 
-def write_order(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """The mixed corpus: each row of ``docs`` once per copy taken, dealt to its
-    output shard and shuffled within it.  Columns are those of ``docs``.  A null
-    id keeps its document's copies too.  ``plan`` is what :func:`mix` gave for
-    the same rows, with ids that do not repeat."""
-    packed = docs.select(F.col(id_col).alias("_id"), F.struct("*").alias("_row"))
-    taken = plan.filter("copies > 0").select(F.col(id_col).alias("_pid"), "shards")
-    copies = packed.join(taken, F.col("_id").eqNullSafe(F.col("_pid"))).select(
-        "_id", "_row", F.posexplode("shards").alias("_copy", "_shard"))
-    return (copies.repartition("_shard").sortWithinPartitions("_shard", F.xxhash64(F.lit(seed), "_shard", "_id", "_copy"))
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **settings) -> DataFrame:
+    """The mixed corpus: each row of ``docs`` once per copy that the mix takes,
+    dealt to its output shard and shuffled within it.  Columns are those of
+    ``docs``.  Rows with equal id and text are one document with the copies of all;
+    null ids, null texts and null sources are mixed like others."""
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    keyed = docs.select(key.alias("_key"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source"))
+    plan = mix(keyed, "_key", "_text", "_source", seed=seed, **settings)
+    per_shard = plan.select(F.col("_key").alias("doc_key"), F.explode("shards").alias("shard"))
+    taken = per_shard.groupBy("doc_key", "shard").agg(F.count("*").alias("n")).groupBy("doc_key").agg(
+        F.collect_list(F.struct("shard", "n")).alias("takes"))  # an entry per shard at most
+    rows = docs.select(key.alias("doc_key"), F.struct("*").alias("_row")).join(taken, "doc_key").dropDuplicates(["doc_key"])
+    copies = rows.select("doc_key", "_row", F.explode("takes").alias("take")).select(
+        "doc_key", "_row", F.col("take.shard").alias("_shard"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("take.n"))).alias("_copy"))
+    return (copies.repartition("_shard").sortWithinPartitions("_shard", F.xxhash64(F.lit(seed), "_shard", "doc_key", "_copy"))
             .select("_row.*"))

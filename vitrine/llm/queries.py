@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.llm import exact_dedup, licenses, mixing, quality, secrets, sentencepiece, token_counts
+from vitrine.llm import embedding, exact_dedup, licenses, line_dedup, minhash, mixing, quality, secrets, sentencepiece, token_counts
 from vitrine.llm.common import read
 
 
@@ -33,6 +33,18 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(read(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "ids", "round_trip")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), size=4, percent=80)
+
+
+def op5_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_embeddings(read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "removed_words", "removed_lines")
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents"))
 
@@ -52,10 +64,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_minhash": op3_minhash,
     "op4_licenses": op4_licenses,
+    "op5_embedding": op5_embedding,
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_secrets": op8_secrets,
+    "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
