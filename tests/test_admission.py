@@ -68,7 +68,7 @@ def test_random_against_loop(spark):
     assert after == {a: (v if v is not None else None) for a, v in left.items()}
 
 
-def loop_attends(reqs, existing, capacity):
+def loop_attends(reqs, existing, capacity, known=None):
     """reqs: (seq, customer, exhibition) -> reason (None when accepted)."""
     count = {}
     pairs = set(existing)
@@ -81,6 +81,8 @@ def loop_attends(reqs, existing, capacity):
             out[seq] = A.EXHIBITION_NOT_FOUND
         elif count.get(e, 0) >= cap:
             out[seq] = A.CAPACITY_FULL
+        elif c is None or known is not None and c not in known:
+            out[seq] = A.CUSTOMER_NOT_FOUND
         elif (c, e) in pairs:
             out[seq] = A.DUPLICATE
         else:
@@ -106,13 +108,27 @@ def test_attends_random_against_loop(spark):
     reqs = []
     for seq in range(2500):
         e = 4 if rnd.random() < 0.33 else rnd.randrange(14)  # one hot exhibition
-        reqs.append((seq, rnd.randrange(60), e))
+        reqs.append((seq, None if rnd.random() < 0.1 else rnd.randrange(60), e))
     req_df = spark.createDataFrame(reqs, "seq long, customer_id long, exhibition_id long")
     att = spark.createDataFrame([(c, e, None) for c, e in existing],
                                 "customer_id long, exhibition_id long, attended_at timestamp_ntz")
     ex = spark.createDataFrame(list(capacity.items()), "exhibition_id long, capacity int")
-    got = {r["seq"]: r["reason"] for r in A.admit_attends(req_df, att, ex, ["seq"], salt_buckets=4).collect()}
+    got = {r["seq"]: r["reason"] for r in A.admit_attends(req_df, att, ex, ["seq"]).collect()}
     assert got == loop_attends(reqs, existing, capacity)
+    known = set(range(45))
+    users = spark.createDataFrame([(u,) for u in known], "user_id long")
+    got = {r["seq"]: r["reason"] for r in A.admit_attends(req_df, att, ex, ["seq"], users=users).collect()}
+    assert got == loop_attends(reqs, existing, capacity, known)
+
+
+def test_unknown_customers_take_no_seat(spark):
+    req = spark.createDataFrame([(1, None, 1), (2, 77, 1), (3, 11, 1), (4, None, 1), (5, 12, 1)],
+                                "seq long, customer_id long, exhibition_id long")
+    att = spark.createDataFrame([], "customer_id long, exhibition_id long, attended_at timestamp_ntz")
+    ex = spark.createDataFrame([(1, 2)], "exhibition_id long, capacity int")
+    users = spark.createDataFrame([(11,), (12,)], "user_id long")
+    got = sorted(rows(A.admit_attends(req, att, ex, ["seq"], users=users), "seq", "reason"))
+    assert got == [(1, A.CUSTOMER_NOT_FOUND), (2, A.CUSTOMER_NOT_FOUND), (3, None), (4, A.CUSTOMER_NOT_FOUND), (5, None)]
 
 
 def test_validate_exhibitions(spark, tiny):
@@ -122,40 +138,37 @@ def test_validate_exhibitions(spark, tiny):
                    (4, False, A.ARTIST_NOT_FOUND)]
 
 
-def test_hot_keys_fold_in_parallel_exactly(spark):
-    rnd = random.Random(21)
-    stock = {a: rnd.choice([40, 200, 600]) for a in range(6)}
-    stock[99] = 10_000  # stock above the table bound: sequential path
-    reqs = []
-    for seq in range(4000):
-        art = rnd.choice([0, 0, 0, 1, 99, rnd.randrange(6)])  # artifact 0 holds about half
-        reqs.append((seq, art, rnd.choice([1, 2, 3, 5, 8, 13]), rnd.randrange(12)))
-    known = set(range(11))
-    req_df = spark.createDataFrame(reqs, "seq long, artifact_id long, quantity int, customer_id long")
-    stock_df = spark.createDataFrame(list(stock.items()), "artifact_id long, quantity int")
-    users = spark.createDataFrame([(u,) for u in known], "user_id long")
-    got = A.admit_purchases(req_df, stock_df, ["seq"], users=users, hot_rows=300, table_stock=1000)
-    got_rows = {r["seq"]: (r["stock_before"], r["accepted"], r["reason"]) for r in got.collect()}
-    want, _ = loop_purchases(reqs, stock, known)
-    assert got_rows == want
-
-
-def test_hot_keys_with_large_stock(spark):
-    # Large stocks: the prefix stretch is accepted in parallel, the rest starts
-    # from the small stock left at the first refusal.  Artifact 3 has a request
-    # above the table bound, so its rest takes the sequential fold.
+def test_hot_artifact_with_large_quantities(spark):
+    """One artifact holds a third of all requests; some quantities are large, so
+    the first refusal leaves much stock; others keep large or tiny stocks."""
     rnd = random.Random(33)
-    stock = {0: 5000, 1: 100_000, 2: 7, 3: 3000}
+    stock = {0: 5000, 1: 100_000, 2: 7, 3: 3000, 4: 0, 5: 40}
     reqs = []
     for seq in range(5000):
-        art = rnd.choice([0, 0, 1, 2, 3])
-        q = 2500 if (art == 3 and rnd.random() < 0.01) else rnd.choice([1, 2, 3, 5, 8])
+        art = 0 if rnd.random() < 0.34 else rnd.randrange(6)
+        q = rnd.choice([2500, 900, 60]) if rnd.random() < 0.02 else rnd.choice([1, 2, 3, 5, 8, 13])
         reqs.append((seq, art, q, rnd.randrange(12)))
     known = set(range(11))
-    req_df = spark.createDataFrame(reqs, "seq long, artifact_id long, quantity int, customer_id long")
+    req_df = spark.createDataFrame(reqs, "seq long, artifact_id long, quantity int, customer_id long").repartition(13)
     stock_df = spark.createDataFrame(list(stock.items()), "artifact_id long, quantity int")
     users = spark.createDataFrame([(u,) for u in known], "user_id long")
-    got = A.admit_purchases(req_df, stock_df, ["seq"], users=users, hot_rows=100, table_stock=1000)
-    got_rows = {r["seq"]: (r["stock_before"], r["accepted"], r["reason"]) for r in got.collect()}
+    got = A.admit_purchases(req_df, stock_df, ["seq"], users=users)
     want, _ = loop_purchases(reqs, stock, known)
-    assert got_rows == want
+    assert {r["seq"]: (r["stock_before"], r["accepted"], r["reason"]) for r in got.collect()} == want
+
+
+def test_one_chunk_per_partition_of_a_hot_artifact(spark):
+    from vitrine.functions.running import in_chunks, running_sum
+
+    df = spark.range(20_000).select((F.col("id") % 3 == 0).cast("int").alias("g"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else 20,000 rows make one partition
+    try:
+        chunks = in_chunks(df, ["g"], ["id"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert chunks.filter("g = 0").select("_chunk").distinct().count() > 2
+    got = running_sum(chunks, ["g"], ["id"], F.col("id") % 7, "total").filter("g = 0").orderBy("id").collect()
+    total = 0
+    for r in got:
+        total += r.id % 7
+        assert r.total == total

@@ -17,22 +17,23 @@ def test_planted_violations(spark):
     data = fixture_rows()
     d = D
     data["users"] += [
-        (6, "Élodie", "X", "ALICE@VM.COM", "Curator", TS),   # duplicate e-mail (case), bad role
-        (6, "", "Y", None, "Customer", TS),                  # duplicate key, empty name, NULL e-mail
+        (6, "Élodie", "X", "MARA@NORTH.EXAMPLE", "Curator", "0" * 21, None, None, TS),   # duplicate e-mail (case), bad role
+        (6, "", "Y", None, "Customer", None, None, None, TS),                  # duplicate key, empty name, NULL e-mail
     ]
     data["artifact"] += [
-        (7, 42, 9, "T" * 151, None, "Pottery", d("-1.00"), -2, "img.GIF", TS),  # orphans, checks, domain, length
-        (8, None, None, "Ok", None, "Other", d("1.00"), 0, "noext", TS),
-        (9, None, None, "Ok", None, "Other", d("1.00"), 0, "a.Webp", TS),
+        (7, 42, 9, "T" * 151, None, "Pottery", "q" * 51, "o" * 151, d("-1.00"), -2, "img.GIF", TS),  # orphans, checks, domain, length
+        (8, None, None, "Ok", None, "Other", None, None, d("1.00"), 0, "noext", TS),
+        (9, None, None, "Ok", None, "Other", None, None, d("1.00"), 0, "a.Webp", TS),
     ]
-    data["exhibition"].append((4, "Backwards", None, dt.date(2025, 5, 2), dt.date(2025, 5, 1), 1, 10, 1))
+    data["exhibition"].append((4, "Backwards", None, dt.date(2025, 5, 2), dt.date(2025, 5, 1), None, 1, 10, 1, TS))
     data["attends"].append((3, 1, TS))  # repeated pair
     data["purchase"].append((9, 99, 1, TS, 0, d("0.00"), "Cheque"))
     g = from_rows(spark, data)
     found = set(rows(C.audit(g)))
     expected = {
         ("users", "pk_duplicate", "6", "2"),
-        ("users", "unique_email", "ALICE@VM.COM", "2"),
+        ("users", "unique_email", "MARA@NORTH.EXAMPLE", "2"),
+        ("users", "length", "6", "contact_no"),
         ("users", "not_null", "6", "email"),
         ("users", "names_not_empty", "6", ""),
         ("users", "domain", "6", "role=Curator"),
@@ -42,6 +43,8 @@ def test_planted_violations(spark):
         ("artifact", "quantity_non_negative", "7", ""),
         ("artifact", "domain", "7", "type=Pottery"),
         ("artifact", "length", "7", "title"),
+        ("artifact", "length", "7", "quality"),
+        ("artifact", "length", "7", "owner"),
         ("artifact", "image_extension", "8", "noext"),
         ("exhibition", "end_after_start", "4", ""),
         ("attends", "pk_duplicate", "3|1", "2"),

@@ -1,6 +1,7 @@
 """Cart state, pricing, validation and checkout (K1-K4)."""
 
 import random
+import re
 from decimal import Decimal as D
 
 from conftest import rows
@@ -16,10 +17,10 @@ def loop_cart(events):
         if kind == "checkout":
             cart.clear()
             continue
-        try:
-            q = int(qty.strip())
-        except (ValueError, AttributeError):
+        digits = re.fullmatch(r" *[+-]?[0-9]+ *", qty or "")
+        if not digits or not -2 ** 31 <= int(qty) < 2 ** 31:
             continue
+        q = int(qty)
         if kind == "add":
             cart[art] = cart.get(art, 0) + max(1, q)
         elif q <= 0:
@@ -34,7 +35,7 @@ def test_cart_random_against_loop(spark):
     events = []
     for seq in range(4000):
         kind = rnd.choice(["add", "add", "set", "checkout"]) if rnd.random() > 0.02 else "checkout"
-        qty = rnd.choice(["1", "2", " 3 ", "0", "-1", "x", "", "5"])
+        qty = rnd.choice(["1", "2", " 3 ", "0", "-1", "x", "", "5", "+4", "1_0", "2147483647", "99999999999"])
         user = 0 if rnd.random() < 0.3 else rnd.randrange(25)  # a hot user
         events.append((seq, user, rnd.randrange(8), kind, qty))
     df = spark.createDataFrame(events, "seq long, user_id long, artifact_id long, kind string, qty string")
@@ -51,7 +52,7 @@ def test_price_validate_post(spark, tiny):
 
     problems = sorted(rows(K.validate_checkout(cart, tiny.artifact), "user_id", "artifact_id", "problem", "message"))
     assert problems == [
-        (4, 4, K.SHORT, "“Marble Angel” has only 1 left (you requested 2)."),
+        (4, 4, K.SHORT, "“Salt Column” has only 1 left (you requested 2)."),
         (4, 77, K.MISSING, "Artifact ID 77 no longer exists."),
     ]
     status = {u: ok for u, ok in rows(K.checkout_status(cart, tiny.artifact), "user_id", "ok")}
@@ -64,8 +65,52 @@ def test_price_validate_post(spark, tiny):
 
 
 def test_competing_carts_settle_in_order(spark, tiny):
-    # Two carts each want the last Bronze Warrior: the first in cart order wins.
+    # Two carts each want the last Iron Heron: the first in cart order wins.
     cart = spark.createDataFrame([(3, 3, 1), (4, 3, 1)], "user_id long, artifact_id long, qty int")
     posted, stock = K.post_checkout(cart, tiny.artifact, users=tiny.users)
     assert rows(posted, "customer_id") == [(3,)]
     assert dict(rows(stock, "artifact_id", "quantity"))[3] == 0
+
+
+def loop_checkout(carts, stock, known):
+    """Carts one after the other, each as a whole."""
+    first = dict(stock)
+    posted = []
+    for user in sorted(carts):
+        lines = carts[user]
+        if user not in known or any(a not in stock or q > first[a] for a, q in lines.items()):
+            continue
+        if all(q <= stock[a] for a, q in lines.items()):
+            for a, q in lines.items():
+                stock[a] -= q
+                posted.append((user, a, q))
+    return sorted(posted)
+
+
+def test_a_cart_that_loses_one_line_posts_nothing(spark, tiny):
+    cart = spark.createDataFrame([(3, 3, 1), (4, 3, 1), (4, 5, 2), (5, 5, 7)], "user_id long, artifact_id long, qty long")
+    posted, stock = K.post_checkout(cart, tiny.artifact, users=tiny.users)
+    assert sorted(rows(posted, "customer_id", "artifact_id", "quantity")) == [(3, 3, 1), (5, 5, 7)]
+    assert dict(rows(stock, "artifact_id", "quantity"))[5] == 1
+
+
+def test_competing_carts_against_a_loop(spark):
+    rnd = random.Random(8)
+    stock = {a: rnd.choice([1, 2, 3, 8, 20]) for a in range(12)}
+    carts = {u: {(0 if rnd.random() < 0.35 else rnd.randrange(13)): rnd.randint(1, 4) for _ in range(rnd.randint(1, 4))} for u in range(120)}
+    known = set(range(110))
+    cart = spark.createDataFrame([(u, a, q) for u, c in carts.items() for a, q in c.items()], "user_id long, artifact_id long, qty long")
+    artifact = spark.createDataFrame([(a, "t", D("2.50"), q) for a, q in stock.items()], "artifact_id long, title string, price decimal(12,2), quantity int")
+    users = spark.createDataFrame([(u,) for u in known], "user_id long")
+    posted, after = K.post_checkout(cart, artifact, users=users)
+    want = loop_checkout(carts, stock, known)
+    assert sorted(rows(posted, "customer_id", "artifact_id", "quantity")) == want
+    assert dict(rows(after, "artifact_id", "quantity")) == stock
+
+
+def test_huge_quantities_do_not_fail_the_cart(spark, tiny):
+    df = spark.createDataFrame([(i, 1, 1, "add", "2147483647") for i in range(3)], "seq long, user_id long, artifact_id long, kind string, qty string")
+    cart = K.cart_state(df, ["seq"])
+    assert rows(cart) == [(1, 1, 3 * 2147483647)]
+    assert rows(K.price_cart(cart, tiny.artifact), "subtotal") == [(D("16106127352500.00"),)]
+    assert rows(K.validate_checkout(cart, tiny.artifact), "problem") == [(K.SHORT,)]

@@ -58,6 +58,11 @@ def test_rekey_follows_references(spark, tiny):
                                                           ("visits", "customer_id"), ("purchase", "customer_id")}
 
 
+def test_rekey_without_maps(spark, tiny):
+    after, log = W.rekey(tiny)
+    assert log.count() == 0 and after.users.count() == 5
+
+
 def test_assign_ids_dense_in_order(spark):
     df = spark.range(0, 1000).select((F.col("id") * 7 % 1000).alias("k"))
     out = W.assign_ids(df, ["k"], 41, "new_id")
@@ -78,6 +83,11 @@ def test_append_artifacts(spark, tiny):
         (2, 1, "Bad", "", "Painting", "abc", "1", "1", "x.gif"),
         (3, 2, "Neg", "", "Sculpture", "5", "-1", "2", None),
         (4, 2, "Far", "", "Digital", "5", "1", "9", None),
+        (5, 999, "Nobody's", "", "Digital", "5", "1", "1", None),
+        (6, 2, None, "", "Digital", "5", "1", "1", None),
+        (7, 2, "T" * 400, "", "Digital", "5", "1", "1", None),
+        (8, 2, "Odd", "", "Pottery", "5", "1", "1", None),
+        (9, None, "Free", "", "Digital", "5", "1", "1", None),
     ], "src long, artist_id long, title string, description string, type string, price string, "
        "quantity string, museum string, image string")
     snap, outcome = W.append_artifacts(tiny, raw, ["src"], now=F.lit(TS).cast("timestamp_ntz"))
@@ -86,8 +96,13 @@ def test_append_artifacts(spark, tiny):
     assert got == [(1, 6, "New one", "Other", D("0.00"), 0, None, "x.png", None),
                    (2, None, "Bad", "Painting", None, 1, 1, None, "bad_price"),
                    (3, None, "Neg", "Sculpture", D("5.00"), -1, 2, None, "quantity_negative"),
-                   (4, None, "Far", "Digital", D("5.00"), 1, 9, None, "museum_not_found")]
-    assert snap.count() == 6
+                   (4, None, "Far", "Digital", D("5.00"), 1, 9, None, "museum_not_found"),
+                   (5, None, "Nobody's", "Digital", D("5.00"), 1, 1, None, "artist_not_found"),
+                   (6, None, None, "Digital", D("5.00"), 1, 1, None, "title_missing"),
+                   (7, None, "T" * 400, "Digital", D("5.00"), 1, 1, None, "title_too_long"),
+                   (8, None, "Odd", "Pottery", D("5.00"), 1, 1, None, "bad_type"),
+                   (9, 7, "Free", "Digital", D("5.00"), 1, 1, None, None)]
+    assert snap.count() == 7
 
 
 def test_append_exhibitions(spark, tiny):
@@ -96,12 +111,15 @@ def test_append_exhibitions(spark, tiny):
         (2, "NotArtist", "t", "2026-01-01", "", "5", "1", 3),
         (3, "Back", "t", "2026-01-02", "2026-01-01", "5", "1", 2),
         (4, "Cap", "t", "2026-01-01", "", "lots", "1", 2),
+        (5, None, "t", "2026-01-01", "", "5", "1", 2),
+        (6, "E" * 151, "t", "2026-01-01", "", "5", "1", 2),
     ], "src long, title string, theme string, start string, end string, capacity string, museum string, "
        "artist_id long")
     snap, outcome = W.append_exhibitions(tiny, raw, ["src"])
     got = sorted(rows(outcome, "src", "exhibition_id", "capacity", "reason"))
     assert got == [(1, 4, 0, None), (2, None, 5, "Only artists can organize exhibitions"),
-                   (3, None, 5, "end_before_start"), (4, None, None, "bad_capacity")]
+                   (3, None, 5, "end_before_start"), (4, None, None, "bad_capacity"),
+                   (5, None, 5, "title_missing"), (6, None, 5, "title_too_long")]
     assert snap.count() == 4
 
 

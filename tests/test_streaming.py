@@ -33,15 +33,16 @@ def test_stream_purchases_equal_batch(spark, tmp_path):
 
 def test_stream_attends_equal_batch(spark, tmp_path):
     rnd = random.Random(9)
-    reqs = [(seq, rnd.randrange(15), rnd.randrange(6)) for seq in range(500)]
+    reqs = [(seq, rnd.choice([None, *range(15)]), rnd.randrange(6)) for seq in range(500)]
+    users = spark.createDataFrame([(u,) for u in range(13)], "user_id long")
     req = spark.createDataFrame(reqs, "seq long, customer_id long, exhibition_id long")
     att = spark.createDataFrame([(1, 1, None), (2, 2, None)],
                                 "customer_id long, exhibition_id long, attended_at timestamp_ntz")
     ex = spark.createDataFrame([(0, 3), (1, 5), (2, None), (3, 1), (4, 20)], "exhibition_id long, capacity int")
     req.coalesce(1).write.parquet(str(tmp_path / "att"))
     stream = spark.readStream.schema(req.schema).parquet(str(tmp_path / "att"))
-    streamed = ST.run_to_table(ST.admit_attends_stream(stream, att, ex, ["seq"]), "t_attends")
-    batch = A.admit_attends(req, att, ex, ["seq"])
+    streamed = ST.run_to_table(ST.admit_attends_stream(stream, att, ex, ["seq"], users=users), "t_attends")
+    batch = A.admit_attends(req, att, ex, ["seq"], users=users)
     assert sorted(rows(streamed, "seq", "reason")) == sorted(rows(batch, "seq", "reason"))
 
 
@@ -51,7 +52,7 @@ def test_stream_cart_equals_batch(spark, tmp_path):
 
     rnd = random.Random(13)
     events = [(seq, 0 if rnd.random() < 0.3 else rnd.randrange(10), rnd.randrange(6),
-               rnd.choice(["add", "add", "set", "checkout"]), rnd.choice(["1", "2", "0", "-1", "x", " 4 "]))
+               rnd.choice(["add", "add", "set", "checkout"]), rnd.choice(["1", "2", "0", "-1", "x", " 4 ", "1_0", "+3", "99999999999"]))
               for seq in range(900)]
     df = spark.createDataFrame(events, "seq long, user_id long, artifact_id long, kind string, qty string")
     path = str(tmp_path / "cart")

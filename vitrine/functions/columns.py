@@ -79,5 +79,7 @@ def placeholder(c: str | Column, fill: str) -> Column:
 
 
 def try_int(c: str | Column) -> Column:
-    """Integer value of a text field; NULL when it is not an integer."""
-    return F.trim(col(c).cast("string")).try_cast("int")
+    """32-bit integer value of a text field of digits with an optional sign, with
+    blanks around; NULL for any other text."""
+    text = F.trim(col(c).cast("string"))
+    return F.when(text.rlike("^[+-]?[0-9]+$"), text).try_cast("int")

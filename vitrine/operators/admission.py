@@ -1,28 +1,26 @@
 """Order-dependent admission (A1-A3): the source application's insert triggers
 re-expressed as bulk jobs over a table of requests.
 
-A1 (purchases against stock) is a greedy fold: a refused request uses no
-stock, so a later, smaller request may still pass.  That is not a prefix sum.
-Requests that can be decided from their own row (unknown artifact, bad
-quantity, more than the whole initial stock - stock only falls) are decided
-in a narrow projection and never shuffled.  Only the rest is hash-partitioned
-by artifact, sorted by arrival order, and folded by a streaming
-``mapInPandas`` that carries one integer of state across Arrow batches: memory
-stays at one batch however many requests an artifact has.
-
-Artifacts with very many requests (a third of all rows may be one artifact)
-are split instead.  Until the first refusal every request is accepted, so that
-stretch is a distributed prefix sum.  The first refusal leaves less stock than
-the refused quantity; from there, chunks of the artifact's requests tabulate
-their effect for every possible (small) starting stock, the tables are
-composed in order, and each chunk replays from its true start.
+A1 (purchases against stock) is greedy: a refused request uses no stock, so a
+later, smaller request may still pass.  One plan serves artifacts of any size:
+
+1. Requests decidable from their own row (unknown artifact, bad quantity, more
+   than the whole initial stock - stock only falls) never move.
+2. Until an artifact's first refusal every request of a known customer is
+   accepted, so that stretch is a running sum, distributed over chunks.
+3. The first refusal leaves a stock below the refused quantity.  Stock only
+   falls, so once a quantity is refused it is refused for good: the accepted
+   requests of each quantity q are the first ones, at most stock / q.  Only
+   those, about s log s for a left stock s however many requests there are, go
+   through the sequential rule.
+4. What the few accepted ones use, as a running sum again, gives every other
+   request the stock it saw and its reason.
 
 A2 (attendances against capacity) needs no fold, because every accepted
 request takes exactly one seat: the request that fills the last seat is the
-``seats``-th first-time (customer, exhibition) pair in arrival order.  That
-cut-off is found per exhibition with a salted two-stage top-k, so a hot
-exhibition is spread over many tasks; each request then compares its own
-position with the cut-off.
+``seats``-th first-time (customer, exhibition) pair in arrival order, found
+with a running count over chunks.  Each request then compares its own position
+with that cut-off.
 
 A3 (exhibition organiser) is a lookup.
 """
@@ -31,11 +29,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from vitrine.functions.running import CHUNK, in_chunks, running_sum
 
 # Refusal messages that must equal the source application's (its
 # trigger messages), plus our own codes for the rules it enforces by constraints.
@@ -56,202 +54,68 @@ NOT_AN_ARTIST = "Only artists can organize exhibitions"
 # A function run by mapInPandas: pandas batches in, pandas batches out.
 BatchFn = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
-def _fold_batches(key: str, qty: str) -> BatchFn:
-    """Greedy stock fold over rows sorted by (key, arrival order)."""
+
+def _greedy(key: str, qty: str) -> BatchFn:
+    """Ids of the accepted rows among rows sorted by (key, arrival order), from
+    the stock ``_left``; the stock is carried across Arrow batches."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, remaining = None, 0
+        current, left = None, 0
         for pdf in batches:
-            keys = pdf[key].tolist()
-            wants = pdf[qty].tolist()
-            start = pdf["_stock0"].tolist()
-            known = pdf["_customer_ok"].tolist()
-            n = len(keys)
-            before = np.empty(n, dtype=np.int64)
-            accepted = np.zeros(n, dtype=bool)
-            reason = [None] * n
-            for i in range(n):
-                if keys[i] != current:
-                    current, remaining = keys[i], start[i]
-                before[i] = remaining
-                if wants[i] > remaining:
-                    reason[i] = INSUFFICIENT
-                elif not known[i]:
-                    reason[i] = CUSTOMER_NOT_FOUND
-                else:
-                    accepted[i] = True
-                    remaining -= wants[i]
-            out = pdf.drop(columns=["_stock0", "_customer_ok"])
-            out["stock_before"] = before.astype(np.int32)
-            out["accepted"] = accepted
-            out["reason"] = pd.Series(reason, dtype=object)
-            yield out
+            accepted = []
+            for k, want, start, rid in zip(pdf[key].tolist(), pdf[qty].tolist(), pdf["_left"].tolist(), pdf["_rid"].tolist()):
+                if k != current:
+                    current, left = k, start
+                if want <= left:
+                    left -= want
+                    accepted.append(rid)
+            yield pd.DataFrame({"_rid": accepted}, dtype="int64")
 
     return fold
 
 
-def _chunk_tables(key: str, qty: str) -> BatchFn:
-    """For each (partition, key) run of rows: the stock left after the run as a
-    function of the stock at its start, tabulated for every start 0..stock0."""
-
-    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, table, pid = None, None, None
-        out_keys, out_pids, out_tables = [], [], []
-        for pdf in batches:
-            keys, wants = pdf[key].tolist(), pdf[qty].tolist()
-            start, known, pids = pdf["_stock0"].tolist(), pdf["_customer_ok"].tolist(), pdf["_pid"].tolist()
-            for i in range(len(keys)):
-                if keys[i] != current:
-                    if current is not None:
-                        out_keys.append(current), out_pids.append(pid), out_tables.append(table)
-                    current, pid = keys[i], pids[i]
-                    table = np.arange(int(start[i]) + 1, dtype=np.int64)
-                if known[i]:
-                    q = wants[i]
-                    table = np.where(table >= q, table - q, table)
-        if current is not None:
-            out_keys.append(current), out_pids.append(pid), out_tables.append(table)
-        yield pd.DataFrame({key: out_keys, "_pid": out_pids, "_table": out_tables})
-
-    return tables
-
-
-def _fold_tables(candidates: DataFrame, order_cols: Sequence[str], key: str, qty: str,
-                 out_schema: T.StructType) -> DataFrame:
-    """Exact parallel fold for keys with many requests and a bounded stock.
-
-    The key's requests are range-partitioned on (key, order), so one key spans
-    several partitions (chunks).  Pass 1 tabulates, per chunk, the stock left for
-    every possible starting stock (vectorised, O(rows x stock)).  The tables of a
-    key (at most one per partition, each stock+1 long: a bounded group) are
-    composed in partition order with a higher-order ``aggregate`` to get each
-    chunk's true starting stock.  Pass 2 replays every chunk from that start.
-    The partitioned data is checkpointed so both passes see the same chunks."""
-    ranged = (candidates.repartitionByRange(key, *order_cols)
-              .sortWithinPartitions(key, *order_cols)
-              .withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
-    table_schema = T.StructType([candidates.schema[key], T.StructField("_pid", T.IntegerType()),
-                                 T.StructField("_table", T.ArrayType(T.LongType()))])
-    tables = ranged.mapInPandas(_chunk_tables(key, qty), schema=table_schema)
-    stock0 = candidates.groupBy(key).agg(F.first("_stock0").alias("_s0"))
-    chunks = (tables.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pid", "_table"))).alias("_chunks"))
-              .join(stock0, key))
-    first = F.struct(F.col("_s0").cast("long").alias("cur"),
-                     F.array().cast("array<struct<_pid:int,start:long>>").alias("starts"))
-
-    def step(acc, c):
-        start = F.struct(c["_pid"].alias("_pid"), acc["cur"].alias("start"))
-        return F.struct(F.element_at(c["_table"], (acc["cur"] + 1).cast("int")).alias("cur"),
-                        F.concat(acc["starts"], F.array(start)).alias("starts"))
-
-    composed = (chunks.select(key, F.explode(F.aggregate("_chunks", first, step)["starts"]).alias("_s"))
-                .select(key, F.col("_s._pid").alias("_pid"), F.col("_s.start").cast("int").alias("_start")))
-    # At most one row per (hot key, partition): a bounded broadcast.  The join keeps
-    # the partitions; the local re-sort restores arrival order inside them.
-    replay = (ranged.join(F.broadcast(composed), [key, "_pid"], "inner")
-              .withColumn("_stock0", F.col("_start")).drop("_start", "_pid")
-              .sortWithinPartitions(key, *order_cols))
-    return replay.mapInPandas(_fold_batches(key, qty), schema=out_schema)
-
-
-def _running_known(key: str, qty: str) -> BatchFn:
-    """Running total of the quantities of known-customer rows, per key, over rows
-    sorted by (key, order) within a partition (carried across Arrow batches)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key, carry = None, 0
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            keys = pdf[key].to_numpy()
-            kq = np.where(pdf["_customer_ok"].to_numpy(dtype=bool), pdf[qty].to_numpy(dtype=np.int64), 0)
-            total = np.cumsum(kq)
-            first = np.ones(n, dtype=bool)
-            first[1:] = keys[1:] != keys[:-1]
-            segment = np.cumsum(first) - 1
-            base = (total - kq)[first]
-            local = total - base[segment]
-            if keys[0] == last_key:
-                local[segment == 0] += carry
-            last_key, carry = keys[-1], int(local[-1])
-            yield pdf.assign(_local=local)
-
-    return run
-
-
-def _fold_hot(candidates: DataFrame, order_cols: Sequence[str], key: str, qty: str,
-              out_schema: T.StructType, table_stock: int) -> DataFrame:
-    """Exact parallel fold for artifacts with very many requests.
-
-    Until the first refusal every request is accepted, so that stretch is a
-    prefix sum: requests are range-partitioned on (artifact, order) and
-    checkpointed; each partition runs a local running total of the known
-    customers' quantities; per-(artifact, partition) totals give each chunk its
-    offset (a window over at most one row per partition).  Requests whose
-    running total stays within the initial stock are accepted outright.
-
-    The first refusal leaves less stock than the refused quantity, so the rest
-    of the artifact's requests start from a small stock and are folded by
-    composed stock tables (``_fold_tables``).  Only when even that stock is above
-    ``table_stock`` (a single huge request quantity) does the rest fall back to
-    the sequential fold."""
-    ranged = (candidates.repartitionByRange(key, *order_cols)
-              .sortWithinPartitions(key, *order_cols)
-              .withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
-    local_schema = T.StructType(ranged.schema.fields + [T.StructField("_local", T.LongType())])
-    running = ranged.mapInPandas(_running_known(key, qty), schema=local_schema)
-    known_q = F.when(F.col("_customer_ok"), F.col(qty)).otherwise(F.lit(0))
-    chunk_totals = ranged.groupBy(key, "_pid").agg(F.sum(known_q).alias("_chunk"))
-    before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = chunk_totals.select(key, "_pid", F.coalesce(F.sum("_chunk").over(before), F.lit(0)).alias("_off"))
-    # At most one row per (hot artifact, partition): a bounded broadcast.
-    totals = (running.join(F.broadcast(offsets), [key, "_pid"], "inner")
-              .withColumn("_total", F.col("_off") + F.col("_local")))
-    in_prefix = F.col("_total") <= F.col("_stock0")
-
-    left = (F.col("_stock0") - (F.col("_total") - known_q)).cast("int")
-    cols = [f.name for f in out_schema.fields if f.name not in ("stock_before", "accepted", "reason")]
-    prefix = totals.filter(in_prefix).select(
-        *cols, left.alias("stock_before"), F.col("_customer_ok").alias("accepted"),
-        F.when(F.col("_customer_ok"), F.lit(None).cast("string"))
-        .when(F.col(qty) > left, F.lit(INSUFFICIENT)).otherwise(F.lit(CUSTOMER_NOT_FOUND)).alias("reason"))
-
-    # Stock left at the first refusal, per artifact (one row per hot artifact).
-    start = (totals.groupBy(key).agg(
-        F.first("_stock0").alias("_s0"),
-        F.max(F.when(in_prefix, F.col("_total"))).alias("_used"))
-        .select(key, (F.col("_s0") - F.coalesce("_used", F.lit(0))).cast("int").alias("_start")))
-    rest = (totals.filter(~in_prefix).join(F.broadcast(start), key, "inner")
-            .withColumn("_stock0", F.col("_start"))
-            .select(*cols, "_stock0", "_customer_ok"))
-    small = rest.filter(F.col("_stock0") <= table_stock)
-    large = rest.filter(F.col("_stock0") > table_stock)
-    folded_small = _fold_tables(small, order_cols, key, qty, out_schema)
-    folded_large = (large.repartition(key).sortWithinPartitions(key, *order_cols)
-                    .mapInPandas(_fold_batches(key, qty), schema=out_schema))
-    return prefix.unionByName(folded_small).unionByName(folded_large)
+def _fold(candidates: DataFrame, order_cols: Sequence[str], key: str, qty: str, out: Sequence[str]) -> DataFrame:
+    """Steps 2-4 for requests with 0 < quantity <= initial stock ``_stock0``."""
+    order = list(order_cols)
+    rows = in_chunks(candidates, [key], order)
+    q = F.col(qty).cast("bigint")
+    wanted = F.when(F.col("_customer_ok"), q).otherwise(F.lit(0))
+    rows = running_sum(rows, [key], order, wanted, "_upto").withColumn("_wanted", wanted)
+    fits = F.col("_upto") <= F.col("_stock0")
+
+    # The stock that the first refusal leaves, one row per artifact.
+    left = rows.groupBy(key).agg((F.first("_stock0") - F.coalesce(F.max(F.when(fits, F.col("_upto"))), F.lit(0)))
+                                 .cast("bigint").alias("_left"))
+    rest = rows.filter(~fits).join(left, key)
+    # Of each quantity the first _left / quantity known requests.
+    able = rest.filter(F.col("_customer_ok") & (q <= F.col("_left"))).withColumn("_q", q)
+    few = running_sum(able.drop("_upto"), [key, "_q"], order, F.lit(1), "_nth").filter(
+        F.col("_nth") <= F.floor(F.col("_left") / F.col("_q")))
+    accepted = (few.select(key, qty, "_left", "_rid", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+                .repartition(key).sortWithinPartitions(key, *[f"_o{i}" for i in range(len(order))], "_rid")
+                .select(key, qty, "_left", "_rid").mapInPandas(_greedy(key, qty), "_rid bigint"))
+    rest = rest.join(accepted.withColumn("_in", F.lit(True)), "_rid", "left")
+    used = F.when(F.col("_in"), q).otherwise(F.lit(0))
+    rest = running_sum(rest.drop("_upto"), [key], order, used, "_used").withColumn(
+        "_before", F.col("_left") - (F.col("_used") - F.when(F.col("_in"), q).otherwise(F.lit(0))))
+
+    first = rows.filter(fits).withColumn("_before", F.col("_stock0") - (F.col("_upto") - F.col("_wanted"))).withColumn(
+        "_in", F.col("_customer_ok"))
+    both = first.select(*out, "_before", "_in", CHUNK).unionByName(rest.select(*out, "_before", "_in", CHUNK))
+    is_in = F.coalesce("_in", F.lit(False))
+    return both.select(*out, F.col("_before").cast("int").alias("stock_before"), is_in.alias("accepted"),
+                       F.when(~is_in, F.when(q > F.col("_before"), F.lit(INSUFFICIENT))
+                              .otherwise(F.lit(CUSTOMER_NOT_FOUND))).alias("reason"))
 
 
 def admit_purchases(requests: DataFrame, stock: DataFrame, order_cols: Sequence[str],
                     users: DataFrame | None = None, key: str = "artifact_id",
-                    qty: str = "quantity", customer: str = "customer_id",
-                    hot_rows: int | None = 1_000_000, table_stock: int = 4096,
-                    hot_source: DataFrame | None = None) -> DataFrame:
+                    qty: str = "quantity", customer: str = "customer_id") -> DataFrame:
     """A1: admit purchase requests against stock in arrival order, per artifact.
 
     ``stock`` has (artifact_id, quantity).  Adds ``stock_before`` (stock seen by
-    a request that reached the fold; NULL for requests decided on their own
-    row), ``accepted`` and ``reason`` (NULL when accepted).
-
-    An artifact with more than ``hot_rows`` requests is folded in parallel
-    (``_fold_hot``); all others by one sorted streaming pass per artifact.  Both
-    are exact.
-    ``hot_rows=None`` skips the heavy-hitter count.  ``hot_source`` (a frame with
-    the key column, a superset of the requests) may stand in for the requests
-    when counting, if it is cheaper to compute."""
+    a request that got as far as the stock; NULL for requests decided on their
+    own row), ``accepted`` and ``reason`` (NULL when accepted)."""
     cols = requests.columns
     s = stock.select(F.col("artifact_id").alias(key), F.col("quantity").alias("_stock0"),
                      F.lit(True).alias("_found"))
@@ -269,37 +133,11 @@ def admit_purchases(requests: DataFrame, stock: DataFrame, order_cols: Sequence[
                   .when(q <= 0, F.lit(NOT_POSITIVE))
                   .when(q > s0, F.lit(INSUFFICIENT)))
     r = r.withColumn("_own", own_reason)
-
     decided = r.filter(F.col("_own").isNotNull()).select(
         *cols, F.lit(None).cast("int").alias("stock_before"), F.lit(False).alias("accepted"),
         F.col("_own").alias("reason"))
-
     candidates = r.filter(F.col("_own").isNull()).select(*cols, "_stock0", "_customer_ok")
-    out_schema = T.StructType(
-        [f for f in candidates.schema.fields if f.name not in ("_stock0", "_customer_ok")]
-        + [T.StructField("stock_before", T.IntegerType()), T.StructField("accepted", T.BooleanType()),
-           T.StructField("reason", T.StringType())])
-    hot = None
-    if hot_rows is not None:
-        # Heavy hitters: a map-side-combined count of requests per artifact (reads
-        # the key column only), kept where the stock is small enough to tabulate.
-        counted = hot_source if hot_source is not None else requests
-        hot = counted.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(key)
-        if not _has_rows(hot):
-            hot = None
-    cold = candidates if hot is None else candidates.join(hot, key, "left_anti")
-    ordered = cold.repartition(key).sortWithinPartitions(key, *order_cols)
-    folded = ordered.mapInPandas(_fold_batches(key, qty), schema=out_schema)
-    if hot is not None:
-        folded = folded.unionByName(_fold_hot(candidates.join(hot, key, "left_semi"), order_cols, key, qty,
-                                              out_schema, table_stock))
-    return decided.unionByName(folded)
-
-
-def _has_rows(df: DataFrame) -> bool:
-    """Whether the (small, aggregated) frame has any row: one tiny job that
-    decides whether the parallel hot-key plan is needed at all."""
-    return len(df.take(1)) > 0
+    return decided.unionByName(_fold(candidates, order_cols, key, qty, cols))
 
 
 def stock_after(admitted: DataFrame, stock: DataFrame, key: str = "artifact_id",
@@ -314,32 +152,23 @@ def stock_after(admitted: DataFrame, stock: DataFrame, key: str = "artifact_id",
 
 # ------------------------------------------------------------------------- A2
 
-def _kth_smallest(pairs: DataFrame, group: str, value: str, k: str, salt_buckets: int,
-                  salt_col: str) -> DataFrame:
-    """Per group, the k-th smallest ``value`` (k from column ``k``), or no row when
-    the group has fewer than k values.  Exact: each salt bucket keeps its own
-    k smallest (a superset of its share of the global k smallest), then one
-    small window per group over at most ``salt_buckets * k`` rows."""
-    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64(salt_col), F.lit(salt_buckets)))
-    w1 = Window.partitionBy(group, "_salt").orderBy(value)
-    stage1 = salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= F.col(k))
-    w2 = Window.partitionBy(group).orderBy(value)
-    stage2 = stage1.withColumn("_r2", F.row_number().over(w2)).filter(F.col("_r2") == F.col(k))
-    return stage2.select(group, F.col(value).alias("_cutoff"))
-
-
 def admit_attends(requests: DataFrame, attends: DataFrame, exhibition: DataFrame,
-                  order_cols: Sequence[str], salt_buckets: int | None = None) -> DataFrame:
+                  order_cols: Sequence[str], users: DataFrame | None = None) -> DataFrame:
     """A2: admit attendance requests (customer_id, exhibition_id, order columns)
     against capacity, given the existing attendances.
 
     Reasons in the order the source checks them: unknown exhibition or NULL
     capacity; full (existing attendees plus earlier admitted requests reach
-    capacity); repeated (customer, exhibition) pair; else accepted."""
+    capacity); a customer that is NULL or, given ``users``, not among them; a
+    repeated (customer, exhibition) pair; else accepted.  Only an accepted
+    request takes a seat."""
     e, c = "exhibition_id", "customer_id"
-    if salt_buckets is None:
-        salt_buckets = max(32, 2 * int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     req = requests.withColumn("_ord", F.struct(*order_cols))
+    if users is not None:
+        known = users.select(F.col("user_id").alias(c), F.lit(True).alias("_customer_ok")).distinct()
+        req = req.join(known, c, "left").withColumn("_customer_ok", F.coalesce("_customer_ok", F.lit(False)))
+    else:
+        req = req.withColumn("_customer_ok", F.col(c).isNotNull())
 
     existing_pairs = attends.select(e, c).distinct().withColumn("_already", F.lit(True))
     existing = attends.groupBy(e).agg(F.count(F.lit(1)).alias("_existing"))
@@ -347,17 +176,20 @@ def admit_attends(requests: DataFrame, attends: DataFrame, exhibition: DataFrame
           .withColumn("_seats", F.col("capacity") - F.coalesce("_existing", F.lit(0))))
 
     # First request of every pair (map-side combined), minus pairs already attending.
-    first = req.groupBy(e, c).agg(F.min("_ord").alias("_first"))
+    first = req.filter("_customer_ok").groupBy(e, c).agg(F.min("_ord").alias("_first"))
     pair_info = first.join(existing_pairs, [e, c], "left")
     first_time = (pair_info.filter(F.col("_already").isNull())
                   .join(ex.filter(F.col("_seats") > 0).select(e, "_seats"), e, "inner"))
-    cutoff = _kth_smallest(first_time, e, "_first", "_seats", salt_buckets, c)
+    # The first-time pair that takes the last seat: none if seats remain.
+    taken = running_sum(in_chunks(first_time.select(e, "_first", "_seats"), [e], ["_first"]), [e], ["_first"], F.lit(1), "_nth")
+    cutoff = taken.filter(F.col("_nth") == F.col("_seats")).select(e, F.col("_first").alias("_cutoff"))
 
     per_exhibition = ex.select(e, "capacity", "_seats", F.lit(True).alias("_found")).join(cutoff, e, "left")
     r = req.join(per_exhibition, e, "left").join(pair_info, [e, c], "left")
     reason = (F.when(F.col("_found").isNull() | F.col("capacity").isNull(), F.lit(EXHIBITION_NOT_FOUND))
               .when((F.col("_seats") <= 0) | (F.col("_cutoff").isNotNull() & (F.col("_ord") > F.col("_cutoff"))),
                     F.lit(CAPACITY_FULL))
+              .when(~F.col("_customer_ok"), F.lit(CUSTOMER_NOT_FOUND))
               .when(F.col("_already").isNotNull() | (F.col("_ord") > F.col("_first")), F.lit(DUPLICATE)))
     return r.select(*requests.columns, reason.isNull().alias("accepted"), reason.alias("reason"))
 

@@ -42,20 +42,19 @@ def _union(frames: list[DataFrame], g: Gallery) -> DataFrame:
 # ----------------------------------------------------------------- C1, C2, C3
 
 def audit_keys(g: Gallery) -> DataFrame:
-    """Primary keys are not NULL and unique (one row per repeated key)."""
+    """Primary keys are not NULL (one row per such row) and unique (one row
+    per repeated key).  One count per key and table finds both."""
     frames = []
     for table, cols in S.PRIMARY_KEYS.items():
-        df = g.table(table)
         any_null = F.lit(False)
         for c in cols:
             any_null = any_null | F.col(c).isNull()
-        frames.append(df.filter(any_null).select(
-            F.lit(table).alias("table_name"), F.lit("pk_null").alias("rule"), key_text(cols).alias("key"),
-            F.lit("").alias("detail")))
-        dup = df.filter(~any_null).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
-        frames.append(dup.select(
-            F.lit(table).alias("table_name"), F.lit("pk_duplicate").alias("rule"), key_text(cols).alias("key"),
-            F.col("_n").cast("string").alias("detail")))
+        counted = g.table(table).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+        null = F.array_repeat(F.struct(F.lit("pk_null").alias("rule"), F.lit("").alias("detail")), F.col("_n").cast("int"))
+        twice = F.array(F.struct(F.lit("pk_duplicate").alias("rule"), F.col("_n").cast("string").alias("detail")))
+        found = F.explode(F.when(any_null, null).when(F.col("_n") > 1, twice)).alias("_f")
+        frames.append(counted.filter(any_null | (F.col("_n") > 1)).select(key_text(cols).alias("key"), found).select(
+            F.lit(table).alias("table_name"), "_f.rule", "key", "_f.detail"))
     return _union(frames, g)
 
 
@@ -80,7 +79,7 @@ def audit_foreign_keys(g: Gallery) -> DataFrame:
     """No orphans (a NULL reference is allowed)."""
     frames = []
     for child, column, parent, parent_col, _ in S.FOREIGN_KEYS:
-        refs = g.table(parent).select(F.col(parent_col).alias("_ref")).distinct()
+        refs = g.table(parent).select(F.col(parent_col).alias("_ref"))
         c = g.table(child).filter(F.col(column).isNotNull())
         orphans = c.join(refs, c[column] == refs["_ref"], "left_anti")
         frames.append(orphans.select(

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions.columns import try_int
-from vitrine.operators import admission
+from vitrine.functions.running import in_chunks, running_sum
+from vitrine.operators.admission import stock_after
 
 # Problem codes; the message texts below follow the source application's checkout messages.
 MISSING = "missing"
@@ -27,8 +28,9 @@ def cart_state(events: DataFrame, order_cols: Sequence[str]) -> DataFrame:
     (user_id, artifact_id, kind in add/set/checkout, qty text, order columns).
 
     add: quantity at least 1, accumulates; set: overwrites, <= 0 removes;
-    checkout: empties the user's cart; a quantity that is not an integer makes
-    the add or set a no-op."""
+    checkout: empties the user's cart; a quantity that is not a 32-bit integer
+    in plain digits makes the add or set a no-op.  Quantities are long, so adds
+    cannot overflow a cart."""
     ev = events.select("user_id", "artifact_id", "kind", try_int("qty").alias("_q"),
                        F.struct(*order_cols).alias("_ord"))
     checkouts = (ev.filter(F.col("kind") == "checkout").groupBy("user_id")
@@ -52,16 +54,16 @@ def cart_state(events: DataFrame, order_cols: Sequence[str]) -> DataFrame:
                     .otherwise(F.lit(0)).alias("_base")))
     lines = base.join(counted, ["user_id", "artifact_id"], "full")
     qty = F.coalesce("_base", F.lit(0)) + F.coalesce("_added", F.lit(0))
-    return lines.select("user_id", "artifact_id", qty.cast("int").alias("qty")).filter(F.col("qty") > 0)
+    return lines.select("user_id", "artifact_id", qty.cast("bigint").alias("qty")).filter(F.col("qty") > 0)
 
 
 def price_cart(cart: DataFrame, artifact: DataFrame) -> DataFrame:
     """K2: priced cart lines; unknown artifacts are dropped; ``cart_total`` per user."""
     lines = (cart.join(artifact.select("artifact_id", "title", "price", "image"), "artifact_id", "inner")
-             .withColumn("subtotal", (F.col("price") * F.col("qty")).cast("decimal(23,2)")))
+             .withColumn("subtotal", (F.col("price") * F.col("qty").cast("bigint")).cast("decimal(33,2)")))
     # Cart totals as an aggregate joined back (map-side combined), not a window:
     # a user with a huge cart never lands whole in one task.
-    totals = lines.groupBy("user_id").agg(F.sum("subtotal").cast("decimal(33,2)").alias("cart_total"))
+    totals = lines.groupBy("user_id").agg(F.sum("subtotal").cast("decimal(38,2)").alias("cart_total"))
     return (lines.join(totals, "user_id", "inner")
             .select("user_id", "artifact_id", "title", "price", "image", "qty", "subtotal", "cart_total"))
 
@@ -92,28 +94,58 @@ def checkout_status(cart: DataFrame, artifact: DataFrame) -> DataFrame:
             .withColumn("ok", F.col("problems") == 0))
 
 
-def post_checkout(cart: DataFrame, artifact: DataFrame, order_cols: Sequence[str] = ("user_id", "artifact_id"),
+UNDECIDED, REFUSED, ACCEPTED = 0, 1, 2
+
+
+def settle_carts(lines: DataFrame, cart: Sequence[str] = ("user_id",)) -> DataFrame:
+    """Which carts pass when they are checked out one after the other, each as a
+    whole: (cart columns, accepted) from lines (cart columns, artifact_id, qty,
+    stock), one line per cart and artifact.
+
+    A cart passes if the carts accepted before it leave enough for each of its
+    lines.  Rounds narrow that down for all carts at once: counting only carts
+    already accepted before it, a line that does not fit refuses its cart for
+    good; counting the undecided ones too, lines that all fit accept it.  The
+    first undecided cart is always decided, and mostly nearly all are."""
+    cart = list(cart)
+    rows = in_chunks(lines.select(*cart, "artifact_id", "qty", "stock"), ["artifact_id"], cart)
+    status = rows.select(*cart).distinct().withColumn("status", F.lit(UNDECIDED)).checkpoint()
+    while status.filter(F.col("status") == UNDECIDED).limit(1).count():
+        open_rows = rows.join(status, cart).filter(F.col("status") != REFUSED)
+        sure = F.when(F.col("status") == ACCEPTED, F.col("qty")).otherwise(F.lit(0))
+        upto = running_sum(open_rows, ["artifact_id"], cart, sure, "_sure")
+        upto = running_sum(upto, ["artifact_id"], cart, F.col("qty"), "_most")
+        left_most = F.col("stock") - (F.col("_sure") - sure)
+        left_least = F.col("stock") - (F.col("_most") - F.col("qty"))
+        judged = upto.filter(F.col("status") == UNDECIDED).groupBy(*cart).agg(
+            F.max(F.col("qty") > left_most).alias("_bad"), F.min(F.col("qty") <= left_least).alias("_good"))
+        now = F.when(F.col("_bad"), F.lit(REFUSED)).when(F.col("_good"), F.lit(ACCEPTED)).otherwise(F.col("status"))
+        status = status.join(judged, cart, "left").select(*cart, now.alias("status")).checkpoint()
+    return status.select(*cart, (F.col("status") == ACCEPTED).alias("accepted"))
+
+
+def post_checkout(cart: DataFrame, artifact: DataFrame, order_cols: Sequence[str] = ("user_id",),
                   users: DataFrame | None = None, at: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """K4: check out every cart that passes K3, all at once.
-
-    Lines of passing carts go through purchase admission (A1) in cart order, so
-    two carts competing for the last units are settled like two checkouts in
-    a row; stock is decremented once.  Returns (posted purchase lines with
-    amount ``round(price * qty, 2)`` and payment method Card, new artifact
-    snapshot)."""
+    """K4: check out every cart that passes K3, one after the other in the order of
+    ``order_cols`` (which name a cart), each as a whole.
+
+    A cart that an earlier one leaves short posts nothing and takes nothing; so
+    does a cart of an unknown user.  Stock is decremented once.  Returns (posted
+    purchase lines with amount ``round(price * qty, 2)`` and payment method Card,
+    new artifact snapshot)."""
+    key = list(dict.fromkeys([*order_cols, "user_id"]))
     ok = checkout_status(cart, artifact).filter(F.col("ok")).select("user_id")
+    if users is not None:
+        ok = ok.join(users.select("user_id").distinct(), "user_id", "left_semi")
     lines = (cart.filter(F.col("qty") > 0).join(ok, "user_id", "left_semi")
-             .select(F.col("user_id").alias("customer_id"), "artifact_id", F.col("qty").alias("quantity"),
-                     "user_id"))
-    order = [("customer_id" if c == "user_id" else c) for c in order_cols]
-    # Hot artifacts are counted on all cart lines (cheap), not on the validated ones.
-    admitted = admission.admit_purchases(lines.drop("user_id"), artifact.select("artifact_id", "quantity"),
-                                         order, users=users, hot_source=cart.select("artifact_id"))
-    priced = admitted.filter(F.col("accepted")).join(artifact.select("artifact_id", "price"), "artifact_id")
-    posted = priced.select(
+             .join(artifact.select("artifact_id", F.col("quantity").alias("stock")), "artifact_id"))
+    passed = settle_carts(lines, key).filter("accepted").select(*key)
+    taken = lines.join(passed, key, "left_semi").select(
+        F.col("user_id").alias("customer_id"), "artifact_id", F.col("qty").cast("int").alias("quantity")).checkpoint()
+    posted = taken.join(artifact.select("artifact_id", "price"), "artifact_id").select(
         "customer_id", "artifact_id",
         (at if at is not None else F.localtimestamp().cast("timestamp_ntz")).alias("purchase_ts"),
         "quantity",
         F.round(F.col("price") * F.col("quantity"), 2).cast("decimal(12,2)").alias("total_amount"),
         F.lit("Card").alias("payment_method"))
-    return posted, admission.stock_after(admitted, artifact)
+    return posted, stock_after(taken.withColumn("accepted", F.lit(True)), artifact)

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from vitrine.functions.columns import EM_DASH, all_of, blank_to_none, full_name, text_contains
 from vitrine.sources.tables import Gallery
 
-ARTIFACT_COLUMNS = ["artifact_id", "artist_id", "museum_id", "title", "description", "type", "price",
-                    "quantity", "image", "created_at"]
+ARTIFACT_COLUMNS = ["artifact_id", "artist_id", "museum_id", "title", "description", "type", "quality", "owner",
+                    "price", "quantity", "image", "created_at"]
 
 
 def _as_date(as_of) -> Column:
@@ -94,8 +94,8 @@ def upcoming_exhibitions_with_museum(g: Gallery, as_of=None) -> DataFrame:
     museums = g.museum.select("museum_id", F.col("name").alias("museum_name"))
     return (g.exhibition.filter(F.col("start_date") >= _as_date(as_of))
             .join(museums, "museum_id", "left")
-            .select("title", "theme", "start_date", "end_date", "capacity", "museum_name")
-            .orderBy("start_date"))
+            .orderBy("start_date", "exhibition_id")
+            .select("title", "theme", "start_date", "end_date", "capacity", "museum_name"))
 
 
 def upcoming_exhibitions(g: Gallery, as_of=None, n: int = 100) -> DataFrame:
@@ -110,7 +110,7 @@ def faceted_search(g: Gallery, text: str | None = None, type_: str | None = None
                    min_price=None, max_price=None, museum_id: int | None = None,
                    artist_id: int | None = None, accents: bool = True) -> DataFrame:
     """Q8: search by text, type, inclusive price range, museum and artist; shows
-    artist and museum names."""
+    image, stock, artist and museum names."""
     conds = _search_filters(g, text, type_, accents=accents)
     if min_price is not None:
         conds.append(F.col("price") >= F.lit(min_price).cast("decimal(12,2)"))
@@ -124,7 +124,7 @@ def faceted_search(g: Gallery, text: str | None = None, type_: str | None = None
     museums = g.museum.select("museum_id", F.col("name").alias("museum_name"))
     return (g.artifact.filter(all_of(conds))
             .join(artists, "artist_id", "left").join(museums, "museum_id", "left")
-            .select("artifact_id", "title", "type", "price", "artist_name", "museum_name")
+            .select("artifact_id", "title", "type", "price", "quantity", "image", "artist_name", "museum_name")
             .orderBy(F.desc("price"), F.asc("artifact_id")))
 
 

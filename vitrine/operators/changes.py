@@ -55,11 +55,13 @@ def max_id(df: DataFrame, column: str) -> Column:
 def defaults(table: str, now: Column | None = None) -> dict[str, Column]:
     """Declared column defaults of a table."""
     now = now if now is not None else F.localtimestamp().cast("timestamp_ntz")
+    # Fixed values, as the source application declares them.
     d = {
         "users": {"role": F.lit("Customer"), "created_at": now},
         "museum": {"capacity": F.lit(100), "created_at": now},
         "artifact": {"type": F.lit("Other"), "price": F.lit(0), "quantity": F.lit(0), "created_at": now},
-        "exhibition": {"capacity": F.lit(200)},
+        "exhibition": {"capacity": F.lit(200), "created_at": now},
+        "virtual_record": {"created_at": now},
         "exhibition_artifact": {"display_order": F.lit(1)},
         "attends": {"attended_at": now},
         "visits": {"visit_date": F.to_date(now)},
@@ -92,6 +94,14 @@ def _with_blank_fields(raw: DataFrame, fields: Sequence[str]) -> DataFrame:
     return raw
 
 
+def _title_missing() -> tuple[Column, Column]:
+    return F.col("title").isNull(), F.lit("title_missing")
+
+
+def _title_too_long(table: str) -> tuple[Column, Column]:
+    return F.char_length("title") > S.VARCHAR_LIMITS[(table, "title")], F.lit("title_too_long")
+
+
 def _blank(c: str) -> Column:
     return F.nullif(F.trim(F.col(c)), F.lit(""))
 
@@ -103,7 +113,9 @@ def append_artifacts(g: Gallery, raw: DataFrame, order_cols: Sequence[str],
 
     Title and description are trimmed; blank price/quantity mean 0; blank museum
     means none; a missing type is 'Other'; an image with a bad extension is
-    dropped.  Rows that the database would refuse get a ``reason`` and no id."""
+    dropped.  Rows that the database would refuse (missing or over-long title, a
+    type outside the domain, negative numbers, an unknown artist or museum) get a
+    ``reason`` and no id; an artist may be NULL."""
     raw = _with_blank_fields(raw, ["description", "type", "price", "quantity", "museum", "image"])
     price_txt, qty_txt, museum_txt = _blank("price"), _blank("quantity"), _blank("museum")
     price = F.when(price_txt.isNull(), F.lit(0).cast("decimal(12,2)")).otherwise(price_txt.try_cast("decimal(12,2)"))
@@ -122,15 +134,18 @@ def append_artifacts(g: Gallery, raw: DataFrame, order_cols: Sequence[str],
         (museum_txt.isNotNull() & museum_id.isNull()).alias("_bad_museum"),
     )
     known = g.museum.select("museum_id", F.lit(True).alias("_museum_ok"))
-    j = clean.join(known, "museum_id", "left")
+    artists = g.users.select(F.col("user_id").alias("artist_id"), F.lit(True).alias("_artist_ok"))
+    j = clean.join(known, "museum_id", "left").join(artists, "artist_id", "left")
     reason = (F.when(F.col("price").isNull(), F.lit("bad_price"))
               .when(F.col("quantity").isNull(), F.lit("bad_quantity"))
               .when(F.col("_bad_museum"), F.lit("bad_museum"))
+              .when(*_title_missing()).when(*_title_too_long("artifact"))
               .when(~F.col("type").isin(*g.type_domain), F.lit("bad_type"))
               .when(F.col("price") < 0, F.lit("price_negative"))
               .when(F.col("quantity") < 0, F.lit("quantity_negative"))
+              .when(F.col("artist_id").isNotNull() & F.col("_artist_ok").isNull(), F.lit("artist_not_found"))
               .when(F.col("museum_id").isNotNull() & F.col("_museum_ok").isNull(), F.lit("museum_not_found")))
-    judged = j.withColumn("reason", reason).drop("_bad_museum", "_museum_ok")
+    judged = j.withColumn("reason", reason).drop("_bad_museum", "_museum_ok", "_artist_ok")
     ok = assign_ids(judged.filter(F.col("reason").isNull()), order_cols, max_id(g.artifact, "artifact_id"),
                     "artifact_id")
     ok = ok.withColumn("created_at", now if now is not None else F.localtimestamp().cast("timestamp_ntz"))
@@ -142,12 +157,13 @@ def append_artifacts(g: Gallery, raw: DataFrame, order_cols: Sequence[str],
 
 # ------------------------------------------------------------------------- W2
 
-def append_exhibitions(g: Gallery, raw: DataFrame, order_cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def append_exhibitions(g: Gallery, raw: DataFrame, order_cols: Sequence[str],
+                       now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Exhibition form rows (title, theme, start, end, capacity, museum as
     text, artist_id) -> (new exhibition snapshot, outcome per raw row).
 
-    Checks in the source's order: form parsing (capacity blank means 0,
-    museum required), organiser (A3), end not before start, museum exists."""
+    Checks: form parsing (capacity blank means 0, museum required), title present
+    and short enough, organiser (A3), end not before start, museum exists."""
     raw = _with_blank_fields(raw, ["theme", "start", "end", "capacity", "museum"])
     start, end = _blank("start"), _blank("end")
     cap_txt = _blank("capacity")
@@ -168,13 +184,14 @@ def append_exhibitions(g: Gallery, raw: DataFrame, order_cols: Sequence[str]) ->
     reason = (F.when(F.col("capacity").isNull(), F.lit("bad_capacity"))
               .when(F.col("museum_id").isNull(), F.lit("bad_museum"))
               .when(F.col("_bad_date"), F.lit("bad_date"))
+              .when(*_title_missing()).when(*_title_too_long("exhibition"))
               .when(F.col("_organiser").isNotNull(), F.col("_organiser"))
               .when(F.col("end_date") < F.col("start_date"), F.lit("end_before_start"))
               .when(F.col("_museum_ok").isNull(), F.lit("museum_not_found")))
     judged = j.withColumn("reason", reason).drop("_bad_date", "_organiser", "_museum_ok", "accepted")
     ok = assign_ids(judged.filter(F.col("reason").isNull()), order_cols,
                     max_id(g.exhibition, "exhibition_id"), "exhibition_id")
-    new_rows = column_defaults(ok, "exhibition")
+    new_rows = column_defaults(ok, "exhibition", now)
     outcome = ok.unionByName(
         judged.filter(F.col("reason").isNotNull()).withColumn("exhibition_id", F.lit(None).cast("bigint")))
     return g.exhibition.unionByName(new_rows), outcome
@@ -326,6 +343,10 @@ def rekey(g: Gallery, user_map: DataFrame | None = None, museum_map: DataFrame |
         if maps[parent] is not None:
             targets.setdefault(child, []).append((column, parent))
 
+    if not targets:
+        spark = g.users.sparkSession
+        return g, spark.createDataFrame(
+            [], "table_name string, key string, column_name string, old_value bigint, new_value bigint")
     tables, logs = {}, []
     for table, changes in targets.items():
         df = g.table(table).withColumn("_key", _key(table))

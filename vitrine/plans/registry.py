@@ -67,125 +67,106 @@ from vitrine.operators import reports as R  # noqa: E402
 # ------------------------------------------------------------------ reports
 
 
+SOLD_CTE = """
+sold AS (SELECT artifact_id, sum(quantity) AS units, sum(total_amount) AS money FROM purchase GROUP BY artifact_id)"""
+SPEND_CTES = """
+spend AS (SELECT customer_id, sum(total_amount) AS amount FROM purchase GROUP BY customer_id),
+weighed AS (SELECT customer_id, amount, amount * count(*) OVER () > sum(amount) OVER () AS above FROM spend)"""
+
+
 @register("top_customers", "R1", with_adapter(f"""
-SELECT u.user_id AS customer_id, {name('u')} AS name, CAST(sum(p.total_amount) AS DECIMAL(22,2)) AS total_spent
-FROM purchase p JOIN users u ON u.user_id = p.customer_id
-GROUP BY u.user_id, name
-ORDER BY total_spent DESC, customer_id
-LIMIT 10"""))
+SELECT customer_id, {name('u')} AS name, CAST(amount AS DECIMAL(22,2)) AS total_spent
+FROM spend JOIN users u ON u.user_id = customer_id
+QUALIFY row_number() OVER (ORDER BY amount DESC, customer_id) <= 10""", SPEND_CTES))
 def _top_customers(g, spark, sf):
     return R.top_customers(g, 10)
 
 
 @register("best_selling", "R2", with_adapter("""
-SELECT a.artifact_id, a.title,
-       CAST(COALESCE(sum(p.quantity), 0) AS BIGINT) AS units_sold,
-       CAST(COALESCE(sum(p.total_amount), 0) AS DECIMAL(22,2)) AS revenue
-FROM artifact a LEFT JOIN purchase p ON p.artifact_id = a.artifact_id
-GROUP BY a.artifact_id, a.title
-ORDER BY units_sold DESC, revenue DESC, artifact_id
-LIMIT 20"""))
+SELECT artifact_id, title, CAST(ifnull(units, 0) AS BIGINT) AS units_sold,
+       CAST(ifnull(money, 0) AS DECIMAL(22,2)) AS revenue
+FROM artifact LEFT JOIN sold USING (artifact_id)
+QUALIFY row_number() OVER (ORDER BY ifnull(units, 0) DESC, ifnull(money, 0) DESC, artifact_id) <= 20""", SOLD_CTE))
 def _best_selling(g, spark, sf):
     return R.best_selling(g, 20)
 
 
-SPEND_CTES = """
-cust_spend AS (SELECT customer_id, sum(total_amount) AS total_spent FROM purchase GROUP BY customer_id),
-avg_spend AS (SELECT sum(total_spent) AS s, count(*) AS n FROM cust_spend)"""
-
-
 @register("customers_above_avg", "R3", with_adapter(f"""
-SELECT u.user_id AS customer_id, {name('u')} AS name, CAST(cs.total_spent AS DECIMAL(22,2)) AS total_spent
-FROM cust_spend cs JOIN users u ON u.user_id = cs.customer_id
-WHERE cs.total_spent * (SELECT n FROM avg_spend) > (SELECT s FROM avg_spend)
-ORDER BY total_spent DESC, customer_id
-LIMIT 50""", SPEND_CTES))
+SELECT customer_id, {name('u')} AS name, CAST(amount AS DECIMAL(22,2)) AS total_spent
+FROM (FROM weighed WHERE above) w JOIN users u ON u.user_id = w.customer_id
+QUALIFY row_number() OVER (ORDER BY amount DESC, customer_id) <= 50""", SPEND_CTES))
 def _customers_above_avg(g, spark, sf):
     return R.customers_above_avg(g, 50)
 
 
 @register("customers_above_avg_names", "R4", with_adapter(f"""
 SELECT {name('u')} AS customer_name
-FROM users u
-WHERE u.user_id IN (SELECT customer_id FROM cust_spend
-                    WHERE total_spent * (SELECT n FROM avg_spend) > (SELECT s FROM avg_spend))""", SPEND_CTES))
+FROM users u SEMI JOIN (FROM weighed WHERE above) w ON w.customer_id = u.user_id""", SPEND_CTES))
 def _customers_above_avg_names(g, spark, sf):
     return R.customers_above_avg_names(g)
 
 
 @register("artist_revenue", "R5", with_adapter(f"""
-SELECT a.artist_id, {name('u')} AS artist_name,
-       CAST(COALESCE(sum(p.total_amount), 0) AS DECIMAL(22,2)) AS revenue
-FROM artifact a
-JOIN users u ON u.user_id = a.artist_id
-LEFT JOIN purchase p ON p.artifact_id = a.artifact_id
-GROUP BY a.artist_id, artist_name
-ORDER BY revenue DESC, artist_id
-LIMIT 50"""))
+SELECT artist_id, {name('u')} AS artist_name, CAST(earned AS DECIMAL(22,2)) AS revenue
+FROM (SELECT artist_id, sum(ifnull(money, 0)) AS earned FROM artifact LEFT JOIN sold USING (artifact_id)
+      GROUP BY artist_id) w JOIN users u ON u.user_id = w.artist_id
+QUALIFY row_number() OVER (ORDER BY earned DESC, artist_id) <= 50""", SOLD_CTE))
 def _artist_revenue(g, spark, sf):
     return R.artist_revenue(g, 50)
 
 
 @register("multi_seller_artists", "R6", with_adapter(f"""
-SELECT a.artist_id, {name('u')} AS artist_name, count(DISTINCT p.artifact_id) AS artifacts_sold
-FROM artifact a
-JOIN purchase p ON a.artifact_id = p.artifact_id
-JOIN users u ON a.artist_id = u.user_id
-GROUP BY a.artist_id, artist_name
-HAVING count(DISTINCT p.artifact_id) > 1"""))
+SELECT artist_id, {name('u')} AS artist_name, works AS artifacts_sold
+FROM (SELECT artist_id, count(*) AS works FROM artifact SEMI JOIN purchase USING (artifact_id) GROUP BY artist_id) w
+JOIN users u ON u.user_id = w.artist_id
+WHERE works >= 2"""))
 def _multi_seller_artists(g, spark, sf):
     return R.multi_seller_artists(g, 1)
 
 
 @register("museum_sales_ranked", "R7", with_adapter("""
-SELECT museum_id, name, total_sales, CAST(rank() OVER (ORDER BY total_sales DESC) AS INTEGER) AS sales_rank
-FROM (
-  SELECT m.museum_id, m.name, CAST(COALESCE(sum(p.total_amount), 0) AS DECIMAL(22,2)) AS total_sales
-  FROM museum m
-  LEFT JOIN artifact a ON a.museum_id = m.museum_id
-  LEFT JOIN purchase p ON p.artifact_id = a.artifact_id
-  GROUP BY m.museum_id, m.name
-) ms"""))
+SELECT museum_id, name, total_sales,
+       CAST(1 + (SELECT count(*) FROM takings o WHERE o.total_sales > t.total_sales) AS INTEGER) AS sales_rank
+FROM takings t""", SOLD_CTE + """,
+shown AS (SELECT museum_id, sum(money) AS money FROM sold JOIN artifact USING (artifact_id) GROUP BY museum_id),
+takings AS (SELECT museum_id, name, CAST(ifnull(money, 0) AS DECIMAL(22,2)) AS total_sales
+            FROM museum LEFT JOIN shown USING (museum_id))"""))
 def _museum_sales_ranked(g, spark, sf):
     return R.museum_sales_ranked(g)
 
 
-@register("type_max_price", "R8", with_adapter(f"""
-SELECT type, artifact_id, title, price
-FROM (SELECT a.*, row_number() OVER (PARTITION BY type ORDER BY price DESC, artifact_id) AS rn FROM artifact a) t
-WHERE rn = 1
-ORDER BY {DRIVER_TYPE_CASE} NULLS FIRST, artifact_id
-LIMIT 50"""))
+@register("type_max_price", "R8", with_adapter("""
+SELECT DISTINCT ON (type) type, artifact_id, title, price FROM artifact ORDER BY type, price DESC, artifact_id"""))
 def _type_max_price(g, spark, sf):
     return R.type_max_price(g, 50)
 
 
 @register("type_max_price_ties", "R9", with_adapter(f"""
-SELECT a.type AS artifact_type, a.artifact_id, a.title AS artifact_title, {name('u')} AS artist_name, a.price
-FROM artifact a JOIN users u ON a.artist_id = u.user_id
-WHERE a.price = (SELECT max(a2.price) FROM artifact a2 WHERE a2.type = a.type)"""))
+SELECT type AS artifact_type, artifact_id, title AS artifact_title, {name('u')} AS artist_name, price
+FROM (SELECT *, rank() OVER (PARTITION BY type ORDER BY price DESC) AS place FROM artifact WHERE type IS NOT NULL) w
+JOIN users u ON u.user_id = w.artist_id
+WHERE place = 1"""))
 def _type_max_price_ties(g, spark, sf):
     return R.type_max_price_ties(g)
 
 
 @register("above_artist_avg", "R10", with_adapter("""
-SELECT a1.artifact_id, a1.title, a1.price, a1.artist_id
-FROM artifact a1
-WHERE a1.price * (SELECT count(a2.price) FROM artifact a2 WHERE a2.artist_id = a1.artist_id)
-    > (SELECT sum(a2.price) FROM artifact a2 WHERE a2.artist_id = a1.artist_id)"""))
+SELECT artifact_id, title, price, artist_id FROM artifact WHERE artist_id IS NOT NULL
+QUALIFY price * count(price) OVER (PARTITION BY artist_id) > sum(price) OVER (PARTITION BY artist_id)"""))
 def _above_artist_avg(g, spark, sf):
     return R.above_artist_avg(g)
 
 
-@register("transactions", "R11", with_adapter(f"""
-SELECT p.purchase_id AS transaction_id, p.purchase_ts, {name('c')} AS customer_name, a.title AS artifact_title,
-       p.quantity, p.total_amount, {name('ar')} AS artist_name, m.name AS museum_name
-FROM purchase p
-JOIN users c ON p.customer_id = c.user_id
-JOIN artifact a ON p.artifact_id = a.artifact_id
-LEFT JOIN users ar ON a.artist_id = ar.user_id
-LEFT JOIN museum m ON a.museum_id = m.museum_id
-ORDER BY p.purchase_ts DESC, p.purchase_id DESC"""))
+@register("transactions", "R11", with_adapter("""
+SELECT sale.purchase_id AS transaction_id, sale.purchase_ts, buyer.called AS customer_name,
+       work.title AS artifact_title, sale.quantity, sale.total_amount, maker.called AS artist_name,
+       hall.name AS museum_name
+FROM purchase sale
+JOIN artifact work USING (artifact_id)
+JOIN called buyer ON buyer.id = sale.customer_id
+LEFT JOIN called maker ON maker.id = work.artist_id
+LEFT JOIN museum hall ON hall.museum_id = work.museum_id""", f"""
+called AS (SELECT user_id AS id, {name('users')} AS called FROM users)"""))
 def _transactions(g, spark, sf):
     return R.transactions(g)
 
@@ -220,7 +201,8 @@ def _low_stock(g, spark, sf):
 
 # ---------------------------------------------------------------- catalogue
 
-ART_COLS = "artifact_id, artist_id, museum_id, title, description, type, price, quantity, image, created_at"
+ART_COLS = ("artifact_id, artist_id, museum_id, title, description, type, quality, owner, price, quantity, image, "
+            "created_at")
 
 
 @register("catalogue", "Q1", with_adapter(f"""
@@ -263,7 +245,7 @@ def _museums_by_name(g, spark, sf):
 SELECT e.title, e.theme, e.start_date, e.end_date, e.capacity, m.name AS museum_name
 FROM exhibition e LEFT JOIN museum m ON e.museum_id = m.museum_id
 WHERE e.start_date >= DATE '{AS_OF}'
-ORDER BY e.start_date"""))
+ORDER BY e.start_date, e.exhibition_id"""))
 def _upcoming_with_museum(g, spark, sf):
     return Q.upcoming_exhibitions_with_museum(g, AS_OF)
 
@@ -277,15 +259,29 @@ def _upcoming(g, spark, sf):
     return Q.upcoming_exhibitions(g, AS_OF, 100)
 
 
-@register("faceted_search", "Q8", with_adapter(f"""
-SELECT a.artifact_id, a.title, a.type, a.price, {name('u')} AS artist_name, m.name AS museum_name
+def _faceted_sql(where):
+    return with_adapter(f"""
+SELECT a.artifact_id, a.title, a.type, a.price, a.quantity, a.image, {name('u')} AS artist_name, m.name AS museum_name
 FROM artifact a LEFT JOIN users u ON a.artist_id = u.user_id LEFT JOIN museum m ON a.museum_id = m.museum_id
-WHERE a.title ILIKE '%blue%' AND a.price BETWEEN 920 AND 980
-ORDER BY a.price DESC, a.artifact_id"""))
+WHERE {where}
+ORDER BY a.price DESC, a.artifact_id""")
+
+
+@register("faceted_search", "Q8", _faceted_sql("a.title ILIKE '%blue%' AND a.price BETWEEN 920 AND 980"))
 def _faceted_search(g, spark, sf):
     return Q.faceted_search(g, text="blue", min_price=920, max_price=980)
 
 
+@register("faceted_search_museum", "Q8", _faceted_sql("a.type = 'SMALL' AND a.museum_id = 5"))
+def _faceted_search_museum(g, spark, sf):
+    return Q.faceted_search(g, type_="small", museum_id=5)
+
+
+@register("faceted_search_artist", "Q8", _faceted_sql("a.artist_id = 10000004 AND a.price >= 900"))
+def _faceted_search_artist(g, spark, sf):
+    return Q.faceted_search(g, artist_id=adapter.ARTIST_BASE + 4, min_price=900)
+
+
 @register("artifacts_by_ids", "Q9", with_adapter("""
 SELECT artifact_id, title, price, image FROM artifact
 WHERE artifact_id IN (SELECT artifact_id FROM exhibition_artifact)"""))
@@ -346,12 +342,13 @@ def _admit_purchases(g, spark, sf):
 
 A2_CTES = """
 req AS (
-  SELECT ts, event_id, user_id % 40 AS customer_id, event_id % 97 AS exhibition_id
+  SELECT ts, event_id, CASE WHEN event_id % 53 = 0 THEN NULL WHEN event_id % 59 = 0 THEN user_id + 50000000
+                            ELSE user_id END AS customer_id, event_id % (SELECT n FROM ex_count) AS exhibition_id
   FROM events WHERE event_type IN ('view', 'click')
 ),
 flag AS (
-  SELECT req.*,
-         a.customer_id IS NULL
+  SELECT req.*, req.customer_id IN (SELECT user_id FROM users) AS known,
+         coalesce(req.customer_id IN (SELECT user_id FROM users), false) AND a.customer_id IS NULL
            AND row_number() OVER (PARTITION BY req.exhibition_id, req.customer_id ORDER BY req.ts, req.event_id) = 1
            AS first_time
   FROM req LEFT JOIN attends a ON a.customer_id = req.customer_id AND a.exhibition_id = req.exhibition_id
@@ -373,6 +370,7 @@ decided AS (
          CASE WHEN ex.exhibition_id IS NULL OR ex.capacity IS NULL THEN 'Exhibition not found'
               WHEN ex.existing + least(run.ft_before, greatest(ex.capacity - ex.existing, 0)) >= ex.capacity
                 THEN 'Exhibition capacity full'
+              WHEN run.known IS NOT TRUE THEN 'Customer not found'
               WHEN NOT run.first_time THEN 'duplicate'
          END AS reason
   FROM run LEFT JOIN ex ON ex.exhibition_id = run.exhibition_id
@@ -383,12 +381,12 @@ decided AS (
 SELECT ts, event_id, customer_id, exhibition_id, reason IS NULL AS accepted, reason FROM decided""", A2_CTES))
 def _admit_attends(g, spark, sf):
     return A.admit_attends(adapter.attend_requests(spark, sf), g.attends, g.exhibition,
-                           adapter.ATTEND_REQUEST_ORDER)
+                           adapter.ATTEND_REQUEST_ORDER, users=g.users)
 
 
 @register("validate_exhibitions", "A3", with_adapter("""
-SELECT e.exhibition_id, e.title, e.theme, e.start_date, e.end_date, e.museum_id, e.capacity, e.artist_id,
-       reason IS NULL AS accepted, reason
+SELECT e.exhibition_id, e.title, e.theme, e.start_date, e.end_date, e.description, e.museum_id, e.capacity,
+       e.artist_id, e.created_at, reason IS NULL AS accepted, reason
 FROM (
   SELECT e.*, CASE WHEN u.role IS NULL THEN 'Artist_ID not found'
                    WHEN u.role <> 'Artist' THEN 'Only artists can organize exhibitions' END AS reason
@@ -404,11 +402,10 @@ from vitrine.operators import cart as K  # noqa: E402
 
 CART_CTES = """
 ev AS (
-  SELECT user_id, k % 20 AS artifact_id,
+  SELECT user_id, (k % 20 + (user_id // 10) * 20) % ((SELECT count(*) FROM part) + 1) AS artifact_id,
          CASE event_type WHEN 'view' THEN 'set' WHEN 'click' THEN 'add' ELSE 'checkout' END AS kind,
-         TRY_CAST(trim(CASE WHEN event_type = 'purchase' THEN NULL
-                            WHEN k % 9 = 8 THEN 'abc'
-                            ELSE CAST(k % 4 - 1 AS VARCHAR) END) AS INTEGER) AS q,
+         CASE WHEN event_type = 'purchase' OR k % 9 = 8 OR k = 51 THEN NULL  -- 'abc' and '1_0' are no numbers
+              WHEN k = 50 THEN 2147483647 ELSE k % 4 - 1 END AS q,
          row_number() OVER (ORDER BY ts, event_id) AS ord
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events
         WHERE event_type IN ('view', 'click', 'purchase')) e
@@ -426,7 +423,7 @@ cart AS (
                 + COALESCE((SELECT sum(greatest(1, e.q)) FROM ev e
                             WHERE e.kind = 'add' AND e.q IS NOT NULL AND e.user_id = p.user_id
                               AND e.artifact_id = p.artifact_id
-                              AND e.ord > greatest(COALESCE(chk.c, 0), COALESCE(ls.so, 0))), 0) AS INTEGER) AS qty
+                              AND e.ord > greatest(COALESCE(chk.c, 0), COALESCE(ls.so, 0))), 0) AS BIGINT) AS qty
     FROM pairs p
     LEFT JOIN chk ON chk.user_id = p.user_id
     LEFT JOIN lastset ls ON ls.user_id = p.user_id AND ls.artifact_id = p.artifact_id
@@ -475,8 +472,8 @@ def _cart_state(g, spark, sf):
 
 @register("price_cart", "K2", with_adapter("""
 SELECT c.user_id, c.artifact_id, a.title, a.price, a.image, c.qty,
-       CAST(a.price * c.qty AS DECIMAL(23,2)) AS subtotal,
-       CAST(sum(a.price * c.qty) OVER (PARTITION BY c.user_id) AS DECIMAL(33,2)) AS cart_total
+       CAST(CAST(a.price AS DECIMAL(33,2)) * c.qty AS DECIMAL(33,2)) AS subtotal,
+       CAST(sum(CAST(CAST(a.price AS DECIMAL(33,2)) * c.qty AS DECIMAL(33,2))) OVER (PARTITION BY c.user_id) AS DECIMAL(38,2)) AS cart_total
 FROM cart c JOIN artifact a ON a.artifact_id = c.artifact_id""", CART_CTES))
 def _price_cart(g, spark, sf):
     return K.price_cart(_cart(g, spark, sf), g.artifact)
@@ -490,35 +487,32 @@ def _validate_checkout(g, spark, sf):
 
 CHECKOUT_AT = "2024-02-01 00:00:00"
 K4_CTES = CHECKOUT_CTES + """,
-lines AS (
-  SELECT c.user_id AS customer_id, c.artifact_id, c.qty AS quantity, a.quantity AS stock0,
-         u.user_id IS NOT NULL AS cust_ok,
-         row_number() OVER (PARTITION BY c.artifact_id ORDER BY c.user_id) AS rn
-  FROM cart c
-  JOIN day_artifact a ON a.artifact_id = c.artifact_id
-  LEFT JOIN (SELECT DISTINCT user_id FROM users) u ON u.user_id = c.user_id
-  WHERE c.user_id NOT IN (SELECT user_id FROM problems)
-    AND a.quantity IS NOT NULL AND c.qty <= a.quantity
+baskets AS (
+  SELECT user_id, row_number() OVER (ORDER BY user_id) AS n,
+         list({'a': c.artifact_id, 'q': c.qty, 's': a.quantity}) AS wants
+  FROM cart c JOIN day_artifact a USING (artifact_id)
+  WHERE user_id NOT IN (SELECT user_id FROM problems) AND user_id IN (SELECT user_id FROM users)
+  GROUP BY user_id
 ),
-cfold(artifact_id, rn, accepted, remaining) AS (
-  SELECT artifact_id, rn, quantity <= stock0 AND cust_ok,
-         stock0 - CASE WHEN quantity <= stock0 AND cust_ok THEN quantity ELSE 0 END
-  FROM lines WHERE rn = 1
+settled(n, taken) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(u BIGINT, a BIGINT, q BIGINT)[])
   UNION ALL
-  SELECT l.artifact_id, l.rn, l.quantity <= f.remaining AND l.cust_ok,
-         f.remaining - CASE WHEN l.quantity <= f.remaining AND l.cust_ok THEN l.quantity ELSE 0 END
-  FROM cfold f JOIN lines l ON l.artifact_id = f.artifact_id AND l.rn = f.rn + 1
-)"""
+  SELECT b.n, CASE WHEN len(list_filter(b.wants, lambda w: w.q > w.s - coalesce(list_sum(list_transform(
+                       list_filter(s.taken, lambda t: t.a = w.a), lambda t: t.q)), 0))) = 0
+                   THEN list_concat(s.taken, list_transform(b.wants, lambda w: {'u': b.user_id, 'a': w.a, 'q': w.q}))
+                   ELSE s.taken END
+  FROM settled s JOIN baskets b ON b.n = s.n + 1
+),
+bought AS (SELECT unnest(taken, recursive := true) FROM settled WHERE n = (SELECT max(n) FROM settled))"""
 
 
 @register("post_checkout", "K4", with_adapter(f"""
-SELECT l.customer_id, l.artifact_id, TIMESTAMP '{CHECKOUT_AT}' AS purchase_ts, l.quantity,
-       CAST(round(a.price * l.quantity, 2) AS DECIMAL(12,2)) AS total_amount, 'Card' AS payment_method
-FROM lines l JOIN cfold f ON f.artifact_id = l.artifact_id AND f.rn = l.rn
-JOIN day_artifact a ON a.artifact_id = l.artifact_id
-WHERE f.accepted""", K4_CTES, recursive=True))
+SELECT u AS customer_id, a AS artifact_id, TIMESTAMP '{CHECKOUT_AT}' AS purchase_ts, CAST(q AS INTEGER) AS quantity,
+       CAST(round(d.price * q, 2) AS DECIMAL(12,2)) AS total_amount, 'Card' AS payment_method
+FROM bought JOIN day_artifact d ON d.artifact_id = a""", K4_CTES, recursive=True))
 def _post_checkout(g, spark, sf):
-    posted, _ = K.post_checkout(_cart(g, spark, sf), _day_artifact(g, spark, sf), users=g.users,
+    # Each is used several times below: worked out once.
+    posted, _ = K.post_checkout(_cart(g, spark, sf).checkpoint(), _day_artifact(g, spark, sf).checkpoint(), users=g.users,
                                 at=F.to_timestamp_ntz(F.lit(CHECKOUT_AT)))
     return posted
 
@@ -652,8 +646,10 @@ def _upload_forms(g):
     malformed numbers, blank / malformed / unknown museums, missing types."""
     k = F.col("artifact_id")
     return g.artifact.select(
-        k.alias("source_id"), "artist_id",
-        F.concat(F.lit("  "), F.col("title"), F.lit(" ")).alias("title"),
+        k.alias("source_id"),
+        F.when(k % 43 == 0, F.lit(99_999_999)).otherwise(F.col("artist_id")).alias("artist_id"),
+        F.when(k % 37 != 0, F.concat(F.lit("  "), F.repeat(F.col("title"), F.when(k % 41 == 0, F.lit(30)).otherwise(
+            F.lit(1))), F.lit(" "))).alias("title"),
         "description",
         F.when(k % 10 == 0, F.lit(None).cast("string")).otherwise(F.col("type")).alias("type"),
         F.when(k % 6 == 0, F.lit("")).when(k % 6 == 1, F.lit("n/a"))
@@ -673,9 +669,12 @@ FROM (
   SELECT c.*, CASE WHEN price IS NULL THEN 'bad_price'
                    WHEN quantity IS NULL THEN 'bad_quantity'
                    WHEN bad_museum THEN 'bad_museum'
+                   WHEN title IS NULL THEN 'title_missing'
+                   WHEN length(title) > 150 THEN 'title_too_long'
                    WHEN type NOT IN ({TYPE_LIST_SQL}) THEN 'bad_type'
                    WHEN price < 0 THEN 'price_negative'
                    WHEN quantity < 0 THEN 'quantity_negative'
+                   WHEN artist_id IS NOT NULL AND artist_id NOT IN (SELECT user_id FROM users) THEN 'artist_not_found'
                    WHEN c.museum_id IS NOT NULL AND m.museum_id IS NULL THEN 'museum_not_found' END AS reason
   FROM (
     SELECT source_id, artist_id, trim(title) AS title, trim(description) AS description,
@@ -690,7 +689,9 @@ FROM (
   ) c LEFT JOIN museum m ON m.museum_id = c.museum_id
 ) j""", """
 raw AS (
-  SELECT artifact_id AS source_id, artist_id, '  ' || title || ' ' AS title, description,
+  SELECT artifact_id AS source_id, CASE WHEN artifact_id % 43 = 0 THEN 99999999 ELSE artist_id END AS artist_id,
+         CASE WHEN artifact_id % 37 <> 0 THEN
+           '  ' || repeat(title, CASE WHEN artifact_id % 41 = 0 THEN 30 ELSE 1 END) || ' ' END AS title, description,
          CASE WHEN artifact_id % 10 = 0 THEN NULL ELSE type END AS type,
          CASE WHEN artifact_id % 6 = 0 THEN '' WHEN artifact_id % 6 = 1 THEN 'n/a' ELSE CAST(price AS VARCHAR) END AS price,
          CASE WHEN artifact_id % 4 = 0 THEN '' WHEN artifact_id % 4 = 1 THEN '-2' ELSE CAST(quantity AS VARCHAR) END
@@ -707,14 +708,15 @@ def _append_artifacts(g, spark, sf):
 
 
 def _exhibition_forms(spark, sf):
-    """Exhibition form rows from the high-priority orders."""
-    orders = adapter.read_driver(spark, sf, "orders").filter(F.col("o_orderpriority") == "2-HIGH")
+    """Exhibition form rows from the orders."""
+    orders = adapter.read_driver(spark, sf, "orders")
     n_sup = adapter.supplier_count(adapter.read_driver(spark, sf, "supplier"))
     k = F.col("o_orderkey")
     start = F.to_date("o_orderdate")
     return orders.select(
         k.alias("source_id"),
-        F.concat(F.lit("Exhibition "), k.cast("string")).alias("title"),
+        F.when(k % 37 != 0, F.concat(F.repeat(F.lit("Exhibition "), F.when(k % 41 == 0, F.lit(20)).otherwise(F.lit(1))),
+                                     k.cast("string"))).alias("title"),
         F.concat(F.lit(" Theme "), F.col("o_orderstatus"), F.lit(" ")).alias("theme"),
         start.cast("string").alias("start"),
         F.when(k % 7 == 0, F.lit("")).otherwise(F.date_add(start, (k % 40 - 3).cast("int")).cast("string"))
@@ -727,7 +729,9 @@ def _exhibition_forms(spark, sf):
 
 EXHIBITION_FORMS_CTE = """
 raw AS (
-  SELECT o_orderkey AS source_id, 'Exhibition ' || CAST(o_orderkey AS VARCHAR) AS title,
+  SELECT o_orderkey AS source_id,
+         CASE WHEN o_orderkey % 37 <> 0 THEN repeat('Exhibition ', CASE WHEN o_orderkey % 41 = 0 THEN 20 ELSE 1 END)
+              || CAST(o_orderkey AS VARCHAR) END AS title,
          ' Theme ' || o_orderstatus || ' ' AS theme,
          CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS start,
          CASE WHEN o_orderkey % 7 = 0 THEN ''
@@ -737,7 +741,7 @@ raw AS (
          CASE WHEN o_orderkey % 23 = 0 THEN '' ELSE CAST(o_orderkey % 27 AS VARCHAR) END AS museum,
          CASE WHEN o_orderkey % 31 = 0 THEN o_custkey
               ELSE o_orderkey % ((SELECT n FROM s_count) + 1) + 10000000 END AS artist_id
-  FROM orders WHERE o_orderpriority = '2-HIGH'
+  FROM orders
 )"""
 
 
@@ -749,6 +753,8 @@ FROM (
   SELECT p.*, CASE WHEN p.capacity IS NULL THEN 'bad_capacity'
                    WHEN p.museum_id IS NULL THEN 'bad_museum'
                    WHEN p.bad_date THEN 'bad_date'
+                   WHEN p.title IS NULL THEN 'title_missing'
+                   WHEN length(p.title) > 150 THEN 'title_too_long'
                    WHEN u.role IS NULL THEN 'Artist_ID not found'
                    WHEN u.role <> 'Artist' THEN 'Only artists can organize exhibitions'
                    WHEN p.end_date < p.start_date THEN 'end_before_start'
@@ -872,17 +878,16 @@ def _rekey(g, spark, sf):
 SELECT o_orderkey AS source_id,
        (SELECT max(exhibition_id) FROM exhibition) + row_number() OVER (ORDER BY o_orderdate, o_orderkey)
          AS exhibition_id
-FROM orders WHERE o_orderpriority = '2-HIGH'"""))
+FROM orders"""))
 def _assign_ids(g, spark, sf):
-    new = adapter.read_driver(spark, sf, "orders").filter(F.col("o_orderpriority") == "2-HIGH").select(
-        F.col("o_orderkey").alias("source_id"), "o_orderdate")
+    new = adapter.read_driver(spark, sf, "orders").select(F.col("o_orderkey").alias("source_id"), "o_orderdate")
     return W.assign_ids(new, ["o_orderdate", "source_id"], W.max_id(g.exhibition, "exhibition_id"),
                         "exhibition_id").select("source_id", "exhibition_id")
 
 
 @register("column_defaults", "W7", with_adapter(f"""
 SELECT artifact_id, artist_id, CAST(NULL AS INTEGER) AS museum_id, title, CAST(NULL AS VARCHAR) AS description,
-       'Other' AS type, CAST(0 AS DECIMAL(12,2)) AS price, 0 AS quantity, image,
+       'Other' AS type, CAST(NULL AS VARCHAR) AS quality, CAST(NULL AS VARCHAR) AS owner, CAST(0 AS DECIMAL(12,2)) AS price, 0 AS quantity, image,
        TIMESTAMP '{NOW}' AS created_at
 FROM artifact"""))
 def _column_defaults(g, spark, sf):
@@ -917,18 +922,20 @@ from vitrine.streaming import admission_stream as ST  # noqa: E402
 
 @register("stream_admit_purchases", "A4", REGISTRY["admit_purchases"].sql)
 def _stream_admit_purchases(g, spark, sf):
-    # The line items arrive as a file stream; the result written by the
-    # streaming query equals the batch admission.
-    out = ST.admit_purchases_stream(adapter.purchase_requests(spark, sf, stream=True),
-                                    adapter.restocked(g.artifact), adapter.PURCHASE_REQUEST_ORDER, users=g.users)
-    return ST.run_to_table(out, "admit_purchases")
+    # The line items arrive in waves by ship date; what the streaming query
+    # writes equals the batch admission.
+    return ST.replay(
+        adapter.purchase_requests(spark, sf), "l_shipdate", "admit_purchases",
+        lambda requests: ST.admit_purchases_stream(requests, adapter.restocked(g.artifact),
+                                                   adapter.PURCHASE_REQUEST_ORDER, users=g.users))
 
 
 @register("stream_admit_attends", "A5", REGISTRY["admit_attends"].sql)
 def _stream_admit_attends(g, spark, sf):
-    out = ST.admit_attends_stream(adapter.attend_requests(spark, sf, stream=True), g.attends, g.exhibition,
-                                  adapter.ATTEND_REQUEST_ORDER)
-    return ST.run_to_table(out, "admit_attends")
+    return ST.replay(
+        adapter.attend_requests(spark, sf), "ts", "admit_attends",
+        lambda requests: ST.admit_attends_stream(requests, g.attends, g.exhibition, adapter.ATTEND_REQUEST_ORDER,
+                                                 users=g.users))
 
 
 from vitrine.streaming import cart_stream as KS  # noqa: E402
@@ -936,6 +943,6 @@ from vitrine.streaming import cart_stream as KS  # noqa: E402
 
 @register("stream_cart_state", "K1s", REGISTRY["cart_state"].sql)
 def _stream_cart_state(g, spark, sf):
-    events = adapter.cart_events(spark, sf, stream=True)
-    versions = ST.run_to_table(KS.cart_state_stream(events, adapter.CART_EVENT_ORDER), "cart_state")
+    events = adapter.cart_events(spark, sf)
+    versions = ST.replay(events, "ts", "cart_state", lambda ev: KS.cart_state_stream(ev, adapter.CART_EVENT_ORDER))
     return KS.current_carts(versions, adapter.CART_EVENT_ORDER, dict(events.dtypes)["artifact_id"])

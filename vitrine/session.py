@@ -50,10 +50,14 @@ def ship_package(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and streaming state.
 
-    On a cluster this is the folder named by ``spark.checkpoint.dir``.  Only when
-    the setting is absent (local tests) a private temporary folder is used."""
+    On a cluster this is the folder named by ``spark.checkpoint.dir``, which must
+    be set.  Only a local master without the setting (tests) gets a private
+    temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="vitrine-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     sc = spark.sparkContext

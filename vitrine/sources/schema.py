@@ -13,14 +13,17 @@ ROLE_DOMAIN = ["Customer", "Artist", "Admin"]
 ARTIFACT_TYPE_DOMAIN = ["Painting", "Sculpture", "Digital", "Photography", "Other"]
 PAYMENT_DOMAIN = ["Card", "UPI", "Cash", "NetBanking"]
 IMAGE_EXTENSIONS = ["png", "jpg", "jpeg", "webp"]
-# Declared VARCHAR lengths, by (table, column).
+# Declared VARCHAR lengths, by (table, column).
 VARCHAR_LIMITS = {
     ("users", "fname"): 60,
     ("users", "lname"): 60,
     ("users", "email"): 150,
+    ("users", "contact_no"): 20,
     ("museum", "name"): 150,
     ("museum", "location"): 200,
     ("artifact", "title"): 150,
+    ("artifact", "quality"): 50,
+    ("artifact", "owner"): 150,
     ("artifact", "image"): 255,
     ("exhibition", "title"): 150,
     ("exhibition", "theme"): 150,
@@ -35,6 +38,9 @@ USERS = T.StructType([
     T.StructField("lname", T.StringType()),
     T.StructField("email", T.StringType()),
     T.StructField("role", T.StringType()),
+    T.StructField("contact_no", T.StringType()),
+    T.StructField("address", T.StringType()),
+    T.StructField("bio", T.StringType()),
     T.StructField("created_at", T.TimestampNTZType()),
 ])
 
@@ -53,6 +59,8 @@ ARTIFACT = T.StructType([
     T.StructField("title", T.StringType()),
     T.StructField("description", T.StringType()),
     T.StructField("type", T.StringType()),
+    T.StructField("quality", T.StringType()),
+    T.StructField("owner", T.StringType()),
     T.StructField("price", T.DecimalType(12, 2)),
     T.StructField("quantity", T.IntegerType()),
     T.StructField("image", T.StringType()),
@@ -65,9 +73,11 @@ EXHIBITION = T.StructType([
     T.StructField("theme", T.StringType()),
     T.StructField("start_date", T.DateType()),
     T.StructField("end_date", T.DateType()),
+    T.StructField("description", T.StringType()),
     T.StructField("museum_id", T.IntegerType()),
     T.StructField("capacity", T.IntegerType()),
     T.StructField("artist_id", T.LongType()),
+    T.StructField("created_at", T.TimestampNTZType()),
 ])
 
 PURCHASE = T.StructType([
@@ -98,6 +108,7 @@ VIRTUAL_RECORD = T.StructType([
     T.StructField("artifact_id", T.LongType()),
     T.StructField("service", T.StringType()),
     T.StructField("link", T.StringType()),
+    T.StructField("created_at", T.TimestampNTZType()),
 ])
 
 EXHIBITION_ARTIFACT = T.StructType([
@@ -118,6 +129,7 @@ SCHEMAS = {
     "exhibition_artifact": EXHIBITION_ARTIFACT,
 }
 
+# Fixed values, as the source application declares them, from here to the end.
 # Primary keys (C1) and unique columns.
 PRIMARY_KEYS = {
     "users": ["user_id"],

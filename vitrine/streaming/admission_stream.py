@@ -5,14 +5,17 @@ stock, capacity, existing attendances) is attached by stream-static joins;
 the running part (stock left, seats taken, customers already admitted) is
 kept per key in the state store by ``transformWithStateInPandas``.  Within a
 micro-batch a key's requests are sorted by the order columns; across
-micro-batches arrival order rules.  Run on the RocksDB state store provider
+micro-batches arrival order rules.  ``replay`` feeds a stored table in that
+order whatever files hold it: it is dealt by event time into waves of bounded
+size, which arrive one after the other.  Run on the RocksDB state store provider
 so state lives off the JVM heap and is checkpointed with the query.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -106,12 +109,14 @@ class StockFold(StatefulProcessor):
 
 def admit_purchases_stream(requests: DataFrame, stock: DataFrame, order_cols: Sequence[str],
                            users: DataFrame | None = None, key: str = "artifact_id",
-                           customer: str = "customer_id", buckets: int = 1024) -> DataFrame:
+                           customer: str = "customer_id", buckets: int | None = None) -> DataFrame:
     """A4: streaming A1.  ``requests`` is a streaming DataFrame; ``stock`` and
     ``users`` are static.  Output (append mode): request columns plus
     ``stock_before``, ``accepted``, ``reason``, as in the batch operator.
-    ``buckets`` is part of the state layout: keep it fixed for a checkpoint."""
+    ``buckets`` is part of the state layout: keep it fixed for a checkpoint.  By
+    default there are 16 per state partition."""
     use_rocksdb(requests.sparkSession)
+    buckets = buckets or 16 * state_partitions(requests.sparkSession)
     columns = requests.columns
     s = stock.select(F.col("artifact_id").alias(key), F.col("quantity").cast("long").alias("st_stock0"),
                      F.lit(True).alias("st_found"))
@@ -156,13 +161,15 @@ class SeatFold(StatefulProcessor):
         stored = self.taken.get()
         taken = stored[0] if stored is not None else 0
         accepted, reason = [], []
-        for c, cap, found, existing, already in zip(
+        for c, cap, found, existing, already, known in zip(
                 batch["customer_id"].tolist(), batch["capacity"].tolist(), batch["st_found"].tolist(),
-                batch["st_existing"].tolist(), batch["st_already"].tolist()):
+                batch["st_existing"].tolist(), batch["st_already"].tolist(), batch["st_customer_ok"].tolist()):
             if not found or cap is None or pd.isna(cap):
                 accepted.append(False), reason.append(EXHIBITION_NOT_FOUND)
             elif existing + taken >= cap:
                 accepted.append(False), reason.append(CAPACITY_FULL)
+            elif not known:
+                accepted.append(False), reason.append(CUSTOMER_NOT_FOUND)
             elif already or self._admitted(int(c)):
                 accepted.append(False), reason.append(DUPLICATE)
             else:
@@ -181,8 +188,8 @@ class SeatFold(StatefulProcessor):
 
 
 def admit_attends_stream(requests: DataFrame, attends: DataFrame, exhibition: DataFrame,
-                         order_cols: Sequence[str]) -> DataFrame:
-    """A5: streaming A2 (requests streaming; attends and exhibition static)."""
+                         order_cols: Sequence[str], users: DataFrame | None = None) -> DataFrame:
+    """A5: streaming A2 (requests streaming; attends, exhibition and users static)."""
     use_rocksdb(requests.sparkSession)
     columns = requests.columns
     e, c = "exhibition_id", "customer_id"
@@ -194,6 +201,11 @@ def admit_attends_stream(requests: DataFrame, attends: DataFrame, exhibition: Da
          .withColumn("st_found", F.coalesce("st_found", F.lit(False)))
          .withColumn("st_existing", F.coalesce("st_existing", F.lit(0)).cast("long"))
          .withColumn("st_already", F.coalesce("st_already", F.lit(False))))
+    if users is not None:
+        known = users.select(F.col("user_id").alias(c), F.lit(True).alias("st_customer_ok")).distinct()
+        r = r.join(known, c, "left").withColumn("st_customer_ok", F.coalesce("st_customer_ok", F.lit(False)))
+    else:
+        r = r.withColumn("st_customer_ok", F.col(c).isNotNull())
     out_schema = T.StructType(
         [requests.schema[x] for x in columns]
         + [T.StructField("accepted", T.BooleanType()), T.StructField("reason", T.StringType())])
@@ -212,13 +224,17 @@ def state_partitions(spark: SparkSession) -> int:
     return max(current, 4 * spark.sparkContext.defaultParallelism)
 
 
-def run_to_table(stream: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+TIMEOUT_S = 3600
+
+
+def run_to_table(stream: DataFrame, name: str, partitions: int | None = None, base: str | None = None,
+                 timeout_s: int = TIMEOUT_S) -> DataFrame:
     """Run a streaming query until its source is drained (``availableNow``),
-    writing parquet and its checkpoint below the shared checkpoint folder, and
-    return the written table.  The sink is exactly-once: a restarted query
-    resumes from its checkpoint."""
+    writing parquet and its checkpoint below the shared checkpoint folder (or
+    ``base``), and return the written table.  The sink is exactly-once: a
+    restarted query resumes from its checkpoint."""
     spark = stream.sparkSession
-    base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    base = base or f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
     previous = spark.conf.get("spark.sql.shuffle.partitions")
     # The query clones the session settings when it starts.
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions or state_partitions(spark)))
@@ -228,5 +244,49 @@ def run_to_table(stream: DataFrame, name: str, partitions: int | None = None) ->
                  .trigger(availableNow=True).start())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", previous)
-    query.awaitTermination()
+    if not query.awaitTermination(timeout_s):
+        query.stop()
+        raise TimeoutError(f"stream {name} did not drain in {timeout_s} s")
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
+
+
+ROWS_PER_WAVE = 2_000_000
+LEAST_WAVES = 3
+
+
+def replay(requests: DataFrame, time_col: str, name: str, process: Callable[[DataFrame], DataFrame],
+           rows_per_wave: int = ROWS_PER_WAVE) -> DataFrame:
+    """Feed a stored table to ``process`` (streaming frame in, streaming frame
+    out) in the order of ``time_col`` and return what the query wrote.
+
+    The table is dealt by time into waves of about ``rows_per_wave`` rows, three
+    at least; rows of one time stay together, so a key's rows in a micro-batch are
+    bounded by a wave.  Each wave lands as new files and is drained by the same
+    query, restarted from its checkpoint.  The result is checkpointed and the
+    folders of the replay are removed."""
+    spark = requests.sparkSession
+    base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    requests.write.parquet(f"{base}/all")
+    stored = spark.read.schema(requests.schema).parquet(f"{base}/all")
+    waves = max(LEAST_WAVES, math.ceil(stored.count() / rows_per_wave))
+    cuts = stored.agg(F.percentile_approx(F.unix_micros(F.col(time_col).cast("timestamp")),
+                                          [i / waves for i in range(1, waves)], 10_000)).first()[0] or [0] * (waves - 1)
+    wave = F.lit(0)
+    for cut in cuts:
+        wave = wave + (F.unix_micros(F.col(time_col).cast("timestamp")) > cut).cast("int")
+    stored.withColumn("wave", wave).repartition("wave", F.rand(1)).write.partitionBy("wave").parquet(f"{base}/dealt")
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(jvm.Path(f"{base}/landed"))
+    out = None
+    for i in range(waves):
+        if fs.exists(jvm.Path(f"{base}/dealt/wave={i}")):
+            fs.rename(jvm.Path(f"{base}/dealt/wave={i}"), jvm.Path(f"{base}/landed/w{i}"))
+            stream = spark.readStream.schema(requests.schema).option("recursiveFileLookup", "true").parquet(f"{base}/landed")
+            out = run_to_table(process(stream), name, base=base)
+    if out is None:
+        stream = spark.readStream.schema(requests.schema).parquet(f"{base}/landed")
+        out = spark.createDataFrame([], process(stream).schema)
+    out = out.checkpoint()
+    fs.delete(jvm.Path(base), True)
+    return out

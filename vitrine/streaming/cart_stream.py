@@ -1,12 +1,13 @@
 """Streaming form of the cart fold (K1): cart lines per user kept in state.
 
 Each micro-batch folds a user's events in order into the user's cart
-(``MapState`` artifact -> quantity) and emits the whole cart of every user it
-touched, versioned by the user's last event.  The current carts are the
-latest version per user, read back from the append-only sink."""
+(``MapState`` artifact -> quantity) and emits the lines it changed, 0 for one
+that went, versioned by the user's last event.  The current carts are the latest
+version of every line, read back from the append-only sink."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -20,13 +21,10 @@ from vitrine.streaming.admission_stream import _sorted, use_rocksdb
 
 
 def _as_int(text) -> int | None:
-    """Integer value of a form field; None when it is not an integer."""
-    if text is None:
-        return None
-    try:
-        return int(str(text).strip())
-    except ValueError:
-        return None
+    """As ``try_int``: 32-bit integers in plain digits with an optional sign."""
+    digits = re.fullmatch(r" *([+-]?[0-9]+) *", text) if isinstance(text, str) else None
+    value = int(digits[1]) if digits else None
+    return value if value is not None and -2 ** 31 <= value < 2 ** 31 else None
 
 
 class CartFold(StatefulProcessor):
@@ -39,6 +37,7 @@ class CartFold(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _sorted(rows, self.order_cols)
         cart = {k[0]: v[0] for k, v in self.lines.iterator()}
+        old = dict(cart)
         for art, kind, qty in zip(batch["artifact_id"].tolist(), batch["kind"].tolist(), batch["qty"].tolist()):
             if kind == "checkout":
                 cart.clear()
@@ -52,11 +51,15 @@ class CartFold(StatefulProcessor):
                 cart.pop(art, None)
             else:
                 cart[art] = q
-        self.lines.clear()
-        for art, q in cart.items():
-            self.lines.updateValue((int(art),), (int(q),))
+        items = [(a, cart.get(a, 0)) for a in sorted(old.keys() | cart.keys()) if old.get(a) != cart.get(a)]
+        for art, q in items:
+            if q:
+                self.lines.updateValue((int(art),), (int(q),))
+            else:
+                self.lines.removeKey((int(art),))
+        if not items:
+            return
         last = batch.iloc[-1]
-        items = sorted(cart.items()) or [(None, 0)]
         out = {"user_id": np.full(len(items), key[0])}
         out["artifact_id"] = pd.array([a for a, _ in items], dtype="Int64")
         out["qty"] = np.array([q for _, q in items], dtype=np.int64)
@@ -70,7 +73,7 @@ class CartFold(StatefulProcessor):
 
 def cart_state_stream(events: DataFrame, order_cols: Sequence[str]) -> DataFrame:
     """K1 on a stream of cart events (user_id, artifact_id, kind, qty text, order
-    columns).  Output (append): versions of the touched users' carts."""
+    columns).  Output (append): versions of the changed lines."""
     use_rocksdb(events.sparkSession)
     schema = T.StructType(
         [T.StructField("user_id", T.LongType()), T.StructField("artifact_id", T.LongType()),
@@ -80,10 +83,7 @@ def cart_state_stream(events: DataFrame, order_cols: Sequence[str]) -> DataFrame
 
 
 def current_carts(versions: DataFrame, order_cols: Sequence[str], artifact_type: str = "bigint") -> DataFrame:
-    """Latest cart version per user as cart lines (user_id, artifact_id, qty > 0)."""
-    version = F.struct(*order_cols)
-    latest = versions.groupBy("user_id").agg(F.max(version).alias("_v"))
-    return (versions.join(latest, "user_id").filter(version == F.col("_v"))
-            .filter(F.col("artifact_id").isNotNull() & (F.col("qty") > 0))
-            .select("user_id", F.col("artifact_id").cast(artifact_type).alias("artifact_id"),
-                    F.col("qty").cast("int").alias("qty")))
+    """Latest version per line as cart lines (user_id, artifact_id, qty > 0)."""
+    latest = versions.groupBy("user_id", "artifact_id").agg(F.max_by("qty", F.struct(*order_cols)).alias("qty"))
+    return latest.filter(F.col("qty") > 0).select(
+        "user_id", F.col("artifact_id").cast(artifact_type).alias("artifact_id"), "qty")
