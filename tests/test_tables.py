@@ -27,3 +27,12 @@ def test_views_with_bound_parameters(spark, tiny):
     assert [r[0] for r in got] == [3, 4]
     total = spark.sql("SELECT sum(total_amount) FROM t_purchase WHERE customer_id = :c", args={"c": 3}).first()[0]
     assert total == D("6100.00")
+
+
+def test_saved_views(spark, tiny):
+    R.register_saved_views(tiny, prefix="s_")
+    got = spark.sql("SELECT transaction_id FROM s_admin_transactions ORDER BY purchase_ts DESC, transaction_id").collect()
+    assert [r[0] for r in got] == [1, 2, 3]
+    assert spark.sql("SELECT artifact_id FROM s_artifacts_above_artist_avg ORDER BY artifact_id").collect() == [(1,), (4,)]
+    for name in ("customers_above_avg_names", "multi_seller_artists", "museum_sales_ranked", "type_max_price_ties"):
+        assert spark.sql(f"SELECT count(*) FROM s_{name}").first()[0] > 0

@@ -252,10 +252,6 @@ def owner_delete_artifacts(g: Gallery, requests: DataFrame) -> tuple[Gallery, Da
 
 # ------------------------------------------------------------------------- W4
 
-def _log(df: DataFrame, table: str, action: str) -> DataFrame:
-    return df.select(F.lit(table).alias("table_name"), _key(table).alias("key"), F.lit(action).alias("action"))
-
-
 def _key(table: str) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in S.PRIMARY_KEYS[table]])
 
@@ -278,31 +274,39 @@ def cascade_delete(g: Gallery, users: DataFrame | None = None, museums: DataFram
     def hit(df: DataFrame, column: str, ids: DataFrame, name: str) -> DataFrame:
         return df.join(ids.withColumnRenamed("_id", column).withColumn(name, F.lit(True)), column, "left")
 
-    logs = []
+    def log(df: DataFrame, table: str, *actions: Column) -> DataFrame:
+        """One pass over a table gives all its entries."""
+        return df.select(_key(table).alias("key"), F.explode(F.array_compact(F.array(*actions))).alias("action")).select(
+            F.lit(table).alias("table_name"), "key", "action")
+
+    def marked(name: str, action: str) -> Column:
+        return F.when(F.col(name).isNotNull(), F.lit(action))
+
     # Parent rows.
     users_t = hit(g.users, "user_id", u, "_del")
-    logs.append(_log(users_t.filter(F.col("_del").isNotNull()), "users", "deleted"))
     museum_t = hit(g.museum, "museum_id", m, "_del")
-    logs.append(_log(museum_t.filter(F.col("_del").isNotNull()), "museum", "deleted"))
     ex_t = hit(hit(hit(g.exhibition, "exhibition_id", e, "_del"), "artist_id", u, "_a"), "museum_id", m, "_m")
-    logs.append(_log(ex_t.filter(F.col("_del").isNotNull()), "exhibition", "deleted"))
     keep_ex = ex_t.filter(F.col("_del").isNull())
-    logs.append(_log(keep_ex.filter(F.col("_a").isNotNull()), "exhibition", "set_null:artist_id"))
-    logs.append(_log(keep_ex.filter(F.col("_m").isNotNull()), "exhibition", "set_null:museum_id"))
     art_t = hit(hit(g.artifact, "artist_id", u, "_a"), "museum_id", m, "_m")
-    logs.append(_log(art_t.filter(F.col("_a").isNotNull()), "artifact", "set_null:artist_id"))
-    logs.append(_log(art_t.filter(F.col("_m").isNotNull()), "artifact", "set_null:museum_id"))
     # CASCADE children.
     att = hit(hit(g.attends, "customer_id", u, "_c"), "exhibition_id", e, "_e")
     att_gone = F.col("_c").isNotNull() | F.col("_e").isNotNull()
-    logs.append(_log(att.filter(att_gone), "attends", "deleted"))
     vis = hit(hit(g.visits, "customer_id", u, "_c"), "museum_id", m, "_m")
     vis_gone = F.col("_c").isNotNull() | F.col("_m").isNotNull()
-    logs.append(_log(vis.filter(vis_gone), "visits", "deleted"))
     pur = hit(g.purchase, "customer_id", u, "_c")
-    logs.append(_log(pur.filter(F.col("_c").isNotNull()), "purchase", "deleted"))
     ea = hit(g.exhibition_artifact, "exhibition_id", e, "_e")
-    logs.append(_log(ea.filter(F.col("_e").isNotNull()), "exhibition_artifact", "deleted"))
+    stays = F.col("_del").isNull()
+    logs = [
+        log(users_t, "users", marked("_del", "deleted")),
+        log(museum_t, "museum", marked("_del", "deleted")),
+        log(ex_t, "exhibition", marked("_del", "deleted"), F.when(stays, marked("_a", "set_null:artist_id")),
+            F.when(stays, marked("_m", "set_null:museum_id"))),
+        log(art_t, "artifact", marked("_a", "set_null:artist_id"), marked("_m", "set_null:museum_id")),
+        log(att, "attends", F.when(att_gone, F.lit("deleted"))),
+        log(vis, "visits", F.when(vis_gone, F.lit("deleted"))),
+        log(pur, "purchase", marked("_c", "deleted")),
+        log(ea, "exhibition_artifact", marked("_e", "deleted")),
+    ]
 
     def cols(t):
         return S.SCHEMAS[t].fieldNames()
@@ -319,10 +323,10 @@ def cascade_delete(g: Gallery, users: DataFrame | None = None, museums: DataFram
         purchase=pur.filter(F.col("_c").isNull()).select(*cols("purchase")),
         exhibition_artifact=ea.filter(F.col("_e").isNull()).select(*cols("exhibition_artifact")),
     )
-    log = logs[0]
+    changes = logs[0]
     for part in logs[1:]:
-        log = log.unionByName(part)
-    return new, log
+        changes = changes.unionByName(part)
+    return new, changes
 
 
 # ------------------------------------------------------------------------- W5

@@ -210,3 +210,17 @@ def low_stock(g: Gallery, threshold: int = 3) -> DataFrame:
     return (g.artifact.filter(F.col("quantity") <= threshold)
             .select("artifact_id", "title", "quantity")
             .orderBy("quantity", "title", "artifact_id"))
+
+
+def register_saved_views(g: Gallery, prefix: str = "") -> None:
+    """The reports that are saved views, as temp views to be read by SQL."""
+    views = {
+        "admin_transactions": transactions(g),
+        "customers_above_avg_names": customers_above_avg_names(g),
+        "artifacts_above_artist_avg": above_artist_avg(g),
+        "multi_seller_artists": multi_seller_artists(g),
+        "museum_sales_ranked": museum_sales_ranked(g),
+        "type_max_price_ties": type_max_price_ties(g),
+    }
+    for name, df in views.items():
+        df.createOrReplaceTempView(prefix + name)
