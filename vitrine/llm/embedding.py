@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitrine.llm import common as C
 from vitrine.llm.common import values_of
@@ -98,19 +99,30 @@ def forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return root
 
 
-def classes(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(_id, digest, vec) with the vector's bytes in double precision; null
-    digest for a vector that links with nothing."""
-    rows = vectors.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_vec"))
+def width_of(vectors: DataFrame, vec_col: str) -> int:
+    """Bytes of a component: single precision stays so in shuffles."""
+    return 4 if isinstance(vectors.schema[vec_col].dataType.elementType, T.FloatType) else 8
+
+
+def units_of(raw: list[bytes], width: int) -> np.ndarray:
+    """Unit vectors in double precision from vectors of one length."""
+    v = np.frombuffer(b"".join(raw), f"f{width}").reshape(len(raw), -1).astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def classes(vectors: DataFrame, id_col: str, vec_col: str, width: int) -> DataFrame:
+    """(_id, digest, vec) with the vector's bytes; null digest for a vector that
+    links with nothing."""
+    rows = vectors.select(F.col(id_col).alias("_id"), F.col(vec_col).cast(f"array<{'float' if width == 4 else 'double'}>").alias("_vec"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, raw = [], []
             for vec, in values_of(batch, "_vec"):
-                v = np.array(vec if vec and None not in vec else [], np.float64)
+                v = np.array(vec if vec and None not in vec else [], f"f{width}")
                 if v.size and np.isfinite(v).all() and v.any():
-                    v = v / np.abs(v).max()
-                    v = (v / np.linalg.norm(v)).tobytes()
+                    v = (v + 0.0).tobytes()  # -0.0 is 0.0
                     digests.append(hashlib.blake2b(v, digest_size=16).digest()), raw.append(v)
                 else:
                     digests.append(None), raw.append(None)
@@ -131,7 +143,8 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     different lengths.  Each row that repeats an id counts as a vector of its own
     in n_links.  An empty table gives no rows."""
     with C.Scratch(vectors.sparkSession) as scratch:
-        known = scratch.table(classes(vectors, id_col, vec_col))
+        width = width_of(vectors, vec_col)
+        known = scratch.table(classes(vectors, id_col, vec_col, width))
         total = known.count()
         kind = dict(known.dtypes)["_id"]
         usable = known.filter("digest IS NOT NULL AND _id IS NOT NULL")
@@ -144,7 +157,7 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             for batch in batches:
                 out = []
                 for vec, in values_of(batch, "vec"):
-                    v = np.frombuffer(vec, np.float64)[None, :]
+                    v = units_of([vec], width)
                     if v.shape[1] not in turns:
                         turns[v.shape[1]] = rotation(v.shape[1], length)
                     out.append(band_keys(encode(v, turns[v.shape[1]])[1], rows, bands)[0])
@@ -156,25 +169,24 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         sizes = spread.groupBy("dim", "band", "key").agg(F.count("*").alias("size")).filter("size > 1")
         bucket = F.struct("dim", "band", "key")
         sizes = scratch.table(sizes.select(bucket.alias("bucket"), "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-        members = coded.select("rep", "members", "vec", dim.alias("dim"), F.posexplode("keys").alias("band", "key"))
-        members = C.join_hot(members.withColumn("bucket", bucket).drop("dim", "key"), sizes, "bucket", "size", total * bands)
+        placed = C.join_hot(spread.withColumn("bucket", bucket).drop("dim", "key"), sizes, "bucket", "size", total * bands)
         own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-        members = members.withColumn("own", own).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        members = members.select(
-            F.xxhash64("bucket", F.least("own", "met"), F.greatest("own", "met")).alias("task"), F.least("own", "met").alias("lo"),
-            F.greatest("own", "met").alias("hi"), "own", "band", F.col("bucket.key").alias("key"), "rep", "members", "vec")
+        placed = placed.withColumn("own", own).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        placed = placed.select(F.least("own", "met").alias("lo"), F.greatest("own", "met").alias("hi"), "own", "band",
+                               F.col("bucket.dim").alias("dim"), F.col("bucket.key").alias("key"), "rep")
+        members = placed.join(coded.select("rep", "members", "vec"), "rep").withColumn("task", F.xxhash64("dim", "band", "key", "lo", "hi"))
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             turns: dict[int, np.ndarray] = {}
 
             def settle(group: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-                dim = len(group[0][4]) // 8
+                dim = len(group[0][4]) // width
                 if dim not in turns:
                     turns[dim] = rotation(dim, length)
                 parts = []
                 for block in sorted({g[1] for g in group}):
                     some = [g for g in group if g[1] == block]
-                    units = np.frombuffer(b"".join(g[4] for g in some), np.float64).reshape(len(some), dim)
+                    units = units_of([g[4] for g in some], width)
                     rotated, signs, factor = encode(units, turns[dim])
                     parts.append({"ids": np.array([g[2] for g in some]), "weight": np.array([g[3] for g in some], np.int64), "units": units,
                                   "rotated": rotated, "signs": signs, "factor": factor, "keys": band_keys(signs, rows, bands)})
@@ -215,7 +227,7 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             if len(group) > 1 and (settled := settle(group)):
                 yield emit([settled], like)
 
-        linked = scratch.table(members.repartition("task").sortWithinPartitions("task", "lo", "hi", "band", "key", F.octet_length("vec"))
+        linked = scratch.table(members.repartition("task").sortWithinPartitions("task", "lo", "hi", "band", "key", "dim")
                                .mapInArrow(compare, f"rep {kind}, links long, root {kind}"))
         counts = linked.groupBy("rep").agg(F.sum("links").alias("links"))
         labels = connected_components(linked.select(F.col("rep").alias("u"), F.col("root").alias("v")), scratch)
