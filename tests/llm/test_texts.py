@@ -256,9 +256,11 @@ def test_line_dedup_against_a_loop(spark):
         if rng.random() < 0.2:
             lines += lines
         rows.append((i * 3 % 160, "\n".join(lines)))
-    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_words=12).collect()
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_words=12, gram_words=6).collect()
     want = lines_brute(rows, 12)
     assert {r.doc_id: (r.removed_words, r.removed_lines) for r in got} == want and any(w[1] for w in want.values())
+    one = line_dedup.line_dedup(spark.createDataFrame([(1, "a b c d. " * 30), (2, "x")], "doc_id long, text string"), min_words=12).collect()
+    assert {r.doc_id: (r.removed_words, r.removed_lines) for r in one} == lines_brute([(1, "a b c d. " * 30), (2, "x")], 12)
     texts = dict(rows)
     for r in got:
         assert r.text == texts[r.doc_id] if not r.removed_lines else len(r.text.split()) == len(texts[r.doc_id].split()) - r.removed_words
@@ -273,7 +275,7 @@ def test_a_passage_within_a_line_goes(spark):
 
 
 def test_line_dedup_of_awkward_rows(spark):
-    got = line_dedup.line_dedup(messy.table(spark), min_words=10)
+    got = line_dedup.line_dedup(messy.table(spark), min_words=10, gram_words=5)
     assert got.columns == [c for c in messy.SCHEMA.fieldNames() if c != "removed_words"] + ["removed_words", "removed_lines"]
     rows = got.collect()
     assert len(rows) == len(messy.ROWS)

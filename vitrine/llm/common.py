@@ -102,15 +102,15 @@ def likely(df: DataFrame, key: str, keys: DataFrame, n_keys: int) -> DataFrame:
     return probe(df, F.col(key), bits, maps)
 
 
-def join_hot(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
-    """``rows`` with the row of ``groups`` (one per key) of their key.  Groups with
+def join_hot(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
+    """``rows`` with the row of ``groups`` (one per key) of their key, which may be
+    several columns; rows without a group go.  Groups with
     over 1/1000 of all ``total`` rows, so 1000 at most, are broadcast; the others
     hold few rows each and are joined by a shuffle that no key dominates."""
     limit = max(1, total // HOT_SHARE)
     hot = F.broadcast(groups.filter(F.col(size) > limit))
     cold = groups.filter(F.col(size) <= limit)
-    return rows.join(hot, key).unionByName(
-        rows.join(hot.select(key), key, "left_anti").join(cold, key, how), allowMissingColumns=True)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
 def values_of(batch, *columns: str) -> Iterator[tuple]:

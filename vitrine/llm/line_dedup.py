@@ -1,17 +1,17 @@
 """Line dedup by winnowing over line hashes.
 
-A line is a stretch of words up to a line end or the end of a sentence.  Every
-window of lines that just reaches ``MIN_WORDS`` words selects its least line
-hash as a fingerprint, so two equal runs of that many words always share one.
-Documents that share a fingerprint go on: their windows around shared
-fingerprints are joined by content with the first place each occurs at.  Equal
-windows chain both ways into maximal runs; the lines of a later run are deleted,
-those of the first occurrence stay.
+A line is a stretch of words up to a line end or the end of a sentence.  Runs of
+lines that just reach ``GRAM_WORDS`` words are hashed from their lines' hashes;
+every window of lines that just reaches ``MIN_WORDS`` words selects the least of
+the hashes within it as a fingerprint.  Equal windows select equal fingerprints,
+so two equal runs of that many words always share one.  Documents that share a
+fingerprint go on: their windows around shared fingerprints are joined by content
+with the first place each occurs at.  Equal windows chain both ways into maximal
+runs; the lines of a later run are deleted, those of the first occurrence stay.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,49 +23,115 @@ from vitrine.llm import common as C
 from vitrine.llm.common import values_of
 
 MIN_WORDS = 25     # a run of so many words is found for certain
-BREAK = re.compile(r"\n|[.!?]+(?=\s)")
+GRAM_WORDS = 12    # words of the runs that fingerprints are chosen from
 
 
 def lines_of(text: str | None) -> tuple[list[int], list[int], list[str], list[int]]:
-    """(starts, ends, contents, words) of the lines with words; a content is
-    its words joined by single spaces."""
-    text = text or ""
+    """(starts, ends, contents, words) of the lines that are not blank.  Lines end
+    with line ends, and with a full stop, exclamation or question mark before a
+    space; a content is the line without white space around, its words are what
+    spaces separate."""
     starts, ends, contents, words = [], [], [], []
     at = 0
-    for end in [*(m.end() for m in BREAK.finditer(text)), len(text)]:
-        parts = text[at:end].split()
-        if parts:
-            starts.append(at), ends.append(end), contents.append(" ".join(parts)), words.append(len(parts))
+    # The replacements keep all offsets.
+    for line in (text or "").replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n"):
+        end = at + len(line) + 1
+        content = line.strip()
+        if content:
+            starts.append(at), ends.append(end), contents.append(content), words.append(content.count(" ") + 1)
         at = end
     return starts, ends, contents, words
 
 
-def windows(words: list[int], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first line, line after the last) of every shortest window of ``least`` words."""
-    reach = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
-    stop = np.searchsorted(reach, reach[:-1] + least)
-    first = np.flatnonzero(stop < len(reach))
-    return first, stop[first]
-
-
-def minima(contents: list[str], first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line hashes, the least hash of each window)."""
-    import xxhash
-
-    h = np.fromiter((xxhash.xxh3_64_intdigest(c) for c in contents), np.uint64, len(contents)).view(np.int64)
-    if not len(first):
-        return h, np.zeros(0, np.int64)
-    padded = np.append(h, np.int64(2 ** 63 - 1))
-    return h, np.minimum.reduceat(padded, np.stack([first, stop], 1).ravel())[::2]
-
-
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+class Hashes:
+    """128-bit hashes of runs of lines, as polynomials in their lines' hashes
+    modulo 2^64 (twice), for any run from running sums."""
+
+    BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+    def __init__(self):
+        self.powers = self.inverses = np.ones((1, 2), np.uint64)
+
+    def grow(self, n: int) -> None:
+        n = 1 << max(n, 1024).bit_length()
+        steps = np.ones((2, n, 2), np.uint64)
+        for c, base in enumerate(self.BASES):
+            steps[0, 1:, c], steps[1, 1:, c] = base, pow(base, -1, 1 << 64)
+        self.powers, self.inverses = np.multiply.accumulate(steps, axis=1)
+
+    def of(self, contents: list[str], first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """int64 of shape (runs, 2)."""
+        import xxhash
+
+        if len(contents) >= len(self.powers):
+            self.grow(len(contents) + 1)
+        h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, contents)), np.uint64).reshape(-1, 2)
+        sums = np.zeros((len(h) + 1, 2), np.uint64)
+        np.cumsum(h * self.powers[:len(h)], axis=0, out=sums[1:])
+        mixed = (sums[stop] - sums[first]) * self.inverses[first]
+        mixed ^= mixed >> np.uint64(32)
+        return mixed.view(np.int64)
+
+
+class Windows:
+    """The windows of a batch of texts, all lines of the batch numbered through."""
+
+    def __init__(self, texts: list[str | None], hashes: Hashes, min_words: int, gram_words: int):
+        self.contents: list[str] = []
+        words: list[int] = []
+        counts = []
+        for text in texts:
+            _, _, some, n = lines_of(text)
+            self.contents += some
+            words += n
+            counts.append(len(some))
+        self.hashes = hashes
+        ends = np.cumsum(counts, dtype=np.int64)
+        self.text_of_line = np.repeat(np.arange(len(counts)), counts)
+        self.first_line = ends - counts
+        last = np.repeat(ends, counts)
+        reach = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
+        stop = np.searchsorted(reach, reach[:-1] + min_words)
+        self.start = np.flatnonzero(stop <= last)      # a window does not leave its text
+        self.stop = stop[self.start]
+        self.text = self.text_of_line[self.start]
+        # Window i holds the grams from its first line on that end within it.
+        gram_stop = np.searchsorted(reach, reach[:-1] + gram_words)
+        self.grams = hashes.of(self.contents, np.arange(len(last)), np.minimum(gram_stop, len(last)))[:, 0]
+        self.whole = gram_stop <= last
+        beyond = np.searchsorted(gram_stop, self.stop, "right")
+        padded = np.append(self.grams, np.int64(2 ** 63 - 1))
+        self.least = (np.minimum.reduceat(padded, np.stack([self.start, beyond], 1).ravel())[::2]
+                      if len(self.start) else np.zeros(0, np.int64))
+
+    def fingerprints(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, fingerprint, places): one for each stretch of windows that select
+        the same; 2 places where the text holds any gram twice, else 1."""
+        fresh = np.ones(len(self.least), bool)
+        fresh[1:] = (self.least[1:] != self.least[:-1]) | (self.text[1:] != self.text[:-1])
+        text, grams = self.text_of_line[self.whole], self.grams[self.whole]
+        order = np.lexsort((grams, text))
+        text, grams = text[order], grams[order]
+        twice = np.unique(text[1:][(text[1:] == text[:-1]) & (grams[1:] == grams[:-1])])
+        return self.text[fresh], self.least[fresh], 1 + np.isin(self.text[fresh], twice)
+
+    def sharing(self, text: np.ndarray, prints: np.ndarray) -> np.ndarray:
+        """Numbers of the windows whose fingerprint is among those (text, print)."""
+        spread = np.int64(-7046029254386353131)
+        return np.flatnonzero(np.isin(self.least + self.text * spread, prints + text * spread))
+
+    def contents_of(self, which: np.ndarray) -> np.ndarray:
+        return self.hashes.of(self.contents, self.start[which], self.stop[which])
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
+               gram_words: int = GRAM_WORDS) -> DataFrame:
     """``docs`` with the lines of later repeated runs deleted from the text, and
     the columns removed_words and removed_lines (replaced if present).
 
     A line is deleted if it lies in a window (a shortest run of whole lines with
     ``min_words`` words) that occurs before: in a row of smaller id, or earlier
-    in the same text without overlap.  White space within lines does not count.
+    in the same text without overlap.  White space around lines does not count.
     Texts that lose nothing stay as they are, null ones too; a text that loses
     all its lines becomes empty.  A null id comes before all others.  Rows with
     equal id and text count as one.  An empty table gives no rows."""
@@ -79,18 +145,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = packed.select("_doc", "_text")
 
         def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = Hashes()
             for batch in batches:
-                take, prints, counts = [], [], []
-                for r, (value,) in enumerate(values_of(batch, "_text")):
-                    _, _, contents, words = lines_of(value)
-                    h, least = minima(contents, *windows(words, min_words))
-                    chosen = np.unique(least)
-                    h = np.sort(h)
-                    take.append(np.full(len(chosen), r)), prints.append(chosen)
-                    counts.append(np.searchsorted(h, chosen, "right") - np.searchsorted(h, chosen))
-                if take:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(take), pa.int64())), pa.array(
-                        np.concatenate(prints), pa.int64()), pa.array(np.concatenate(counts), pa.int64())], ["_doc", "print", "n"])
+                found = Windows([t for t, in values_of(batch, "_text")], hashes, min_words, gram_words)
+                take, prints, places = found.fingerprints()
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), pa.array(prints, pa.int64()),
+                                                  pa.array(places, pa.int64())], ["_doc", "print", "n"])
 
         prints = scratch.table(rows.mapInArrow(select, f"_doc {doc}, print long, n long"))
         total = prints.count()
@@ -98,26 +158,25 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         suspects = scratch.table(C.join_hot(prints, repeated, "print", "size", total).groupBy("_doc").agg(F.collect_set("print").alias("prints")))
 
         def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import xxhash
-
+            hashes = Hashes()
             for batch in batches:
-                take, gram, at, size = [], [], [], []
-                for r, (value, shared) in enumerate(values_of(batch, "_text", "prints")):
-                    _, _, contents, words = lines_of(value)
-                    first, stop = windows(words, min_words)
-                    _, least = minima(contents, first, stop)
-                    for i in np.flatnonzero(np.isin(least, np.array(shared, np.int64))):
-                        a, b = int(first[i]), int(stop[i])
-                        take.append(r), at.append(a), size.append(b - a)
-                        gram.append(xxhash.xxh3_128_digest("\n".join(contents[a:b])))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), pa.array(gram, pa.binary()), pa.array(
-                    at, pa.int64()), pa.array(size, pa.int64())], ["_doc", "gram", "at", "size"])
+                rows = list(values_of(batch, "_text", "prints"))
+                found = Windows([t for t, _ in rows], hashes, min_words, gram_words)
+                shared = [np.array(p, np.int64) for _, p in rows]
+                which = found.sharing(np.repeat(np.arange(len(rows)), [len(p) for p in shared]),
+                                      np.concatenate(shared) if shared else np.zeros(0, np.int64))
+                content, text = found.contents_of(which), found.text[which]
+                at = found.start[which] - found.first_line[text]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(text, pa.int64())), *(pa.array(x, pa.int64()) for x in (
+                        content[:, 0], content[:, 1], at, found.stop[which] - found.start[which]))], ["_doc", "gram", "gram2", "at", "size"])
 
         flagged = C.likely(rows, "_doc", suspects.select("_doc"), suspects.count()).filter("_maybe").select("_doc", "_text")
-        places = scratch.table(flagged.join(suspects, "_doc").mapInArrow(grams, f"_doc {doc}, gram binary, at long, size long"))
-        first = scratch.table(places.groupBy("gram").agg(
+        places = scratch.table(flagged.join(suspects, "_doc").mapInArrow(
+            grams, f"_doc {doc}, gram long, gram2 long, at long, size long"))
+        first = scratch.table(places.groupBy("gram", "gram2").agg(
             F.min(F.struct("_doc", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1"))
-        later = C.join_hot(places, first, "gram", "n", places.count()).filter(
+        later = C.join_hot(places, first, ["gram", "gram2"], "n", places.count()).filter(
             (F.col("first._doc") < F.col("_doc")) | ((F.col("first._doc") == F.col("_doc")) & (F.col("first.at") + F.col("size") <= F.col("at"))))
         cuts = scratch.table(later.groupBy("_doc").agg(F.collect_set(F.struct("at", "size")).alias("cuts")))
 
