@@ -140,7 +140,7 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     component_id is the smallest id that links reach, and the vector of that id
     is kept.  Null, empty and zero vectors, those with null or non-finite
     components, and those with a null id link with nothing; so do vectors of
-    different lengths.  Each row that repeats an id counts as a vector of its own
+    different lengths.  Ids are integers.  Each row that repeats an id counts as a vector of its own
     in n_links.  An empty table gives no rows."""
     with C.Scratch(vectors.sparkSession) as scratch:
         width = width_of(vectors, vec_col)
