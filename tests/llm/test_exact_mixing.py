@@ -114,6 +114,8 @@ def test_splitting_tree_keeps_quotas(spark):
         per_shard[r.shard] += r.blocks
     assert per_source == Counter({0: 100, 1: 7, 3: 53}) and len(per_shard) == 6
     assert max(per_shard.values()) - min(per_shard.values()) <= 2
+    many = mixing.split_quotas(quotas, shards=100).groupBy("source_no").agg(F.sum("blocks").alias("n"), F.countDistinct("shard").alias("shards")).collect()
+    assert {r.source_no: r.n for r in many} == {0: 100, 1: 7, 2: 0, 3: 53} and {r.shards for r in many} == {100}
 
 
 def test_hypergeometric_draws(spark):

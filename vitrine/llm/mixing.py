@@ -28,7 +28,9 @@ WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 BLOCK_DOCS = 256
 STRETCH = 1024
-SHARDS = 16
+LEAST_SHARDS = 16
+WORDS_PER_SHARD = 20_000_000
+SPREAD_LEVEL = 6      # of the tree: from 64 nodes on they are dealt to tasks
 SEED = 20240
 
 
@@ -102,7 +104,7 @@ def _uniform(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
 
 
-def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     """(source_no, shard, blocks) from (source_no, quota): the splitting tree.
     Per shard and source one row; the rows of a source add up to its quota, and
     those of a shard to its even part of all quotas."""
@@ -110,7 +112,9 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> D
     nodes = quotas.groupBy().agg(F.sort_array(F.collect_list(entry)).alias("counts")).select(
         F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "counts")
     state = "struct<rest:bigint,left:bigint,out:array<struct<source_no:int,n:bigint,l:bigint>>>"
-    for _ in range(math.ceil(math.log2(max(shards, 1)))):
+    for level in range(math.ceil(math.log2(max(shards, 1)))):
+        if level == SPREAD_LEVEL:
+            nodes = nodes.repartition("lo")
         lo, hi = F.col("lo"), F.col("hi")
         mid = F.floor((lo + hi) / 2).cast("int")
         total = F.aggregate("counts", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
@@ -138,14 +142,15 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> D
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, shards: int = SHARDS,
+        weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, shards: int | None = None,
         block_docs: int = BLOCK_DOCS, seed: int = SEED) -> DataFrame:
     """The plan of the mix, one row per row of ``docs``: the id, size, source,
     source_size, target, copies, taken, and the output shard of each copy.
 
     Size: words of the text; null text counts 0.  A null source is a source of
     its own.  A copy is taken if the middle of its words lies before the target,
-    so a source misses its target by half a document at most.  Rows that repeat
+    so a source misses its target by half a document at most.  Shards number one
+    for every ``WORDS_PER_SHARD`` words, ``LEAST_SHARDS`` at least, unless given.  Rows that repeat
     an id are dealt like others.  The draw depends only on ids, sizes and the
     seed: reruns agree.  An empty table gives no rows.  Other columns are not read."""
     with C.Scratch(docs.sparkSession) as scratch:
@@ -155,6 +160,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         stats = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
         sources = scratch.table(source_targets(stats, weights, max_epochs)
                                 .withColumn("n_blocks", F.ceil(F.col("docs") / block_docs).cast("long")))
+        shards = shards or max(LEAST_SHARDS, math.ceil((sources.agg(F.sum("words")).first()[0] or 0) / WORDS_PER_SHARD))
         # One row per source: a setting of the mix, so broadcast by size only where Spark measures it small.
         keyed = sized.join(sources.select(F.col("source").alias("s"), "source_no", "n_blocks"),
                            F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")

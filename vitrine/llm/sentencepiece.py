@@ -22,7 +22,7 @@ from vitrine.llm.common import values_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"      # stands for a space in pieces
-CACHE = 600_000      # parts a task remembers
+CACHE = 400_000      # parts a task remembers
 CACHE_CHARS = 64     # of at most so many characters
 
 
