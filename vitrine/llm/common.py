@@ -104,13 +104,19 @@ def likely(df: DataFrame, key: str, keys: DataFrame, n_keys: int) -> DataFrame:
 
 def join_hot(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
     """``rows`` with the row of ``groups`` (one per key) of their key, which may be
-    several columns; rows without a group go.  Groups with
-    over 1/1000 of all ``total`` rows, so 1000 at most, are broadcast; the others
-    hold few rows each and are joined by a shuffle that no key dominates."""
-    limit = max(1, total // HOT_SHARE)
-    hot = F.broadcast(groups.filter(F.col(size) > limit))
-    cold = groups.filter(F.col(size) <= limit)
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+    several columns; rows without a group go.  Groups with over 1/1000 of all
+    ``total`` rows, so 1000 at most, are broadcast, and the hashes of their keys
+    are the only thing the driver reads; the others hold few rows each and are
+    joined by a shuffle that no key dominates."""
+    columns = [key] if isinstance(key, str) else key
+    mark = F.xxhash64(*columns)
+    hot = [r[0] for r in groups.filter(F.col(size) > max(1, total // HOT_SHARE)).select(mark).distinct().collect()]
+    if not hot:
+        return rows.join(groups, key)
+    # The same test on both sides: keys that share a hash go the same way.
+    is_hot = mark.isin(hot)
+    return rows.filter(is_hot).join(F.broadcast(groups.filter(is_hot)), key).unionByName(
+        rows.filter(~is_hot).join(groups.filter(~is_hot), key))
 
 
 def values_of(batch, *columns: str) -> Iterator[tuple]:
