@@ -2,7 +2,7 @@
 
 Each round every node joins the one of least priority among itself and its
 neighbours, and the links are redrawn between the merged nodes.  Fresh random
-priorities each round shrink any graph, long paths and stars alike, by a constant
+priorities each round but the first shrink any graph, long paths and stars alike, by a constant
 factor on average, so the rounds number about the logarithm of the largest
 component.  Links never reach the driver, and no node's links one task: the
 neighbours' minimum is pre-aggregated and hot nodes are joined by broadcast of
@@ -24,10 +24,12 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     while (n := links.count()) > 0:
         ends = F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("other")),
                                  F.struct(F.col("v").alias("id"), F.col("u").alias("other"))))
-        rank = F.xxhash64("other", F.lit(turn))
+        # The first round goes by the ids themselves: a star around its least id, as
+        # comparisons with the least member make, is merged at once.
+        rank = F.xxhash64("other", F.lit(turn)) if turn else F.lit(0).cast("long")
         near = links.select(ends.alias("e")).select("e.*").groupBy("id").agg(
             F.min(F.struct(rank.alias("rank"), "other")).alias("best"), F.count("*").alias("degree"))
-        own = F.struct(F.xxhash64("id", F.lit(turn)).alias("rank"), F.col("id").alias("other"))
+        own = F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.lit(0).cast("long")).alias("rank"), F.col("id").alias("other"))
         merged = scratch.table(near.select("id", F.least(own, F.col("best"))["other"].alias("label"), "degree"))
         for side in ("u", "v"):
             names = merged.select(F.col("id").alias(side), F.col("label").alias(f"new_{side}"), F.col("degree").alias(f"deg_{side}"))

@@ -8,9 +8,12 @@ similarity at the threshold falls below ``MISS``; survivors are verified on
 their full sets.
 
 Only links that can join components matter, so a band's bucket is not turned
-into all its pairs: its members are compared with centres, members already in
-one component are not compared again, and rounds go on with more centres until
-no bucket holds uncompared members of different components.
+into all its pairs.  First, in the first ``FIRST`` bands, its members are compared
+with its least one, at most that many pairs a document.  Of what then remains in different components, blocks of a
+bucket's signatures meet in pairs, so no task holds a whole bucket; members in
+its most frequent component meet the others only.  Blocks give back survivors,
+for each two components a slice of the likeliest at a time: further slices follow
+while components stay apart.
 """
 
 from __future__ import annotations
@@ -29,10 +32,12 @@ from vitrine.llm.common import values_of
 from vitrine.llm.components import connected_components
 
 BANDS, ROWS = 24, 4       # at similarity 0.8 a pair shares no band with probability 3e-6
+FIRST = 4                 # bands in which members are compared with their bucket's least one
 BATCH = 16                # signature places compared at a time
 MISS = 1e-6               # posterior probability below which a pair is dropped
-CENTRES = 64              # a round has so many times the centres of the one before
-SHINGLES_PER_TASK = 400_000
+BLOCK = 512               # signatures of a bucket that meet at a time
+SLICE = 64                # survivors of two components in the first slice of a block; 8 times as many in the next
+SHINGLES_PER_TASK = 50_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                  0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -134,6 +139,106 @@ def likely_pairs(pairs: DataFrame, sigs: DataFrame, n_pairs: int, threshold: flo
     return both.select("u", "v", "sig_u", "sig_v", "n_v").mapInArrow(run, f"u {kind}, v {kind}, n_v long")
 
 
+def compare_blocks(a: dict, b: dict | None, needed: list[tuple[int, int]], low: int, high: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Index pairs of survivors in different components between two blocks, or
+    within one (``b`` None): those ranked ``low`` to ``high`` by matches for each
+    two components as they were at first, and whether there are more."""
+    other = a if b is None else b
+    i, j = np.nonzero(a["label"][:, None] != other["label"][None, :])
+    if b is None:
+        i, j = i[i < j], j[i < j]
+    keep_i, keep_j, keep_m = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(i), 1 << 16):
+        p, q = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
+        near = a["scale"] * np.minimum(a["n"][p], other["n"][q]) >= np.maximum(a["n"][p], other["n"][q])
+        p, q = p[near], q[near]
+        matches, done = np.zeros(len(p), np.int64), 0
+        for places, least in needed:
+            matches = matches + (a["sig"][p, done:places] == other["sig"][q, done:places]).sum(1)
+            alive = matches >= least
+            p, q, matches, done = p[alive], q[alive], matches[alive], places
+        keep_i.append(p), keep_j.append(q), keep_m.append(matches)
+    i, j, m = np.concatenate(keep_i), np.concatenate(keep_j), np.concatenate(keep_m)
+    if not len(i):
+        return i, j, False
+    one, two = a["seed"][i], other["seed"][j]
+    swap = one > two
+    one, two = np.where(swap, two, one), np.where(swap, one, two)
+    order = np.lexsort((other["id"][j], a["id"][i], -m, two, one))
+    i, j, one, two = i[order], j[order], one[order], two[order]
+    fresh = np.ones(len(i), bool)
+    fresh[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    starts = np.flatnonzero(fresh)
+    rank = np.arange(len(i)) - starts[np.cumsum(fresh) - 1]
+    taken = (rank >= low) & (rank < high)
+    return i[taken], j[taken], bool((rank >= high).any())
+
+
+def block_survivors(rows: DataFrame, sigs: DataFrame, percent: int, low: int, high: int, scratch: C.Scratch) -> DataFrame:
+    """(u, v, n_v) of survivors in different components, from bucket rows (key, _id, n,
+    label, seed, bulk, size, others): ``bulk`` marks members in the bucket's most
+    frequent component, of which there are size - others.  u = v stands for more
+    survivors in a later slice."""
+    kind = dict(rows.dtypes)["_id"]
+    needed = [(p, fewest_matches(percent / 100, p, MISS)) for p in range(BATCH, BANDS * ROWS + 1, BATCH)]
+    one_block = F.col("size") <= BLOCK
+    p_blocks = F.when(one_block, 1).otherwise(F.ceil(F.col("others") / BLOCK).cast("int"))
+    b_blocks = F.when(one_block, 0).otherwise(F.ceil((F.col("size") - F.col("others")) / BLOCK).cast("int"))
+    bulk = F.col("bulk") & ~one_block
+    rows = rows.withColumn("pb", p_blocks).withColumn("bb", b_blocks).withColumn("bulk", bulk)
+    # Blocks 0 .. pb - 1 hold the others, pb .. pb + bb - 1 the bulk; two blocks of the bulk never meet.
+    own = F.when(F.col("bulk"), F.col("pb") + F.pmod(F.xxhash64("_id"), F.greatest("bb", F.lit(1)))).otherwise(
+        F.pmod(F.xxhash64("_id"), F.greatest("pb", F.lit(1)))).cast("int")
+    met = F.explode(F.when(F.col("bulk"), F.sequence(F.lit(0), F.col("pb") - 1)).otherwise(F.sequence(F.lit(0), F.col("pb") + F.col("bb") - 1)))
+    tasks = rows.withColumn("own", own).withColumn("met", met).select(
+        "key", F.least("own", "met").alias("lo"), F.greatest("own", "met").alias("hi"), "own", "_id", "n", "label", "seed")
+    tasks = tasks.join(sigs.select("_id", "sig"), "_id")
+    scale = 100 / percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(some: list[tuple]) -> dict:
+            return {"id": np.array([g[2] for g in some]), "n": np.array([g[3] for g in some]), "label": np.array([g[4] for g in some]),
+                    "seed": np.array([g[5] for g in some]), "scale": scale,
+                    "sig": np.frombuffer(b"".join(g[6] for g in some), np.uint32).reshape(len(some), -1)}
+
+        def settle(group: list[tuple]) -> tuple | None:
+            lo, hi = group[0][0][1:]
+            first = [g for g in group if g[1] == lo]
+            second = [g for g in group if g[1] != lo]
+            if not first or (lo != hi and not second):
+                return None
+            a, b = block(first), block(second) if lo != hi else None
+            i, j, more = compare_blocks(a, b, needed, low, high)
+            c = a if b is None else b
+            u, v, n = a["id"][i], c["id"][j], c["n"][j]
+            if more:
+                u, v, n = np.append(u, a["id"][0]), np.append(v, a["id"][0]), np.append(n, 0)
+            return (u, v, n) if len(u) else None
+
+        def emit(found: list[tuple], like) -> pa.RecordBatch:
+            u, v, n = (np.concatenate(c) for c in zip(*found))
+            return pa.RecordBatch.from_arrays([pa.array(u, like), pa.array(v, like), pa.array(n, pa.int64())], ["u", "v", "n_v"])
+
+        group: list[tuple] = []
+        like = None
+        for batch in batches:
+            found, like = [], batch.schema.field("_id").type
+            for key, lo, hi, own, i, n, label, seed, sig in values_of(batch, "key", "lo", "hi", "own", "_id", "n", "label", "seed", "sig"):
+                at = (key, lo, hi)
+                if group and group[0][0] != at:
+                    if len(group) > 1 and (settled := settle(group)):
+                        found.append(settled)
+                    group = []
+                group.append((at, own, i, n, label, seed, sig))
+            if found:
+                yield emit(found, like)
+        if len(group) > 1 and (settled := settle(group)):
+            yield emit([settled], like)
+
+    return (tasks.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+            .mapInArrow(run, f"u {kind}, v {kind}, n_v long"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scratch: C.Scratch) -> DataFrame:
     """The pairs (u, v, n_v) whose full sets overlap enough.  A centre's pairs
     are dealt to tasks by the size of their sets; each task reads the centre's text,
@@ -190,48 +295,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         spare = scratch.table(C.join_hot(in_use.select("_id", "set_hash"), several, "set_hash", "members", total)
                               .filter("_id <> rep").select("_id").distinct())
         reps = C.without(in_use.select("_id", "n", "sig", "bands"), "_id", spare, spare.count())
-        rows = reps.select(F.explode("bands").alias("key"), "_id", "n").distinct()
+        rows = reps.select(F.posexplode("bands").alias("band", "key"), "_id", "n").distinct()
         buckets = rows.groupBy("key").agg(F.min(F.struct("_id", "n")).alias("centre"), F.count("*").alias("size")).filter("size > 1")
         buckets = scratch.table(buckets.select("key", F.col("centre._id").alias("u"), F.col("centre.n").alias("n_u"), "size"))
         open_rows = scratch.table(C.join_hot(rows, buckets, "key", "size", total * BANDS))
-        pairs = open_rows.select("u", F.col("_id").alias("v"), "n_u", F.col("n").alias("n_v"))
-        open_rows = open_rows.filter("_id <> u").select("key", "_id", "n")
-        links, tried, labels, centres = None, None, None, 1
-        while True:
-            fits = (F.col("u") != F.col("v")) & (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
-            pairs = pairs.filter(fits).select("u", "v", "n_v", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).distinct()
-            if tried is not None:
-                pairs = pairs.join(tried, ["lo", "hi"], "left_anti")
-            pairs = scratch.table(pairs)
-            n_pairs = pairs.count()
-            if n_pairs:
-                tried = pairs.select("lo", "hi") if tried is None else tried.unionByName(pairs.select("lo", "hi"))
-                ids = scratch.table(pairs.select(F.explode(F.array("u", "v")).alias("_id")).distinct())
-                sigs = scratch.table(C.only(reps.select("_id", "sig"), "_id", ids, ids.count()).distinct())
-                chance = scratch.table(likely_pairs(pairs, sigs, n_pairs, threshold, scratch))
-                fresh = scratch.table(verified(chance, docs, size, percent, scratch))
-                if fresh.count():
-                    links = fresh if links is None else links.unionByName(fresh)
-                    labels = scratch.table(connected_components(links, scratch))
-            # What is left: members of a bucket, other than its past centres, in different components.
-            labelled = (open_rows.withColumn("label", F.col("_id")) if labels is None else
-                        open_rows.join(labels.withColumnRenamed("id", "_id"), "_id", "left")
-                        .select("key", "_id", "n", F.coalesce("component", "_id").alias("label")))
-            labelled = scratch.table(labelled)
-            mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter(
-                "lo <> hi").select("key", "size")
-            mixed = scratch.table(mixed)
-            if mixed.count() == 0:
-                break
-            centres *= CENTRES
-            left = scratch.table(C.join_hot(labelled, mixed, "key", "size", labelled.count()).select("key", "_id", "n", "label", "size"))
-            chosen = left.groupBy("key", F.pmod(F.xxhash64("label"), F.lit(centres)).alias("slot")).agg(
-                F.min(F.struct("_id", "n", "label")).alias("c"), F.first("size").alias("size"))
-            per_key = scratch.table(chosen.groupBy("key").agg(F.collect_list("c").alias("cs"), F.first("size").alias("bucket_size")))
-            matched = C.join_hot(left, per_key, "key", "bucket_size", left.count())
-            pairs = matched.select("_id", "n", "label", F.explode("cs").alias("c")).filter("label <> c.label").select(
-                F.col("c._id").alias("u"), F.col("_id").alias("v"), F.col("c.n").alias("n_u"), F.col("n").alias("n_v"))
-            open_rows = scratch.table(matched.filter(~F.exists("cs", lambda c: c["_id"] == F.col("_id"))).select("key", "_id", "n"))
+        pairs = open_rows.filter(F.col("band") < FIRST).select("u", F.col("_id").alias("v"), "n_u", F.col("n").alias("n_v"))
+        open_rows = open_rows.filter((F.col("band") >= FIRST) | (F.col("_id") != F.col("u"))).select("key", "_id", "n")
+        fits = (F.col("u") != F.col("v")) & (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
+        pairs = scratch.table(pairs.filter(fits).select("u", "v", "n_v").distinct())
+        n_pairs = pairs.count()
+        links, labels, low, high = None, None, 0, SLICE
+        if n_pairs:
+            ids = scratch.table(pairs.select(F.explode(F.array("u", "v")).alias("_id")).distinct())
+            sigs = scratch.table(C.only(reps.select("_id", "sig"), "_id", ids, ids.count()).distinct())
+            chance = scratch.table(likely_pairs(pairs, sigs, n_pairs, threshold, scratch))
+            links = scratch.table(verified(chance, docs, size, percent, scratch))
+            labels = scratch.table(connected_components(links, scratch))
+        # What is left: members of a bucket, other than the least where it is done, in different components.
+        labelled = (open_rows.withColumn("label", F.col("_id")) if labels is None else
+                    open_rows.join(labels.withColumnRenamed("id", "_id"), "_id", "left")
+                    .select("key", "_id", "n", F.coalesce("component", "_id").alias("label")))
+        labelled = scratch.table(labelled)
+        per_label = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
+        mixed = scratch.table(per_label.groupBy("key").agg(
+            F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1")
+            .select("key", "size", F.col("most.label").alias("most"), (F.col("size") - F.col("most.c")).alias("others")))
+        if mixed.count():
+            left = scratch.table(C.join_hot(labelled, mixed, "key", "size", labelled.count()).select(
+                "key", "_id", "n", F.col("label").alias("seed"), (F.col("label") == F.col("most")).alias("bulk"), "size", "others"))
+            ids = scratch.table(left.select("_id").distinct())
+            sigs = scratch.table(C.only(reps.select("_id", "sig"), "_id", ids, ids.count()).distinct())
+            while True:
+                now = left.withColumn("label", F.col("seed")) if labels is None else left.join(
+                    labels.withColumnRenamed("id", "_id"), "_id", "left").withColumn("label", F.coalesce("component", "seed")).drop("component")
+                survivors = scratch.table(block_survivors(now, sigs, percent, low, high, scratch).distinct())
+                chance = scratch.table(survivors.filter("u <> v"))
+                if chance.count():
+                    fresh = scratch.table(verified(chance, docs, size, percent, scratch))
+                    if fresh.count():
+                        links = fresh if links is None else links.unionByName(fresh)
+                        labels = scratch.table(connected_components(links, scratch))
+                if survivors.filter("u = v").limit(1).count() == 0:
+                    break
+                low, high = high, high * 8
         if labels is not None:
             classes = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
                 "set_hash", F.coalesce("component", "rep").alias("component_id"), "members")
