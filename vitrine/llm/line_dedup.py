@@ -5,9 +5,11 @@ lines that just reach ``GRAM_WORDS`` words are hashed from their lines' hashes;
 every window of lines that just reaches ``MIN_WORDS`` words selects the least of
 the hashes within it as a fingerprint.  Equal windows select equal fingerprints,
 so two equal runs of that many words always share one.  Documents that share a
-fingerprint go on: their windows around shared fingerprints are joined by content
-with the first place each occurs at.  Equal windows chain both ways into maximal
-runs; the lines of a later run are deleted, those of the first occurrence stay.
+fingerprint go on: their windows around shared fingerprints, and the runs from a
+window's first line that end before the next window does, are joined by content
+with the first place each occurs at.  These runs are the shortest ones back from
+each line end, so together they cover every maximal equal run up to both its ends;
+the lines of a later run are deleted, those of the first occurrence stay.
 """
 
 from __future__ import annotations
@@ -95,6 +97,9 @@ class Windows:
         self.start = np.flatnonzero(stop <= last)      # a window does not leave its text
         self.stop = stop[self.start]
         self.text = self.text_of_line[self.start]
+        # Runs from window i's first line end before self.until[i]: there the next window, or the text, ends.
+        following = np.append(stop[1:], len(last) + 1)
+        self.until = np.maximum(np.minimum(following[self.start], last[self.start] + 1), self.stop + 1)
         # Window i holds the grams from its first line on that end within it.
         gram_stop = np.searchsorted(reach, reach[:-1] + gram_words)
         self.grams = hashes.of(self.contents, np.arange(len(last)), np.minimum(gram_stop, len(last)))[:, 0]
@@ -120,8 +125,16 @@ class Windows:
         spread = np.int64(-7046029254386353131)
         return np.flatnonzero(np.isin(self.least + self.text * spread, prints + text * spread))
 
-    def contents_of(self, which: np.ndarray) -> np.ndarray:
-        return self.hashes.of(self.contents, self.start[which], self.stop[which])
+    def runs(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, stop) of the runs of those windows: each window itself, and longer
+        ones that the next window does not reach the end of.  At most one a line end
+        besides the windows."""
+        n = self.until[which] - self.stop[which]
+        window = np.repeat(which, n)
+        return window, self.stop[window] + np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)
+
+    def contents_of(self, window: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return self.hashes.of(self.contents, self.start[window], stop)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
@@ -129,9 +142,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with the lines of later repeated runs deleted from the text, and
     the columns removed_words and removed_lines (replaced if present).
 
-    A line is deleted if it lies in a window (a shortest run of whole lines with
-    ``min_words`` words) that occurs before: in a row of smaller id, or earlier
-    in the same text without overlap.  White space around lines does not count.
+    A line is deleted if it lies in a run of whole lines with ``min_words`` words
+    at least that occurs before: in a row of smaller id, or earlier in the same
+    text without overlap.  White space around lines does not count.
     Texts that lose nothing stay as they are, null ones too; a text that loses
     all its lines becomes empty.  A null id comes before all others.  Rows with
     equal id and text count as one.  An empty table gives no rows."""
@@ -165,11 +178,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 shared = [np.array(p, np.int64) for _, p in rows]
                 which = found.sharing(np.repeat(np.arange(len(rows)), [len(p) for p in shared]),
                                       np.concatenate(shared) if shared else np.zeros(0, np.int64))
-                content, text = found.contents_of(which), found.text[which]
+                which, stop = found.runs(which)
+                content, text = found.contents_of(which, stop), found.text[which]
                 at = found.start[which] - found.first_line[text]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(text, pa.int64())), *(pa.array(x, pa.int64()) for x in (
-                        content[:, 0], content[:, 1], at, found.stop[which] - found.start[which]))], ["_doc", "gram", "gram2", "at", "size"])
+                        content[:, 0], content[:, 1], at, stop - found.start[which]))], ["_doc", "gram", "gram2", "at", "size"])
 
         flagged = C.likely(rows, "_doc", suspects.select("_doc"), suspects.count()).filter("_maybe").select("_doc", "_text")
         places = scratch.table(flagged.join(suspects, "_doc").mapInArrow(
