@@ -1,11 +1,14 @@
 """Cases that the operators used to leave out."""
 
+import itertools
 import random
+import re
+import time
 
 import pytest
 
 from vitrine.llm import common as C
-from vitrine.llm import line_dedup
+from vitrine.llm import line_dedup, secrets
 
 
 @pytest.fixture(autouse=True)
@@ -64,3 +67,21 @@ def test_line_dedup_against_maximal_matches(spark):
     got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_words=12, gram_words=6).collect()
     want = maximal_brute(rows, 12)
     assert {r.doc_id: (r.removed_words, r.removed_lines) for r in got} == want and any(w[1] for w in want.values())
+
+
+# ------------------------------------------------------------------ secrets
+
+def test_long_runs_of_letters_take_one_pass():
+    tokens = secrets.encoder().encode_ordinary
+    began = time.monotonic()
+    for run in ("a" * 10_000 + "123", "Q" * 10_000 + "x", "Ab" * 5_000 + "1", "A" * 1_000_000 + "123"):
+        assert secrets.KNOWN.fullmatch(run) is None
+    assert secrets.random_spans("x " + "a" * 10_000 + "123 y", [], lambda run: len(tokens(run))) == []
+    assert time.monotonic() - began < 20
+
+
+def test_identifiers_are_the_same_in_one_pass():
+    nested = re.compile(r"(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})[0-9]{0,2}[+/_=-]*)+")
+    for n in range(1, 9):
+        for run in map("".join, itertools.product("Aa1_", repeat=n)):
+            assert bool(secrets.KNOWN.fullmatch("g" * 2 + run)) == bool(nested.fullmatch("g" * 2 + run)), run

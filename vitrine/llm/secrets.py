@@ -30,11 +30,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")   # runs are maximal, so this drops the short ones
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RANDOM},}}")
+# The last one is possessive, as no other split of an identifier can match: one pass over runs of any length.
 KNOWN = re.compile(
     r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
     r"|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128}"
     r"|(?i:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12})|[0-9+/_=-]+"
-    r"|(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})[0-9]{0,2}[+/_=-]*)+)")
+    r"|(?:(?:[A-Z]*+[a-z]{2,}+|[A-Z]{2,}+)[0-9]{0,2}+[+/_=-]*+)++)")
 KINDS = ("assign", "access", "hex", "random")
 
 
