@@ -85,3 +85,17 @@ def test_identifiers_are_the_same_in_one_pass():
     for n in range(1, 9):
         for run in map("".join, itertools.product("Aa1_", repeat=n)):
             assert bool(secrets.KNOWN.fullmatch("g" * 2 + run)) == bool(nested.fullmatch("g" * 2 + run)), run
+
+
+def test_random_letters_are_random_and_identifiers_are_not():
+    enc, rng = secrets.encoder(), random.Random(41)
+
+    def found(run):
+        return secrets.random_spans(f"key {run} end", [], lambda r: len(enc.encode_ordinary(r))) == [(4, 3, 4 + len(run))]
+
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+        for n, least in ((20, 0.97), (32, 0.99), (40, 0.99)):
+            assert sum(found("".join(rng.choices(letters, k=n))) for _ in range(300)) >= least * 300
+    for run in ("internationalization_of_configuration_values", "MAX_RETRY_COUNT_PER_CONNECTION", "AbstractSingletonProxyFactoryBean",
+                "getElementsByTagNameAndClass2", "DEFAULT_SHUFFLE_PARTITIONS", "src/main/resources/templates", "parseHTMLDocumentFragment"):
+        assert not found(run), run

@@ -2,8 +2,8 @@
 
 Natural words compress to few tokens of a byte-pair vocabulary; random strings
 do not.  A run of key characters with few characters per token is reported as
-``random``, unless it is a digest of a usual length, a UUID, a number, a plain
-identifier, or lies within a span found by a pattern.
+``random``, unless it is a digest of a usual length, a UUID, a number, an
+identifier made of word-like pieces, or lies within a span found by a pattern.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ KNOWN = re.compile(
     r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
     r"|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128}"
     r"|(?i:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12})|[0-9+/_=-]+"
-    r"|(?:(?:[A-Z]*+[a-z]{2,}+|[A-Z]{2,}+)[0-9]{0,2}+[+/_=-]*+)++)")
+    r"|(?P<identifier>(?:(?:[A-Z]*+[a-z]{2,}+|[A-Z]{2,}+)[0-9]{0,2}+[+/_=-]*+)++))")
+PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 KINDS = ("assign", "access", "hex", "random")
 
 
@@ -61,14 +62,22 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def word_like(run: str, tokens: Callable[[str], int]) -> bool:
+    """Whether the pieces of an identifier take few tokens for their letters, as
+    lower-case words after a space: the form that a vocabulary holds words in."""
+    pieces = PIECE.findall(run)
+    return sum(map(len, pieces)) > MAX_CHARS_PER_TOKEN * tokens(" " + " ".join(pieces).lower())
+
+
 def random_spans(text: str, found: list[tuple[int, int, int]], tokens: Callable[[str], int]) -> list[tuple[int, int, int]]:
     """Runs that take many tokens for their length and overlap no span in ``found``."""
     out = []
     for m in RUN.finditer(text):
         run = m[0]
-        if KNOWN.fullmatch(run) or any(s < m.end() and m.start() < e for s, _, e in found):
+        known = KNOWN.fullmatch(run)
+        if (known and not known["identifier"]) or any(s < m.end() and m.start() < e for s, _, e in found):
             continue
-        if len(run) <= MAX_CHARS_PER_TOKEN * tokens(run):
+        if len(run) <= MAX_CHARS_PER_TOKEN * tokens(run) and not (known and word_like(run, tokens)):
             out.append((m.start(), 3, m.end()))
     return out
 
