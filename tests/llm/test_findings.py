@@ -8,7 +8,7 @@ import time
 import pytest
 
 from vitrine.llm import common as C
-from vitrine.llm import line_dedup, secrets
+from vitrine.llm import licenses, line_dedup, secrets
 
 
 @pytest.fixture(autouse=True)
@@ -99,3 +99,47 @@ def test_random_letters_are_random_and_identifiers_are_not():
     for run in ("internationalization_of_configuration_values", "MAX_RETRY_COUNT_PER_CONNECTION", "AbstractSingletonProxyFactoryBean",
                 "getElementsByTagNameAndClass2", "DEFAULT_SHUFFLE_PARTITIONS", "src/main/resources/templates", "parseHTMLDocumentFragment"):
         assert not found(run), run
+
+
+# ----------------------------------------------------------------- licences
+
+ISC = ["""Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies.""",
+       """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""]
+BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the distribution."""
+PROSE = "The keeper climbs the stairs of the old tower each morning and lights the lamp again by hand"
+
+
+def test_usual_licence_texts_match():
+    index = licenses.Templates(licenses.TEMPLATES, 0.8)
+    flat = [p.replace("\n", " ") for p in ISC]
+    for text, name in (("\n".join(flat), "ISC"), ("\n\n".join(ISC), "ISC"), (f"{PROSE}. {' '.join(flat)} {PROSE}.", "ISC"), (BSD2, "BSD-2-Clause")):
+        assert {s[2] for s in index.scan(text)} == {name}, text
+    for name, variants in licenses.TEMPLATES.items():
+        for text in variants:
+            assert {s[2] for s in index.scan(f"{PROSE}. {text} {PROSE}.")} == {name}, text
+
+
+def test_notices_inside_longer_lines_match():
+    index = licenses.Templates(licenses.TEMPLATES, 0.8)
+    text = f"Copyright 2020 Example Corp. All rights reserved.\n{PROSE} and this tool is released under the MIT License, as {PROSE}.\n{PROSE}."
+    got = index.scan(text)
+    assert [(text[s:e], name) for s, e, name, _ in got] == [("All rights reserved", "Proprietary"), ("released under the MIT License", "MIT")]
+    assert all(d == 1 for *_, d in got)
+    text = f"{PROSE}. This work is licensed under a Creative\nCommons Attribution 4.0 International License. {PROSE}. " * 3
+    assert [s[2] for s in index.scan(text)] == ["CC-BY-4.0"] * 3
+    assert index.scan(f"{PROSE}. " * 50) == []
+
+
+def test_long_texts_of_licences_take_one_pass():
+    index, began = licenses.Templates(licenses.TEMPLATES, 0.8), time.monotonic()
+    mit = licenses.TEMPLATES["MIT"][-1].replace("\n", " ")
+    assert index.scan(f"{mit} {PROSE}. " * 200) and index.scan(f"All rights reserved. {PROSE}. " * 10_000)
+    assert time.monotonic() - began < 60
