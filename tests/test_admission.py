@@ -138,9 +138,10 @@ def test_validate_exhibitions(spark, tiny):
                    (4, False, A.ARTIST_NOT_FOUND)]
 
 
-def test_hot_artifact_with_large_quantities(spark):
+def test_hot_artifact_with_large_quantities(spark, monkeypatch):
     """One artifact holds a third of all requests; some quantities are large, so
     the first refusal leaves much stock; others keep large or tiny stocks."""
+    monkeypatch.setattr(A, "FEW_ACROSS", 0)
     rnd = random.Random(33)
     stock = {0: 5000, 1: 100_000, 2: 7, 3: 3000, 4: 0, 5: 40}
     reqs = []
@@ -172,3 +173,36 @@ def test_one_chunk_per_partition_of_a_hot_artifact(spark):
     for r in got:
         total += r.id % 7
         assert r.total == total
+
+
+def test_many_accepted_requests_are_joined(spark, monkeypatch):
+    """Beyond the broadcast's limit the accepted requests are joined; the result is the same."""
+    rnd = random.Random(31)
+    reqs = [(seq, 0 if rnd.random() < 0.7 else rnd.randrange(6), rnd.choice([1, 2, 5, 30]), rnd.randrange(9)) for seq in range(4000)]
+    req = spark.createDataFrame(reqs, "seq long, artifact_id long, quantity int, customer_id long")
+    stock = spark.createDataFrame([(a, 700) for a in range(6)], "artifact_id long, quantity int")
+    users = spark.createDataFrame([(u,) for u in range(8)], "user_id long")
+    plain = sorted(rows(A.admit_purchases(req, stock, ["seq"], users=users)))
+    monkeypatch.setattr(A, "FEW_ACROSS", 0)
+    assert sorted(rows(A.admit_purchases(req, stock, ["seq"], users=users))) == plain
+    monkeypatch.setattr(A, "MAX_ACCEPTED", 0)
+    assert sorted(rows(A.admit_purchases(req, stock, ["seq"], users=users))) == plain
+
+
+def test_requests_are_exchanged_once(spark, monkeypatch):
+    """One range partitioning of the requests; later steps exchange totals, or the few candidates of an artifact."""
+    import re
+
+    seen = []
+    monkeypatch.setattr(A, "FEW_ACROSS", 0)
+    real = A.in_chunks
+    monkeypatch.setattr(A, "in_chunks", lambda *a: seen.append(1) or real(*a))
+    req = spark.range(200_000).selectExpr("id AS seq", "id % 5 AS artifact_id", "CAST(id % 3 + 1 AS INT) AS quantity", "id % 50 AS customer_id")
+    stock = spark.createDataFrame([(a, 900) for a in range(5)], "artifact_id long, quantity int")
+    out = A.admit_purchases(req, stock, ["seq"])
+    out.write.format("noop").mode("overwrite").save()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len(seen) == 1 and "rangepartitioning" not in plan and "SortMergeJoin" not in plan
+    # What the rest of the plan exchanges is two rows a partition, by artifact.
+    assert all(e.startswith("artifact_id") for e in re.findall(r"Exchange hashpartitioning\((.*?)\)", plan))
+    assert out.filter("accepted").groupBy("artifact_id").count().count() == 5

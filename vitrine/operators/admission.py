@@ -5,14 +5,19 @@ A1 (purchases against stock) is greedy: a refused request uses no stock, so a
 later, smaller request may still pass.  One plan serves artifacts of any size:
 
 1. Requests decidable from their own row (unknown artifact, bad quantity, more
-   than the whole initial stock - stock only falls) never move.
+   than the whole initial stock - stock only falls) are told apart.  All are
+   range-partitioned and sorted once by artifact and order; what follows
+   happens in those partitions.  An artifact that lies in one partition goes
+   through the rule in order, and so do those that span a partition border, at
+   most one per border, if they have a million requests in all at most.  Steps
+   2-4 are for such artifacts of any size.
 2. Until an artifact's first refusal every request of a known customer is
-   accepted, so that stretch is a running sum, distributed over chunks.
+   accepted, so that stretch is a running sum, taken in place.
 3. The first refusal leaves a stock below the refused quantity.  Stock only
    falls, so once a quantity is refused it is refused for good: the accepted
    requests of each quantity q are the first ones, at most stock / q.  Only
-   those, about s log s for a left stock s however many requests there are, go
-   through the sequential rule.
+   those, about s log s a partition for a left stock s however many requests
+   there are, move to go through the sequential rule.
 4. What the few accepted ones use, as a running sum again, gives every other
    request the stock it saw and its reason.
 
@@ -30,6 +35,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +55,12 @@ ARTIST_NOT_FOUND = "Artist_ID not found"
 NOT_AN_ARTIST = "Only artists can organize exhibitions"
 
 
+# Accepted requests of artifacts that span partitions which are broadcast; more are joined.
+MAX_ACCEPTED = 1_000_000
+# Requests of all such artifacts together that are few enough to go through the rule artifact by artifact.
+FEW_ACROSS = 1_000_000
+
+
 # ------------------------------------------------------------------------- A1
 
 # A function run by mapInPandas: pandas batches in, pandas batches out.
@@ -74,38 +86,100 @@ def _greedy(key: str, qty: str) -> BatchFn:
     return fold
 
 
-def _fold(candidates: DataFrame, order_cols: Sequence[str], key: str, qty: str, out: Sequence[str]) -> DataFrame:
-    """Steps 2-4 for requests with 0 < quantity <= initial stock ``_stock0``."""
-    order = list(order_cols)
-    rows = in_chunks(candidates, [key], order)
+def _decide(n_out: int):
+    """The rule in order, over whole artifacts: columns key, quantity, stock, known
+    customer, then the ``n_out`` to give back with the stock seen and the verdict."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, left = None, 0
+        for batch in batches:
+            before, taken = [], []
+            for k, want, start, known in zip(*(batch.column(i).to_numpy(zero_copy_only=False).tolist() for i in range(4))):
+                if k != current:
+                    current, left = k, start
+                before.append(left)
+                ok = known and want <= left
+                taken.append(ok)
+                if ok:
+                    left -= want
+            yield pa.RecordBatch.from_arrays([*batch.columns[4:4 + n_out], pa.array(before, pa.int64()), pa.array(taken, pa.bool_())],
+                                             [*batch.schema.names[4:4 + n_out], "_before", "_in"])
+
+    return run
+
+
+def _first_of_each(key: str, qty: str) -> BatchFn:
+    """Of each artifact and quantity the first _left / quantity rows of a partition."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, seen = None, {}
+        for pdf in batches:
+            keep = []
+            for k, want, left in zip(pdf[key].tolist(), pdf[qty].tolist(), pdf["_left"].tolist()):
+                if k != current:
+                    current, seen = k, {}
+                n = seen.get(want, 0)
+                keep.append(n < left // want)
+                seen[want] = n + 1
+            yield pdf[keep]
+
+    return run
+
+
+def _fold(rows: DataFrame, key: str, qty: str, out: Sequence[str]) -> DataFrame:
+    """The verdicts on requests with 0 < quantity <= initial stock ``_stock0``, in chunks."""
+    ends = rows.groupBy(CHUNK).agg(F.array(F.min_by(key, "_rid"), F.max_by(key, "_rid")).alias("ends"))
+    wide = (ends.select(F.explode(F.array_distinct("ends")).alias(key)).groupBy(key).count().filter("count > 1")
+            .select(key, F.lit(True).alias("_wide")).checkpoint())
+    # At most one row per partition border.
+    rows = rows.join(F.broadcast(wide), key, "left")
+    kinds = dict(rows.dtypes)
+    named = [F.col(c).alias(f"_out{i}") for i, c in enumerate(out)]
+
+    def whole(some: DataFrame) -> DataFrame:
+        decided = some.select(key, qty, "_stock0", "_customer_ok", *named).mapInArrow(
+            _decide(len(named)), ", ".join(f"_out{i} {kinds[c]}" for i, c in enumerate(out)) + ", _before bigint, _in boolean")
+        return decided.select(*[F.col(f"_out{i}").alias(c) for i, c in enumerate(out)], "_before", "_in")
+
+    inside = whole(rows.filter("_wide IS NULL"))
+    # These are read apart, still in order.
+    across = rows.filter("_wide").drop("_wide").checkpoint()
+    n = across.count()
+    if n > FEW_ACROSS:
+        inside = inside.unionByName(_fold_wide(across, key, qty).select(*out, "_before", "_in"))
+    elif n:
+        inside = inside.unionByName(whole(across.repartition(key).sortWithinPartitions(key, "_rid")))
+    return inside.select(*out, F.col("_before").cast("int").alias("stock_before"), F.col("_in").alias("accepted"),
+                       F.when(~F.col("_in"), F.when(F.col(qty) > F.col("_before"), F.lit(INSUFFICIENT))
+                              .otherwise(F.lit(CUSTOMER_NOT_FOUND))).alias("reason"))
+
+
+def _fold_wide(rows: DataFrame, key: str, qty: str) -> DataFrame:
+    """The artifacts that span partitions, one per border at most."""
     q = F.col(qty).cast("bigint")
     wanted = F.when(F.col("_customer_ok"), q).otherwise(F.lit(0))
-    rows = running_sum(rows, [key], order, wanted, "_upto").withColumn("_wanted", wanted)
+    rows = running_sum(rows, [key], ["_rid"], wanted, "_upto").withColumn("_wanted", wanted)
     fits = F.col("_upto") <= F.col("_stock0")
-
-    # The stock that the first refusal leaves, one row per artifact.
+    # The stock that the first refusal leaves.
     left = rows.groupBy(key).agg((F.first("_stock0") - F.coalesce(F.max(F.when(fits, F.col("_upto"))), F.lit(0)))
-                                 .cast("bigint").alias("_left"))
-    rest = rows.filter(~fits).join(left, key)
-    # Of each quantity the first _left / quantity known requests.
-    able = rest.filter(F.col("_customer_ok") & (q <= F.col("_left"))).withColumn("_q", q)
-    few = running_sum(able.drop("_upto"), [key, "_q"], order, F.lit(1), "_nth").filter(
-        F.col("_nth") <= F.floor(F.col("_left") / F.col("_q")))
-    accepted = (few.select(key, qty, "_left", "_rid", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
-                .repartition(key).sortWithinPartitions(key, *[f"_o{i}" for i in range(len(order))], "_rid")
-                .select(key, qty, "_left", "_rid").mapInPandas(_greedy(key, qty), "_rid bigint"))
-    rest = rest.join(accepted.withColumn("_in", F.lit(True)), "_rid", "left")
+                                 .cast("bigint").alias("_left")).checkpoint()
+    rest = rows.filter(~fits).drop("_upto").join(F.broadcast(left), key)
+    # A partition gives its first _left / quantity known requests of each quantity: all that can pass are among them.
+    able = rest.filter(F.col("_customer_ok") & (q <= F.col("_left"))).select(key, q.alias(qty), "_left", "_rid")
+    few = able.mapInPandas(_first_of_each(key, qty), able.schema)
+    accepted = (few.repartition(key).sortWithinPartitions(key, "_rid").mapInPandas(_greedy(key, qty), "_rid bigint")
+                .withColumn("_in", F.lit(True)).checkpoint())
+    if accepted.count() <= MAX_ACCEPTED:
+        rest = rest.join(F.broadcast(accepted), "_rid", "left")
+    else:
+        rest = in_chunks(rest.drop(CHUNK).withColumnRenamed("_rid", "_at_first").join(
+            accepted.withColumnRenamed("_rid", "_at_first"), "_at_first", "left"), [key], ["_at_first"])
     used = F.when(F.col("_in"), q).otherwise(F.lit(0))
-    rest = running_sum(rest.drop("_upto"), [key], order, used, "_used").withColumn(
-        "_before", F.col("_left") - (F.col("_used") - F.when(F.col("_in"), q).otherwise(F.lit(0))))
-
+    rest = running_sum(rest, [key], ["_rid"], used, "_used").withColumn("_before", F.col("_left") - (F.col("_used") - used))
     first = rows.filter(fits).withColumn("_before", F.col("_stock0") - (F.col("_upto") - F.col("_wanted"))).withColumn(
         "_in", F.col("_customer_ok"))
-    both = first.select(*out, "_before", "_in", CHUNK).unionByName(rest.select(*out, "_before", "_in", CHUNK))
-    is_in = F.coalesce("_in", F.lit(False))
-    return both.select(*out, F.col("_before").cast("int").alias("stock_before"), is_in.alias("accepted"),
-                       F.when(~is_in, F.when(q > F.col("_before"), F.lit(INSUFFICIENT))
-                              .otherwise(F.lit(CUSTOMER_NOT_FOUND))).alias("reason"))
+    columns = [c for c in first.columns if c in rest.columns]
+    return first.select(*columns).unionByName(rest.select(*columns)).withColumn("_in", F.coalesce("_in", F.lit(False)))
 
 
 def admit_purchases(requests: DataFrame, stock: DataFrame, order_cols: Sequence[str],
@@ -132,12 +206,11 @@ def admit_purchases(requests: DataFrame, stock: DataFrame, order_cols: Sequence[
                   .when(q.isNull(), F.lit(NULL_QUANTITY))
                   .when(q <= 0, F.lit(NOT_POSITIVE))
                   .when(q > s0, F.lit(INSUFFICIENT)))
-    r = r.withColumn("_own", own_reason)
-    decided = r.filter(F.col("_own").isNotNull()).select(
+    rows = in_chunks(r.withColumn("_own", own_reason).drop("_found"), [key], list(order_cols))
+    decided = rows.filter(F.col("_own").isNotNull()).select(
         *cols, F.lit(None).cast("int").alias("stock_before"), F.lit(False).alias("accepted"),
         F.col("_own").alias("reason"))
-    candidates = r.filter(F.col("_own").isNull()).select(*cols, "_stock0", "_customer_ok")
-    return decided.unionByName(_fold(candidates, order_cols, key, qty, cols))
+    return decided.unionByName(_fold(rows.filter(F.col("_own").isNull()).drop("_own"), key, qty, cols))
 
 
 def stock_after(admitted: DataFrame, stock: DataFrame, key: str = "artifact_id",

@@ -41,7 +41,7 @@ def ship_package(spark: SparkSession) -> None:
 
     from pyspark import cloudpickle
 
-    for name in ("vitrine.operators.admission", "vitrine.streaming.admission_stream",
+    for name in ("vitrine.functions.running", "vitrine.functions.grouping", "vitrine.operators.admission", "vitrine.operators.cart", "vitrine.streaming.admission_stream",
                  "vitrine.streaming.cart_stream"):
         __import__(name)
         cloudpickle.register_pickle_by_value(sys.modules[name])
