@@ -545,27 +545,35 @@ wants AS (
   SELECT user_id, since, upto, list({'a': b.artifact_id, 'q': b.qty, 's': CASE WHEN a.artifact_id IS NOT NULL THEN ifnull(a.quantity, 0) END}) AS w
   FROM basket b LEFT JOIN artifact a USING (artifact_id) WHERE b.qty > 0 GROUP BY 1, 2, 3
 ),
+-- Users who share artifacts, however indirectly, meet the same stock; one step is a checkout in each such circle.
+circles(u, v) AS (
+  SELECT DISTINCT user_id, user_id FROM ev
+  UNION
+  SELECT c.u, y.user_id FROM circles c JOIN pairs x ON x.user_id = c.v JOIN pairs y ON y.artifact_id = x.artifact_id
+),
+circle AS (SELECT u AS user_id, min(v) AS c FROM circles GROUP BY u),
 steps AS (
-  SELECT user_id, ord, row_number() OVER (ORDER BY ord) AS k, user_id IN (SELECT user_id FROM users) AS known
-  FROM ev WHERE kind = 'checkout'
+  SELECT user_id, ord, c, row_number() OVER (PARTITION BY c ORDER BY ord) AS k, user_id IN (SELECT user_id FROM users) AS known
+  FROM ev JOIN circle USING (user_id) WHERE kind = 'checkout'
 ),
-play(k, u, ord, bad, posted, taken) AS (
-  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST([] AS STRUCT(a BIGINT, q BIGINT, l BIGINT)[]),
+play(c, k, u, ord, bad, posted, taken) AS (
+  SELECT DISTINCT c, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST([] AS STRUCT(a BIGINT, q BIGINT, l BIGINT)[]),
          CAST([] AS STRUCT(u BIGINT, o BIGINT)[]), CAST([] AS STRUCT(u BIGINT, o BIGINT, a BIGINT, q BIGINT)[])
+  FROM circle
   UNION ALL
-  SELECT k, u, ord, bad,
+  SELECT c, k, u, ord, bad,
          CASE WHEN known AND len(bad) = 0 THEN list_append(posted, {'u': u, 'o': ord}) ELSE posted END,
          CASE WHEN known AND len(bad) = 0 THEN list_concat(taken, list_transform(w, lambda x: {'u': u, 'o': ord, 'a': x.a, 'q': x.q})) ELSE taken END
   FROM (
-    SELECT s.k, s.user_id AS u, s.ord, s.known, p.posted, p.taken, ifnull(w.w, []) AS w,
+    SELECT s.c, s.k, s.user_id AS u, s.ord, s.known, p.posted, p.taken, ifnull(w.w, []) AS w,
            list_filter(list_transform(ifnull(w.w, []), lambda x: {'a': x.a, 'q': x.q, 'l': x.s - coalesce(list_sum(list_transform(
              list_filter(p.taken, lambda t: t.a = x.a), lambda t: t.q)), 0)}), lambda y: y.l IS NULL OR y.q > y.l) AS bad
     FROM (SELECT p.*, s.user_id AS next, coalesce(list_max(list_transform(list_filter(p.posted, lambda d: d.u = s.user_id), lambda d: d.o)), 0) AS since
-          FROM play p JOIN steps s ON s.k = p.k + 1) p
-    JOIN steps s ON s.k = p.k + 1
+          FROM play p JOIN steps s ON s.c = p.c AND s.k = p.k + 1) p
+    JOIN steps s ON s.c = p.c AND s.k = p.k + 1
     LEFT JOIN wants w ON w.user_id = s.user_id AND w.upto = s.ord AND w.since = p.since) step
 ),
-outcome AS (SELECT * FROM play WHERE k = (SELECT max(k) FROM play))"""
+outcome AS (SELECT * FROM play QUALIFY row_number() OVER (PARTITION BY c ORDER BY k DESC) = 1)"""
 
 
 def _checkouts(g, spark, sf):
@@ -589,7 +597,7 @@ SELECT l.ts, l.event_id, x.u AS user_id, x.a AS artifact_id, x.q AS qty, CAST(x.
 FROM (SELECT u, ord, unnest(bad, recursive := true) FROM play) x JOIN log l ON l.ord = x.ord LEFT JOIN artifact d ON d.artifact_id = x.a
 UNION ALL
 SELECT l.ts, l.event_id, s.user_id, NULL, NULL, NULL, 'unknown_customer', 'Customer not found'
-FROM play p JOIN steps s ON s.k = p.k JOIN log l ON l.ord = s.ord
+FROM play p JOIN steps s ON s.c = p.c AND s.k = p.k JOIN log l ON l.ord = s.ord
 JOIN wants w ON w.user_id = s.user_id AND w.upto = s.ord AND w.since = 0
 WHERE NOT s.known AND len(p.bad) = 0""", PLAY_CTES, recursive=True))
 def _checkout_refusals(g, spark, sf):
