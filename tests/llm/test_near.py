@@ -185,3 +185,48 @@ def test_recall_at_the_threshold():
         rows, bands = embedding.plan_bands(n)
         agree = (1 - math.acos(0.9) / math.pi) ** rows
         assert (1 - agree) ** bands <= embedding.MISS
+
+
+def test_survivors_grow_with_the_members(spark, monkeypatch):
+    """Near copies that the first bands leave apart: blocks give back a few forests, not their pairs."""
+    counts = []
+    real = minhash.block_survivors
+
+    def watched(rows, *args):
+        found = real(rows, *args).cache()
+        counts.append((found.count(), rows.count()))
+        return found
+
+    monkeypatch.setattr(minhash, "block_survivors", watched)
+    monkeypatch.setattr(minhash, "FIRST", 0)
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for _ in range(rng.choice([1, 1, 2])):
+            words[rng.randrange(150)] = f"x{i}y{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r[0]: tuple(r[1:]) for r in minhash.near_duplicates(docs, size=4).collect()}
+    assert got == near_brute(rows, 4, 80)
+    assert counts and all(n <= (minhash.FORESTS + 1) * members for n, members in counts)
+
+
+@pytest.mark.parametrize("count", [1, 2, 3, 100])
+def test_forests(count):
+    rng = random.Random(count)
+    ends = [(rng.randrange(12), rng.randrange(12, 24)) for _ in range(200)]
+    taken, more = minhash.forests(ends, count)
+    assert len(set(taken)) == len(taken) and more == (len(taken) < len(ends))
+    assert len(taken) <= count * 23 or count > minhash.MOST_FORESTS
+    one, _ = minhash.forests(ends, 1)
+
+    def joined(some):
+        parent = list(range(24))
+        for k in some:
+            a, b = ends[k]
+            parent = [parent[b] if p == parent[a] else p for p in parent]
+        return len(set(parent))
+
+    assert joined(one) == joined(range(200))

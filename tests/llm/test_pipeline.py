@@ -12,7 +12,7 @@ import corpus_pipeline as P  # noqa: E402
 from vitrine.llm import common as C  # noqa: E402
 from vitrine.llm import mixing, queries, sentencepiece  # noqa: E402
 from tests.llm.test_near import near_brute  # noqa: E402
-from tests.llm.test_texts import lines_brute  # noqa: E402
+from tests.llm.test_findings import maximal_brute  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -46,7 +46,7 @@ def test_quality_stage_keeps_good_documents(spark, tables):
 
 def test_line_stage_against_a_loop(tables):
     rows = [(r.doc_id, r.text) for r in tables[1].collect()]
-    want = lines_brute(rows, 25)
+    want = maximal_brute(rows, 25)
     left = {i: len(t.split()) - want[i][0] for i, t in rows}
     got = {r.doc_id: len(r.text.split()) for r in tables[2].collect()}
     assert got == {i: n for i, n in left.items() if n or not want[i][1]}

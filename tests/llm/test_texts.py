@@ -10,6 +10,7 @@ import pytest
 from vitrine.llm import common as C
 from vitrine.llm import licenses, line_dedup, quality, secrets, sentencepiece, token_counts
 from tests.llm import messy
+from tests.llm.test_findings import maximal_brute
 
 SF = "/root/testdata/sf0.01"
 
@@ -224,25 +225,6 @@ def test_encoding_round_trips(spark):
 
 # --------------------------------------------------------------- line dedup
 
-def lines_brute(rows, least):
-    """The first place of every shortest run of ``least`` words; lines of later ones go."""
-    first, out = {}, {}
-    for i, text in sorted(rows, key=lambda r: r[0]):
-        starts, ends, contents, words = line_dedup.lines_of(text)
-        gone = set()
-        for a in range(len(starts)):
-            b = a
-            while b < len(starts) and sum(words[a:b]) < least:
-                b += 1
-            if sum(words[a:b]) < least:
-                break
-            at = first.setdefault(tuple(contents[a:b]), (i, a))
-            if at[0] != i or at[1] + b - a <= a:
-                gone.update(range(a, b))
-        out[i] = (sum(words[g] for g in gone), len(gone))
-    return out
-
-
 def test_line_dedup_against_a_loop(spark):
     rng = random.Random(11)
     pool = [" ".join(f"p{rng.randrange(400)}" for _ in range(rng.randint(1, 9))) + rng.choice([".", "", "!"]) for _ in range(40)]
@@ -257,10 +239,10 @@ def test_line_dedup_against_a_loop(spark):
             lines += lines
         rows.append((i * 3 % 160, "\n".join(lines)))
     got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_words=12, gram_words=6).collect()
-    want = lines_brute(rows, 12)
+    want = maximal_brute(rows, 12)
     assert {r.doc_id: (r.removed_words, r.removed_lines) for r in got} == want and any(w[1] for w in want.values())
     one = line_dedup.line_dedup(spark.createDataFrame([(1, "a b c d. " * 30), (2, "x")], "doc_id long, text string"), min_words=12).collect()
-    assert {r.doc_id: (r.removed_words, r.removed_lines) for r in one} == lines_brute([(1, "a b c d. " * 30), (2, "x")], 12)
+    assert {r.doc_id: (r.removed_words, r.removed_lines) for r in one} == maximal_brute([(1, "a b c d. " * 30), (2, "x")], 12)
     texts = dict(rows)
     for r in got:
         assert r.text == texts[r.doc_id] if not r.removed_lines else len(r.text.split()) == len(texts[r.doc_id].split()) - r.removed_words

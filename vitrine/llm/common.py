@@ -13,6 +13,8 @@ from vitrine.session import checkpoint_dir, configure
 
 BITMAP_BITS = 1 << 28        # a broadcast bitmap never exceeds 2^28 bits = 32 MB
 BUCKET_BITS = 1 << 15        # bits that bitmap_construct_agg() packs into one 4 KB row
+# Texts can be long: batches small in rows and bytes bound a Python worker's memory.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 HOT_SHARE = 1000             # a key with more than 1/1000 of the rows is hot: at most 1000 such keys
 WORD = r"[^\x20\x09-\x0D]+"  # the words of the contracts
 
@@ -24,8 +26,44 @@ def prepare(spark: SparkSession) -> None:
 
     configure(spark)
     cloudpickle.register_pickle_by_value(vitrine.llm)
-    # Texts can be long: small Arrow batches bound a Python worker's memory.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
+
+
+class Batches:
+    """The session's settings of Arrow batches as they were, put back when the block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.before = spark, {key: spark.conf.get(key, None) for key in BATCHES}
+
+    def __enter__(self) -> "Batches":
+        return self
+
+    def __exit__(self, *exc) -> None:
+        for key, value in self.before.items():
+            self.spark.conf.unset(key) if value is None else self.spark.conf.set(key, value)
+
+
+def tidy(run):
+    """``run`` (for mapInArrow), after which its worker gives its free memory back:
+    workers are kept for later tasks, beside those of other operators."""
+    def whole(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library
+
+    return whole
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -165,7 +165,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), pa.array(prints, pa.int64()),
                                                   pa.array(places, pa.int64())], ["_doc", "print", "n"])
 
-        prints = scratch.table(rows.mapInArrow(select, f"_doc {doc}, print long, n long"))
+        prints = scratch.table(rows.mapInArrow(C.tidy(select), f"_doc {doc}, print long, n long"))
         total = prints.count()
         repeated = scratch.table(prints.groupBy("print").agg(F.sum("n").alias("places"), F.count("*").alias("size")).filter("places > 1"))
         suspects = scratch.table(C.join_hot(prints, repeated, "print", "size", total).groupBy("_doc").agg(F.collect_set("print").alias("prints")))

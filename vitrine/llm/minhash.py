@@ -11,9 +11,12 @@ Only links that can join components matter, so a band's bucket is not turned
 into all its pairs.  First, in the first ``FIRST`` bands, its members are compared
 with its least one, at most that many pairs a document.  Of what then remains in different components, blocks of a
 bucket's signatures meet in pairs, so no task holds a whole bucket; members in
-its most frequent component meet the others only.  Blocks give back survivors,
-for each two components a slice of the likeliest at a time: further slices follow
-while components stay apart.
+its most frequent component meet the others only.  A block does not give back all
+its survivors: a few forests of the likeliest, each a link less than the
+components in the block at most, join what belongs together.  Once these are
+verified and the components merged, further rounds take the survivors that
+still lead from one component to another and were not refused before, until
+there are none.
 """
 
 from __future__ import annotations
@@ -36,8 +39,10 @@ FIRST = 4                 # bands in which members are compared with their bucke
 BATCH = 16                # signature places compared at a time
 MISS = 1e-6               # posterior probability below which a pair is dropped
 BLOCK = 512               # signatures of a bucket that meet at a time
-SLICE = 64                # survivors of two components in the first slice of a block; 8 times as many in the next
+FORESTS = 4               # forests of survivors that a block gives back in the first round; 8 times as many in the next
+MOST_FORESTS = 32         # of a round; the round after gives back all that is left
 SHINGLES_PER_TASK = 50_000
+PAIRS_PER_TASK = 64
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                  0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -84,6 +89,16 @@ def fewest_matches(threshold: float, places: int, miss: float) -> int:
     return places
 
 
+def band_keys(sigs: np.ndarray) -> np.ndarray:
+    """The bucket of each band, a row for each signature."""
+    quads = sigs.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX[0]
+    for r in range(ROWS):
+        key = (key ^ quads[:, :, r]) * _MIX[1]
+        key ^= key >> np.uint64(31)
+    return key.view(np.int64)
+
+
 def signatures(rows: DataFrame, size: int) -> DataFrame:
     """(_id, n, set_hash, sig, bands) of every row (_id, _text) with words; (_id, 0) else."""
 
@@ -91,7 +106,6 @@ def signatures(rows: DataFrame, size: int) -> DataFrame:
         rng = np.random.RandomState(7)
         factors = rng.randint(0, 2 ** 31, BANDS * ROWS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
         shifts = rng.randint(0, 2 ** 31, BANDS * ROWS).astype(np.uint32)
-        band = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX[0]
         for batch in batches:
             n, digest, sigs, bands = [], [], [], []
             for text, in values_of(batch, "_text"):
@@ -103,18 +117,13 @@ def signatures(rows: DataFrame, size: int) -> DataFrame:
                 sig = signature(hashes, factors, shifts)
                 digest.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
                 sigs.append(sig.tobytes())
-                quads = sig.reshape(BANDS, ROWS).astype(np.uint64)
-                key = band
-                for r in range(ROWS):
-                    key = (key ^ quads[:, r]) * _MIX[1]
-                    key ^= key >> np.uint64(31)
-                bands.append(key.view(np.int64))
+                bands.append(band_keys(sig)[0])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sigs, pa.binary()),
                  pa.array(bands, pa.list_(pa.int64()))], ["_id", "n", "set_hash", "sig", "bands"])
 
     kind = dict(rows.dtypes)["_id"]
-    return rows.mapInArrow(run, f"_id {kind}, n long, set_hash binary, sig binary, bands array<long>")
+    return rows.mapInArrow(C.tidy(run), f"_id {kind}, n long, set_hash binary, sig binary, bands array<long>")
 
 
 def likely_pairs(pairs: DataFrame, sigs: DataFrame, n_pairs: int, threshold: float, scratch: C.Scratch) -> DataFrame:
@@ -136,13 +145,13 @@ def likely_pairs(pairs: DataFrame, sigs: DataFrame, n_pairs: int, threshold: flo
     right = sigs.select(F.col("_id").alias("v"), F.col("sig").alias("sig_v"))
     both = C.join_hot(pairs.select("u", "v", "n_v").join(right, "v"), scratch.table(left), "u", "degree", n_pairs)
     kind = dict(pairs.dtypes)["u"]
-    return both.select("u", "v", "sig_u", "sig_v", "n_v").mapInArrow(run, f"u {kind}, v {kind}, n_v long")
+    return both.select("u", "v", "sig_u", "sig_v", "n_v").mapInArrow(C.tidy(run), f"u {kind}, v {kind}, n_v long")
 
 
-def compare_blocks(a: dict, b: dict | None, needed: list[tuple[int, int]], low: int, high: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Index pairs of survivors in different components between two blocks, or
-    within one (``b`` None): those ranked ``low`` to ``high`` by matches for each
-    two components as they were at first, and whether there are more."""
+def survivors_of(a: dict, b: dict | None, needed: list[tuple[int, int]], band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs between two blocks, or within one (``b`` None), of a bucket of
+    ``band`` that lie in different components and keep a chance, with their
+    matches.  A pair that shares an earlier band is met in that band's bucket."""
     other = a if b is None else b
     i, j = np.nonzero(a["label"][:, None] != other["label"][None, :])
     if b is None:
@@ -157,30 +166,45 @@ def compare_blocks(a: dict, b: dict | None, needed: list[tuple[int, int]], low:
             matches = matches + (a["sig"][p, done:places] == other["sig"][q, done:places]).sum(1)
             alive = matches >= least
             p, q, matches, done = p[alive], q[alive], matches[alive], places
-        keep_i.append(p), keep_j.append(q), keep_m.append(matches)
-    i, j, m = np.concatenate(keep_i), np.concatenate(keep_j), np.concatenate(keep_m)
-    if not len(i):
-        return i, j, False
-    one, two = a["seed"][i], other["seed"][j]
-    swap = one > two
-    one, two = np.where(swap, two, one), np.where(swap, one, two)
-    order = np.lexsort((other["id"][j], a["id"][i], -m, two, one))
-    i, j, one, two = i[order], j[order], one[order], two[order]
-    fresh = np.ones(len(i), bool)
-    fresh[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-    starts = np.flatnonzero(fresh)
-    rank = np.arange(len(i)) - starts[np.cumsum(fresh) - 1]
-    taken = (rank >= low) & (rank < high)
-    return i[taken], j[taken], bool((rank >= high).any())
-
-
-def block_survivors(rows: DataFrame, sigs: DataFrame, percent: int, low: int, high: int, scratch: C.Scratch) -> DataFrame:
-    """(u, v, n_v) of survivors in different components, from bucket rows (key, _id, n,
-    label, seed, bulk, size, others): ``bulk`` marks members in the bucket's most
-    frequent component, of which there are size - others.  u = v stands for more
-    survivors in a later slice."""
-    kind = dict(rows.dtypes)["_id"]
-    needed = [(p, fewest_matches(percent / 100, p, MISS)) for p in range(BATCH, BANDS * ROWS + 1, BATCH)]
+        earlier = (a["sig"][p, :band * ROWS] == other["sig"][q, :band * ROWS]).reshape(len(p), band, ROWS).all(2).any(1)
+        keep_i.append(p[~earlier]), keep_j.append(q[~earlier]), keep_m.append(matches[~earlier])
+    return np.concatenate(keep_i), np.concatenate(keep_j), np.concatenate(keep_m)
+
+
+def forests(ends: list[tuple], count: int) -> tuple[list[int], bool]:
+    """Positions in ``ends`` (pairs of components, the likeliest first) of ``count``
+    forests that share no position, each of the first that join what the forest
+    has not joined, and whether positions are left over.  Beyond ``MOST_FORESTS`` all."""
+    taken, rest = [], list(range(len(ends)))
+    if count > MOST_FORESTS:
+        return rest, False
+    for _ in range(count):
+        if not rest:
+            break
+        parent: dict = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        over = []
+        for k in rest:
+            x, y = root(ends[k][0]), root(ends[k][1])
+            if x == y:
+                over.append(k)
+            else:
+                parent[x] = y
+                taken.append(k)
+        rest = over
+    return taken, bool(rest)
+
+
+def block_tasks(rows: DataFrame) -> DataFrame:
+    """The pairs of blocks (key, lo, hi) in which members meet, from bucket rows
+    (key, _id, n, seed, bulk, size, others): ``bulk`` marks members in the bucket's
+    most frequent component, of which there are size - others."""
     one_block = F.col("size") <= BLOCK
     p_blocks = F.when(one_block, 1).otherwise(F.ceil(F.col("others") / BLOCK).cast("int"))
     b_blocks = F.when(one_block, 0).otherwise(F.ceil((F.col("size") - F.col("others")) / BLOCK).cast("int"))
@@ -190,53 +214,74 @@ def block_survivors(rows: DataFrame, sigs: DataFrame, percent: int, low: int, hi
     own = F.when(F.col("bulk"), F.col("pb") + F.pmod(F.xxhash64("_id"), F.greatest("bb", F.lit(1)))).otherwise(
         F.pmod(F.xxhash64("_id"), F.greatest("pb", F.lit(1)))).cast("int")
     met = F.explode(F.when(F.col("bulk"), F.sequence(F.lit(0), F.col("pb") - 1)).otherwise(F.sequence(F.lit(0), F.col("pb") + F.col("bb") - 1)))
-    tasks = rows.withColumn("own", own).withColumn("met", met).select(
-        "key", F.least("own", "met").alias("lo"), F.greatest("own", "met").alias("hi"), "own", "_id", "n", "label", "seed")
-    tasks = tasks.join(sigs.select("_id", "sig"), "_id")
+    return rows.withColumn("own", own).withColumn("met", met).select(
+        "key", F.least("own", "met").alias("lo"), F.greatest("own", "met").alias("hi"), "own", "_id", "n", "label")
+
+
+def block_survivors(rows: DataFrame, given: DataFrame | None, sigs: DataFrame, percent: int, count: int) -> DataFrame:
+    """(key, lo, hi, u, v, n_v) of the survivors in different components that blocks
+    give back, from task rows (key, lo, hi, own, _id, n, label).  ``given`` holds
+    those of earlier rounds, which are not given back again.  u = v stands for
+    more survivors."""
+    kind = dict(rows.dtypes)["_id"]
+    needed = [(p, fewest_matches(percent / 100, p, MISS)) for p in range(BATCH, BANDS * ROWS + 1, BATCH)]
+    tasks = rows.join(sigs.select("_id", "sig"), "_id").withColumn("other", F.lit(None).cast(kind))
+    if given is not None:
+        tasks = tasks.unionByName(given.select("key", "lo", "hi", F.col("u").alias("_id"), F.col("v").alias("other")), allowMissingColumns=True)
     scale = 100 / percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(some: list[tuple]) -> dict:
             return {"id": np.array([g[2] for g in some]), "n": np.array([g[3] for g in some]), "label": np.array([g[4] for g in some]),
-                    "seed": np.array([g[5] for g in some]), "scale": scale,
-                    "sig": np.frombuffer(b"".join(g[6] for g in some), np.uint32).reshape(len(some), -1)}
-
-        def settle(group: list[tuple]) -> tuple | None:
-            lo, hi = group[0][0][1:]
-            first = [g for g in group if g[1] == lo]
-            second = [g for g in group if g[1] != lo]
+                    "scale": scale, "sig": np.frombuffer(b"".join(g[5] for g in some), np.uint32).reshape(len(some), -1)}
+
+        def settle(group: list[tuple]) -> list[tuple]:
+            key, lo, hi = group[0][0]
+            known = {(g[2], g[6]) for g in group if g[6] is not None}
+            members = [g for g in group if g[6] is None]
+            first = [g for g in members if g[1] == lo]
+            second = [g for g in members if g[1] != lo]
             if not first or (lo != hi and not second):
-                return None
+                return []
             a, b = block(first), block(second) if lo != hi else None
-            i, j, more = compare_blocks(a, b, needed, low, high)
             c = a if b is None else b
-            u, v, n = a["id"][i], c["id"][j], c["n"][j]
+            band = int(np.flatnonzero(band_keys(a["sig"][:1])[0] == key)[0])
+            i, j, m = survivors_of(a, b, needed, band)
+            order = np.lexsort((c["id"][j], a["id"][i], -m))
+            pairs = list(zip(a["id"][i[order]].tolist(), c["id"][j[order]].tolist(), c["n"][j[order]].tolist(),
+                             a["label"][i[order]].tolist(), c["label"][j[order]].tolist()))
+            if known:
+                pairs = [p for p in pairs if (p[0], p[1]) not in known]
+            taken, more = forests([p[3:] for p in pairs], count)
+            out = [(key, lo, hi, *pairs[k][:3]) for k in taken]
             if more:
-                u, v, n = np.append(u, a["id"][0]), np.append(v, a["id"][0]), np.append(n, 0)
-            return (u, v, n) if len(u) else None
+                one = first[0][2]
+                out.append((key, lo, hi, one, one, 0))
+            return out
 
         def emit(found: list[tuple], like) -> pa.RecordBatch:
-            u, v, n = (np.concatenate(c) for c in zip(*found))
-            return pa.RecordBatch.from_arrays([pa.array(u, like), pa.array(v, like), pa.array(n, pa.int64())], ["u", "v", "n_v"])
+            key, lo, hi, u, v, n = zip(*found)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(key, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(u, like), pa.array(v, like), pa.array(n, pa.int64())],
+                ["key", "lo", "hi", "u", "v", "n_v"])
 
         group: list[tuple] = []
         like = None
         for batch in batches:
             found, like = [], batch.schema.field("_id").type
-            for key, lo, hi, own, i, n, label, seed, sig in values_of(batch, "key", "lo", "hi", "own", "_id", "n", "label", "seed", "sig"):
+            for key, lo, hi, own, i, n, label, sig, other in values_of(batch, "key", "lo", "hi", "own", "_id", "n", "label", "sig", "other"):
                 at = (key, lo, hi)
                 if group and group[0][0] != at:
-                    if len(group) > 1 and (settled := settle(group)):
-                        found.append(settled)
+                    found += settle(group)
                     group = []
-                group.append((at, own, i, n, label, seed, sig))
+                group.append((at, own, i, n, label, sig, other))
             if found:
                 yield emit(found, like)
-        if len(group) > 1 and (settled := settle(group)):
-            yield emit([settled], like)
+        if group and (found := settle(group)):
+            yield emit(found, like)
 
     return (tasks.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-            .mapInArrow(run, f"u {kind}, v {kind}, n_v long"))
+            .mapInArrow(C.tidy(run), f"key long, lo int, hi int, u {kind}, v {kind}, n_v long"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scratch: C.Scratch) -> DataFrame:
@@ -245,7 +290,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scratch
     then its partners one by one."""
     kind = dict(pairs.dtypes)["u"]
     work = scratch.table(pairs.groupBy("u").agg(
-        F.count("*").alias("degree"), F.ceil(F.sum("n_v") / SHINGLES_PER_TASK).cast("int").alias("parts")))
+        F.count("*").alias("degree"), F.greatest(F.ceil(F.sum("n_v") / SHINGLES_PER_TASK), F.ceil(F.count("*") / PAIRS_PER_TASK)).cast("int").alias("parts")))
     dealt = C.join_hot(pairs.select("u", "v"), work, "u", "degree", pairs.count()).select(
         "u", F.col("v").alias("_id"), F.pmod(F.xxhash64("v"), F.greatest("parts", F.lit(1))).alias("part"), F.lit(1).alias("role"))
     centres = work.select("u", F.col("u").alias("_id"), F.explode(
@@ -271,7 +316,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scratch
                         us.append(u), vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, batch.schema.field("u").type), pa.array(vs, batch.schema.field("u").type)], ["u", "v"])
 
-    return rows.select("u", "_id", "role", "_text").mapInArrow(run, f"u {kind}, v {kind}").distinct()
+    return rows.select("u", "_id", "role", "_text").mapInArrow(C.tidy(run), f"u {kind}, v {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -304,7 +349,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fits = (F.col("u") != F.col("v")) & (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
         pairs = scratch.table(pairs.filter(fits).select("u", "v", "n_v").distinct())
         n_pairs = pairs.count()
-        links, labels, low, high = None, None, 0, SLICE
+        links, labels, forest_count = None, None, FORESTS
         if n_pairs:
             ids = scratch.table(pairs.select(F.explode(F.array("u", "v")).alias("_id")).distinct())
             sigs = scratch.table(C.only(reps.select("_id", "sig"), "_id", ids, ids.count()).distinct())
@@ -325,11 +370,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 "key", "_id", "n", F.col("label").alias("seed"), (F.col("label") == F.col("most")).alias("bulk"), "size", "others"))
             ids = scratch.table(left.select("_id").distinct())
             sigs = scratch.table(C.only(reps.select("_id", "sig"), "_id", ids, ids.count()).distinct())
+            left = left.withColumn("label", F.col("seed"))
+            tasks = scratch.table(block_tasks(left))
+            given = None
             while True:
-                now = left.withColumn("label", F.col("seed")) if labels is None else left.join(
-                    labels.withColumnRenamed("id", "_id"), "_id", "left").withColumn("label", F.coalesce("component", "seed")).drop("component")
-                survivors = scratch.table(block_survivors(now, sigs, percent, low, high, scratch).distinct())
-                chance = scratch.table(survivors.filter("u <> v"))
+                if labels is not None:
+                    now = tasks.join(labels.withColumnRenamed("id", "_id"), "_id", "left").withColumn(
+                        "label", F.coalesce("component", "label")).drop("component")
+                else:
+                    now = tasks
+                if given is not None:
+                    # Only blocks with more to give, and still in more than one component.
+                    blocks = given.filter("u = v").select("key", "lo", "hi").distinct()
+                    now = scratch.table(now.join(blocks, ["key", "lo", "hi"], "left_semi"))
+                    apart = now.groupBy("key", "lo", "hi").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key", "lo", "hi")
+                    now = now.join(apart, ["key", "lo", "hi"], "left_semi")
+                    seen = given.filter("u <> v").join(apart, ["key", "lo", "hi"], "left_semi")
+                else:
+                    seen = None
+                survivors = scratch.table(block_survivors(now, seen, sigs, percent, forest_count))
+                chance = scratch.table(survivors.filter("u <> v").select("u", "v", "n_v").distinct())
                 if chance.count():
                     fresh = scratch.table(verified(chance, docs, size, percent, scratch))
                     if fresh.count():
@@ -337,7 +397,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         labels = scratch.table(connected_components(links, scratch))
                 if survivors.filter("u = v").limit(1).count() == 0:
                     break
-                low, high = high, high * 8
+                given = scratch.table(survivors if seen is None else survivors.unionByName(seen))
+                forest_count *= 8
         if labels is not None:
             classes = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
                 "set_hash", F.coalesce("component", "rep").alias("component_id"), "members")

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.llm import common as C
 from vitrine.llm.common import values_of
 
 SAMPLE = 4096        # bound of the labelled sample
@@ -110,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
              .orderBy(F.xxhash64(F.col("_id")), "_id").limit(sample))
     shares = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
               .join(F.broadcast(drawn), "_id").select("_id", "_label", "_text").dropDuplicates(["_id"])
-              .select("_label", "_text").mapInArrow(_shares_of, "label double, shares binary").toPandas())
+              .select("_label", "_text").mapInArrow(C.tidy(_shares_of), "label double, shares binary").toPandas())
     matrix = np.stack([np.frombuffer(s, np.float32) for s in shares["shares"]]) if len(shares) else np.zeros((0, WORDS + SHAPES), np.float32)
     order = np.lexsort([*matrix.T[:8], shares["label"].to_numpy()]) if len(shares) else np.array([], int)
     return fit(matrix[order], shares["label"].to_numpy()[order])

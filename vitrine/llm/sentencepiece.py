@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.llm import common as C
 from vitrine.llm.common import values_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -155,7 +156,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataF
                 [batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(same, pa.bool_())],
                 ["_row", "ids", "n_tokens", "round_trip"])
 
-    return rows.mapInArrow(run, f"_row {row}, ids array<int>, n_tokens long, round_trip boolean").select(
+    return rows.mapInArrow(C.tidy(run), f"_row {row}, ids array<int>, n_tokens long, round_trip boolean").select(
         "_row.*", "ids", "n_tokens", "round_trip")
 
 
@@ -171,4 +172,4 @@ def decode(rows: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFra
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), pa.array([pieces.decode(i or []) for i, in values_of(batch, "_ids")], pa.string())], ["_row", "decoded"])
 
-    return packed.mapInArrow(run, f"_row {row}, decoded string").select("_row.*", "decoded")
+    return packed.mapInArrow(C.tidy(run), f"_row {row}, decoded string").select("_row.*", "decoded")
