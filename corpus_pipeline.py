@@ -6,13 +6,10 @@ return the columns of ``documents``."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from vitrine.llm import line_dedup, minhash, mixing, quality, sentencepiece
-from vitrine.llm.common import prepare, read
-from vitrine.session import checkpoint_dir
+from vitrine.llm.common import Batches, Scratch, prepare, read
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the tables between them lie in the shared checkpoint folder."""
-    docs = read(spark, sf_dir, "documents")
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
-        docs = spark.read.parquet(f"{folder}/{i}")
-    return docs
+    """All stages over ``documents``; the tables between them lie in the shared
+    checkpoint folder and go at the end, as do the stages' session settings.  Rows
+    with null, empty or repeated texts pass the stages as their operators state;
+    of an empty table every stage gives no rows."""
+    with Batches(spark), Scratch(spark) as scratch:
+        docs = read(spark, sf_dir, "documents")
+        for _, stage in STAGES:
+            docs = scratch.table(stage(spark, docs, sf_dir))
+        return docs.checkpoint()
