@@ -55,3 +55,14 @@ def test_planted_violations(spark):
     assert expected <= found, expected - found
     assert not any(r[2] == "9" and r[0] == "artifact" for r in found)  # '.Webp' is allowed
     assert ("artifact", "image_extension", "7", "img.GIF") in found
+
+
+def test_rows_with_null_keys_are_not_gathered(spark):
+    """Half the rows have a NULL key: each is a finding, and none is grouped."""
+    data = fixture_rows()
+    data["museum"] += [(None, f"m{k}", "x", 1, TS) for k in range(5000)] + [(1, "again", "x", 1, TS)]
+    found = C.audit_keys(from_rows(spark, data))
+    assert found.filter("rule = 'pk_null'").count() == 5000
+    assert rows(found.filter("rule = 'pk_duplicate'"), "table_name", "key", "detail") == [("museum", "1", "2")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_repeat" not in plan and "collect_list" not in plan

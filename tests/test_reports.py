@@ -129,3 +129,14 @@ def test_distributed_rank_matches_window(spark):
     want = df.withColumn("r", F.rank().over(Window.orderBy(F.col("v").desc_nulls_last())))
     got = rank_desc(df, "v", "r")
     assert sorted(rows(got, "id", "r")) == sorted(rows(want, "id", "r"))
+
+
+def test_ranks_of_a_tie_of_half_the_rows(spark):
+    """The tied rows stay where they are: only distinct values are sorted."""
+    from vitrine.functions.ranking import rank_desc
+
+    df = spark.range(40_000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 7 WHEN id % 5 = 0 THEN NULL ELSE id END AS v").repartition(16)
+    got = rank_desc(df, "v", "r").withColumn("p", F.spark_partition_id())
+    want = {r.id: r.r for r in df.selectExpr("id", "rank() OVER (ORDER BY v DESC NULLS LAST) AS r").collect()}
+    assert {r.id: r.r for r in got.collect()} == want
+    assert got.filter("v = 7").groupBy("p").count().agg(F.max("count")).first()[0] <= 20_000 // 8

@@ -63,3 +63,63 @@ def test_stream_cart_equals_batch(spark, tmp_path):
     versions = ST.run_to_table(KS.cart_state_stream(stream, ["seq"]), "t_cart")
     got = sorted(rows(KS.current_carts(versions, ["seq"])))
     assert got == sorted(rows(K.cart_state(df, ["seq"])))
+
+
+def timed_requests(spark, rnd, n, nulls=0.05):
+    """Times in no order, some null, some equal."""
+    import datetime as dt
+
+    start = dt.datetime(2024, 1, 1)
+    data = [(seq, None if rnd.random() < nulls else start + dt.timedelta(seconds=rnd.randrange(n)), rnd.randrange(10), rnd.choice([1, 2, 3, 7, 0]),
+             rnd.choice([None, *range(12)])) for seq in range(n)]
+    return spark.createDataFrame(data, "seq long, ts timestamp_ntz, artifact_id long, quantity int, customer_id long").repartition(6)
+
+
+def test_one_query_over_shuffled_files_equals_batch(spark):
+    """Null times included; the stock left is the state's after the last batch."""
+    rnd = random.Random(15)
+    req = timed_requests(spark, rnd, 500)
+    stock = spark.createDataFrame([(a, rnd.choice([3, 10, 40])) for a in range(8)], "artifact_id long, quantity int")
+    users = spark.createDataFrame([(u,) for u in range(10)], "user_id long")
+    played = ST.play(req, "ts", "t_play", lambda s, delay: ST.admit_purchases_stream(s, stock, ["ts", "seq"], users=users, time_col="ts", delay=delay))
+    batch = A.admit_purchases(req, stock, ["ts", "seq"], users=users)
+    cols = ["seq", "stock_before", "accepted", "reason"]
+    assert sorted(rows(played.out, *cols)) == sorted(rows(batch, *cols)) and played.out.filter("ts IS NULL").count() > 0
+    assert sorted(rows(ST.stock_left(played, stock))) == sorted(rows(A.stock_after(batch, stock)))
+    played.remove()
+
+
+def test_seats_after_a_stream_equal_batch(spark):
+    rnd = random.Random(16)
+    req = timed_requests(spark, rnd, 400).withColumnRenamed("artifact_id", "exhibition_id").drop("quantity")
+    ex = spark.createDataFrame([(e, rnd.choice([2, 5, 50, None])) for e in range(8)], "exhibition_id long, capacity int")
+    att = spark.createDataFrame([(1, 1, None), (2, 2, None)], "customer_id long, exhibition_id long, attended_at timestamp_ntz")
+    played = ST.play(req, "ts", "t_seats", lambda s, delay: ST.admit_attends_stream(s, att, ex, ["ts", "seq"], time_col="ts", delay=delay))
+    batch = A.admit_attends(req, att, ex, ["ts", "seq"])
+    assert sorted(rows(played.out, "seq", "reason"), key=str) == sorted(rows(batch, "seq", "reason"), key=str)
+    taken = {e: 0 for e in range(8)} | {1: 1, 2: 1}
+    for r in batch.filter("accepted").collect():
+        taken[r.exhibition_id] += 1
+    assert dict(rows(ST.seats_taken(played, att, ex), "exhibition_id", "seats_taken")) == taken
+    played.remove()
+
+
+def test_requests_wait_for_the_watermark_and_late_ones_are_dropped(spark, tmp_path):
+    """Four files, 10 seconds of delay: what is out of order within it is judged in
+    order, what comes after its time was passed is dropped."""
+    import datetime as dt
+
+    def land(name, times):
+        data = [(s, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s), 1, 1) for s in times]
+        spark.createDataFrame(data, "seq long, ts timestamp_ntz, artifact_id long, quantity int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)
+
+    land("a", [105, 101, 103])
+    land("b", [100, 104, 200])       # 100 and 104 are in time: the watermark is at 95
+    land("c", [150, 210])            # 150 is still judged before 200: the watermark was at 95 when it came
+    land("d", [120])                 # late: the watermark was at 190
+    stock = spark.createDataFrame([(1, 4)], "artifact_id long, quantity int")
+    stream = spark.readStream.schema("seq long, ts timestamp_ntz, artifact_id long, quantity int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = ST.run_to_table(ST.admit_purchases_stream(stream, stock, ["ts", "seq"], time_col="ts", delay="10 seconds"), "t_late", base=f"{tmp_path}/run")
+    # 210 still waits: no later time has passed it.
+    assert sorted(rows(out, "seq", "stock_before", "accepted")) == [(100, 4, True), (101, 3, True), (103, 2, True), (104, 1, True), (105, 0, False), (150, 0, False), (200, 0, False)]

@@ -1017,22 +1017,55 @@ def _display_columns(g, spark, sf):
 from vitrine.streaming import admission_stream as ST  # noqa: E402
 
 
+def _kept(played: ST.Played, df):
+    """``df`` without the folders of the stream."""
+    df = df.checkpoint()
+    played.remove()
+    return df
+
+
+def _play_purchases(g, spark, sf):
+    """The line items, in whatever files they lie, as one stream judged by ship date."""
+    return ST.play(
+        adapter.purchase_requests(spark, sf), "l_shipdate", "admit_purchases",
+        lambda requests, delay: ST.admit_purchases_stream(requests, adapter.restocked(g.artifact), adapter.PURCHASE_REQUEST_ORDER,
+                                                          users=g.users, time_col="l_shipdate", delay=delay))
+
+
+def _play_attends(g, spark, sf):
+    return ST.play(
+        adapter.attend_requests(spark, sf), "ts", "admit_attends",
+        lambda requests, delay: ST.admit_attends_stream(requests, g.attends, g.exhibition, adapter.ATTEND_REQUEST_ORDER,
+                                                        users=g.users, time_col="ts", delay=delay))
+
+
 @register("stream_admit_purchases", "A4", REGISTRY["admit_purchases"].sql)
 def _stream_admit_purchases(g, spark, sf):
-    # The line items arrive in waves by ship date; what the streaming query
-    # writes equals the batch admission.
-    return ST.replay(
-        adapter.purchase_requests(spark, sf), "l_shipdate", "admit_purchases",
-        lambda requests: ST.admit_purchases_stream(requests, adapter.restocked(g.artifact),
-                                                   adapter.PURCHASE_REQUEST_ORDER, users=g.users))
+    played = _play_purchases(g, spark, sf)
+    return _kept(played, played.out)
+
+
+@register("stream_stock_left", "A4 state", with_adapter("SELECT artifact_id, quantity FROM day_artifact", DAY_STOCK_CTES, recursive=True))
+def _stream_stock_left(g, spark, sf):
+    played = _play_purchases(g, spark, sf)
+    return _kept(played, ST.stock_left(played, adapter.restocked(g.artifact)).select("artifact_id", "quantity"))
 
 
 @register("stream_admit_attends", "A5", REGISTRY["admit_attends"].sql)
 def _stream_admit_attends(g, spark, sf):
-    return ST.replay(
-        adapter.attend_requests(spark, sf), "ts", "admit_attends",
-        lambda requests: ST.admit_attends_stream(requests, g.attends, g.exhibition, adapter.ATTEND_REQUEST_ORDER,
-                                                 users=g.users))
+    played = _play_attends(g, spark, sf)
+    return _kept(played, played.out)
+
+
+@register("stream_seats_taken", "A5 state", with_adapter(f"""
+SELECT e.exhibition_id, e.capacity, CAST(ifnull(x.n, 0) + ifnull(y.n, 0) AS BIGINT) AS seats_taken
+FROM exhibition e
+LEFT JOIN (SELECT exhibition_id, count(*) AS n FROM attends GROUP BY 1) x ON x.exhibition_id = e.exhibition_id
+LEFT JOIN (SELECT exhibition_id, count(*) AS n FROM ({REGISTRY["admit_attends"].sql}) WHERE accepted GROUP BY 1) y
+       ON y.exhibition_id = e.exhibition_id"""))
+def _stream_seats_taken(g, spark, sf):
+    played = _play_attends(g, spark, sf)
+    return _kept(played, ST.seats_taken(played, g.attends, g.exhibition))
 
 
 from vitrine.streaming import cart_stream as KS  # noqa: E402
@@ -1041,5 +1074,6 @@ from vitrine.streaming import cart_stream as KS  # noqa: E402
 @register("stream_cart_state", "K1s", REGISTRY["cart_state"].sql)
 def _stream_cart_state(g, spark, sf):
     events = adapter.cart_events(spark, sf)
-    versions = ST.replay(events, "ts", "cart_state", lambda ev: KS.cart_state_stream(ev, adapter.CART_EVENT_ORDER))
-    return KS.current_carts(versions, adapter.CART_EVENT_ORDER, dict(events.dtypes)["artifact_id"])
+    played = ST.play(events, "ts", "cart_state",
+                     lambda ev, delay: KS.cart_state_stream(ev, adapter.CART_EVENT_ORDER, time_col="ts", delay=delay))
+    return _kept(played, KS.current_carts(played.out, adapter.CART_EVENT_ORDER, dict(events.dtypes)["artifact_id"]))

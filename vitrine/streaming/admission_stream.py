@@ -5,20 +5,23 @@ stock, capacity, existing attendances) is attached by stream-static joins;
 the running part (stock left, seats taken, customers already admitted) is
 kept per key in the state store by ``transformWithStateInPandas``.  Within a
 micro-batch a key's requests are sorted by the order columns; across
-micro-batches arrival order rules.  ``replay`` feeds a stored table in that
-order whatever files hold it: it is dealt by event time into waves of bounded
-size, which arrive one after the other.  Run on the RocksDB state store provider
-so state lives off the JVM heap and is checkpointed with the query.
+micro-batches arrival order rules, unless the stream names its event time.  Then
+a key's rows wait in state until the watermark has passed them (event-time
+timers), and are judged in the order of their times whatever order they arrive
+in; rows later than the watermark's delay are dropped and counted by Spark.  A
+closing mark, a row far in the future, releases what still waits.  ``play`` runs
+one such query over a stored table.  Run on the RocksDB state store provider so
+state lives off the JVM heap and is checkpointed with the query.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,15 +39,88 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def _sorted(rows: Iterator[pd.DataFrame], order_cols: Sequence[str]) -> pd.DataFrame:
-    """One key's rows of this micro-batch in arrival order."""
+    """One key's rows of this micro-batch in the order of the columns, nulls first."""
     chunks = list(rows)
     batch = chunks[0] if len(chunks) == 1 else pd.concat(chunks, ignore_index=True)
     if len(batch) > 1:
-        order = np.lexsort([batch[c].to_numpy() for c in reversed(list(order_cols))])
+        order = np.lexsort([pd.factorize(batch[c], sort=True)[0] for c in reversed(list(order_cols))])
         batch = batch.take(order)
     return batch
 
 
+# -------------------------------------------------------------- event time
+
+EVENT_TIME = "st_time"
+CLOSING = "9999-01-01"      # the time of a closing mark; no request has it
+
+
+class InOrder(StatefulProcessor):
+    """Holds a key's rows back until the watermark has passed them and hands them,
+    in time order, to another processor.  Each micro-batch adds one element to the
+    waiting list: the rows as Arrow bytes.  Rows without a time go with the first
+    release after them, before all others."""
+
+    def __init__(self, inner: StatefulProcessor):
+        self.inner = inner
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.inner.init(handle)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True)
+        times = batch[EVENT_TIME].dropna()
+        now = timerValues.getCurrentWatermarkInMs()
+        due = int(times.max().value // 1_000_000) + 1 if len(times) else 0
+        self.waiting.appendValue((self._packed(batch),))
+        self.handle.registerTimer(max(due, now + 1))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        parts = [self._unpacked(value[0]) for value in self.waiting.get()]
+        if not parts:
+            return
+        batch = pd.concat(parts, ignore_index=True)
+        passed = batch[EVENT_TIME].isna() | (batch[EVENT_TIME] <= pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms"))
+        self.waiting.clear()
+        if not passed.all():
+            self.waiting.appendValue((self._packed(batch[~passed]),))
+        if passed.any():
+            yield from self.inner.handleInputRows(key, iter([batch[passed].reset_index(drop=True)]), timerValues)
+
+    @staticmethod
+    def _packed(batch: pd.DataFrame) -> bytes:
+        table = pa.Table.from_pandas(batch, preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        return sink.getvalue().to_pybytes()
+
+    @staticmethod
+    def _unpacked(data: bytes) -> pd.DataFrame:
+        return pa.ipc.open_stream(pa.BufferReader(bytes(data))).read_all().to_pandas()
+
+    def close(self) -> None:
+        self.inner.close()
+
+
+def with_event_time(requests: DataFrame, time_col: str | None, delay: str | None) -> DataFrame:
+    """``requests`` with a watermark ``delay`` behind their times, if they name one;
+    closing marks move the watermark and go."""
+    if time_col is None:
+        return requests
+    timed = requests.withColumn(EVENT_TIME, F.col(time_col).cast("timestamp")).withWatermark(EVENT_TIME, delay or "0 seconds")
+    # This must see the time: a filter that does not would be pushed below the watermark.
+    return timed.filter(F.col(EVENT_TIME).isNull() | (F.col(EVENT_TIME) < F.to_timestamp(F.lit(CLOSING))))
+
+
+def stateful(grouped, processor: StatefulProcessor, schema: T.StructType, time_col: str | None) -> DataFrame:
+    return grouped.transformWithStateInPandas(
+        statefulProcessor=processor if time_col is None else InOrder(processor), outputStructType=schema,
+        outputMode="Append", timeMode="None" if time_col is None else "EventTime")
+
+
 # ------------------------------------------------------------------------- A4
 
 class StockFold(StatefulProcessor):
@@ -109,15 +185,18 @@ class StockFold(StatefulProcessor):
 
 def admit_purchases_stream(requests: DataFrame, stock: DataFrame, order_cols: Sequence[str],
                            users: DataFrame | None = None, key: str = "artifact_id",
-                           customer: str = "customer_id", buckets: int | None = None) -> DataFrame:
+                           customer: str = "customer_id", buckets: int | None = None,
+                           time_col: str | None = None, delay: str | None = None) -> DataFrame:
     """A4: streaming A1.  ``requests`` is a streaming DataFrame; ``stock`` and
-    ``users`` are static.  Output (append mode): request columns plus
+    ``users`` are static.  With ``time_col`` requests are judged by event time, with
+    ``delay`` for those out of order; else as they arrive.  Output (append mode): request columns plus
     ``stock_before``, ``accepted``, ``reason``, as in the batch operator.
     ``buckets`` is part of the state layout: keep it fixed for a checkpoint.  By
     default there are 16 per state partition."""
     use_rocksdb(requests.sparkSession)
     buckets = buckets or 16 * state_partitions(requests.sparkSession)
     columns = requests.columns
+    requests = with_event_time(requests, time_col, delay)
     s = stock.select(F.col("artifact_id").alias(key), F.col("quantity").cast("long").alias("st_stock0"),
                      F.lit(True).alias("st_found"))
     r = requests.join(s, key, "left").withColumn("st_found", F.coalesce("st_found", F.lit(False)))
@@ -132,9 +211,7 @@ def admit_purchases_stream(requests: DataFrame, stock: DataFrame, order_cols: Se
         [requests.schema[c] for c in columns]
         + [T.StructField("stock_before", T.IntegerType()), T.StructField("accepted", T.BooleanType()),
            T.StructField("reason", T.StringType())])
-    return r.groupBy("st_bucket").transformWithStateInPandas(
-        statefulProcessor=StockFold(columns, order_cols, key), outputStructType=out_schema,
-        outputMode="Append", timeMode="None")
+    return stateful(r.groupBy("st_bucket"), StockFold(columns, order_cols, key), out_schema, time_col)
 
 
 # ------------------------------------------------------------------------- A5
@@ -188,10 +265,13 @@ class SeatFold(StatefulProcessor):
 
 
 def admit_attends_stream(requests: DataFrame, attends: DataFrame, exhibition: DataFrame,
-                         order_cols: Sequence[str], users: DataFrame | None = None) -> DataFrame:
-    """A5: streaming A2 (requests streaming; attends, exhibition and users static)."""
+                         order_cols: Sequence[str], users: DataFrame | None = None,
+                         time_col: str | None = None, delay: str | None = None) -> DataFrame:
+    """A5: streaming A2 (requests streaming; attends, exhibition and users static);
+    ``time_col`` and ``delay`` as in A4."""
     use_rocksdb(requests.sparkSession)
     columns = requests.columns
+    requests = with_event_time(requests, time_col, delay)
     e, c = "exhibition_id", "customer_id"
     existing = attends.groupBy(e).agg(F.count(F.lit(1)).alias("st_existing"))
     ex = (exhibition.select(e, "capacity", F.lit(True).alias("st_found")).join(existing, e, "left")
@@ -209,9 +289,7 @@ def admit_attends_stream(requests: DataFrame, attends: DataFrame, exhibition: Da
     out_schema = T.StructType(
         [requests.schema[x] for x in columns]
         + [T.StructField("accepted", T.BooleanType()), T.StructField("reason", T.StringType())])
-    return r.groupBy(e).transformWithStateInPandas(
-        statefulProcessor=SeatFold(columns, order_cols), outputStructType=out_schema,
-        outputMode="Append", timeMode="None")
+    return stateful(r.groupBy(e), SeatFold(columns, order_cols), out_schema, time_col)
 
 
 # ------------------------------------------------------------------ running
@@ -250,43 +328,57 @@ def run_to_table(stream: DataFrame, name: str, partitions: int | None = None, ba
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
 
 
-ROWS_PER_WAVE = 2_000_000
-LEAST_WAVES = 3
+BATCHES = 3                 # micro-batches of a played table, at least
+FILES_PER_BATCH = 256       # files that one micro-batch reads, at most
+
+
+class Played:
+    """A stored table that one streaming query has read, with what it wrote and the
+    state that it left."""
+
+    def __init__(self, spark: SparkSession, base: str, out: DataFrame):
+        self.spark, self.base, self.out = spark, base, out
+
+    def state(self, variable: str) -> DataFrame:
+        """A state variable of the stream after its last batch, through Spark's state data source."""
+        return self.spark.read.format("statestore").option("stateVarName", variable).load(f"{self.base}/checkpoint")
 
+    def remove(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-def replay(requests: DataFrame, time_col: str, name: str, process: Callable[[DataFrame], DataFrame],
-           rows_per_wave: int = ROWS_PER_WAVE) -> DataFrame:
-    """Feed a stored table to ``process`` (streaming frame in, streaming frame
-    out) in the order of ``time_col`` and return what the query wrote.
 
-    The table is dealt by time into waves of about ``rows_per_wave`` rows, three
-    at least; rows of one time stay together, so a key's rows in a micro-batch are
-    bounded by a wave.  Each wave lands as new files and is drained by the same
-    query, restarted from its checkpoint.  The result is checkpointed and the
-    folders of the replay are removed."""
+def play(requests: DataFrame, time_col: str, name: str, process: Callable[[DataFrame, str], DataFrame]) -> Played:
+    """Run ``process`` (streaming frame and watermark delay in, streaming frame out)
+    as one query over a stored table, in whatever order its files arrive, with a
+    closing mark at the end.  The delay covers the table's whole range of times, so
+    no row is late.  The caller removes the folders when done."""
     spark = requests.sparkSession
     base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
-    requests.write.parquet(f"{base}/all")
-    stored = spark.read.schema(requests.schema).parquet(f"{base}/all")
-    waves = max(LEAST_WAVES, math.ceil(stored.count() / rows_per_wave))
-    cuts = stored.agg(F.percentile_approx(F.unix_micros(F.col(time_col).cast("timestamp")),
-                                          [i / waves for i in range(1, waves)], 10_000)).first()[0] or [0] * (waves - 1)
-    wave = F.lit(0)
-    for cut in cuts:
-        wave = wave + (F.unix_micros(F.col(time_col).cast("timestamp")) > cut).cast("int")
-    stored.withColumn("wave", wave).repartition("wave", F.rand(1)).write.partitionBy("wave").parquet(f"{base}/dealt")
-    jvm = spark._jvm.org.apache.hadoop.fs
-    fs = jvm.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(jvm.Path(f"{base}/landed"))
-    out = None
-    for i in range(waves):
-        if fs.exists(jvm.Path(f"{base}/dealt/wave={i}")):
-            fs.rename(jvm.Path(f"{base}/dealt/wave={i}"), jvm.Path(f"{base}/landed/w{i}"))
-            stream = spark.readStream.schema(requests.schema).option("recursiveFileLookup", "true").parquet(f"{base}/landed")
-            out = run_to_table(process(stream), name, base=base)
-    if out is None:
-        stream = spark.readStream.schema(requests.schema).parquet(f"{base}/landed")
-        out = spark.createDataFrame([], process(stream).schema)
-    out = out.checkpoint()
-    fs.delete(jvm.Path(base), True)
-    return out
+    requests.write.parquet(f"{base}/in")
+    stored = spark.read.schema(requests.schema).parquet(f"{base}/in")
+    time = F.unix_micros(F.col(time_col).cast("timestamp"))
+    span = stored.agg(((F.max(time) - F.min(time)) / 1_000_000).cast("bigint")).first()[0] or 0
+    files = max(1, len(stored.inputFiles()))
+    mark = spark.range(1).select(*[F.lit(CLOSING if f.name == time_col else None).cast(f.dataType).alias(f.name) for f in requests.schema])
+    mark.write.mode("append").parquet(f"{base}/in")
+    stream = (spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", min(FILES_PER_BATCH, -(-files // BATCHES)))
+              .parquet(f"{base}/in"))
+    return Played(spark, base, run_to_table(process(stream, f"{span + 1} seconds"), name, base=base))
+
+
+def stock_left(played: Played, stock: DataFrame, key: str = "artifact_id") -> DataFrame:
+    """The stock snapshot after a stream of A4: the state's stock where a request
+    came as far as that, the initial one else."""
+    left = played.state("left").select(F.col("user_map_key.k").alias(key), F.col("user_map_value.v").alias("st_left"))
+    return stock.join(left, key, "left").withColumn("quantity", F.coalesce("st_left", "quantity").cast("int")).drop("st_left")
+
+
+def seats_taken(played: Played, attends: DataFrame, exhibition: DataFrame) -> DataFrame:
+    """(exhibition_id, capacity, seats_taken) after a stream of A5: earlier
+    attendances and those that the stream admitted."""
+    e = "exhibition_id"
+    taken = played.state("taken").select(F.col(f"key.{e}").alias(e), F.col("value.v").alias("st_taken"))
+    before = attends.groupBy(e).agg(F.count(F.lit(1)).alias("st_before"))
+    return exhibition.select(e, "capacity").join(before, e, "left").join(taken, e, "left").select(
+        e, "capacity", (F.coalesce("st_before", F.lit(0)) + F.coalesce("st_taken", F.lit(0))).alias("seats_taken"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from vitrine.streaming.admission_stream import _sorted, use_rocksdb
+from vitrine.streaming.admission_stream import _sorted, stateful, use_rocksdb, with_event_time
 
 
 def _as_int(text) -> int | None:
@@ -71,15 +71,17 @@ class CartFold(StatefulProcessor):
         pass
 
 
-def cart_state_stream(events: DataFrame, order_cols: Sequence[str]) -> DataFrame:
+def cart_state_stream(events: DataFrame, order_cols: Sequence[str], time_col: str | None = None,
+                      delay: str | None = None) -> DataFrame:
     """K1 on a stream of cart events (user_id, artifact_id, kind, qty text, order
-    columns).  Output (append): versions of the changed lines."""
+    columns); ``time_col`` and ``delay`` as in A4.  Output (append): versions of the
+    changed lines."""
     use_rocksdb(events.sparkSession)
+    events = with_event_time(events, time_col, delay)
     schema = T.StructType(
         [T.StructField("user_id", T.LongType()), T.StructField("artifact_id", T.LongType()),
          T.StructField("qty", T.LongType())] + [events.schema[c] for c in order_cols])
-    return events.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=CartFold(order_cols), outputStructType=schema, outputMode="Append", timeMode="None")
+    return stateful(events.groupBy("user_id"), CartFold(order_cols), schema, time_col)
 
 
 def current_carts(versions: DataFrame, order_cols: Sequence[str], artifact_type: str = "bigint") -> DataFrame:
