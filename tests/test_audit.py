@@ -59,9 +59,11 @@ def test_planted_violations(spark):
 
 def test_rows_with_null_keys_are_not_gathered(spark):
     """Half the rows have a NULL key: each is a finding, and none is grouped."""
-    data = fixture_rows()
-    data["museum"] += [(None, f"m{k}", "x", 1, TS) for k in range(5000)] + [(1, "again", "x", 1, TS)]
-    found = C.audit_keys(from_rows(spark, data))
+    g = from_rows(spark, fixture_rows())
+    loose = g.museum.selectExpr("IF(museum_id > 0, museum_id, NULL) AS museum_id", "name", "location", "capacity", "created_at")
+    more = spark.range(5001).selectExpr("IF(id = 0, 1, NULL) AS museum_id", "concat('m', id) AS name", "'x' AS location", "1 AS capacity",
+                                        "CAST(NULL AS TIMESTAMP_NTZ) AS created_at")
+    found = C.audit_keys(g.with_tables(museum=loose.unionByName(more)))
     assert found.filter("rule = 'pk_null'").count() == 5000
     assert rows(found.filter("rule = 'pk_duplicate'"), "table_name", "key", "detail") == [("museum", "1", "2")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
