@@ -205,11 +205,14 @@ ART_COLS = ("artifact_id, artist_id, museum_id, title, description, type, qualit
             "created_at")
 
 
-@register("catalogue", "Q1", with_adapter(f"""
-SELECT a.artifact_id, a.title, a.price, a.type, a.image, a.quantity,
-       COALESCE({name('u')}, '—') AS artist_name, COALESCE(m.name, '—') AS museum_name
-FROM artifact a LEFT JOIN users u ON a.artist_id = u.user_id LEFT JOIN museum m ON a.museum_id = m.museum_id
-ORDER BY a.created_at DESC, a.artifact_id"""))
+# Every work once, with the names that its ids stand for; a dash where an id is missing or stands for nobody.
+@register("catalogue", "Q1", with_adapter("""
+SELECT artifact_id, title, type, quantity, price, image,
+       ifnull((SELECT who FROM makers WHERE id = artist_id), '—') AS artist_name,
+       ifnull((SELECT hall FROM halls WHERE id = museum_id), '—') AS museum_name
+FROM artifact""", f""",
+makers AS (SELECT user_id AS id, {name('users')} AS who FROM users),
+halls AS (SELECT museum_id AS id, name AS hall FROM museum)""".lstrip(",")))
 def _catalogue(g, spark, sf):
     return Q.catalogue(g)
 
@@ -242,10 +245,8 @@ def _museums_by_name(g, spark, sf):
 
 
 @register("upcoming_exhibitions_with_museum", "Q6", with_adapter(f"""
-SELECT e.title, e.theme, e.start_date, e.end_date, e.capacity, m.name AS museum_name
-FROM exhibition e LEFT JOIN museum m ON e.museum_id = m.museum_id
-WHERE e.start_date >= DATE '{AS_OF}'
-ORDER BY e.start_date, e.exhibition_id"""))
+SELECT (SELECT name FROM museum WHERE museum.museum_id = shown.museum_id) AS museum_name, title, theme, capacity, start_date, end_date
+FROM (FROM exhibition EXCEPT ALL FROM exhibition WHERE start_date < DATE '{AS_OF}' OR start_date IS NULL) shown"""))
 def _upcoming_with_museum(g, spark, sf):
     return Q.upcoming_exhibitions_with_museum(g, AS_OF)
 
