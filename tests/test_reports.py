@@ -140,3 +140,25 @@ def test_ranks_of_a_tie_of_half_the_rows(spark):
     want = {r.id: r.r for r in df.selectExpr("id", "rank() OVER (ORDER BY v DESC NULLS LAST) AS r").collect()}
     assert {r.id: r.r for r in got.collect()} == want
     assert got.filter("v = 7").groupBy("p").count().agg(F.max("count")).first()[0] <= 20_000 // 8
+
+
+def test_sold_sketches_merge_within_their_error(spark, tiny):
+    """Months of sketches, merged, against exact counts, at sizes beyond a sketch's exact start."""
+    n = 40_000
+    art = spark.range(n).select(F.col("id").alias("artifact_id"), F.when(F.col("id") % 50 != 49, F.col("id") % 2).alias("artist_id"))
+    art = art.select(*[F.col(c) if c in art.columns else F.lit(None).cast(tiny.artifact.schema[c].dataType).alias(c) for c in tiny.artifact.columns])
+    when = F.expr("timestampadd(MONTH, cast(purchase_id % 5 as int), timestamp_ntz'2024-01-10 00:00:00')")
+    sold = spark.range(3 * n).select(F.col("id").alias("purchase_id"), (F.col("id") * 7 % n).alias("artifact_id"))
+    sold = sold.withColumn("purchase_ts", F.when(F.col("purchase_id") % 11 != 0, when))
+    sold = sold.select(*[F.col(c) if c in sold.columns else F.lit(None).cast(tiny.purchase.schema[c].dataType).alias(c) for c in tiny.purchase.columns])
+    users = tiny.users.withColumn("user_id", F.col("user_id") - 1)
+    g = tiny.with_tables(artifact=art, purchase=sold, users=users)
+    sketches = R.sold_sketches(g)
+    assert sketches.groupBy("artist_id").count().collect() and sketches.filter("artist_id IS NULL").count() == 0
+    for window in ({}, {"since": "2024-02-01", "until": "2024-03-01"}):
+        kept = sold if not window else sold.filter("month(purchase_ts) IN (2, 3)")
+        exact = {r.artist_id: r.artifacts_sold for r in R.multi_seller_artists(g.with_tables(purchase=kept), 1).collect()}
+        near = {r.artist_id: r.artifacts_sold for r in R.multi_seller_sketches(g, sketches, 1, **window).collect()}
+        assert exact and set(near) == set(exact)
+        assert all(abs(near[k] - exact[k]) <= 3 * R.SKETCH_ERROR * exact[k] for k in exact), (near, exact)
+    assert R.multi_seller_sketches(g, sketches.limit(0), 0).count() == 0

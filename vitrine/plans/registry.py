@@ -8,6 +8,7 @@ the operator's own arguments (a search text, a date), never row caps.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.plans.oracle import name, with_adapter
-from vitrine.session import configure
+from vitrine.session import checkpoint_dir, configure
 from vitrine.sources import adapter
 from vitrine.sources.tables import Gallery
 
@@ -124,6 +125,19 @@ def _multi_seller_artists(g, spark, sf):
     return R.multi_seller_artists(g, 1)
 
 
+# Counts from merged sketches next to the exact ones; three standard errors is the bound.
+@register("multi_seller_sketches", "R6", with_adapter(f"""
+SELECT artist_id, {name('u')} AS artist_name, works AS exact_sold, true AS within_bound
+FROM (SELECT artist_id, count(*) AS works FROM artifact SEMI JOIN purchase USING (artifact_id) GROUP BY artist_id) w
+JOIN users u ON u.user_id = w.artist_id"""))
+def _multi_seller_sketches(g, spark, sf):
+    exact = R.multi_seller_artists(g, 0).select("artist_id", "artist_name", F.col("artifacts_sold").alias("exact_sold"))
+    merged = R.multi_seller_sketches(g, R.sold_sketches(g), -1).select("artist_id", "artifacts_sold")
+    near = F.abs(F.col("artifacts_sold") - F.col("exact_sold")) <= F.col("exact_sold") * (3 * R.SKETCH_ERROR)
+    return (exact.join(merged, "artist_id", "left")
+            .select("artist_id", "artist_name", "exact_sold", F.coalesce(near, F.lit(False)).alias("within_bound")))
+
+
 @register("museum_sales_ranked", "R7", with_adapter("""
 SELECT museum_id, name, total_sales,
        CAST(1 + (SELECT count(*) FROM takings o WHERE o.total_sales > t.total_sales) AS INTEGER) AS sales_rank
@@ -1013,6 +1027,88 @@ def _display_columns(g, spark, sf):
                              fills={"image": P.PLACEHOLDER_IMAGE, "artist_name": "-", "museum_name": "-"})
 
 
+# ---------------------------------------------------------------- stored galleries
+
+from vitrine.operators import deltas as D  # noqa: E402
+from vitrine.operators import search as T  # noqa: E402
+from vitrine.sources import snapshots as N  # noqa: E402
+
+
+def _stored(g, spark, label, tables, read, **layout):
+    """What ``read`` gives from a stored copy of ``tables``; the copy's folder goes."""
+    store = N.create(g, f"{checkpoint_dir(spark).rstrip('/')}/stores/{label}-{uuid.uuid4().hex}", tables, **layout)
+    df = read(store).checkpoint()
+    store.remove()
+    return df
+
+
+@register("commit_delete_artifacts", "W3", with_adapter("""
+SELECT artifact_id, title, CASE WHEN sold THEN least(quantity, 0) ELSE quantity END AS quantity,
+       (SELECT count(*) FROM virtual_record v WHERE v.artifact_id = k.artifact_id) AS records,
+       (SELECT count(*) FROM exhibition_artifact x WHERE x.artifact_id = k.artifact_id) AS links
+FROM (SELECT artifact_id, title, quantity, artifact_id IN (SELECT artifact_id FROM purchase) AND quantity = 0 AS sold FROM artifact) k
+WHERE quantity <> 0 OR quantity IS NULL OR sold"""))
+def _commit_delete_artifacts(g, spark, sf):
+    # The catalogue's sold-out artifacts go, written folder by folder; what the new version holds.
+    def read(store):
+        whole = store.gallery().with_tables(purchase=g.purchase)
+        _, report = W.delete_artifacts(whole, whole.artifact.filter(F.col("quantity") == 0).select("artifact_id"))
+        after = store.commit(D.delete_delta(whole, report))
+
+        def per(table, alias):
+            return after.table(table).groupBy("artifact_id").agg(F.count(F.lit(1)).alias(alias))
+
+        return (after.table("artifact").select("artifact_id", "title", "quantity")
+                .join(per("virtual_record", "records"), "artifact_id", "left")
+                .join(per("exhibition_artifact", "links"), "artifact_id", "left").fillna(0, ["records", "links"]))
+
+    return _stored(g, spark, "delete", ["artifact", "virtual_record", "exhibition_artifact"], read)
+
+
+STORED_COLS = "artifact_id, artist_id, museum_id, title, description, type, price, quantity, image"
+
+
+@register("commit_append_artifacts", "W1", with_adapter(f"""
+SELECT {STORED_COLS} FROM artifact
+UNION ALL SELECT {STORED_COLS} FROM ({REGISTRY["append_artifacts"].sql}) uploads WHERE reason IS NULL"""))
+def _commit_append_artifacts(g, spark, sf):
+    # The uploads of append_artifacts, committed; what the new version holds.
+    def read(store):
+        whole = g.with_tables(artifact=store.table("artifact"))
+        rows, _ = W.append_artifacts(whole, _upload_forms(whole), ["source_id"], now=F.to_timestamp_ntz(F.lit(NOW)))
+        return store.commit(D.append_delta(whole, "artifact", rows)).table("artifact").select(*STORED_COLS.split(", "))
+
+    return _stored(g, spark, "append", ["artifact"], read)
+
+
+def _indexed(g, spark, label, text, query):
+    """``query`` over the artifacts that a stored title index finds."""
+    return _stored(g, spark, label, ["artifact"], lambda store: query(g.with_tables(artifact=T.find_titles(store, text))),
+                   index_titles=True)
+
+
+@register("artist_artifacts_indexed", "Q2", REGISTRY["artist_artifacts"].sql)
+def _artist_artifacts_indexed(g, spark, sf):
+    artists = g.users.filter(F.col("role") == "Artist").select(F.col("user_id").alias("artist_id"))
+    return _indexed(g, spark, "artist", "  RING ", lambda found: Q.artist_artifacts(found, artists))
+
+
+@register("in_stock_artifacts_indexed", "Q3", REGISTRY["in_stock_artifacts"].sql)
+def _in_stock_artifacts_indexed(g, spark, sf):
+    return _indexed(g, spark, "stock", "Ring", lambda found: Q.in_stock_artifacts(found, type_="small"))
+
+
+@register("faceted_search_indexed", "Q8", REGISTRY["faceted_search"].sql)
+def _faceted_search_indexed(g, spark, sf):
+    return _indexed(g, spark, "search", "blue", lambda found: Q.faceted_search(found, min_price=920, max_price=980))
+
+
+@register("artifacts_by_ids_stored", "Q9", REGISTRY["artifacts_by_ids"].sql)
+def _artifacts_by_ids_stored(g, spark, sf):
+    return _stored(g, spark, "lookup", ["artifact"], lambda store: store.lookup(
+        "artifact", g.exhibition_artifact.select("artifact_id")).select("artifact_id", "title", "price", "image"))
+
+
 # ---------------------------------------------------------------- streaming
 
 from vitrine.streaming import admission_stream as ST  # noqa: E402
