@@ -160,5 +160,19 @@ def test_sold_sketches_merge_within_their_error(spark, tiny):
         exact = {r.artist_id: r.artifacts_sold for r in R.multi_seller_artists(g.with_tables(purchase=kept), 1).collect()}
         near = {r.artist_id: r.artifacts_sold for r in R.multi_seller_sketches(g, sketches, 1, **window).collect()}
         assert exact and set(near) == set(exact)
-        assert all(abs(near[k] - exact[k]) <= 3 * R.SKETCH_ERROR * exact[k] for k in exact), (near, exact)
+        assert all(abs(near[k] - exact[k]) <= R.SKETCH_BOUND * exact[k] for k in exact), (near, exact)
     assert R.multi_seller_sketches(g, sketches.limit(0), 0).count() == 0
+
+
+def test_sketch_error_over_many_artists(spark, tiny):
+    """The root mean square error of 200 merged counts is the stated standard error."""
+    per, artists = 5000, 200
+    art = spark.range(per * artists).select(F.col("id").alias("artifact_id"), (F.col("id") % artists).alias("artist_id"))
+    sold = spark.range(2 * per * artists).select(
+        (F.col("id") % (per * artists)).alias("artifact_id"),
+        F.expr("timestampadd(MONTH, cast(id % 3 as int), timestamp_ntz'2024-01-10 00:00:00')").alias("purchase_ts"))
+    users = spark.range(artists).select(F.col("id").alias("user_id"), F.lit("A").alias("fname"), F.lit("B").alias("lname"))
+    g = tiny.with_tables(artifact=art, purchase=sold, users=users)
+    off = [r.artifacts_sold / per - 1 for r in R.multi_seller_sketches(g, R.sold_sketches(g), 1).collect()]
+    assert len(off) == artists and max(map(abs, off)) <= R.SKETCH_BOUND
+    assert (sum(e * e for e in off) / artists) ** 0.5 <= 1.2 * R.SKETCH_ERROR

@@ -119,8 +119,10 @@ def multi_seller_artists(g: Gallery, min_distinct: int = 1, approx: bool = False
 
 
 # Accuracy of the sold-artifact sketches: 2^12 registers, relative standard error 1.04 / sqrt(2^12) of a merged sketch.
+# One count in a few hundred lies beyond three standard errors; the bound is five.
 SKETCH_LG = 12
 SKETCH_ERROR = 1.04 / 2 ** (SKETCH_LG / 2)
+SKETCH_BOUND = 5 * SKETCH_ERROR
 
 
 def sold_sketches(g: Gallery) -> DataFrame:

@@ -125,7 +125,7 @@ def _multi_seller_artists(g, spark, sf):
     return R.multi_seller_artists(g, 1)
 
 
-# Counts from merged sketches next to the exact ones; three standard errors is the bound.
+# Counts from merged sketches next to the exact ones; five standard errors is the bound.
 @register("multi_seller_sketches", "R6", with_adapter(f"""
 SELECT artist_id, {name('u')} AS artist_name, works AS exact_sold, true AS within_bound
 FROM (SELECT artist_id, count(*) AS works FROM artifact SEMI JOIN purchase USING (artifact_id) GROUP BY artist_id) w
@@ -133,7 +133,7 @@ JOIN users u ON u.user_id = w.artist_id"""))
 def _multi_seller_sketches(g, spark, sf):
     exact = R.multi_seller_artists(g, 0).select("artist_id", "artist_name", F.col("artifacts_sold").alias("exact_sold"))
     merged = R.multi_seller_sketches(g, R.sold_sketches(g), -1).select("artist_id", "artifacts_sold")
-    near = F.abs(F.col("artifacts_sold") - F.col("exact_sold")) <= F.col("exact_sold") * (3 * R.SKETCH_ERROR)
+    near = F.abs(F.col("artifacts_sold") - F.col("exact_sold")) <= F.col("exact_sold") * R.SKETCH_BOUND
     return (exact.join(merged, "artist_id", "left")
             .select("artist_id", "artist_name", "exact_sold", F.coalesce(near, F.lit(False)).alias("within_bound")))
 
