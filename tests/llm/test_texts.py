@@ -256,6 +256,24 @@ def test_a_passage_within_a_line_goes(spark):
     assert "step30" not in got[2].text and "Something else entirely" in got[2].text
 
 
+def test_a_passage_between_other_words_of_its_sentence_goes(spark):
+    inner = "the keeper climbs the stair, lights the lamp and winds the clock, " + ", ".join(f"then step{i} comes before the next one" for i in range(8))
+    rows = [(1, f"We know that {inner}, as ever."), (2, f"Others say {inner}, but not today."), (3, "the keeper climbs the stair, and rests.")]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].text == rows[0][1] and got[3].text == rows[2][1]
+    assert "step4" not in got[2].text and got[2].text.endswith("but not today.") and got[2].text.startswith("Others say the keeper climbs the stair,")
+
+
+def test_repeats_without_spaces_go(spark):
+    """Lines of scripts that write no spaces, by the number of their characters."""
+    rng = random.Random(3)
+    han = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(40)) + "，" + "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(39)) + "。" for _ in range(16)]
+    rows = [(1, "\n".join(han[:12])), (2, "".join([han[12], *han[:12], han[13]])), (3, han[14] + "短い。" + han[15]), (4, "短い。" * 3 + "別の文")]
+    assert ["".join(t[s:e] for s, e in zip(*line_dedup.lines_of(t)[:2])) for _, t in rows] == [t for _, t in rows]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: han[12] + han[13], 3: rows[2][1], 4: rows[3][1]}
+
+
 def test_line_dedup_of_awkward_rows(spark):
     got = line_dedup.line_dedup(messy.table(spark), min_words=10, gram_words=5)
     assert got.columns == [c for c in messy.SCHEMA.fieldNames() if c != "removed_words"] + ["removed_words", "removed_lines"]

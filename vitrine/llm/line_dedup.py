@@ -1,6 +1,7 @@
 """Line dedup by winnowing over line hashes.
 
-A line is a stretch of words up to a line end or the end of a sentence.  Runs of
+A line is a stretch of words up to a line end or a punctuation mark, so that a
+passage that begins or ends within a sentence loses little at its ends.  Runs of
 lines that just reach ``GRAM_WORDS`` words are hashed from their lines' hashes;
 every window of lines that just reaches ``MIN_WORDS`` words selects the least of
 the hashes within it as a fingerprint.  Equal windows select equal fingerprints,
@@ -14,6 +15,7 @@ the lines of a later run are deleted, those of the first occurrence stay.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,23 +30,41 @@ MIN_WORDS = 25     # a run of so many words is found for certain
 GRAM_WORDS = 12    # words of the runs that fingerprints are chosen from
 
 
+MARKS = ".!?,;:"
+WIDE_MARKS = "。！？，、；："
+# Scripts written without spaces: kana, Han, Thai to Khmer, fullwidth forms.
+WIDE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+WIDE_WORD = 2      # characters of such a script that count as one word
+
+
 def lines_of(text: str | None) -> tuple[list[int], list[int], list[str], list[int]]:
     """(starts, ends, contents, words) of the lines that are not blank.  Lines end
-    with line ends, and with a full stop, exclamation or question mark before a
-    space; a content is the line without white space around, its words are what
-    spaces separate."""
+    with line ends, and with one of ``MARKS`` before a space or one of
+    ``WIDE_MARKS``; a content is the line without white space around, its words
+    are what spaces separate, and as many more as the characters of scripts
+    without spaces make."""
     starts, ends, contents, words = [], [], [], []
+    text = text or ""
+    # The cuts keep all offsets: a mark's space becomes a line end.
+    for mark in MARKS:
+        text = text.replace(mark + " ", mark + "\n")
+    wide = WIDE.search(text) is not None
     at = 0
-    # The replacements keep all offsets.
-    for line in (text or "").replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n"):
-        end = at + len(line) + 1
+    for line in (wide_lines(text) if wide else text.split("\n")):
+        end = at + len(line) + (not wide)
         content = line.strip()
         if content:
-            starts.append(at), ends.append(end), contents.append(content), words.append(content.count(" ") + 1)
+            starts.append(at), ends.append(end), contents.append(content)
+            words.append(content.count(" ") + 1 + (len(WIDE.findall(content)) // WIDE_WORD if wide else 0))
         at = end
     return starts, ends, contents, words
 
 
+def wide_lines(text: str) -> list[str]:
+    """Lines with their ends, also cut after ``WIDE_MARKS`` (and a line end that follows)."""
+    return re.findall(f"[^\\n{WIDE_MARKS}]*(?:[{WIDE_MARKS}]\\n?|\\n|\\Z)", text)
+
+
 class Hashes:
     """128-bit hashes of runs of lines, as polynomials in their lines' hashes
     modulo 2^64 (twice), for any run from running sums."""
