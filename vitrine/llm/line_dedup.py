@@ -43,21 +43,29 @@ def lines_of(text: str | None) -> tuple[list[int], list[int], list[str], list[in
     ``WIDE_MARKS``; a content is the line without white space around, its words
     are what spaces separate, and as many more as the characters of scripts
     without spaces make."""
-    starts, ends, contents, words = [], [], [], []
+    lines, over, wide = split(text)
+    ends = np.cumsum([len(line) + over for line in lines], dtype=np.int64)
+    starts, ends = [0, *ends[:-1].tolist()], ends.tolist()
+    held = [i for i, line in enumerate(lines) if not (line.isspace() or not line)]
+    contents = [lines[i].strip() for i in held]
+    return [starts[i] for i in held], [ends[i] for i in held], contents, words_of(contents, wide)
+
+
+def split(text: str | None) -> tuple[list[str], int, bool]:
+    """(lines, characters of a line's end that they lack, whether a script without spaces occurs)."""
     text = text or ""
     # The cuts keep all offsets: a mark's space becomes a line end.
     for mark in MARKS:
         text = text.replace(mark + " ", mark + "\n")
-    wide = WIDE.search(text) is not None
-    at = 0
-    for line in (wide_lines(text) if wide else text.split("\n")):
-        end = at + len(line) + (not wide)
-        content = line.strip()
-        if content:
-            starts.append(at), ends.append(end), contents.append(content)
-            words.append(content.count(" ") + 1 + (len(WIDE.findall(content)) // WIDE_WORD if wide else 0))
-        at = end
-    return starts, ends, contents, words
+    if WIDE.search(text) is not None:
+        return wide_lines(text), 0, True
+    return text.split("\n"), 1, False
+
+
+def words_of(contents: list[str], wide: bool) -> list[int]:
+    if wide:
+        return [c.count(" ") + 1 + len(WIDE.findall(c)) // WIDE_WORD for c in contents]
+    return [c.count(" ") + 1 for c in contents]
 
 
 def wide_lines(text: str) -> list[str]:
@@ -103,9 +111,10 @@ class Windows:
         words: list[int] = []
         counts = []
         for text in texts:
-            _, _, some, n = lines_of(text)
+            lines, _, wide = split(text)
+            some = [c for line in lines if (c := line.strip())]
             self.contents += some
-            words += n
+            words += words_of(some, wide)
             counts.append(len(some))
         self.hashes = hashes
         ends = np.cumsum(counts, dtype=np.int64)
@@ -212,16 +221,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.min(F.struct("_doc", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1"))
         later = C.join_hot(places, first, ["gram", "gram2"], "n", places.count()).filter(
             (F.col("first._doc") < F.col("_doc")) | ((F.col("first._doc") == F.col("_doc")) & (F.col("first.at") + F.col("size") <= F.col("at"))))
-        cuts = scratch.table(later.groupBy("_doc").agg(F.collect_set(F.struct("at", "size")).alias("cuts")))
+        cuts = scratch.table(later.groupBy("_doc").agg(F.collect_set(F.shiftleft("at", 31) + F.col("size")).alias("cuts")))
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts, lost_words, lost_lines = [], [], []
                 for value, runs in values_of(batch, "_text", "cuts"):
                     starts, ends, _, words = lines_of(value)
-                    gone = np.zeros(len(starts), bool)
-                    for run in runs or ():
-                        gone[run["at"]:run["at"] + run["size"]] = True
+                    packed_runs = np.array(runs or (), np.int64)
+                    at, size = packed_runs >> 31, packed_runs & (2 ** 31 - 1)
+                    edges = np.bincount(at, minlength=len(starts) + 1) - np.bincount(at + size, minlength=len(starts) + 1)
+                    gone = np.cumsum(edges[:-1]) > 0
                     if gone.any():
                         kept, at = [], 0
                         for i in np.flatnonzero(gone):
