@@ -123,3 +123,36 @@ def test_requests_wait_for_the_watermark_and_late_ones_are_dropped(spark, tmp_pa
     out = ST.run_to_table(ST.admit_purchases_stream(stream, stock, ["ts", "seq"], time_col="ts", delay="10 seconds"), "t_late", base=f"{tmp_path}/run")
     # 200 and 210 still wait: the watermark, at 200 now, has not passed them.
     assert sorted(rows(out, "seq", "stock_before", "accepted")) == [(100, 4, True), (101, 3, True), (103, 2, True), (104, 1, True), (105, 0, False), (150, 0, False)]
+
+
+def land(df, path, ranges):
+    """Files of contiguous ranges of seq, one after another."""
+    for lo, hi in ranges:
+        df.filter((F.col("seq") >= lo) & (F.col("seq") < hi)).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+
+
+def state_of(spark, base, variable):
+    return spark.read.format("statestore").option("stateVarName", variable).load(f"{base}/checkpoint")
+
+
+def test_seats_are_kept_by_bucket_and_in_chunks(spark, tmp_path, monkeypatch):
+    """Sixty exhibitions make four groups; admitted customers are known over batches
+    and chunks; a null exhibition is refused."""
+    monkeypatch.setattr(ST.SeatFold, "CHUNK", 3)
+    rnd = random.Random(21)
+    reqs = [(seq, rnd.choice([None, *range(25)]), rnd.choice([None, 0, 0, *range(60)])) for seq in range(900)]
+    req = spark.createDataFrame(reqs, "seq long, customer_id long, exhibition_id long")
+    ex = spark.createDataFrame([(e, 20 if e % 2 == 0 else 3) for e in range(58)], "exhibition_id long, capacity int")
+    att = spark.createDataFrame([(1, 1, None)], "customer_id long, exhibition_id long, attended_at timestamp_ntz")
+    land(req, str(tmp_path / "in"), [(0, 300), (300, 600), (600, 900)])
+    stream = spark.readStream.schema(req.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = ST.run_to_table(ST.admit_attends_stream(stream, att, ex, ["seq"], buckets=3), "t_chunks", base=f"{tmp_path}/run")
+    batch = A.admit_attends(req, att, ex, ["seq"])
+    assert sorted(rows(out, "seq", "reason"), key=str) == sorted(rows(batch, "seq", "reason"), key=str)
+    taken = state_of(spark, f"{tmp_path}/run", "taken")
+    assert taken.count() > 40 and taken.select("key.st_bucket").distinct().count() <= 3
+    chunks = [tuple(r) for r in state_of(spark, f"{tmp_path}/run", "admitted").select(
+        "user_map_key.k", "user_map_key.chunk", F.size("user_map_value.customers").alias("n")).collect()]
+    full = {e: sum(n for x, _, n in chunks if x == e) for e, _, _ in chunks}
+    assert full[0] > 9 and all(n == min(3, full[e] - 3 * i) for e, i, n in chunks)

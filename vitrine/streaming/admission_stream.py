@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -48,6 +48,25 @@ def _sorted(rows: Iterator[pd.DataFrame], order_cols: Sequence[str]) -> pd.DataF
     return batch
 
 
+def bucket_of(key: str, spark: SparkSession, buckets: int | None) -> Column:
+    """The bucket of a key, of 16 a state partition by default; null keys have one of
+    their own, so that no other key's column of ids holds a null."""
+    return F.when(F.col(key).isNull(), F.lit(-1).cast("long")).otherwise(
+        F.pmod(F.xxhash64(key), F.lit(buckets or 16 * state_partitions(spark))))
+
+
+def key_ranges(batch: pd.DataFrame, key: str) -> Iterator[tuple[int | None, int, int]]:
+    """(key, first row, row after the last) of each key in a bucket's sorted rows;
+    null keys are one, None."""
+    ids = batch[key].to_numpy()
+    if pd.isna(ids[0]):
+        yield None, 0, len(ids)
+        return
+    borders = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+    for lo, hi in zip(borders, borders[1:]):
+        yield int(ids[lo]), lo, hi
+
+
 # -------------------------------------------------------------- event time
 
 EVENT_TIME = "st_time"
@@ -217,44 +236,56 @@ def admit_purchases_stream(requests: DataFrame, stock: DataFrame, order_cols: Se
 # ------------------------------------------------------------------------- A5
 
 class SeatFold(StatefulProcessor):
-    """Per exhibition: seats taken by this stream and the customers admitted."""
+    """Per bucket of exhibitions: the seats that this stream has taken of each
+    exhibition, and the customers admitted, in chunks of at most ``CHUNK``.  An
+    exhibition's state is read and written once a batch, not once a request."""
+
+    CHUNK = 1024
 
-    def __init__(self, columns: Sequence[str], order_cols: Sequence[str]):
-        self.columns, self.order_cols = list(columns), list(order_cols)
+    def __init__(self, columns: Sequence[str], order_cols: Sequence[str], key: str = "exhibition_id"):
+        self.columns, self.order_cols, self.key = list(columns), list(order_cols), key
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.taken = handle.getValueState("taken", "v long")
-        self.admitted = handle.getMapState("admitted", "customer_id long", "v boolean")
+        self.taken = handle.getMapState("taken", "k long", "v long")
+        self.admitted = handle.getMapState("admitted", "k long, chunk long", "customers array<long>")
 
-    def _admitted(self, customer: int) -> bool:
-        """Whether the customer was admitted earlier (state lookups cached per batch)."""
-        if customer not in self.seen:
-            self.seen[customer] = self.admitted.containsKey((customer,))
-        return self.seen[customer]
+    def _chunks(self, ex: int, first: int, last: int) -> list[int]:
+        """The customers in an exhibition's chunks first .. last - 1."""
+        return [c for i in range(first, last) for c in self.admitted.getValue((ex, i))[0]]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _sorted(rows, self.order_cols)
-        self.seen: dict[int, bool] = {}
-        stored = self.taken.get()
-        taken = stored[0] if stored is not None else 0
+        batch = _sorted(rows, [self.key] + self.order_cols)
         accepted, reason = [], []
-        for c, cap, found, existing, already, known in zip(
-                batch["customer_id"].tolist(), batch["capacity"].tolist(), batch["st_found"].tolist(),
-                batch["st_existing"].tolist(), batch["st_already"].tolist(), batch["st_customer_ok"].tolist()):
-            if not found or cap is None or pd.isna(cap):
-                accepted.append(False), reason.append(EXHIBITION_NOT_FOUND)
-            elif existing + taken >= cap:
-                accepted.append(False), reason.append(CAPACITY_FULL)
-            elif not known:
-                accepted.append(False), reason.append(CUSTOMER_NOT_FOUND)
-            elif already or self._admitted(int(c)):
-                accepted.append(False), reason.append(DUPLICATE)
-            else:
-                accepted.append(True), reason.append(None)
-                taken += 1
-                self.admitted.updateValue((int(c),), (True,))
-                self.seen[int(c)] = True
-        self.taken.update((taken,))
+        requests = list(zip(batch["customer_id"].tolist(), batch["capacity"].tolist(), batch["st_found"].tolist(),
+                            batch["st_existing"].tolist(), batch["st_already"].tolist(), batch["st_customer_ok"].tolist()))
+        for ex, lo, hi in key_ranges(batch, self.key):
+            stored = self.taken.getValue((ex,)) if ex is not None else None
+            before = stored[0] if stored is not None else 0
+            taken, fresh, seen = before, [], None
+            for c, cap, found, existing, already, known in requests[lo:hi]:
+                if not found or cap is None or pd.isna(cap):
+                    accepted.append(False), reason.append(EXHIBITION_NOT_FOUND)
+                elif existing + taken >= cap:
+                    accepted.append(False), reason.append(CAPACITY_FULL)
+                elif not known:
+                    accepted.append(False), reason.append(CUSTOMER_NOT_FOUND)
+                else:
+                    if seen is None:
+                        seen = set(self._chunks(ex, 0, -(-before // self.CHUNK)))
+                    if already or int(c) in seen:
+                        accepted.append(False), reason.append(DUPLICATE)
+                    else:
+                        accepted.append(True), reason.append(None)
+                        taken += 1
+                        fresh.append(int(c))
+                        seen.add(int(c))
+            if fresh:
+                self.taken.updateValue((ex,), (taken,))
+                # The last chunk is filled up, the ones before it stay.
+                at = before // self.CHUNK
+                tail = self._chunks(ex, at, -(-before // self.CHUNK)) + fresh
+                for i in range(0, len(tail), self.CHUNK):
+                    self.admitted.updateValue((ex, at + i // self.CHUNK), (tail[i:i + self.CHUNK],))
         out = {c: batch[c].to_numpy() for c in self.columns}
         out["accepted"] = np.array(accepted, dtype=bool)
         out["reason"] = np.array(reason, dtype=object)
@@ -266,9 +297,9 @@ class SeatFold(StatefulProcessor):
 
 def admit_attends_stream(requests: DataFrame, attends: DataFrame, exhibition: DataFrame,
                          order_cols: Sequence[str], users: DataFrame | None = None,
-                         time_col: str | None = None, delay: str | None = None) -> DataFrame:
+                         time_col: str | None = None, delay: str | None = None, buckets: int | None = None) -> DataFrame:
     """A5: streaming A2 (requests streaming; attends, exhibition and users static);
-    ``time_col`` and ``delay`` as in A4."""
+    ``time_col``, ``delay`` and ``buckets`` as in A4."""
     use_rocksdb(requests.sparkSession)
     columns = requests.columns
     requests = with_event_time(requests, time_col, delay)
@@ -289,7 +320,8 @@ def admit_attends_stream(requests: DataFrame, attends: DataFrame, exhibition: Da
     out_schema = T.StructType(
         [requests.schema[x] for x in columns]
         + [T.StructField("accepted", T.BooleanType()), T.StructField("reason", T.StringType())])
-    return stateful(r.groupBy(e), SeatFold(columns, order_cols), out_schema, time_col)
+    r = r.withColumn("st_bucket", bucket_of(e, requests.sparkSession, buckets))
+    return stateful(r.groupBy("st_bucket"), SeatFold(columns, order_cols), out_schema, time_col)
 
 
 # ------------------------------------------------------------------ running
@@ -378,7 +410,7 @@ def seats_taken(played: Played, attends: DataFrame, exhibition: DataFrame) -> Da
     """(exhibition_id, capacity, seats_taken) after a stream of A5: earlier
     attendances and those that the stream admitted."""
     e = "exhibition_id"
-    taken = played.state("taken").select(F.col(f"key.{e}").alias(e), F.col("value.v").alias("st_taken"))
+    taken = played.state("taken").select(F.col("user_map_key.k").alias(e), F.col("user_map_value.v").alias("st_taken"))
     before = attends.groupBy(e).agg(F.count(F.lit(1)).alias("st_before"))
     return exhibition.select(e, "capacity").join(before, e, "left").join(taken, e, "left").select(
         e, "capacity", (F.coalesce("st_before", F.lit(0)) + F.coalesce("st_taken", F.lit(0))).alias("seats_taken"))
