@@ -156,3 +156,23 @@ def test_seats_are_kept_by_bucket_and_in_chunks(spark, tmp_path, monkeypatch):
         "user_map_key.k", "user_map_key.chunk", F.size("user_map_value.customers").alias("n")).collect()]
     full = {e: sum(n for x, _, n in chunks if x == e) for e, _, _ in chunks}
     assert full[0] > 9 and all(n == min(3, full[e] - 3 * i) for e, i, n in chunks)
+
+
+def test_carts_are_kept_by_bucket(spark, tmp_path):
+    """Fifty users, and events without one, make four groups; carts go on over batches."""
+    from vitrine.operators import cart as K
+    from vitrine.streaming import cart_stream as KS
+
+    rnd = random.Random(22)
+    events = [(seq, u := rnd.choice([None, *range(50)]), rnd.randrange(4),
+               "add" if u is None else rnd.choice(["add", "add", "set", "checkout"]), rnd.choice(["1", "2", "0", "-1", "x"])) for seq in range(900)]
+    df = spark.createDataFrame(events, "seq long, user_id long, artifact_id long, kind string, qty string")
+    land(df, str(tmp_path / "in"), [(0, 300), (300, 600), (600, 900)])
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    versions = ST.run_to_table(KS.cart_state_stream(stream, ["seq"], buckets=3), "t_carts", base=f"{tmp_path}/run")
+    want = sorted(rows(K.cart_state(df, ["seq"])), key=str)
+    assert any(u is None for u, _, _ in want) and sorted(rows(KS.current_carts(versions, ["seq"])), key=str) == want
+    carts = state_of(spark, f"{tmp_path}/run", "carts").select("key.st_bucket", "user_map_key.user_id", "user_map_value.*")
+    kept = [(r.user_id, a, q) for r in carts.collect() for a, q in zip(r.artifacts, r.quantities)]
+    assert sorted(kept) == sorted(r for r in want if r[0] is not None)
+    assert carts.select("st_bucket").distinct().count() <= 3

@@ -1,7 +1,7 @@
 """Streaming form of the cart fold (K1): cart lines per user kept in state.
 
-Each micro-batch folds a user's events in order into the user's cart
-(``MapState`` artifact -> quantity) and emits the lines it changed, 0 for one
+Users are grouped in hash buckets, as artifacts are in A4.  Each micro-batch folds a
+user's events in order into the user's cart (``MapState`` user -> lines) and emits the lines it changed, 0 for one
 that went, versioned by the user's last event.  The current carts are the latest
 version of every line, read back from the append-only sink."""
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from vitrine.streaming.admission_stream import _sorted, stateful, use_rocksdb, with_event_time
+from vitrine.streaming.admission_stream import _sorted, bucket_of, key_ranges, stateful, use_rocksdb, with_event_time
 
 
 def _as_int(text) -> int | None:
@@ -28,43 +28,56 @@ def _as_int(text) -> int | None:
 
 
 class CartFold(StatefulProcessor):
+    """Per bucket of users: each user's cart, read and written once a batch."""
+
     def __init__(self, order_cols: Sequence[str]):
         self.order_cols = list(order_cols)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.lines = handle.getMapState("lines", "artifact_id long", "qty long")
+        self.carts = handle.getMapState("carts", "user_id long", "artifacts array<long>, quantities array<long>")
+        self.nobody = handle.getValueState("nobody", "artifacts array<long>, quantities array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _sorted(rows, self.order_cols)
-        cart = {k[0]: v[0] for k, v in self.lines.iterator()}
-        old = dict(cart)
-        for art, kind, qty in zip(batch["artifact_id"].tolist(), batch["kind"].tolist(), batch["qty"].tolist()):
-            if kind == "checkout":
-                cart.clear()
-                continue
-            q = _as_int(qty)
-            if q is None:
+        batch = _sorted(rows, ["user_id"] + self.order_cols)
+        events = list(zip(batch["artifact_id"].tolist(), batch["kind"].tolist(), batch["qty"].tolist()))
+        users, artifacts, quantities, last = [], [], [], []
+        for user, lo, hi in key_ranges(batch, "user_id"):
+            stored = self.nobody.get() if user is None else self.carts.getValue((user,))
+            old = dict(zip(*stored)) if stored is not None else {}
+            cart = dict(old)
+            for art, kind, qty in events[lo:hi]:
+                if kind == "checkout":
+                    cart.clear()
+                    continue
+                q = _as_int(qty)
+                if q is None:
+                    continue
+                if kind == "add":
+                    cart[art] = cart.get(art, 0) + max(1, q)
+                elif q <= 0:
+                    cart.pop(art, None)
+                else:
+                    cart[art] = q
+            items = [(int(a), cart.get(a, 0)) for a in sorted(old.keys() | cart.keys()) if old.get(a) != cart.get(a)]
+            if not items:
                 continue
-            if kind == "add":
-                cart[art] = cart.get(art, 0) + max(1, q)
-            elif q <= 0:
-                cart.pop(art, None)
-            else:
-                cart[art] = q
-        items = [(a, cart.get(a, 0)) for a in sorted(old.keys() | cart.keys()) if old.get(a) != cart.get(a)]
-        for art, q in items:
-            if q:
-                self.lines.updateValue((int(art),), (int(q),))
+            lines = ([int(a) for a in cart], list(cart.values()))
+            if user is None:
+                self.nobody.update(lines)
+            elif cart:
+                self.carts.updateValue((user,), lines)
             else:
-                self.lines.removeKey((int(art),))
-        if not items:
+                self.carts.removeKey((user,))
+            users += [user] * len(items)
+            artifacts += [a for a, _ in items]
+            quantities += [q for _, q in items]
+            last += [hi - 1] * len(items)
+        if not users:
             return
-        last = batch.iloc[-1]
-        out = {"user_id": np.full(len(items), key[0])}
-        out["artifact_id"] = pd.array([a for a, _ in items], dtype="Int64")
-        out["qty"] = np.array([q for _, q in items], dtype=np.int64)
+        out = {"user_id": pd.array(users, dtype="Int64"), "artifact_id": pd.array(artifacts, dtype="Int64"),
+               "qty": np.array(quantities, dtype=np.int64)}
         for c in self.order_cols:
-            out[c] = [last[c]] * len(items)
+            out[c] = batch[c].take(last).to_numpy()
         yield pd.DataFrame(out)
 
     def close(self) -> None:
@@ -72,16 +85,17 @@ class CartFold(StatefulProcessor):
 
 
 def cart_state_stream(events: DataFrame, order_cols: Sequence[str], time_col: str | None = None,
-                      delay: str | None = None) -> DataFrame:
+                      delay: str | None = None, buckets: int | None = None) -> DataFrame:
     """K1 on a stream of cart events (user_id, artifact_id, kind, qty text, order
-    columns); ``time_col`` and ``delay`` as in A4.  Output (append): versions of the
+    columns); ``time_col``, ``delay`` and ``buckets`` as in A4.  Output (append): versions of the
     changed lines."""
     use_rocksdb(events.sparkSession)
     events = with_event_time(events, time_col, delay)
     schema = T.StructType(
         [T.StructField("user_id", T.LongType()), T.StructField("artifact_id", T.LongType()),
          T.StructField("qty", T.LongType())] + [events.schema[c] for c in order_cols])
-    return stateful(events.groupBy("user_id"), CartFold(order_cols), schema, time_col)
+    events = events.withColumn("st_bucket", bucket_of("user_id", events.sparkSession, buckets))
+    return stateful(events.groupBy("st_bucket"), CartFold(order_cols), schema, time_col)
 
 
 def current_carts(versions: DataFrame, order_cols: Sequence[str], artifact_type: str = "bigint") -> DataFrame:
