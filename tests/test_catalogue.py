@@ -3,6 +3,8 @@
 import datetime as dt
 from decimal import Decimal as D
 
+from pyspark.sql import functions as F
+
 from conftest import TS, fixture_rows, rows
 
 from vitrine.operators import catalogue as Q
@@ -70,3 +72,11 @@ def test_artifacts_by_ids(spark, tiny):
     assert sorted(rows(Q.artifacts_by_ids(tiny, [1, 5, 99]), "artifact_id")) == [(1,), (5,)]
     ids = spark.createDataFrame([(2,), (2,), (4,)], "artifact_id bigint")
     assert sorted(rows(Q.artifacts_by_ids(tiny, ids), "artifact_id")) == [(2,), (4,)]
+
+
+def test_repeated_ids_are_counted_out_before_the_join(spark, tiny):
+    ids = spark.range(200_000).select((F.col("id") % 2 + 4).alias("artifact_id"))
+    found = Q.artifacts_by_ids(tiny, ids)
+    assert sorted(rows(found, "artifact_id")) == [(4,), (5,)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [artifact_id" in plan[plan.index("LeftSemi"):]

@@ -128,11 +128,11 @@ class Store:
         """Rows whose first key column is among ``keys``, read from the folders of
         their ranges only.  A list is pushed to the scan, which skips row groups and
         pages by their bounds and Bloom filters; a DataFrame (its first column) is a
-        semi join.  NULL keys match nothing."""
+        semi join with the distinct keys.  NULL keys match nothing."""
         column, width = S.PRIMARY_KEYS[name][0], self.widths[name]
         folders = self.folders[name]
         if isinstance(keys, DataFrame):
-            keys = keys.select(F.col(keys.columns[0]).cast("bigint").alias(column)).filter(F.col(column).isNotNull()).checkpoint()
+            keys = keys.select(F.col(keys.columns[0]).cast("bigint").alias(column)).filter(F.col(column).isNotNull()).distinct().checkpoint()
             return self._read(name, {k: folders[k] for k in self._ranges_of(name, keys, stored=True)}).join(keys, column, "left_semi")
         keys = [int(k) for k in keys if k is not None]
         ranges = {abs(k) // width * (1 if k >= 0 else -1) for k in keys}
