@@ -199,6 +199,20 @@ def plain_viterbi(pieces, part):
     return best[-1]
 
 
+def test_remembered_parts_are_no_python_calls(monkeypatch):
+    from vitrine.llm import sentencepiece as SP
+
+    asked = []
+    find = SP.Pieces.ids_of
+    monkeypatch.setattr(SP.Pieces, "ids_of", lambda self, part: asked.append(part) or find(self, part))
+    monkeypatch.setattr(SP, "CACHE_CHARS", 8)
+    model = SP.Pieces([(p, i, -float(i)) for i, p in enumerate(["a", "b", "ab", SP.MARK, SP.MARK + "ab"])], {}, 9)
+    text = "ab ba " * 50 + "a" * 20
+    assert model.decode(model.encode(text)) == text and model.encode(text) == model.encode(text)
+    assert sorted(set(asked)) == sorted({*map(str, model.known), SP.MARK + "a" * 20}) and len(asked) == len(model.known) + 3
+    assert model.decode([4, 77]) == "ab\u2047"
+
+
 def test_viterbi_against_all_splits():
     rng = random.Random(9)
     vocabulary = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(30)} | set("abc")

@@ -11,8 +11,9 @@ paths, and a task remembers those of short parts.
 from __future__ import annotations
 
 import itertools
+import operator
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +28,30 @@ CACHE = 400_000      # parts a task remembers
 CACHE_CHARS = 64     # of at most so many characters
 
 
+class Parts(dict):
+    """The ids of parts, found when first asked for; parts of at most ``CACHE_CHARS``
+    characters are remembered.  Looking up a remembered part is no Python call."""
+
+    def __init__(self, find: Callable[[str], tuple[int, ...]]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        ids = self.find(part)
+        if len(part) <= CACHE_CHARS:
+            if len(self) >= CACHE:
+                self.clear()
+            self[part] = ids
+        return ids
+
+
+class Spelling(dict):
+    """The text of ids; unknown ids are U+2047."""
+
+    def __missing__(self, i: int) -> str:
+        return "\u2047"
+
+
 class Pieces:
     """A vocabulary: pieces with scores, byte pieces, and the automaton."""
 
@@ -34,7 +59,7 @@ class Pieces:
         import ahocorasick
 
         # Bytes over 127 stand as the lone surrogates that "surrogateescape" turns back into bytes.
-        self.text = {i: p.replace(MARK, " ") for p, i, _ in pieces}
+        self.text = Spelling({i: p.replace(MARK, " ") for p, i, _ in pieces})
         self.text |= {i: chr(b if b < 128 else 0xDC00 + b) for b, i in byte_ids.items()}
         self.byte_ids = byte_ids
         self.unk_id = unk_id
@@ -47,7 +72,7 @@ class Pieces:
         self.part = re.compile(r".+" if inside else rf"{MARK}*[^{MARK}]+|{MARK}+", re.S)
         self.single = {p for p, _, _ in pieces if len(p) == 1}
         self.pairs = {p[i:i + 2] for p, _, _ in pieces for i in range(len(p) - 1)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Parts(self.ids_of)
 
     @classmethod
     def load(cls, path: str = MODEL) -> "Pieces":
@@ -100,20 +125,11 @@ class Pieces:
         return tuple(path)
 
     def ids_of(self, part: str) -> tuple[int, ...]:
-        ids = self.known.get(part)
-        if ids is None:
-            pairs = self.pairs
-            cuts = () if part[1:].isalpha() else [i for i in range(1, len(part)) if part[i - 1:i + 1] not in pairs]
-            if cuts:
-                ids = tuple(itertools.chain.from_iterable(
-                    self.ids_of(part[i:j]) for i, j in zip([0, *cuts], [*cuts, len(part)])))
-            else:
-                ids = self.viterbi(part)
-            if len(part) <= CACHE_CHARS:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[part] = ids
-        return ids
+        pairs = self.pairs
+        cuts = () if part[1:].isalpha() else [i for i, two in enumerate(map(operator.add, part, part[1:]), 1) if two not in pairs]
+        if not cuts:
+            return self.viterbi(part)
+        return tuple(itertools.chain.from_iterable(self.known[part[i:j]] for i, j in zip([0, *cuts], [*cuts, len(part)])))
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; none for a null or empty one."""
@@ -125,12 +141,12 @@ class Pieces:
             if i:
                 ids += self.spell(MARK)
             marked = stretch.replace(" ", MARK)
-            ids.extend(itertools.chain.from_iterable(map(self.ids_of, self.part.findall(marked if i else MARK + marked))))
+            ids.extend(itertools.chain.from_iterable(map(self.known.__getitem__, self.part.findall(marked if i else MARK + marked))))
         return ids
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, unknown ids U+2047."""
-        joined = "".join(map(self.text.get, ids, itertools.repeat("\u2047")))
+        joined = "".join(map(self.text.__getitem__, ids))
         try:
             joined.encode()
         except UnicodeEncodeError:
