@@ -169,6 +169,9 @@ def test_carts_are_kept_by_bucket(spark, tmp_path):
     df = spark.createDataFrame(events, "seq long, user_id long, artifact_id long, kind string, qty string")
     land(df, str(tmp_path / "in"), [(0, 300), (300, 600), (600, 900)])
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    blank = df.filter("seq = 0").select((F.col("seq") + 250).alias("seq"), F.explode(F.array(F.lit(None).cast("long"), F.lit(7))).alias("user_id"),
+                                        F.lit(None).cast("long").alias("artifact_id"), F.lit("set").alias("kind"), F.lit("2").alias("qty"))
+    blank.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))      # lines of no artifact
     versions = ST.run_to_table(KS.cart_state_stream(stream, ["seq"], buckets=3), "t_carts", base=f"{tmp_path}/run")
     want = sorted(rows(K.cart_state(df, ["seq"])), key=str)
     assert any(u is None for u, _, _ in want) and sorted(rows(KS.current_carts(versions, ["seq"])), key=str) == want

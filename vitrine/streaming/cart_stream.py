@@ -50,7 +50,7 @@ class CartFold(StatefulProcessor):
                     cart.clear()
                     continue
                 q = _as_int(qty)
-                if q is None:
+                if q is None or pd.isna(art):   # a line without an artifact is none
                     continue
                 if kind == "add":
                     cart[art] = cart.get(art, 0) + max(1, q)
