@@ -230,3 +230,62 @@ def test_forests(count):
         return len(set(parent))
 
     assert joined(one) == joined(range(200))
+
+
+def edited_copies(count, words, edits, seed):
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    rows = []
+    for i in range(count):
+        mine = list(base)
+        for _ in range(rng.choice(edits)):
+            mine[rng.randrange(words)] = f"x{i}y{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(mine)))
+    return rows
+
+
+def test_near_copies_under_the_threshold_make_no_rows_of_pairs(spark, monkeypatch):
+    """Pairs at about 0.7, which signatures cannot tell from 0.8: rows grow with the members, not their pairs."""
+    counts = []
+    real = minhash.verified
+
+    def watched(pairs, *args):
+        counts.append(pairs.count())
+        return real(pairs, *args)
+
+    monkeypatch.setattr(minhash, "verified", watched)
+    rows = edited_copies(200, 150, [1, 4, 5, 6], 5)
+    got = {r[0]: tuple(r[1:]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()}
+    assert got == near_brute(rows, 4, 80)
+    assert sum(counts) <= minhash.FIRST * len(rows)
+
+
+@pytest.mark.parametrize("shingles", [1 << 20, 3000])
+def test_links_between_blocks(spark, monkeypatch, shingles):
+    """Buckets of several blocks, cut by members or by the size of their sets, and sets compared in several parts."""
+    monkeypatch.setattr(minhash, "FIRST", 1)
+    monkeypatch.setattr(minhash, "BLOCK", 25 if shingles > 3000 else 512)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", shingles)
+    monkeypatch.setattr(minhash, "COLUMNS", 64)
+    rows = edited_copies(120, 150, [2, 3, 4, 5], 6)
+    got = {r[0]: tuple(r[1:]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()}
+    assert got == near_brute(rows, 4, 80)
+
+
+def test_overlaps_are_exact():
+    rng = np.random.RandomState(3)
+    sets = [np.unique(rng.randint(0, 5000, rng.randint(1, 3000)).astype(np.uint64) << np.uint64(40)) for _ in range(20)] + [np.zeros(0, np.uint64)]
+    i, j = np.nonzero(np.ones((21, 21), bool))
+    assert minhash.overlaps(sets, i, j)[i != j].tolist() == [len(np.intersect1d(sets[p], sets[q])) for p, q in zip(i, j) if p != q]
+    disjoint = [np.arange(3, dtype=np.uint64), np.arange(3, 6, dtype=np.uint64)]
+    assert minhash.overlaps(disjoint, np.array([0]), np.array([1])).tolist() == [0]
+
+
+def test_texts_of_a_repeated_id_meet_in_blocks(spark, monkeypatch):
+    """An id with texts in several buckets, some of equal size: each of them links."""
+    monkeypatch.setattr(minhash, "FIRST", 0)
+    first, second = edited_copies(4, 120, [1], 7), edited_copies(4, 121, [1], 8)
+    second = [(i, text.replace("b", "c")) for i, text in second]
+    rows = [(i + 10, t) for i, t in first] + [(i + 20, t) for i, t in second] + [(5, first[0][1] + " z"), (5, second[0][1] + " z"), (5, "q" + first[1][1])]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {5}

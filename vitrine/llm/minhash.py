@@ -10,24 +10,22 @@ their full sets.
 Only links that can join components matter, so a band's bucket is not turned
 into all its pairs.  First, in the first ``FIRST`` bands, its members are compared
 with its least one, at most that many pairs a document.  Of what then remains in different components, blocks of a
-bucket's signatures meet in pairs, so no task holds a whole bucket; members in
-its most frequent component meet the others only.  A block does not give back all
-its survivors: a few forests of the likeliest, each a link less than the
-components in the block at most, join what belongs together.  Once these are
-verified and the components merged, further rounds take the survivors that
-still lead from one component to another and were not refused before, until
-there are none.
+bucket's members meet in pairs, so no task holds a whole bucket; members in
+its most frequent component meet the others only.  Their signatures meet first;
+members that have a survivor then meet with their full sets, and each pair of
+survivors is verified where it meets: no row is made of it.  A block gives back
+a forest of its links, one fewer than the components in it at most.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm import common as C
@@ -38,9 +36,11 @@ BANDS, ROWS = 24, 4       # at similarity 0.8 a pair shares no band with probabi
 FIRST = 4                 # bands in which members are compared with their bucket's least one
 BATCH = 16                # signature places compared at a time
 MISS = 1e-6               # posterior probability below which a pair is dropped
-BLOCK = 512               # signatures of a bucket that meet at a time
-FORESTS = 4               # forests of survivors that a block gives back in the first round; 8 times as many in the next
-MOST_FORESTS = 32         # of a round; the round after gives back all that is left
+BLOCK = 512               # members of a bucket that meet at a time
+BLOCK_SHINGLES = 1 << 20  # fewer of them where their sets hold more than this together
+COLUMNS = 1 << 13         # shingles that a block's sets are compared in at a time
+FORESTS = 1               # forests of links that a block gives back: one joins what its links join
+MOST_FORESTS = 32         # more are not told apart
 SHINGLES_PER_TASK = 50_000
 PAIRS_PER_TASK = 64
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -148,15 +148,15 @@ def likely_pairs(pairs: DataFrame, sigs: DataFrame, n_pairs: int, threshold: flo
     return both.select("u", "v", "sig_u", "sig_v", "n_v").mapInArrow(C.tidy(run), f"u {kind}, v {kind}, n_v long")
 
 
-def survivors_of(a: dict, b: dict | None, needed: list[tuple[int, int]], band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def survivors_of(a: dict, b: dict | None, needed: list[tuple[int, int]], band: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs between two blocks, or within one (``b`` None), of a bucket of
-    ``band`` that lie in different components and keep a chance, with their
-    matches.  A pair that shares an earlier band is met in that band's bucket."""
+    ``band`` that lie in different components and keep a chance.  A pair that
+    shares an earlier band is met in that band's bucket."""
     other = a if b is None else b
     i, j = np.nonzero(a["label"][:, None] != other["label"][None, :])
     if b is None:
         i, j = i[i < j], j[i < j]
-    keep_i, keep_j, keep_m = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    keep_i, keep_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(i), 1 << 16):
         p, q = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
         near = a["scale"] * np.minimum(a["n"][p], other["n"][q]) >= np.maximum(a["n"][p], other["n"][q])
@@ -167,8 +167,8 @@ def survivors_of(a: dict, b: dict | None, needed: list[tuple[int, int]], band: i
             alive = matches >= least
             p, q, matches, done = p[alive], q[alive], matches[alive], places
         earlier = (a["sig"][p, :band * ROWS] == other["sig"][q, :band * ROWS]).reshape(len(p), band, ROWS).all(2).any(1)
-        keep_i.append(p[~earlier]), keep_j.append(q[~earlier]), keep_m.append(matches[~earlier])
-    return np.concatenate(keep_i), np.concatenate(keep_j), np.concatenate(keep_m)
+        keep_i.append(p[~earlier]), keep_j.append(q[~earlier])
+    return np.concatenate(keep_i), np.concatenate(keep_j)
 
 
 def forests(ends: list[tuple], count: int) -> tuple[list[int], bool]:
@@ -201,13 +201,39 @@ def forests(ends: list[tuple], count: int) -> tuple[list[int], bool]:
     return taken, bool(rest)
 
 
+def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Elements that the sets ``i`` and ``j`` (positions in ``sets``) share, pair by
+    pair: a bit for each set and element, ``COLUMNS`` elements at a time.  Elements
+    of one set only have no bit."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = held > 1
+    keep = shared[column]
+    owner, column = owner[keep], (np.cumsum(shared) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros(len(i), np.int64)
+    for start in range(0, int(shared.sum()), COLUMNS):
+        some = slice(*np.searchsorted(column, [start, start + COLUMNS]))
+        bits = np.zeros((len(sets), COLUMNS), bool)
+        bits[owner[some], column[some] - start] = True
+        words = np.packbits(bits, axis=1).view(np.uint64)
+        for at in range(0, len(i), 1 << 12):
+            p, q = i[at:at + (1 << 12)], j[at:at + (1 << 12)]
+            both[at:at + (1 << 12)] += np.bitwise_count(words[p] & words[q]).sum(1, dtype=np.int64)
+    return both
+
+
 def block_tasks(rows: DataFrame) -> DataFrame:
     """The pairs of blocks (key, lo, hi) in which members meet, from bucket rows
-    (key, _id, n, seed, bulk, size, others): ``bulk`` marks members in the bucket's
-    most frequent component, of which there are size - others."""
-    one_block = F.col("size") <= BLOCK
-    p_blocks = F.when(one_block, 1).otherwise(F.ceil(F.col("others") / BLOCK).cast("int"))
-    b_blocks = F.when(one_block, 0).otherwise(F.ceil((F.col("size") - F.col("others")) / BLOCK).cast("int"))
+    (key, _id, n, label, bulk, size, others, shingles, other_shingles): ``bulk`` marks
+    members in the bucket's most frequent component, of which there are size - others."""
+    def blocks(members: Column, shingles: Column) -> Column:
+        return F.greatest(F.ceil(members / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+    one_block = blocks(F.col("size"), F.col("shingles")) == 1
+    p_blocks = F.when(one_block, 1).otherwise(blocks(F.col("others"), F.col("other_shingles")))
+    b_blocks = F.when(one_block, 0).otherwise(blocks(F.col("size") - F.col("others"), F.col("shingles") - F.col("other_shingles")))
     bulk = F.col("bulk") & ~one_block
     rows = rows.withColumn("pb", p_blocks).withColumn("bb", b_blocks).withColumn("bulk", bulk)
     # Blocks 0 .. pb - 1 hold the others, pb .. pb + bb - 1 the bulk; two blocks of the bulk never meet.
@@ -218,70 +244,112 @@ def block_tasks(rows: DataFrame) -> DataFrame:
         "key", F.least("own", "met").alias("lo"), F.greatest("own", "met").alias("hi"), "own", "_id", "n", "label")
 
 
-def block_survivors(rows: DataFrame, given: DataFrame | None, sigs: DataFrame, percent: int, count: int) -> DataFrame:
-    """(key, lo, hi, u, v, n_v) of the survivors in different components that blocks
-    give back, from task rows (key, lo, hi, own, _id, n, label).  ``given`` holds
-    those of earlier rounds, which are not given back again.  u = v stands for
-    more survivors."""
+def each_block(rows: DataFrame, columns: tuple[str, ...], settle: Callable[[list[tuple]], list[tuple]], out: str) -> DataFrame:
+    """What ``settle`` makes of the rows (own, _id, n, label, sig, ...), with their
+    (key, lo, hi) before them, of each block that meets itself or another.  ``out``
+    names its columns; those without a type are ids."""
     kind = dict(rows.dtypes)["_id"]
-    needed = [(p, fewest_matches(percent / 100, p, MISS)) for p in range(BATCH, BANDS * ROWS + 1, BATCH)]
-    tasks = rows.join(sigs.select("_id", "sig"), "_id").withColumn("other", F.lit(None).cast(kind))
-    if given is not None:
-        tasks = tasks.unionByName(given.select("key", "lo", "hi", F.col("u").alias("_id"), F.col("v").alias("other")), allowMissingColumns=True)
-    scale = 100 / percent
+    names = [c.split() for c in out.split(", ")]
+    own_types = {"long": pa.int64(), "int": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(some: list[tuple]) -> dict:
-            return {"id": np.array([g[2] for g in some]), "n": np.array([g[3] for g in some]), "label": np.array([g[4] for g in some]),
-                    "scale": scale, "sig": np.frombuffer(b"".join(g[5] for g in some), np.uint32).reshape(len(some), -1)}
-
-        def settle(group: list[tuple]) -> list[tuple]:
-            key, lo, hi = group[0][0]
-            known = {(g[2], g[6]) for g in group if g[6] is not None}
-            members = [g for g in group if g[6] is None]
-            first = [g for g in members if g[1] == lo]
-            second = [g for g in members if g[1] != lo]
-            if not first or (lo != hi and not second):
-                return []
-            a, b = block(first), block(second) if lo != hi else None
-            c = a if b is None else b
-            band = int(np.flatnonzero(band_keys(a["sig"][:1])[0] == key)[0])
-            i, j, m = survivors_of(a, b, needed, band)
-            order = np.lexsort((c["id"][j], a["id"][i], -m))
-            pairs = list(zip(a["id"][i[order]].tolist(), c["id"][j[order]].tolist(), c["n"][j[order]].tolist(),
-                             a["label"][i[order]].tolist(), c["label"][j[order]].tolist()))
-            if known:
-                pairs = [p for p in pairs if (p[0], p[1]) not in known]
-            taken, more = forests([p[3:] for p in pairs], count)
-            out = [(key, lo, hi, *pairs[k][:3]) for k in taken]
-            if more:
-                one = first[0][2]
-                out.append((key, lo, hi, one, one, 0))
-            return out
-
-        def emit(found: list[tuple], like) -> pa.RecordBatch:
-            key, lo, hi, u, v, n = zip(*found)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(u, like), pa.array(v, like), pa.array(n, pa.int64())],
-                ["key", "lo", "hi", "u", "v", "n_v"])
-
         group: list[tuple] = []
         like = None
+
+        def emit(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(values, own_types[c[1]] if c[1:] else like) for c, values in zip(names, zip(*found))],
+                                              [c[0] for c in names])
+
         for batch in batches:
             found, like = [], batch.schema.field("_id").type
-            for key, lo, hi, own, i, n, label, sig, other in values_of(batch, "key", "lo", "hi", "own", "_id", "n", "label", "sig", "other"):
-                at = (key, lo, hi)
-                if group and group[0][0] != at:
+            for row in values_of(batch, "key", "lo", "hi", *columns):
+                if group and group[0][:3] != row[:3]:
                     found += settle(group)
                     group = []
-                group.append((at, own, i, n, label, sig, other))
+                group.append(row)
             if found:
-                yield emit(found, like)
+                yield emit(found)
         if group and (found := settle(group)):
-            yield emit(found, like)
+            yield emit(found)
+
+    return (rows.select("key", "lo", "hi", *columns).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+            .mapInArrow(C.tidy(run), ", ".join(" ".join(c) if c[1:] else f"{c[0]} {kind}" for c in names)))
+
+
+def met_in(group: list[tuple], percent: int, needed: list[tuple[int, int]]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """A block's rows, those of ``lo`` first, and the positions of its survivors."""
+    key, lo, hi = group[0][:3]
+    first, second = [g for g in group if g[3] == lo], [g for g in group if g[3] != lo]
+    members = first + second
+    if not first or (lo != hi and not second):
+        return members, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def block(some: list[tuple]) -> dict:
+        return {"n": np.array([g[5] for g in some]), "label": np.array([g[6] for g in some]), "scale": 100 / percent,
+                "sig": np.frombuffer(b"".join(g[7] for g in some), np.uint32).reshape(len(some), -1)}
+
+    a = block(first)
+    band = int(np.flatnonzero((band_keys(a["sig"]) == key).any(0))[0])
+    if lo == hi:
+        i, j = survivors_of(a, None, needed, band)
+        return members, i, j
+    i, j = survivors_of(a, block(second), needed, band)
+    return members, i, j + len(first)
+
+
+def block_survivors(rows: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """Of task rows (key, lo, hi, own, _id, n, label), those that have a survivor in
+    a different component in their block."""
+    needed = [(p, fewest_matches(percent / 100, p, MISS)) for p in range(BATCH, BANDS * ROWS + 1, BATCH)]
+
+    def settle(group: list[tuple]) -> list[tuple]:
+        members, i, j = met_in(group, percent, needed)
+        return list(dict.fromkeys(members[k][:7] for k in np.union1d(i, j)))
 
-    return (tasks.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-            .mapInArrow(C.tidy(run), f"key long, lo int, hi int, u {kind}, v {kind}, n_v long"))
+    return each_block(rows.join(sigs.select("_id", "n", "sig"), ["_id", "n"]), ("own", "_id", "n", "label", "sig"), settle,
+                      "key long, lo int, hi int, own int, _id, n long, label")
+
+
+def block_links(rows: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """A forest (u, v) of each block's links between different components, from the
+    rows of :func:`block_survivors` and ``full`` (_id, n, sig, hashes)."""
+    needed = [(p, fewest_matches(percent / 100, p, MISS)) for p in range(BATCH, BANDS * ROWS + 1, BATCH)]
+
+    def settle(group: list[tuple]) -> list[tuple]:
+        members, i, j = met_in(group, percent, needed)
+        if not len(i):
+            return []
+        sets = [np.frombuffer(g[8], np.uint64) for g in members]
+        both, n = overlaps(sets, i, j), np.array([len(x) for x in sets])
+        linked = (both > 0) & (100 * both >= percent * (n[i] + n[j] - both))
+        i, j = i[linked].tolist(), j[linked].tolist()
+        taken, _ = forests([(members[p][6], members[q][6]) for p, q in zip(i, j)], FORESTS)
+        return [(members[i[k]][4], members[j[k]][4]) for k in taken]
+
+    return each_block(rows.join(full, ["_id", "n"]), ("own", "_id", "n", "label", "sig", "hashes"), settle, "u, v")
+
+
+def full_sets(rows: DataFrame, size: int) -> DataFrame:
+    """(_id, set_hash, hashes) of rows (_id, _text) with words, once for each id and set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, digest, sets = [], [], []
+            for i, text in values_of(batch, "_id", "_text"):
+                hashes = shingle_hashes(text, size).tobytes()
+                if hashes:
+                    ids.append(i), digest.append(hashlib.blake2b(hashes, digest_size=16).digest()), sets.append(hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("_id").type), pa.array(digest, pa.binary()),
+                                              pa.array(sets, pa.binary())], ["_id", "set_hash", "hashes"])
+
+    kind = dict(rows.dtypes)["_id"]
+    return rows.select("_id", "_text").mapInArrow(C.tidy(run), f"_id {kind}, set_hash binary, hashes binary").dropDuplicates(["_id", "set_hash"])
+
+
+def rows_of(rows: DataFrame, named: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """The rows whose _id is in ``named``."""
+    ids = scratch.table(named.select("_id").distinct())
+    return C.only(rows, "_id", ids, ids.count())
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scratch: C.Scratch) -> DataFrame:
@@ -339,7 +407,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         several = classes.filter("members > 1")
         spare = scratch.table(C.join_hot(in_use.select("_id", "set_hash"), several, "set_hash", "members", total)
                               .filter("_id <> rep").select("_id").distinct())
-        reps = C.without(in_use.select("_id", "n", "sig", "bands"), "_id", spare, spare.count())
+        reps = C.without(in_use.select("_id", "n", "set_hash", "sig", "bands"), "_id", spare, spare.count())
         rows = reps.select(F.posexplode("bands").alias("band", "key"), "_id", "n").distinct()
         buckets = rows.groupBy("key").agg(F.min(F.struct("_id", "n")).alias("centre"), F.count("*").alias("size")).filter("size > 1")
         buckets = scratch.table(buckets.select("key", F.col("centre._id").alias("u"), F.col("centre.n").alias("n_u"), "size"))
@@ -349,7 +417,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fits = (F.col("u") != F.col("v")) & (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
         pairs = scratch.table(pairs.filter(fits).select("u", "v", "n_v").distinct())
         n_pairs = pairs.count()
-        links, labels, forest_count = None, None, FORESTS
+        links, labels = None, None
         if n_pairs:
             ids = scratch.table(pairs.select(F.explode(F.array("u", "v")).alias("_id")).distinct())
             sigs = scratch.table(C.only(reps.select("_id", "sig"), "_id", ids, ids.count()).distinct())
@@ -361,44 +429,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     open_rows.join(labels.withColumnRenamed("id", "_id"), "_id", "left")
                     .select("key", "_id", "n", F.coalesce("component", "_id").alias("label")))
         labelled = scratch.table(labelled)
-        per_label = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
+        per_label = labelled.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("shingles"))
         mixed = scratch.table(per_label.groupBy("key").agg(
-            F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1")
-            .select("key", "size", F.col("most.label").alias("most"), (F.col("size") - F.col("most.c")).alias("others")))
+            F.sum("c").alias("size"), F.sum("shingles").alias("shingles"), F.max(F.struct("c", "label", "shingles")).alias("most"),
+            F.count("*").alias("labels")).filter("labels > 1").select(
+            "key", "size", "shingles", F.col("most.label").alias("most"), (F.col("size") - F.col("most.c")).alias("others"),
+            (F.col("shingles") - F.col("most.shingles")).alias("other_shingles")))
         if mixed.count():
-            left = scratch.table(C.join_hot(labelled, mixed, "key", "size", labelled.count()).select(
-                "key", "_id", "n", F.col("label").alias("seed"), (F.col("label") == F.col("most")).alias("bulk"), "size", "others"))
-            ids = scratch.table(left.select("_id").distinct())
-            sigs = scratch.table(C.only(reps.select("_id", "sig"), "_id", ids, ids.count()).distinct())
-            left = left.withColumn("label", F.col("seed"))
+            left = C.join_hot(labelled, mixed, "key", "size", labelled.count()).withColumn("bulk", F.col("label") == F.col("most"))
             tasks = scratch.table(block_tasks(left))
-            given = None
-            while True:
-                if labels is not None:
-                    now = tasks.join(labels.withColumnRenamed("id", "_id"), "_id", "left").withColumn(
-                        "label", F.coalesce("component", "label")).drop("component")
-                else:
-                    now = tasks
-                if given is not None:
-                    # Only blocks with more to give, and still in more than one component.
-                    blocks = given.filter("u = v").select("key", "lo", "hi").distinct()
-                    now = scratch.table(now.join(blocks, ["key", "lo", "hi"], "left_semi"))
-                    apart = now.groupBy("key", "lo", "hi").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key", "lo", "hi")
-                    now = now.join(apart, ["key", "lo", "hi"], "left_semi")
-                    seen = given.filter("u <> v").join(apart, ["key", "lo", "hi"], "left_semi")
-                else:
-                    seen = None
-                survivors = scratch.table(block_survivors(now, seen, sigs, percent, forest_count))
-                chance = scratch.table(survivors.filter("u <> v").select("u", "v", "n_v").distinct())
-                if chance.count():
-                    fresh = scratch.table(verified(chance, docs, size, percent, scratch))
-                    if fresh.count():
-                        links = fresh if links is None else links.unionByName(fresh)
-                        labels = scratch.table(connected_components(links, scratch))
-                if survivors.filter("u = v").limit(1).count() == 0:
-                    break
-                given = scratch.table(survivors if seen is None else survivors.unionByName(seen))
-                forest_count *= 8
+            sigs = scratch.table(rows_of(reps.select("_id", "n", "set_hash", "sig"), tasks, scratch).distinct())
+            near = scratch.table(block_survivors(tasks, sigs, percent))
+            full = scratch.table(full_sets(rows_of(docs, near, scratch), size).join(sigs, ["_id", "set_hash"]).drop("set_hash"))
+            fresh = scratch.table(block_links(near, full, percent))
+            if fresh.count():
+                links = fresh if links is None else links.unionByName(fresh)
+                labels = scratch.table(connected_components(links, scratch))
         if labels is not None:
             classes = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
                 "set_hash", F.coalesce("component", "rep").alias("component_id"), "members")
